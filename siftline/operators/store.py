@@ -48,9 +48,9 @@ def stale_documents(docs: DataFrame, runs: DataFrame, current: dict[str, str]) -
 
 def insert_or_replace(table: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Rows of ``table`` with those of the same key in ``new`` replaced; the last new row of a key wins."""
-    rest = [c for c in new.columns if c not in keys]
+    rest = [c for c in new.columns if c not in (*keys, order)]
     last = new.groupBy(*keys).agg(F.max(F.struct(order, *rest)).alias("_row"))
-    last = last.select(*keys, *(F.col(f"_row.{c}").alias(c) for c in rest))
+    last = last.select(*keys, *(F.col(f"_row.{c}").alias(c) for c in (order, *rest)))
     kept = table.join(last.select(*keys), keys, "left_anti")
     return kept.unionByName(last.select(kept.columns))
 

@@ -70,13 +70,14 @@ def current_register(spark: SparkSession, register: str) -> DataFrame:
 def stream_dedupe(stream: DataFrame, key: str, ts: str, delay: str = "1 hour", history: DataFrame | None = None) -> DataFrame:
     """First event of each key within the watermark, without keys of the history table."""
     fresh = stream.join(history.select(key).distinct(), key, "left_anti") if history is not None else stream
-    return fresh.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+    return fresh.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
 def daily_counts(stream: DataFrame, ts: str, group: list[str], delay: str = "1 day", slide: str | None = None, width: str = "1 day") -> DataFrame:
     """Counts per day, or per sliding window of several days, tolerating late events."""
+    stamped = stream.withColumn(ts, F.col(ts).cast("timestamp"))
     window = F.window(ts, width, slide) if slide else F.window(ts, width)
-    watermarked = stream.withWatermark(ts, delay) if stream.isStreaming else stream
+    watermarked = stamped.withWatermark(ts, delay) if stream.isStreaming else stamped
     return (
         watermarked.groupBy(window, *group)
         .agg(F.count("*").alias("n"))
@@ -86,3 +87,21 @@ def daily_counts(stream: DataFrame, ts: str, group: list[str], delay: str = "1 d
 
 def write_table(result: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     return result.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+
+
+def write_snapshots(result: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Whole result of an aggregation after each micro-batch, in a folder per batch."""
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return (
+        result.writeStream.outputMode("complete").foreachBatch(save)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
+def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    table = spark.read.parquet(path)
+    last = table.agg(F.max("batch")).first()[0]
+    return table.filter(F.col("batch") == last).drop("batch")
