@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from siftline.functions.sql import any_contains, let, quote, string_array
+from siftline.functions.text import regex_spans
 
 # --- Fixed values that decide the results -----------------------------------
 DIGIT_WORDS = "零一二三四五六七八九"
@@ -21,10 +22,15 @@ AMOUNT_CORE = (
     r"(新台币|新臺幣|台币|臺幣|人民币|人民幣|美金|美元|港币|港幣|元|塊|圆|圓)?(?![A-Za-z0-9%])"
 )
 AMOUNT_WORD_CHARS = "零〇一二三四五六七八九十百千万亿點点两兩壹贰叁肆伍陆柒捌玖拾佰仟兆"
+AMOUNT_PARTS = (
+    r"^(\d{1,3}(?:,\d{3})+|\d+\.?\d*)\s*(亿|億|万|萬|千|百)?\s*"
+    r"(新台币|新臺幣|台币|臺幣|人民币|人民幣|美金|美元|港币|港幣|元|塊|圆|圓)?$"
+)
 AMOUNT_WORDS = (
-    f"(?:([{AMOUNT_WORD_CHARS}]+)\\s*(万亿|億|万|萬|亿|千|百|仟|佰)?\\s*(元|块|塊|圓|圆|美金|美元)"
+    f"(?=[\u4e00-\u9fff〇])(?:([{AMOUNT_WORD_CHARS}]+)\\s*(万亿|億|万|萬|亿|千|百|仟|佰)?\\s*(元|块|塊|圓|圆|美金|美元)"
     f"|([{AMOUNT_WORD_CHARS}]+)\\s*(万亿|億|万|萬|亿))"
 )
+NEAR_CHARS = 12
 CURRENCY_MARK = (
     r"(?i)(新台币|新臺幣|台币|臺幣|人民币|人民幣|美金|美元|港币|港幣|nt\$|us\$|rmb|cn¥)"
 )
@@ -139,64 +145,52 @@ def _near_currency(window: str) -> str:
     return f"CASE {mark} {decided} WHEN '' THEN CASE WHEN contains({window}, 'ntd') THEN 'TWD' END END"
 
 
-def _with_window(first: str, core: str, radius: int = 12) -> str:
-    """Wrap a regex so that group 1 is the text before a match and the last group the text after.
+def _amounts(text: str, core: str, parts: str, groups: tuple[tuple[int, ...], ...], value: str, keep: str) -> str:
+    """Amounts of one notation.
 
-    ``first`` is what a match starts with: looking at one character first
-    keeps the costly look behind away from all other positions.
+    ``core`` finds a mention, ``parts`` takes it apart into ``groups`` (of the
+    number, the unit and the currency), ``value`` is the number's value and
+    ``keep`` the condition.
     """
-    return rf"(?s)(?={first})(?<=(^.{{0,{radius - 1}}}|.{{{radius}}})){core}(?=(.{{0,{radius}}}))"
-
-
-def extract_amounts(text: str) -> str:
-    """array<struct<amount,currency,raw>>: distinct money amounts, smallest first."""
-    money = "struct<amount:double,currency:string,raw:string>"
     suffix = _map(SUFFIX_CURRENCY)
     factor = _map({k: float(v) for k, v in UNIT_FACTORS.items()})
-
-    digits_rx = _with_window(r"\d", AMOUNT_CORE)
-    fields = [_all(text, digits_rx, g) for g in (0, 1, 2, 3, 4, 5)]
-    rows = "arrays_zip(" + ", ".join(fields) + ")"
-    rows = (
-        f"transform({rows}, m -> named_struct('raw', trim(m.`0`), 'num', m.`2`, 'unit', m.`3`, 'cur', m.`4`,"
-        f" 'near', {_near_currency("concat(m.`1`, ' ', m.`5`)")},"
-        f" 'value', cast(replace(m.`2`, ',', '') AS double) * coalesce({factor}[m.`3`], 1D)))"
+    radius = NEAR_CHARS
+    before = f"substring({text}, greatest(_x.start - {radius}, 0) + 1, least(_x.start, {radius}))"
+    near = f"concat({before}, ' ', substring({text}, _x.end + 1, {radius}))"
+    num, unit, cur = (
+        "concat(" + ", ".join(f"regexp_extract(_x.raw, {quote(parts)}, {g})" for g in gs) + ")" for gs in groups
     )
+    rows = f"transform(_m, _x -> named_struct('raw', trim(_x.raw), 'num', {num}, 'unit', {unit}, 'cur', {cur}, 'near', {_near_currency(near)}))"
     rows = (
-        f"filter({rows}, m -> m.value BETWEEN 1D AND 1e13D AND"
-        " (m.unit <> '' OR m.cur <> '' OR m.near IS NOT NULL OR contains(m.num, ',')))"
+        f"transform({rows}, m -> named_struct('raw', m.raw, 'num', m.num, 'unit', m.unit, 'cur', m.cur, 'near', m.near,"
+        f" 'value', {value} * coalesce({factor}[m.unit], 1D)))"
     )
-    by_digits = (
-        f"transform({rows}, m -> named_struct('amount', round(m.value, 2), 'currency',"
-        f" coalesce(m.near, {suffix}[m.cur], {quote(DEFAULT_CURRENCY)}), 'raw', m.raw))"
+    shown = (
+        f"transform(filter({rows}, m -> m.value BETWEEN 1D AND 1e13D AND ({keep})), m -> named_struct('amount', round(m.value, 2),"
+        f" 'currency', coalesce(m.near, {suffix}[m.cur], {quote(DEFAULT_CURRENCY)}), 'raw', m.raw))"
     )
+    return regex_spans(text, core, shown)
 
-    words_rx = _with_window(f"[{AMOUNT_WORD_CHARS}]", AMOUNT_WORDS)
-    fields = [_all(text, words_rx, g) for g in (0, 1, 2, 3, 4, 5, 6, 7)]
-    rows = "arrays_zip(" + ", ".join(fields) + ")"
-    rows = (
-        f"transform({rows}, m -> named_struct('raw', trim(m.`0`), 'unit', concat(m.`3`, m.`6`), 'cur', m.`4`,"
-        f" 'near', {_near_currency("concat(m.`1`, ' ', m.`7`)")},"
-        f" 'value', {number_words('concat(m.`2`, m.`5`)')} * coalesce({factor}[concat(m.`3`, m.`6`)], 1D)))"
-    )
-    rows = f"filter({rows}, m -> m.value BETWEEN 1D AND 1e13D AND (m.value >= 10D OR m.unit <> ''))"
-    by_words = (
-        f"transform({rows}, m -> named_struct('amount', round(m.value, 2), 'currency',"
-        f" coalesce(m.near, {suffix}[m.cur], {quote(DEFAULT_CURRENCY)}), 'raw', m.raw))"
+
+def extract_amounts(text: str) -> str:
+    """array<struct<amount,currency,raw>>: distinct money amounts, smallest first."""
+    none = "cast(array() AS array<struct<amount:double,currency:string,raw:string>>)"
+    by_digits = _amounts(
+        text, AMOUNT_CORE, AMOUNT_PARTS, ((1,), (2,), (3,)), "cast(replace(m.num, ',', '') AS double)",
+        "m.unit <> '' OR m.cur <> '' OR m.near IS NOT NULL OR contains(m.num, ',')",
     )
-    found = f"concat({by_digits}, {by_words})"
+    by_words = _amounts(text, AMOUNT_WORDS, f"^{AMOUNT_WORDS}$", ((1, 4), (2, 5), (3,)), number_words("m.num"), "m.value >= 10D OR m.unit <> ''")
+    wide = f"{text} RLIKE {quote(r'[\u4e00-\u9fff]')}"
+    # an amount in digits has a thousands comma, a unit or currency in wide characters, or a mark that decides
+    marked = let("_low", f"lower({text})", " OR ".join(f"contains(_low, {quote(m)})" for m in (*MARK_CURRENCY, "ntd")))
+    in_digits = f"{text} RLIKE {quote(r'\d')} AND ({text} RLIKE {quote(r'\d,\d{3}')} OR {wide} OR {marked})"
+    found = f"concat(CASE WHEN {in_digits} THEN {by_digits} ELSE {none} END, CASE WHEN {wide} THEN {by_words} ELSE {none} END)"
     # keep the first of each (amount, currency)
     firsts = (
         "filter(_m, (x, i) -> i = 0 OR NOT exists(slice(_m, 1, i),"
         " y -> y.amount = x.amount AND y.currency = x.currency))"
     )
-    # every amount has a thousands comma, a unit or currency in wide characters, or a mark that decides
-    marks = " OR ".join(f"contains(lower({text}), {quote(m)})" for m in (*MARK_CURRENCY, "ntd"))
-    may_hold = f"({text} RLIKE {quote(r'\d,\d{3}')} OR {text} RLIKE {quote(r'[\u4e00-\u9fff]')} OR {marks})"
-    return (
-        f"CASE WHEN {may_hold} THEN array_sort({let('_m', found, firsts)})"
-        f" ELSE cast(array() AS array<{money}>) END"
-    )
+    return let("_m", found, f"CASE WHEN size(_m) > 0 THEN array_sort({firsts}) ELSE _m END")
 
 
 def extract_dates(text: str) -> str:

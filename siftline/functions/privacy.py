@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from siftline.functions.sql import let, prefix_sums, quote, string_array
+from siftline.functions.sql import let, quote, string_array
+from siftline.functions.text import regex_spans
 
 
 @dataclass(frozen=True)
@@ -137,19 +138,16 @@ def _unicode(regex: str) -> str:
 
 def _matches(text: str, p: Sensitive) -> str:
     """Findings of one pattern, with offsets from the lengths of the parts between matches."""
-    rx = quote(_unicode(p.regex))
+    regex = _unicode(p.regex)
     if p.regex.startswith(("(?:[" + FAMILY_NAMES, "(?<![\\u4e00-\\u9fff])(?:[" + FAMILY_NAMES, "[\\u4e00-\\u9fff]")):
         # a range test first: a class of many wide characters is slow at every position
-        rx = quote("(?U)(?=[\\u4e00-\\u9fff])" + p.regex)
-    gaps = f"transform(split({text}, {rx}, -1), _y -> length(_y))"
-    hits = f"transform(regexp_extract_all({text}, {rx}, 0), _y -> length(_y))"
+        regex = "(?U)(?=[\\u4e00-\\u9fff])" + p.regex
     spans = (
-        "transform(_h, (_n, _i) -> named_struct('kind', {k}, 'start', element_at(_o, _i + 1) + element_at(_g, _i + 1),"
-        " 'end', element_at(_o, _i + 1) + element_at(_g, _i + 1) + _n, 'replacement', {r}, 'priority', {p}))"
-    ).format(k=quote(p.kind), r=quote(p.replacement), p=p.priority)
-    pairs = "zip_with(slice(_g, 1, size(_h)), _h, (_a, _b) -> _a + _b)"
-    found = let("_h", hits, let("_g", gaps, let("_o", prefix_sums(pairs), spans)))
-    may = f"{text} RLIKE {rx}"
+        f"transform(_m, _f -> named_struct('kind', {quote(p.kind)}, 'start', _f.start, 'end', _f.end,"
+        f" 'replacement', {quote(p.replacement)}, 'priority', {p.priority}))"
+    )
+    found = regex_spans(text, regex, spans)
+    may = f"{text} RLIKE {quote(regex)}"
     if p.needs:
         may = f"_has.{p.needs} AND {may}"
     if p.hints:

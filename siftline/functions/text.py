@@ -143,6 +143,24 @@ def find_occurrences(text: str, term: str) -> str:
     return let("_o", prefix_sums(f"transform({parts}, _y -> length(_y))"), spans)
 
 
+def regex_spans(text: str, regex: str, body: str) -> str:
+    """``body`` over ``_m``: array<struct<start,end,raw>> of the matches of a regex.
+
+    Offsets come from the lengths of the matches and of the gaps between
+    them, so two passes of the regex are enough.
+    """
+    rx = quote(regex)
+    spans = (
+        "transform(_h, (_r, _i) -> named_struct('start', element_at(_o, _i + 1) + element_at(_g, _i + 1),"
+        " 'end', element_at(_o, _i + 1) + element_at(_g, _i + 1) + length(_r), 'raw', _r))"
+    )
+    pairs = "zip_with(slice(_g, 1, size(_h)), _h, (_a, _b) -> _a + length(_b))"
+    found = let("_o", prefix_sums(pairs), spans)
+    found = let("_g", f"transform(split({text}, {rx}, -1), _y -> length(_y))", found)
+    found = let("_h", f"regexp_extract_all({text}, {rx}, 0)", found)
+    return let("_m", found, body)
+
+
 def snippet(text: str, term: str, radius: int = 25) -> str:
     """Text around the first occurrence, marked with an ellipsis on both sides."""
     start = f"greatest(locate({term}, {text}) - {radius}, 1)"

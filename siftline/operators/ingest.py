@@ -104,7 +104,11 @@ def admit_files(files: DataFrame, limits: Limits = Limits(), history: DataFrame
     compressed_size, sha256, head.  Budgets are counted over the ordered
     files, as they would be when reading an archive from front to back.
     """
-    named = files.withColumn("unsafe", F.expr(path_reason("path"))).withColumn("depth", F.expr(path_depth("path")))
+    # the head of a file is reduced to one flag before any row moves
+    named = files.select(
+        "batch_id", "seq", "path", "size", "compressed_size", "sha256", F.expr(valid_header("head")).alias("ok"),
+        F.expr(path_reason("path")).alias("unsafe"), F.expr(path_depth("path")).alias("depth"),
+    )
     mail = f"(unsafe IS NULL AND NOT {ignored_path('path')} AND lower(path) LIKE '%{MAIL_SUFFIX}')"
     sized = f"{mail} AND depth <= {limits.max_depth} AND size <= {limits.max_file_size}"
     counted = running(
@@ -131,7 +135,7 @@ def admit_files(files: DataFrame, limits: Limits = Limits(), history: DataFrame
     reason = (
         "CASE WHEN early IS NOT NULL THEN early WHEN history IS NOT NULL THEN history"
         " WHEN sha256 <> '' AND _first IS NULL THEN 'DUPLICATE_CONTENT'"
-        f" WHEN NOT {valid_header('head')} THEN 'INVALID_MAIL' END"
+        " WHEN NOT ok THEN 'INVALID_MAIL' END"
     )
     status = (
         "CASE WHEN reason IS NULL THEN 'accepted' WHEN reason LIKE 'DUPLICATE%' THEN 'duplicate'"

@@ -106,12 +106,15 @@ class CompiledPack:
 
 
 def demo_pack(spark: SparkSession) -> RulePack:
+    def table(rows, schema: str) -> DataFrame:
+        return spark.createDataFrame(rows, schema).coalesce(1)
+
     return RulePack(
-        terms=spark.createDataFrame(DEMO_TERMS, TERMS_SCHEMA),
-        patterns=spark.createDataFrame(DEMO_PATTERNS, PATTERNS_SCHEMA),
-        negatives=spark.createDataFrame(DEMO_NEGATIVES, NEGATIVES_SCHEMA),
-        exclusions=spark.createDataFrame(DEMO_EXCLUSIONS, EXCLUSIONS_SCHEMA),
-        variants=spark.createDataFrame(DEMO_VARIANTS, VARIANTS_SCHEMA),
-        categories=spark.createDataFrame(DEMO_CATEGORIES, CATEGORIES_SCHEMA),
+        terms=table(DEMO_TERMS, TERMS_SCHEMA),
+        patterns=table(DEMO_PATTERNS, PATTERNS_SCHEMA),
+        negatives=table(DEMO_NEGATIVES, NEGATIVES_SCHEMA),
+        exclusions=table(DEMO_EXCLUSIONS, EXCLUSIONS_SCHEMA),
+        variants=table(DEMO_VARIANTS, VARIANTS_SCHEMA),
+        categories=table(DEMO_CATEGORIES, CATEGORIES_SCHEMA),
         reversals=DEMO_REVERSALS,
     )
