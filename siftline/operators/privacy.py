@@ -76,8 +76,10 @@ def outbound_check(payloads: DataFrame, patterns: Iterable[P.Sensitive] = P.SENS
     fields = [c for c in payloads.columns if c != "doc_id"]
     named = [f"FORBIDDEN_NAME:{n}" for n in forbidden_columns(payloads.drop("doc_id"))]
     body = payloads.select("doc_id", F.to_json(F.struct(*fields)).alias("_body"))
-    # JSON hides line breaks and quotes behind backslashes; scan the plain text
-    plain = "translate(replace(replace(_body, '\\\\n', '\\n'), '\\\\\"', '\"'), '{}[]\"', '     ')"
+    # JSON hides line breaks, tabs and quotes behind backslashes; scan the text as it was
+    plain = "_body"
+    for escaped, char in (("\\\\n", "\\n"), ("\\\\t", "\\t"), ('\\\\"', '"')):
+        plain = f"replace({plain}, '{escaped}', '{char}')"
     scanned = body.withColumn("_plain", F.expr(plain)).withColumn("_kinds", F.expr(f"array_distinct(transform({P.scan('_plain', tuple(patterns))}, _f -> _f.kind))"))
     by_name = "array(" + ", ".join(quote(n) for n in named) + ")" if named else "cast(array() AS array<string>)"
     reasons = (
