@@ -18,7 +18,7 @@ SUFFIX_CURRENCY = {
 MARK_CURRENCY = {"nt$": "TWD", "rmb": "CNY"}
 DEFAULT_CURRENCY = "TWD"
 AMOUNT_CORE = (
-    r"(?<![A-Za-z0-9年])(\d{1,3}(?:,\d{3})+|\d+\.?\d*)\s*(亿|億|万|萬|千|百)?\s*"
+    r"(?=\d)(?<![A-Za-z0-9年])(\d{1,3}(?:,\d{3})+|\d+\.?\d*)\s*(亿|億|万|萬|千|百)?\s*"
     r"(新台币|新臺幣|台币|臺幣|人民币|人民幣|美金|美元|港币|港幣|元|塊|圆|圓)?(?![A-Za-z0-9%])"
 )
 AMOUNT_WORD_CHARS = "零〇一二三四五六七八九十百千万亿點点两兩壹贰叁肆伍陆柒捌玖拾佰仟兆"
@@ -27,8 +27,8 @@ AMOUNT_PARTS = (
     r"(新台币|新臺幣|台币|臺幣|人民币|人民幣|美金|美元|港币|港幣|元|塊|圆|圓)?$"
 )
 AMOUNT_WORDS = (
-    f"(?=[\u4e00-\u9fff〇])(?:([{AMOUNT_WORD_CHARS}]+)\\s*(万亿|億|万|萬|亿|千|百|仟|佰)?\\s*(元|块|塊|圓|圆|美金|美元)"
-    f"|([{AMOUNT_WORD_CHARS}]+)\\s*(万亿|億|万|萬|亿))"
+    f"(?=[\u4e00-\u9fff〇])([{AMOUNT_WORD_CHARS}]+)\\s*"
+    "(?:(万亿|億|万|萬|亿|千|百|仟|佰)?\\s*(元|块|塊|圓|圆|美金|美元)|(万亿|億|万|萬|亿))"
 )
 NEAR_CHARS = 12
 CURRENCY_MARK = (
@@ -140,9 +140,9 @@ def count_value(token: str) -> str:
 
 def _near_currency(window: str) -> str:
     """Currency named by a mark in the surrounding characters, if it is one that decides."""
-    mark = f"lower(regexp_extract({window}, {quote(CURRENCY_MARK)}, 1))"
-    decided = " ".join(f"WHEN {quote(k)} THEN {quote(v)}" for k, v in MARK_CURRENCY.items())
-    return f"CASE {mark} {decided} WHEN '' THEN CASE WHEN contains({window}, 'ntd') THEN 'TWD' END END"
+    decided = " ".join(f"WHEN _c = {quote(k)} THEN {quote(v)}" for k, v in MARK_CURRENCY.items())
+    found = f"CASE {decided} WHEN _c = '' AND contains(_n, 'ntd') THEN 'TWD' END"
+    return let("_n", window, let("_c", f"lower(regexp_extract(_n, {quote(CURRENCY_MARK)}, 1))", found))
 
 
 def _amounts(text: str, core: str, parts: str, groups: tuple[tuple[int, ...], ...], value: str, keep: str) -> str:
@@ -160,7 +160,7 @@ def _amounts(text: str, core: str, parts: str, groups: tuple[tuple[int, ...], ..
     num, unit, cur = (
         "concat(" + ", ".join(f"regexp_extract(_x.raw, {quote(parts)}, {g})" for g in gs) + ")" for gs in groups
     )
-    rows = f"transform(_m, _x -> named_struct('raw', trim(_x.raw), 'num', {num}, 'unit', {unit}, 'cur', {cur}, 'near', {_near_currency(near)}))"
+    rows = f"transform(_m, _x -> named_struct('raw', trim(_x.raw), 'num', {num}, 'unit', {unit}, 'cur', {cur}, 'near', CASE WHEN _mk THEN {_near_currency(near)} END))"
     rows = (
         f"transform({rows}, m -> named_struct('raw', m.raw, 'num', m.num, 'unit', m.unit, 'cur', m.cur, 'near', m.near,"
         f" 'value', {value} * coalesce({factor}[m.unit], 1D)))"
@@ -179,18 +179,19 @@ def extract_amounts(text: str) -> str:
         text, AMOUNT_CORE, AMOUNT_PARTS, ((1,), (2,), (3,)), "cast(replace(m.num, ',', '') AS double)",
         "m.unit <> '' OR m.cur <> '' OR m.near IS NOT NULL OR contains(m.num, ',')",
     )
-    by_words = _amounts(text, AMOUNT_WORDS, f"^{AMOUNT_WORDS}$", ((1, 4), (2, 5), (3,)), number_words("m.num"), "m.value >= 10D OR m.unit <> ''")
+    by_words = _amounts(text, AMOUNT_WORDS, f"^{AMOUNT_WORDS}$", ((1,), (2, 4), (3,)), number_words("m.num"), "m.value >= 10D OR m.unit <> ''")
     wide = f"{text} RLIKE {quote(r'[\u4e00-\u9fff]')}"
     # an amount in digits has a thousands comma, a unit or currency in wide characters, or a mark that decides
     marked = let("_low", f"lower({text})", " OR ".join(f"contains(_low, {quote(m)})" for m in (*MARK_CURRENCY, "ntd")))
-    in_digits = f"{text} RLIKE {quote(r'\d')} AND ({text} RLIKE {quote(r'\d,\d{3}')} OR {wide} OR {marked})"
+    in_digits = f"{text} RLIKE {quote(r'\d')} AND ({text} RLIKE {quote(r'\d,\d{3}')} OR {wide} OR _mk)"
     found = f"concat(CASE WHEN {in_digits} THEN {by_digits} ELSE {none} END, CASE WHEN {wide} THEN {by_words} ELSE {none} END)"
-    # keep the first of each (amount, currency)
+    # sorted, equal (amount, currency) lie side by side, the first mention in front
+    ranked = "array_sort(transform(_m, (x, i) -> named_struct('amount', x.amount, 'currency', x.currency, 'i', i, 'raw', x.raw)))"
     firsts = (
-        "filter(_m, (x, i) -> i = 0 OR NOT exists(slice(_m, 1, i),"
-        " y -> y.amount = x.amount AND y.currency = x.currency))"
+        "transform(filter(_r, (x, i) -> i = 0 OR x.amount <> get(_r, i - 1).amount OR x.currency <> get(_r, i - 1).currency),"
+        " x -> named_struct('amount', x.amount, 'currency', x.currency, 'raw', x.raw))"
     )
-    return let("_m", found, f"CASE WHEN size(_m) > 0 THEN array_sort({firsts}) ELSE _m END")
+    return let("_mk", marked, let("_m", found, f"CASE WHEN size(_m) > 0 THEN {let('_r', ranked, firsts)} ELSE _m END"))
 
 
 def extract_dates(text: str) -> str:
@@ -216,23 +217,30 @@ def extract_emails(text: str) -> str:
     return f"array_distinct({_all(text, '(?U)' + EMAIL_REGEX, 0)})"
 
 
+def _in_wide_text(text: str, value: str, otherwise: str = "NULL") -> str:
+    """The measures below are written in wide characters; other texts are passed over quickly."""
+    return f"CASE WHEN {text} RLIKE {quote(r'[\u4e00-\u9fff]')} THEN {value} ELSE {otherwise} END"
+
+
 def extract_population(text: str) -> str:
     """struct<value,lower_bound,confidence> of the largest group of people named."""
-    rx = (
-        r"(?s)(?<=(^|.))(超过|逾|至少|约莫|约|大约|近)?\s*(" + COUNT_REGEX + r")\s*(?:" + PEOPLE_UNITS + ")"
+    core = f"(超过|逾|至少|约莫|约|大约|近)?\\s*({COUNT_REGEX})\\s*(?:{PEOPLE_UNITS})"
+    part = "regexp_extract(_x.raw, " + quote(f"^{core}$") + ", {})"
+    rows = (
+        f"transform(_m, _x -> named_struct('before', substring({text}, _x.start, CASE WHEN _x.start > 0 THEN 1 ELSE 0 END),"
+        f" 'prefix', {part.format(1)}, 'num', {part.format(2)}))"
     )
-    rows = "arrays_zip(" + ", ".join(_all(text, rx, g) for g in (1, 2, 3)) + ")"
     # 数百户 and the like are read as vague counts below
     rows = (
-        f"filter({rows}, m -> NOT (m.`1` = '' AND m.`2` IN ('十', '百', '千', '万', '亿')"
-        " AND m.`0` IN ('数', '數', '几', '幾', '上', '近')))"
+        f"filter({rows}, m -> NOT (m.prefix = '' AND m.num IN ('十', '百', '千', '万', '亿')"
+        " AND m.before IN ('数', '數', '几', '幾', '上', '近')))"
     )
     rows = (
-        f"transform({rows}, (m, i) -> named_struct('value', {count_value('m.`2`')}, 'nth', -i, 'confidence',"
-        f" CASE WHEN array_contains({string_array(AT_LEAST)}, m.`1`) THEN 0.8D"
-        f" WHEN array_contains({string_array(ABOUT)}, m.`1`) THEN 0.75D ELSE 0.95D END))"
+        f"transform({rows}, (m, i) -> named_struct('value', {count_value('m.num')}, 'nth', -i, 'confidence',"
+        f" CASE WHEN array_contains({string_array(AT_LEAST)}, m.prefix) THEN 0.8D"
+        f" WHEN array_contains({string_array(ABOUT)}, m.prefix) THEN 0.75D ELSE 0.95D END))"
     )
-    best = f"array_max(filter({rows}, m -> m.value > 0))"
+    best = regex_spans(text, core, f"array_max(filter({rows}, m -> m.value > 0))")
     vague_rx = "(" + "|".join(VAGUE_COUNTS) + r")\s*(?:" + PEOPLE_UNITS + ")"
     vague = (
         f"array_max(transform({_all(text, vague_rx, 1)},"
@@ -245,7 +253,8 @@ def extract_population(text: str) -> str:
         f" 'confidence', CASE WHEN {raised} THEN greatest(coalesce(_b.confidence, 0D), 0.8D)"
         " ELSE coalesce(_b.confidence, 0D) END)"
     )
-    return let("_b", best, let("_v", vague, result))
+    nothing = "named_struct('value', cast(NULL AS double), 'lower_bound', cast(NULL AS double), 'confidence', 0D)"
+    return _in_wide_text(text, let("_b", best, let("_v", vague, result)), nothing)
 
 
 def _largest_present(text: str, days: dict[str, int]) -> str:
@@ -257,20 +266,23 @@ def extract_duration(text: str) -> str:
     """struct<days,approximate_days>: the longest stated span, exact and vague."""
     units = "|".join(sorted(SPAN_UNITS, key=lambda u: (-len(u), u)))
     rx = f"({COUNT_REGEX})\\s*({units})"
-    rows = f"arrays_zip({_all(text, rx, 1)}, {_all(text, rx, 2)})"
     factor = _map(SPAN_UNITS)
-    rows = f"transform({rows}, m -> named_struct('n', {count_value('m.`0`')}, 'u', m.`1`))"
+    part = "regexp_extract(_x, " + quote(f"^{rx}$") + ", {})"
+    rows = f"transform({_all(text, rx, 0)}, _x -> named_struct('n', {part.format(1)}, 'u', {part.format(2)}))"
+    rows = f"transform({rows}, m -> named_struct('n', {count_value('m.n')}, 'u', m.u))"
     rows = f"filter({rows}, m -> m.n > 0 AND NOT (m.u = '年' AND m.n > {MAX_YEARS}))"
     stated = f"array_max(transform({rows}, m -> round(m.n * {factor}[m.u], 4)))"
-    return (
+    value = (
         f"named_struct('days', greatest({stated}, {_largest_present(text, EXACT_SPANS)}),"
         f" 'approximate_days', {_largest_present(text, VAGUE_SPANS)})"
     )
+    return _in_wide_text(text, value, "named_struct('days', cast(NULL AS double), 'approximate_days', cast(NULL AS double))")
 
 
 def extract_frequency(text: str) -> str:
     """struct<frequency,complaint_count>: how often something happened or was reported."""
     counted = f"array_max(transform({_all(text, f'({COUNT_REGEX})' + chr(92) + 's*次', 1)}, n -> {count_value('n')}))"
+    counted = _in_wide_text(text, counted)
     often = f"CASE WHEN {any_contains(text, OFTEN_TERMS)} THEN 3D END"
     complaints = f"nullif(cast(size(filter({string_array(COMPLAINT_TERMS)}, _t -> contains({text}, _t))) AS double), 0D)"
     return (
@@ -285,7 +297,7 @@ def extract_loss(text: str) -> str:
     amount = f"cast(regexp_extract({text}, {quote(rx)}, 1) AS string)"
     unit = f"regexp_extract({text}, {quote(rx)}, 2)"
     plain = f"try_cast({amount} AS double) * (CASE WHEN {unit} IN ('万', '萬') THEN 10000D ELSE 1D END)"
-    return f"coalesce(array_max(transform({extract_amounts(text)}, m -> m.amount)), {plain})"
+    return f"coalesce(array_max(transform({extract_amounts(text)}, m -> m.amount)), {_in_wide_text(text, plain)})"
 
 
 def extract_waiting(text: str) -> str:
@@ -293,7 +305,8 @@ def extract_waiting(text: str) -> str:
     rx = rf"(?:等床|等候|等待|排队|排隊|等)\s*({COUNT_REGEX})\s*(天|日|周|週|个月|個月|月)"
     unit = f"regexp_extract({text}, {quote(rx)}, 2)"
     number = let("_n", f"regexp_extract({text}, {quote(rx)}, 1)", f"CASE WHEN _n <> '' THEN {count_value('_n')} END")
-    return f"{number} * (CASE WHEN contains({unit}, '月') THEN 30D WHEN {unit} IN ('周', '週') THEN 7D ELSE 1D END)"
+    days = f"{number} * (CASE WHEN contains({unit}, '月') THEN 30D WHEN {unit} IN ('周', '週') THEN 7D ELSE 1D END)"
+    return _in_wide_text(text, days)
 
 
 def deadline_pressure(text: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from siftline.functions.sql import let, quote, string_array
-from siftline.functions.text import regex_spans
+from siftline.functions.text import SEPARATOR, regex_spans
 
 
 @dataclass(frozen=True)
@@ -172,8 +172,10 @@ def resolve_overlaps(findings: str) -> str:
         f"aggregate(transform({keyed}, _k -> _k.f), cast(array() AS {FINDING}), (_a, _f) ->"
         " CASE WHEN exists(_a, _x -> _f.end > _x.start AND _f.start < _x.end) THEN _a ELSE concat(_a, array(_f)) END)"
     )
-    by_start = f"array_sort(transform({kept}, _k -> named_struct('s', _k.start, 'f', _k)))"
-    return f"transform({by_start}, _k -> _k.f)"
+    ordered = "transform(array_sort(transform({}, _k -> named_struct('s', _k.start, 'f', _k))), _k -> _k.f)"
+    # most texts have no overlaps at all; then position order is the answer
+    overlap = "exists(transform(_s, (_x, _i) -> _i > 0 AND _x.start < get(_s, _i - 1).end), _b -> _b)"
+    return let("_s", ordered.format(findings), f"CASE WHEN {overlap} THEN {ordered.format(kept)} ELSE _s END")
 
 
 def scan(text: str, patterns=SENSITIVE) -> str:
@@ -204,7 +206,7 @@ def redact(text: str, findings: str) -> str:
 def mask_identifiers(text: str) -> str:
     """Keep three digits of an account, the letter of an id, the prefix of a phone number."""
     account = r"(?<![A-Za-z0-9])(\d{10,20})(?![A-Za-z0-9])"
-    parts = f"split({text}, {quote(account)}, -1)"
+    parts = f"split(regexp_replace(replace({text}, {quote(SEPARATOR)}, ' '), {quote(account)}, {quote(SEPARATOR)}), {quote(SEPARATOR)}, -1)"
     hits = f"regexp_extract_all({text}, {quote(account)}, 1)"
     masked = "transform(_h, _d -> concat(substring(_d, 1, 3), repeat('*', length(_d) - 3)))"
     joined = let("_h", hits, let("_p", parts, f"array_join(flatten(zip_with(_p, {masked}, (_a, _b) -> array(_a, coalesce(_b, '')))), '')"))

@@ -123,19 +123,14 @@ def triples(texts: str, joiner: str = "\n") -> str:
     )
 
 
-def literal_regex(term: str) -> str:
-    """A regex that matches the value of ``term`` literally."""
-    return f"concat('\\\\Q', {term}, '\\\\E')"
-
-
 def count_occurrences(text: str, term: str) -> str:
     """Number of non-overlapping occurrences."""
     return f"cast((length({text}) - length(replace({text}, {term}, ''))) DIV length({term}) AS int)"
 
 
 def find_occurrences(text: str, term: str) -> str:
-    """array<struct<start,end>> of all non-overlapping occurrences (0-based offsets)."""
-    parts = f"split({text}, {literal_regex(term)}, -1)"
+    """array<struct<start,end>> of all non-overlapping occurrences in a cleaned text (0-based offsets)."""
+    parts = f"split(replace({text}, {term}, {quote(SEPARATOR)}), {quote(SEPARATOR)}, -1)"
     spans = (
         "transform(slice(_o, 2, size(_o) - 2), (_x, _i) -> struct("
         f"_x + _i * length({term}) AS start, _x + (_i + 1) * length({term}) AS end))"
@@ -147,16 +142,19 @@ def regex_spans(text: str, regex: str, body: str) -> str:
     """``body`` over ``_m``: array<struct<start,end,raw>> of the matches of a regex.
 
     Offsets come from the lengths of the matches and of the gaps between
-    them, so two passes of the regex are enough.
+    them, so two passes of the regex are enough.  The gaps are cut at a
+    separator put in place of the matches: ``split`` would compile the regex
+    anew for every row.
     """
     rx = quote(regex)
+    gaps = f"split(regexp_replace(replace({text}, {quote(SEPARATOR)}, ' '), {rx}, {quote(SEPARATOR)}), {quote(SEPARATOR)}, -1)"
     spans = (
         "transform(_h, (_r, _i) -> named_struct('start', element_at(_o, _i + 1) + element_at(_g, _i + 1),"
         " 'end', element_at(_o, _i + 1) + element_at(_g, _i + 1) + length(_r), 'raw', _r))"
     )
     pairs = "zip_with(slice(_g, 1, size(_h)), _h, (_a, _b) -> _a + length(_b))"
     found = let("_o", prefix_sums(pairs), spans)
-    found = let("_g", f"transform(split({text}, {rx}, -1), _y -> length(_y))", found)
+    found = let("_g", f"transform({gaps}, _y -> length(_y))", found)
     found = let("_h", f"regexp_extract_all({text}, {rx}, 0)", found)
     return let("_m", found, body)
 

@@ -167,8 +167,11 @@ def attach_child_text(docs: DataFrame, children: DataFrame, separator: str = "\n
     body = docs.select("doc_id", F.lit(-1).cast("long").alias("child_no"), "text")
     parts = body.unionByName(children.select("doc_id", F.col("child_no").cast("long").alias("child_no"), "text"))
     parts = parts.filter("child_no = -1 OR trim(text) <> ''")
-    out = running(parts, ["child_no"], ["doc_id"], sums={"_end": f"cast(length(text) AS bigint) + {gap}L"})
-    return out.select("doc_id", "child_no", F.expr(f"_end - length(text) - {gap}").alias("start"), "text")
+    # only lengths go through the ordering; the texts move once, to meet their offsets
+    lengths = parts.select("doc_id", "child_no", F.length("text").cast("long").alias("n"))
+    offsets = running(lengths, ["child_no"], ["doc_id"], sums={"_end": f"n + {gap}L"})
+    offsets = offsets.select("doc_id", "child_no", F.expr(f"_end - n - {gap}").alias("start"))
+    return parts.join(offsets, ["doc_id", "child_no"]).select("doc_id", "child_no", "start", "text")
 
 
 def combined_text(body: str, attachments: str, max_cells: int = 300) -> str:

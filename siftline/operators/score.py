@@ -62,7 +62,7 @@ def rule_score(hits: str, patterns: str, n_amounts: str, has_target: str, delta:
     return let("_h0", hits, let("_p0", patterns, f"greatest(0D, round({total}, 2))"))
 
 
-def _ranked(hits: str, types: Iterable[str]) -> str:
+def ranked_categories(hits: str, types: Iterable[str]) -> str:
     """Categories of some hit types, most hits first, then by name."""
     mine = f"filter({hits}, _h -> array_contains({string_array(types)}, _h.ktype) AND _h.category <> '' AND _h.category <> '{GENERIC_CATEGORY}')"
     sums = (
@@ -89,10 +89,10 @@ def assign_categories(hits: str, patterns: str) -> str:
         f" AND exists({patterns}, _p -> array_contains(_p.matched_terms, _h.surface))), _h -> _h.category))"
     )
     with_patterns = f"array_sort(array_union({pattern_cats}, {context}))"
-    strong = _ranked(hits, ["H"])
-    fill = f"concat(_s, slice(array_except({_ranked(hits, ['M', 'E'])}, _s), 1, greatest(3 - size(_s), 0)))"
+    strong = ranked_categories(hits, ["H"])
+    fill = f"concat(_s, slice(array_except({ranked_categories(hits, ['M', 'E'])}, _s), 1, greatest(3 - size(_s), 0)))"
     without = let("_s", strong, fill)
-    fallback = f"slice({_ranked(hits, ['C'])}, 1, 2)"
+    fallback = f"slice({ranked_categories(hits, ['C'])}, 1, 2)"
     first = f"CASE WHEN size({patterns}) > 0 THEN {with_patterns} ELSE {without} END"
     return let("_f", first, f"CASE WHEN size(_f) > 0 THEN _f ELSE {fallback} END")
 
@@ -134,16 +134,16 @@ class Bonus:
 COMPLAINT_BONUSES = (
     Bonus("lasting_and_shared", "n_h > 0 AND duration >= 6 AND group_impact >= 7", 6),
     Bonus("reported_without_effect", "failed_remedy >= 6 AND array_contains(marks, 'unresolved')", 8),
-    Bonus("wrong_decision_with_loss", "array_contains(marks, 'wrong_decision') AND (array_contains(marks, 'reclaim') OR loss >= 7)", 6),
+    Bonus("wrong_decision_with_loss", "array_contains(marks, 'wrong_decision') AND (array_contains(marks, 'give_back') OR loss >= 7)", 6),
     Bonus("public_safety", "array_contains(marks, 'safety') AND (severity >= 14 OR public_interest >= 7)", 4),
-    Bonus("dated_proof", "has_attachment AND array_contains(marks, 'proof')", 4),
+    Bonus("dated_proof", "has_attachment AND array_contains(marks, 'dated_proof')", 4),
     Bonus("two_strong_patterns", "n_strong_patterns >= 2", 3),
     Bonus("scarce_places", "array_contains(marks, 'places') AND duration >= 10 AND group_impact >= 9", 10),
     Bonus("scarce_housing", "array_contains(marks, 'housing') AND group_impact >= 12", 14),
     Bonus("care_crisis", "array_contains(marks, 'care') AND group_impact >= 9", 20),
     Bonus("deadline_for_many", "array_contains(marks, 'deadline') AND group_impact >= 9", 8),
     Bonus("policy_gap", "array_contains(marks, 'policy_gap') AND group_impact >= 9", 16),
-    Bonus("reclaim_after_error", "array_contains(marks, 'error') AND array_contains(marks, 'reclaim') AND loss >= 7", 24),
+    Bonus("reclaim_after_error", "array_contains(marks, 'error') AND array_contains(marks, 'forced_back') AND loss >= 7", 24),
     Bonus("failing_service", "array_contains(pattern_marks, 'outage') AND n_repeat > 0", 12),
     Bonus("late_warning", "array_contains(marks, 'disaster') AND array_contains(marks, 'late_warning') AND group_impact >= 9", 16),
     Bonus("paper_chase", "array_contains(pattern_marks, 'resubmission') AND array_contains(pattern_marks, 'ignored')", 6),
@@ -205,20 +205,32 @@ def complaint_dimensions(docs: DataFrame) -> DataFrame:
         when(marked("reported"), 6), "CASE WHEN frequency >= 5 THEN 7D WHEN frequency >= 2 THEN 6D ELSE 0D END",
         "CASE WHEN complaint_count > 0 THEN least(8D, 4D + complaint_count) ELSE 0D END",
     )
+    crime = f"({marked('refused')} AND {marked('fraud')})"
     first = docs.select(
         "*",
         F.expr(f"least(20D, {severity})").alias("severity"),
-        F.expr(f"least(15D, {duration})").alias("duration"),
-        F.expr(f"least(15D, {group})").alias("group_impact"),
-        F.expr(f"least(15D, {loss})").alias("loss"),
+        F.expr(f"least(15D, {duration})").alias("_duration"),
+        F.expr(f"least(15D, {group})").alias("_group"),
+        F.expr(f"least(15D, {loss})").alias("_loss"),
         F.expr(f"least(15D, {evidence})").alias("evidence"),
         F.expr(f"least(10D, {failed})").alias("failed_remedy"),
     )
     public = most(
-        "3D", when("group_impact >= 9", 8), when(marked("public"), 7), when(f"group_impact >= 12 OR {marked('severe_group', 'pattern_marks')}", 9),
-        when(marked("public_category"), 7), when("population >= 100", 8), when("deadline AND population >= 100", 9),
+        "3D", when(f"_group >= 9 OR {marked('very_many')}", 8), when(marked("public"), 7),
+        when(f"_group >= 12 OR {marked('severe_group', 'pattern_marks')}", 9), when(marked("public_category"), 7),
+        when("population >= 100", 8), when("deadline AND population >= 100", 9),
     )
-    return first.withColumn("public_interest", F.expr(f"least(10D, {public})"))
+    # a crisis that touches several people, or a refused report of a fraud, lifts more than one dimension
+    shared_care = f"({marked('care')} AND ({marked('several')} OR _group >= 9))"
+    second = first.select(
+        "*",
+        F.expr(most("_group", when(shared_care, 12))).alias("group_impact"),
+        F.expr(most("_loss", when(crime, 13))).alias("loss"),
+        F.expr(most(f"least(10D, {public})", when(shared_care, 10), when(crime, 9))).alias("public_interest"),
+    )
+    systemic = f"({marked('policy_gap')} OR ({marked('disaster')} AND {marked('late_warning')})) AND group_impact >= 9"
+    lasting = most("_duration", when(marked("care"), 8), when(crime, 9), when(systemic, 8))
+    return second.withColumn("duration", F.expr(lasting)).drop("_duration", "_group", "_loss")
 
 
 def complaint_score(docs: DataFrame, bonuses: Iterable[Bonus] = COMPLAINT_BONUSES) -> DataFrame:

@@ -6,21 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_KEYS = 1000
+TRACKED_KEYS = 10_000
+
+
+def hot_keys(df: DataFrame, key: str) -> DataFrame:
+    """At most HOT_KEYS keys, among them every key that holds a thousandth of the rows or more.
+
+    A frequent-items sketch finds them in one pass with a bounded state per
+    task; nothing is shuffled by key.
+    """
+    sketch = df.filter(F.col(key).isNotNull()).agg(F.expr(f"approx_top_k({key}, {HOT_KEYS}, {TRACKED_KEYS})").alias("top"))
+    return sketch.select(F.explode("top.item").alias(key))
 
 
 def lookup(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Left join on ``key`` where ``right`` has at most one row per key.
 
-    The most frequent keys of ``left`` (at most HOT_KEYS of them, so any key
-    left out holds under a thousandth of the rows) take their match from a
-    broadcast, without moving the rows.  The others are shuffled; rows already
-    served are spread by a random key that matches nothing.
+    The most frequent keys of ``left`` take their match from a broadcast of at
+    most HOT_KEYS rows, without moving any row of ``left``.  The others are
+    shuffled; rows already served are spread by a key that matches nothing.
+    The result is that of a plain left join, whichever keys count as frequent.
     """
     fields = [c for c in right.columns if c != key]
-    hot = (
-        left.filter(F.col(key).isNotNull()).groupBy(key).count()
-        .orderBy(F.desc("count"), key).limit(HOT_KEYS).select(key)
-    )
+    hot = hot_keys(left, key)
     hot_right = hot.join(right, key, "left").select(
         F.col(key), F.struct(*(F.col(c) for c in fields)).alias("_hot")
     )

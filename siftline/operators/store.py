@@ -67,14 +67,13 @@ def upsert_register(
     incoming = new.groupBy("key").agg(
         F.min(order).alias("_first"), F.max(F.struct(order, *system)).alias("_last")
     ).select("key", "_first", *(F.col(f"_last.{c}").alias(f"_new_{c}") for c in system))
-    joined = old.join(incoming, "key", "full_outer")
-    known = joined.filter("seq IS NOT NULL").select(
+    known = old.join(incoming, "key", "left").select(
         "key", "seq", "first_seen",
         *(F.expr(f"CASE WHEN _first IS NOT NULL THEN _new_{c} ELSE {c} END").alias(c) for c in system),
         *protected,
     )
     top = old.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
-    added = running(joined.filter("seq IS NULL").select("key", "_first", *(f"_new_{c}" for c in system)), ["_first"], number="_n")
+    added = running(incoming.join(old.select("key"), "key", "left_anti"), ["_first"], number="_n")
     added = added.select(
         "key",
         (F.col("_n") + F.lit(top)).cast(old.schema["seq"].dataType).alias("seq"),

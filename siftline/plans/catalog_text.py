@@ -13,6 +13,7 @@ from siftline.operators import score as A
 from siftline.operators import terms as R
 from siftline.operators.rows import explode_structs
 from siftline.plans import packs as K
+from siftline.plans import records as RC
 from siftline.plans import triage as TR
 from siftline.plans.catalog import query, sql_values
 from siftline.sources.readers import html_to_text, read_table
@@ -466,6 +467,37 @@ def _(spark, sf_dir):
     return TR.band_summary(_triaged(spark, sf_dir))
 
 
+@query("two_track_records")
+def _(spark, sf_dir):
+    """Both tracks of every document, fused."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id")
+    out = RC.two_track_records(docs, K.demo_pack(spark).compile(), K.demo_complaint_pack(spark).compile())
+    lists = {c for c, t in out.dtypes if t.startswith("array")}
+    return out.select(*(F.array_join(c, "|").alias(c) if c in lists else F.col(c) for c in out.columns))
+
+
+NOTICES = (
+    "concat('本社区', CASE WHEN o_orderkey % 3 = 0 THEN '停电' ELSE '停水' END, '反复发生。', '影响约', o_custkey % 900 + 1, '户，已', o_orderkey % 60 + 1, '天。"
+    "\n损失', cast(floor(o_totalprice) AS string), '元，投诉', o_orderkey % 9 + 1, '次', CASE WHEN o_orderkey % 4 = 0 THEN '仍未改善' ELSE '' END)"
+)
+
+
+@query(
+    "complaint_triage",
+    """WITH m AS (SELECT o_orderkey AS doc_id, CAST(o_custkey % 900 + 1 AS DOUBLE) AS population, CAST(o_orderkey % 60 + 1 AS DOUBLE) AS duration_days,
+      CAST(floor(o_totalprice) AS DOUBLE) AS money_loss, CAST(greatest(o_orderkey % 9 + 1, 3) AS DOUBLE) AS frequency FROM orders)
+    SELECT doc_id, population, duration_days, money_loss, frequency, 'G08' AS categories, 'GP05' AS patterns FROM m""",
+)
+def _(spark, sf_dir):
+    """Measures and categories found in complaint notices that are written from orders."""
+    docs = read_table(spark, sf_dir, "orders", "o_orderkey").select(F.col("o_orderkey").alias("doc_id"), F.expr(NOTICES).alias("text"))
+    out = RC.complaint_triage(docs, K.demo_complaint_pack(spark).compile())
+    return out.select(
+        "doc_id", "population", "duration_days", "money_loss", "frequency", F.array_join("categories", "|").alias("categories"),
+        F.expr("array_join(transform(patterns, _p -> _p.pattern_id), '|')").alias("patterns"),
+    )
+
+
 MINIMUM = ["worthless", "stupid", "idiot", "trash", "clown", "disgusting", "license", "token", "that", "with"]
 
 

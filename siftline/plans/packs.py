@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siftline.operators.negatives import MAX_PLAN_RULES, negative_literal
 from siftline.operators.patterns import MAX_PLAN_PATTERN_ROWS, exclusion_literal, pattern_literal, patterns_from_rows
@@ -41,6 +42,18 @@ DEMO_TERMS = [
     ("token", "E", "GLOBAL", "", "evidence"), ("555-", "E", "GLOBAL", "", "evidence"), ("other", "X", "GLOBAL", "", "reversal"),
     ("then", "REPEAT", "GLOBAL", "", "boost"), ("there", "GROUP_IMPACT", "GLOBAL", "", "boost"), ("only", "FAILED", "GLOBAL", "", "boost"),
 ]
+COMPLAINT_TERMS = [
+    ("停电", "H", "G08", "", "slot"), ("停水", "H", "G08", "", "slot"), ("退件", "M", "G01", "", "slot"), ("补件", "M", "G01", "", "slot"), ("申请", "C", "G01", "", "slot"),
+    ("worthless", "H", "C01", "", "slot"), ("stupid", "H", "C01", "", "slot"), ("license", "M", "C02", "", "slot"), ("that", "C", "C04", "", "slot"),
+    ("公文", "E", "GLOBAL", "", "evidence"), ("token", "E", "GLOBAL", "", "evidence"), ("已解决", "X", "GLOBAL", "", "reversal"),
+    ("反复", "REPEAT", "GLOBAL", "", "boost"), ("社区", "GROUP_IMPACT", "GLOBAL", "", "boost"), ("损坏", "LOSS", "GLOBAL", "", "boost"), ("仍未", "FAILED", "GLOBAL", "", "boost"),
+]
+COMPLAINT_PATTERNS = [
+    ("GP05", "G08", 0, 0, "停电", "term", ["paragraph", "context3"], False, 84.0, None), ("GP05", "G08", 0, 1, "停水", "term", ["paragraph", "context3"], False, 84.0, None),
+    ("GP05", "G08", 1, 0, "反复", "term", ["paragraph", "context3"], False, 84.0, None), ("GP05", "G08", 1, 1, "连续", "term", ["paragraph", "context3"], False, 84.0, None),
+    ("GP02", "G01", 0, 0, "补件", "term", ["sentence"], False, 80.0, None), ("GP02", "G01", 1, 0, "退件", "term", ["sentence"], False, 80.0, None),
+]
+COMPLAINT_NEGATIVES = [("GN04", ["已解决"], 1, [], ["社区", "户"], [], [], -30.0, 45.0)]
 DEMO_VARIANTS = [("licensed", "license"), ("hated", "disgusting"), ("this", "that")]
 DEMO_PATTERNS = [
     ("P01", "C01", 0, 0, "worthless", "term", None, False, 80.0, None),
@@ -86,9 +99,14 @@ class RulePack:
     reversals: list[str] = field(default_factory=list)
 
     def compile(self) -> "CompiledPack":
-        slots = self.terms.filter("role = 'slot'")
+        def of_role(role: str, variants: DataFrame | None = None) -> str:
+            return pack_literal(small_rows(map_variants(self.terms.filter(F.col("role") == role), variants), MAX_PLAN_TERMS))
+
         return CompiledPack(
-            terms=pack_literal(small_rows(map_variants(slots, self.variants), MAX_PLAN_TERMS)),
+            terms=of_role("slot", self.variants),
+            evidence=of_role("evidence"),
+            reversal_terms=of_role("reversal"),
+            boosts=of_role("boost"),
             patterns=pattern_literal(patterns_from_rows(small_rows(self.patterns, MAX_PLAN_PATTERN_ROWS))),
             negatives=negative_literal(small_rows(self.negatives, MAX_PLAN_RULES)),
             exclusions=exclusion_literal(small_rows(self.exclusions, MAX_PLAN_PATTERN_ROWS)),
@@ -102,6 +120,9 @@ class CompiledPack:
     patterns: str
     negatives: str
     exclusions: str
+    evidence: str
+    reversal_terms: str
+    boosts: str
     reversals: list[str]
 
 
@@ -118,3 +139,15 @@ def demo_pack(spark: SparkSession) -> RulePack:
         categories=table(DEMO_CATEGORIES, CATEGORIES_SCHEMA),
         reversals=DEMO_REVERSALS,
     )
+
+
+def demo_complaint_pack(spark: SparkSession) -> RulePack:
+    def table(rows, schema: str) -> DataFrame:
+        return spark.createDataFrame(rows, schema).coalesce(1)
+
+    return RulePack(
+        terms=table(COMPLAINT_TERMS, TERMS_SCHEMA),
+        patterns=table(COMPLAINT_PATTERNS, PATTERNS_SCHEMA),
+        negatives=table(COMPLAINT_NEGATIVES, NEGATIVES_SCHEMA),
+        exclusions=spark.createDataFrame([], EXCLUSIONS_SCHEMA),
+    )

@@ -50,10 +50,11 @@ def write_csv_safe(records: DataFrame, path: str, columns: list[str], min_score:
 def write_by_band(records: DataFrame, path: str, bands: tuple[str, ...] = ("S", "A", "B"), rows_per_file: int = 1_000_000) -> None:
     """Accepted records in one folder per band; only the bands written are replaced.
 
-    No shuffle by band: a band with most of the rows is written by all tasks.
+    The rebalance makes files of a sensible size and splits a band that holds
+    most of the rows over many tasks.
     """
     (
-        records.filter(F.col("band").isin(*bands)).write.mode("overwrite")
+        records.filter(F.col("band").isin(*bands)).hint("rebalance", "band").write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", rows_per_file)
         .partitionBy("band").parquet(path)
     )
