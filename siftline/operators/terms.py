@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,16 @@ HIT_TYPE = (
 )
 
 
+class Surface(NamedTuple):
+    """One spelling to look for, and what it stands for."""
+
+    surface: str
+    term: str
+    ktype: str
+    category: str
+    stage: str
+
+
 def map_variants(terms: DataFrame, variants: DataFrame | None = None) -> DataFrame:
     """Add a row per surface variant of a dictionary term.
 
@@ -58,6 +69,20 @@ def map_variants(terms: DataFrame, variants: DataFrame | None = None) -> DataFra
     )
 
 
+def resolve_small(terms: Iterable, variants: Iterable = ()) -> list:
+    """``map_variants`` for the rows of a small pack that is on the driver already."""
+    usable = [t for t in terms if len(t.term) >= 2 and t.term not in IGNORED_TERMS]
+    own = {t.term.lower() for t in usable}
+    pairs = [(t.term.lower(), t) for t in usable]
+    pairs += [(v.variant.lower(), t) for v in variants if v.variant.lower() not in own for t in usable if t.term == v.canonical]
+    best: dict[tuple, tuple] = {}
+    for surface, t in pairs:
+        key = (surface, t.ktype, t.category)
+        term, stage = best.get(key, (t.term, t.stage))
+        best[key] = (min(term, t.term), min(stage or "", t.stage or ""))
+    return [Surface(s, term, k, c, stage) for (s, k, c), (term, stage) in sorted(best.items())]
+
+
 def pack_literal(rows: Iterable) -> str:
     """Constant array of (surface, term, ktype, category, stage) for use in a plan."""
     items = sorted((r.surface, r.ktype, r.category, r.term, r.stage or "") for r in rows)
@@ -333,9 +358,8 @@ def slotted_hits_sql(text: str, slots: str, evidence: str, reversal: str, boosts
 
 def match_terms_slotted(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
     """Slotted matching; ``terms`` has a ``role`` of slot, evidence, reversal or boost."""
-    packs = {}
-    for role in ("slot", "evidence", "reversal", "boost"):
-        packs[role] = pack_literal(small_rows(map_variants(terms.filter(F.col("role") == role)), MAX_PLAN_TERMS))
+    rows = small_rows(terms, MAX_PLAN_TERMS)
+    packs = {role: pack_literal(resolve_small(r for r in rows if r.role == role)) for role in ("slot", "evidence", "reversal", "boost")}
     sql = slotted_hits_sql(text, packs["slot"], packs["evidence"], packs["reversal"], packs["boost"])
     return explode_structs(docs, sql, ["doc_id"])
 

@@ -10,12 +10,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from siftline.operators.negatives import MAX_PLAN_RULES, negative_literal
 from siftline.operators.patterns import MAX_PLAN_PATTERN_ROWS, exclusion_literal, pattern_literal, patterns_from_rows
 from siftline.operators.rows import small_rows
-from siftline.operators.terms import MAX_PLAN_TERMS, map_variants, pack_literal
+from siftline.operators.terms import MAX_PLAN_TERMS, pack_literal, resolve_small
 
 TERMS_SCHEMA = "term string, ktype string, category string, stage string, role string"
 VARIANTS_SCHEMA = "variant string, canonical string"
@@ -99,11 +98,14 @@ class RulePack:
     reversals: list[str] = field(default_factory=list)
 
     def compile(self) -> "CompiledPack":
-        def of_role(role: str, variants: DataFrame | None = None) -> str:
-            return pack_literal(small_rows(map_variants(self.terms.filter(F.col("role") == role), variants), MAX_PLAN_TERMS))
+        terms = small_rows(self.terms, MAX_PLAN_TERMS)
+        variants = small_rows(self.variants, MAX_PLAN_TERMS) if self.variants is not None else []
+
+        def of_role(role: str, spellings=()) -> str:
+            return pack_literal(resolve_small((t for t in terms if t.role == role), spellings))
 
         return CompiledPack(
-            terms=of_role("slot", self.variants),
+            terms=of_role("slot", variants),
             evidence=of_role("evidence"),
             reversal_terms=of_role("reversal"),
             boosts=of_role("boost"),

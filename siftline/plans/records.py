@@ -24,9 +24,16 @@ from siftline.plans.triage import prepare, triage
 NOTHING = "cast(array() AS array<string>)"
 
 
-def complaint_triage(docs: DataFrame, pack: CompiledPack, text: str = "text", has_attachment: str = "false", pattern_marks: dict | None = None) -> DataFrame:
-    """doc_id, complaint score and band, categories, measures and marks."""
-    staged = prepare(docs, text).withColumn("has_attachment", F.expr(has_attachment))
+def complaint_triage(
+    docs: DataFrame, pack: CompiledPack, text: str = "text", has_attachment: str = "false",
+    pattern_marks: dict | None = None, keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """doc_id, complaint score and band, categories, measures and marks.
+
+    A column ``norm`` with the matching form of the text is used if there.
+    """
+    staged = docs if "norm" in docs.columns else prepare(docs, text)
+    staged = staged.withColumn("has_attachment", F.expr(has_attachment))
     staged = staged.withColumn("hits", F.expr(slotted_hits_sql("norm", pack.terms, pack.evidence, pack.reversal_terms, pack.boosts)))
     staged = staged.withColumn("patterns", F.expr(pattern_hits_sql("norm", pack.patterns)))
     types = "array_distinct(transform(hits, _h -> _h.ktype))"
@@ -40,7 +47,7 @@ def complaint_triage(docs: DataFrame, pack: CompiledPack, text: str = "text", ha
     return scored.select(
         "doc_id", "complaint_score", "complaint_band", "categories", "hits", "patterns", "negatives", "marks", "duration_days", "approximate_days",
         "population", "frequency", "complaint_count", "money_loss", "waiting_days", "severity", "duration", "group_impact", "loss", "evidence",
-        "failed_remedy", "public_interest", "bonus",
+        "failed_remedy", "public_interest", "bonus", *keep,
     )
 
 
@@ -62,20 +69,24 @@ def complaint_summary(limit: int = 220) -> str:
 def two_track_records(docs: DataFrame, first: CompiledPack, second: CompiledPack, text: str = "text", has_attachment: str = "false") -> DataFrame:
     """One record per document: both scores, track, confidence, fused score and band, flags and summary.
 
-    Both tracks read the same documents once each; they meet by doc_id, which
-    is unique on both sides.
+    The second track goes on from the row in which the first has left its
+    results, so the text is read and normalised once and nothing is joined.
     """
-    a = triage(docs, first, text).select(
+    kept = ("norm",)
+    if has_attachment != "false":
+        docs = docs.withColumn("_attached", F.expr(has_attachment))
+        kept += ("_attached",)
+    a = triage(docs, first, text, kept).select(
         "doc_id", F.col("score").alias("first_score"), F.col("band").alias("first_band"), F.col("categories").alias("first_categories"),
         F.expr("transform(patterns, _p -> _p.pattern_id)").alias("first_patterns"), F.expr("transform(negatives, _n -> _n.rule_id)").alias("first_negatives"),
-        F.expr("n_e > 0").alias("has_evidence"), F.col("summary").alias("first_summary"),
+        F.expr("n_e > 0").alias("has_evidence"), F.col("summary").alias("first_summary"), *kept,
     )
-    b = complaint_triage(docs, second, text, has_attachment).select(
+    results = tuple(c for c in a.columns if c.startswith("first_")) + ("has_evidence",)
+    joined = complaint_triage(a, second, "norm", "_attached" if "_attached" in kept else "false", keep=results).select(
         "doc_id", F.col("complaint_score").alias("second_score"), F.col("complaint_band").alias("second_band"), F.col("categories").alias("complaint_categories"),
         F.expr("transform(patterns, _p -> _p.pattern_id)").alias("second_patterns"), F.expr("transform(negatives, _n -> _n.rule_id)").alias("second_negatives"),
-        "duration_days", "approximate_days", "population", "frequency", "complaint_count", "money_loss", "waiting_days",
+        "duration_days", "approximate_days", "population", "frequency", "complaint_count", "money_loss", "waiting_days", *results,
     )
-    joined = a.join(b, "doc_id")
     sides = ("first_categories", "first_score", "complaint_categories", "second_score")
     out = joined.withColumn("track", F.expr(S.assign_track(*sides)))
     out = out.select(

@@ -71,8 +71,12 @@ def signals(docs: DataFrame, pack: CompiledPack, text: str = "text") -> DataFram
     return staged.withColumn("rule_score", F.expr(A.rule_score("hits", "patterns", "size(amounts)", "false", "delta", "cap")))
 
 
-def triage(docs: DataFrame, pack: CompiledPack, text: str = "text") -> DataFrame:
-    """One row per document: signals, score dimensions, final score and band."""
+def triage(docs: DataFrame, pack: CompiledPack, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: signals, score dimensions, final score and band.
+
+    ``keep`` names further columns to pass on (``norm`` is the matching form
+    of the text).
+    """
     base = signals(docs, pack, text)
     oldish = any_contains("norm", REPOST_MARKERS)
     base = base.withColumn(
@@ -89,7 +93,7 @@ def triage(docs: DataFrame, pack: CompiledPack, text: str = "text") -> DataFrame
     reason = A.escalation("rule_score", "patterns", "n_e > 0", "n_h > 0", "size(amounts) > 0")
     return scored.select(
         "doc_id", "hits", "amounts", "patterns", "negatives", "categories", "n_h", "n_m", "n_c", "n_e", "rule_score",
-        "dimensions", "total", "delta", "cap", "score", "band", F.expr(summary).alias("summary"), F.expr(reason).alias("escalation"),
+        "dimensions", "total", "delta", "cap", "score", "band", F.expr(summary).alias("summary"), F.expr(reason).alias("escalation"), *keep,
     )
 
 

@@ -183,3 +183,10 @@ def test_categories(spark):
     assert cats([("a", "H", "C1", 1), ("b", "H", "C2", 5), ("c", "M", "C3", 9), ("d", "E", "C4", 3)]) == ["C2", "C1", "C3"]
     assert cats([("a", "C", "C1", 1), ("b", "C", "C2", 5), ("c", "C", "C3", 3)]) == ["C2", "C3"]
     assert cats([("a", "H", "C9", 1), ("red", "C", "C5", 1)], "array(named_struct('category', 'C2|C1|GLOBAL', 'matched_terms', array('red')))") == ["C1", "C2", "C5"]
+
+
+def test_small_packs_resolve_like_large_ones(spark):
+    pack = K.demo_pack(spark)
+    slots = pack.terms.filter("role = 'slot'")
+    want = {(r.surface, r.term, r.ktype, r.category, r.stage) for r in R.map_variants(slots, pack.variants).collect()}
+    assert {tuple(r) for r in R.resolve_small(slots.collect(), pack.variants.collect())} == want
