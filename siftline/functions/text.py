@@ -147,7 +147,8 @@ def regex_spans(text: str, regex: str, body: str) -> str:
     anew for every row.
     """
     rx = quote(regex)
-    gaps = f"split(regexp_replace(replace({text}, {quote(SEPARATOR)}, ' '), {rx}, {quote(SEPARATOR)}), {quote(SEPARATOR)}, -1)"
+    text = f"replace({text}, {quote(SEPARATOR)}, ' ')"
+    gaps = f"split(regexp_replace({text}, {rx}, {quote(SEPARATOR)}), {quote(SEPARATOR)}, -1)"
     spans = (
         "transform(_h, (_r, _i) -> named_struct('start', element_at(_o, _i + 1) + element_at(_g, _i + 1),"
         " 'end', element_at(_o, _i + 1) + element_at(_g, _i + 1) + length(_r), 'raw', _r))"

@@ -14,6 +14,7 @@ SAMPLES = [
     "John Smith met <id.1@host> line id: some.user1 RAW_PRIVATE_CANARY_7X",
     "nothing to see", "", "李先生 ○○ 张○○",
 ]
+CONTROLS = "pwd=a\x01b c@d.org \x01 1234567890"
 
 
 def frame(spark, texts=SAMPLES):
@@ -54,6 +55,11 @@ def test_redacted_text_is_clean_and_stable(spark):
     assert all(twice[i].text == rows[i].text and twice[i].n_findings == 0 for i in rows)
 
 
+def test_control_characters_do_not_shift_offsets(spark):
+    row = PV.redact(frame(spark, [CONTROLS])).first()
+    assert row.text.endswith("[REDACTED_EMAIL] \x01 [REDACTED_ACCOUNT]") and row.n_findings == 3
+
+
 def test_preview_hides_the_value(spark):
     got = PV.scan_sensitive(frame(spark, ["x@y.org 1234567890123"])).collect()
     assert {(r.kind, r.preview) for r in got} == {("EMAIL", "x@***rg"), ("BANK_ACCOUNT", "12*********23")}
