@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from siftline.llm.frames import stored, table
-from siftline.llm.repetition import repetition_rules
+from siftline.llm.repetition import drop_repetitive
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the repetition rules reject."""
-    verdict = repetition_rules(docs).filter("kept").select("doc_id")
-    return docs.join(verdict, "doc_id", "left_semi").select(docs.columns)
+    return drop_repetitive(docs)
 
 
 STAGES = [("quality_rules", quality_rules)]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from siftline.llm.bloom_lm import op1_bloom_lm
 from siftline.llm.repetition import op10_suffix_repetition
 
 QUERIES = {
+    "op1_bloom_lm": op1_bloom_lm,
     "op10_suffix_repetition": op10_suffix_repetition,
 }
 ORACLE: dict[str, str] = {}

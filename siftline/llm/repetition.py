@@ -120,6 +120,17 @@ def repetition_rules(
     return keyed_texts(docs, text, key).mapInArrow(per_batch(run), SCHEMA)
 
 
+def drop_repetitive(docs: DataFrame, text: str = "text", **limits: float) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns; one narrow pass."""
+    limits = {"min_repeat": MIN_REPEAT, "max_covered": MAX_COVERED, "max_repeat": MAX_REPEAT} | limits
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batch.column(text)):
+            yield batch.slice(block.rows.start, len(block)).filter(pa.array(judge(block, **limits)["kept"]))
+
+    return docs.mapInArrow(per_batch(run), docs.schema)
+
+
 def op10_suffix_repetition(spark, sf_dir: str) -> DataFrame:
     """Counts and verdict for every whole text of ``documents``."""
     return repetition_rules(table(spark, sf_dir, "documents"))
