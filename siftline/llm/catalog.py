@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from siftline.llm.bloom_lm import op1_bloom_lm
+from siftline.llm.lsh_forest import op6_lsh_forest
 from siftline.llm.repetition import op10_suffix_repetition
 
 QUERIES = {
+    "op6_lsh_forest": op6_lsh_forest,
     "op1_bloom_lm": op1_bloom_lm,
     "op10_suffix_repetition": op10_suffix_repetition,
 }
