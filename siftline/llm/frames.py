@@ -28,7 +28,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     costs its running tasks only.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    conf, setting = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(setting)
+    conf.set(setting, "true")  # the shuffle files of this one job are not needed again
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(setting, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -97,3 +97,49 @@ def repeat_lengths(symbols: np.ndarray, owner: np.ndarray) -> np.ndarray:
     np.maximum.at(longest, a, common)
     np.maximum.at(longest, b, common)
     return longest
+
+
+def sorted_suffixes(prefix: Prefix, symbols: np.ndarray, start: np.ndarray, length: int, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Merge sort of the suffixes at ``start``, each compared over ``length`` symbols, within buckets.
+
+    Two suffixes are compared by their common extension, found from prefix
+    hashes by binary search, and the symbol after it.  All merges of a level
+    run side by side: an element's place is its own rank plus its rank in the
+    sibling run, found by binary search.  Returns the order and the common
+    prefix of every suffix with the one before it in its bucket (0 for the
+    first).
+    """
+    n = len(start)
+    order = np.argsort(bucket, kind="stable")
+    begins = np.ones(n, bool)
+    begins[1:] = bucket[order][1:] != bucket[order][:-1]
+    first = np.flatnonzero(begins)
+    sizes = np.diff(np.append(first, n))
+    base, size = np.repeat(first, sizes), np.repeat(sizes, sizes)
+    full = np.full(n, length, np.int64)
+    width = 1
+    while width < int(sizes.max(initial=0)):
+        rank = np.arange(n) - base
+        run = rank // width
+        sibling = base + (run ^ 1) * width
+        low, high = np.zeros(n, np.int64), np.clip(size - (run ^ 1) * width, 0, width)
+        right = (run & 1) == 1
+        active = np.flatnonzero(low < high)
+        while len(active):
+            middle = (low[active] + high[active]) >> 1
+            own, other = start[order[active]], start[order[sibling[active] + middle]]
+            common = common_prefix(prefix, own, other, full[: len(active)])
+            equal = common == length
+            at = np.minimum(common, length - 1)
+            below = np.where(equal, right[active], symbols[other + at] < symbols[own + at])
+            low[active[below]] = middle[below] + 1
+            high[active[~below]] = middle[~below]
+            active = active[low[active] < high[active]]
+        merged = np.empty_like(order)
+        merged[base + (run // 2) * 2 * width + rank % width + low] = order
+        order = merged
+        width *= 2
+    common = np.zeros(n, np.int64)
+    inner = np.flatnonzero(~begins)
+    common[inner] = common_prefix(prefix, start[order[inner - 1]], start[order[inner]], full[: len(inner)])
+    return order, common

@@ -21,12 +21,13 @@ _PLACE = np.uint64((1 << 28) - 1)
 
 @dataclass
 class Segments:
-    """Anchor hash, span hash, first window, number of windows, text and number within the text."""
+    """Anchor hash, span hash, first window, number of windows, the anchor's distance from it, text and number within the text."""
 
     anchor: np.ndarray
     span: np.ndarray
     start: np.ndarray
     count: np.ndarray
+    lead: np.ndarray
     owner: np.ndarray
     number: np.ndarray
 
@@ -36,7 +37,7 @@ def segments(prefix: Prefix, first: np.ndarray, window: int, k: int) -> Segments
     at = window_starts(first, window)
     if not len(at):
         none = np.zeros(0, np.int64)
-        return Segments(none.astype(np.uint64), none.astype(np.uint64), none, none, none, none)
+        return Segments(none.astype(np.uint64), none.astype(np.uint64), none, none, none, none, none)
     grams = mix(prefix.windows(k))
     keyed = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
     anchor = (sliding_min(keyed, window - k + 1)[at] & _PLACE).astype(np.int64)
@@ -48,4 +49,4 @@ def segments(prefix: Prefix, first: np.ndarray, window: int, k: int) -> Segments
     # the span's hash also holds where the anchor stands in it
     span = mix(prefix.run(start, start + count + window - 1) + (anchor - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + count.astype(np.uint64))
     number = np.arange(len(start)) - np.searchsorted(owner, np.arange(len(first) - 1))[owner]
-    return Segments(grams[anchor], span, start, count, owner, number)
+    return Segments(grams[anchor], span, start, count, anchor - start, owner, number)
