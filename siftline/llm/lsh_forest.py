@@ -224,7 +224,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     pairs = stored(close_pairs(candidate_pairs(reps), reps.select("rep", "sketch"), per_cent / 100), "pairs")
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = rows.join(wanted, "doc_id", "left_semi").withColumn("same", F.xxhash64("text")).dropDuplicates(["doc_id", "same"])
+    texts = rows.join(wanted.hint("merge"), "doc_id", "left_semi").withColumn("same", F.xxhash64("text")).dropDuplicates(["doc_id", "same"])
     sets = stored(set_table(texts.select(F.col("doc_id").alias("rep"), "text"), shingle), "sets")
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("close", -F.col("a"))).alias("a"))
     first = stored(confirmed(best, sets, per_cent), "confirmed")
