@@ -137,7 +137,7 @@ def _graph(rows: DataFrame, window: int, k: int) -> tuple[DataFrame, DataFrame,
     several = shared.filter("spans > 1").select("e1", "e2", F.col("first.doc_id").alias("least"))
     in_first = stored(found.join(several, ["e1", "e2"]).select("doc_id", "version", "start", "n", "least"), "open-edges")
     runs = in_first.filter("doc_id = least").groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    kmers = stored(kmer_edges(rows.join(runs, ["doc_id", "version"]), window), "kmers")
+    kmers = stored(kmer_edges(rows.join(runs.hint("merge"), ["doc_id", "version"]), window), "kmers")
     repeated = shared.filter("spans = 1").select("e1", "e2", "first", "last", "copies").union(
         grouped_edges(kmers).select("e1", "e2", "first", "last", "copies")
     ).filter("first.doc_id < last")
@@ -209,7 +209,7 @@ def word_repeat_report(docs: DataFrame, text: str = "text", key: str = "doc_id",
                  "n_removed": longs(total[words.first[1:]] - total[words.first[:-1]]), "kept_sha256": pa.array(digests, pa.string())}
             )
 
-    return rows.join(lists, ["doc_id", "version"], "left").mapInArrow(per_batch(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return rows.join(lists.hint("merge"), ["doc_id", "version"], "left").mapInArrow(per_batch(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def op2_debruijn(spark, sf_dir: str) -> DataFrame:

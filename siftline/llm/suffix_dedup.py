@@ -254,7 +254,7 @@ def repeats(rows: DataFrame, window: int, k: int) -> DataFrame:
         raise ValueError("a segment may have 63 windows at most")
     routes = stored(routed(segment_rows(rows, window, k)), "routes")
     opened = routes.filter("open").groupBy("doc_id", "version").agg(F.collect_list("number").alias("numbers"))
-    wanted = stored(contexts(rows.join(opened, ["doc_id", "version"]), window, k), "contexts")
+    wanted = stored(contexts(rows.join(opened.hint("merge"), ["doc_id", "version"]), window, k), "contexts")
     removals = stored(sorted_out(wanted, window), "removals")
     whole = routes.filter("NOT open").select("doc_id", "version", "number", F.lit(-1).cast("long").alias("windows"))
     return whole.union(removals).groupBy("doc_id", "version").agg(F.collect_list(F.struct("number", "windows")).alias("found"))
@@ -272,7 +272,7 @@ def applied(docs: DataFrame, text: str, key: str, window: int, k: int, finish: C
             gone = removed_bytes(block, owner, marks.field("number").to_numpy(), marks.field("windows").to_numpy(), window, k)
             yield finish(batch, block, gone)
 
-    return rows.join(found, ["doc_id", "version"], "left").mapInArrow(per_batch(run), schema)
+    return rows.join(found.hint("merge"), ["doc_id", "version"], "left").mapInArrow(per_batch(run), schema)
 
 
 def repeat_report(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
