@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.arrays import IS_ALNUM, Block, Words, blocks, mix
+from siftline.llm.arrays import IS_ALNUM, Block, Words, blocks, mix, ragged
 from siftline.llm.frames import keyed_texts, longs, per_batch, table
 
 TABLES = 12
@@ -77,35 +77,36 @@ class Table:
     def moves(self, bits: np.ndarray, t: int) -> np.ndarray:
         return ((bits >> np.uint64((t * self.turn + self.shift) & 63)) & np.uint64(1)).astype(np.int64)
 
-    def candidates(self, symbols: np.ndarray, bits: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Windows (by their first word) and the items whose samples they share."""
-        window = np.arange(len(symbols))
-        at, key, depth = window, np.zeros(1, np.uint64), 0
-        for t in range(self.times[-1] + 1):
-            if t in self.times:
+    def candidates(self, symbols: np.ndarray, bits: np.ndarray, doors: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Windows (by their first word) and the items whose samples they share.
+
+        ``bits`` are the words' walk bits and ``doors`` their lowest 16: the
+        first sample is read from them for all windows at once.
+        """
+        if self.times[0] == 0:
+            window = np.flatnonzero(self.door[doors])
+            at = window
+        else:
+            at = np.arange(len(symbols) - 1) + self.moves(bits[:-1], 0)
+            window = np.flatnonzero(self.door[doors[at]])
+            at = at[window]
+        key = bits[at]
+        for depth, t in enumerate(self.times):
+            if depth:
+                for step in range(self.times[depth - 1], t):
+                    at = at + self.moves(bits[at], step)
+                    inside = at < end[window]
+                    window, at, key = window[inside], at[inside], key[inside]
                 key = mix(key * np.uint64(0x9FB21C651E98DF25) + symbols[at])
-                known = self.keys[depth]
-                if depth == 0:
-                    keep = np.flatnonzero(self.door[(key & np.uint64(0xFFFF)).astype(np.int64)])
-                    window, at, key = window[keep], at[keep], key[keep]
-                near = np.minimum(np.searchsorted(known, key), max(0, len(known) - 1))
-                keep = np.flatnonzero(known[near] == key) if len(known) else np.zeros(0, np.int64)
-                window, at, key = window[keep], at[keep], key[keep]
-                depth += 1
-            at = at + self.moves(bits[at], t)
+            known = self.keys[depth]
+            if not len(known):
+                return np.zeros(0, np.int64), np.zeros(0, np.int64)
             inside = at < end[window]
-            if not inside.all():
-                # the last step may leave the text, an earlier one may not
-                if t == self.times[-1]:
-                    break
-                window, at = window[inside], at[inside]
-                key = key[inside] if len(key) > 1 or depth else key
+            inside &= known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
+            window, at, key = window[inside], at[inside], key[inside]
         lo, hi = np.searchsorted(self.last_keys, key, "left"), np.searchsorted(self.last_keys, key, "right")
-        if depth == 0 or not len(window):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         count = hi - lo
-        place = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        return np.repeat(window, count), self.items[place]
+        return np.repeat(window, count), self.items[ragged(lo, count)]
 
 
 def edit_distances(item: np.ndarray, texts: np.ndarray) -> np.ndarray:
@@ -148,7 +149,8 @@ class Items:
         out: list[tuple[int, int, int, int]] = []
         if len(symbols) and self.tables:
             bits, end, doc = mix(symbols), np.repeat(words.first[1:], words.count), words.doc()
-            found = [t.candidates(symbols, bits, end) for t in self.tables]
+            doors = (bits & np.uint64(0xFFFF)).astype(np.int64)
+            found = [t.candidates(symbols, bits, doors, end) for t in self.tables]
             window, item = (np.concatenate(x) for x in zip(*found, strict=True))
             pairs = np.unique(np.stack((item, window), axis=1), axis=0)
             bounds = np.append(np.flatnonzero(np.append(True, pairs[1:, 0] != pairs[:-1, 0])), len(pairs)) if len(pairs) else [0]
