@@ -69,8 +69,8 @@ class Block:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
 
-def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
-    """The texts of a string column in order; null counts as empty."""
+def blocks(column: pa.Array, limit: int = BLOCK_BYTES, texts: int = 1 << 14) -> Iterator[Block]:
+    """The texts of a string column in order, at most ``texts`` in a block; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string())
@@ -85,7 +85,7 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
     first = 0
     while first < n:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1)
-        last = min(last, n)
+        last = min(last, n, first + texts)
         lo, hi = offsets[first], offsets[last]
         yield Block(data[lo:hi], offsets[first : last + 1] - lo, slice(first, last))
         first = last

@@ -7,10 +7,12 @@ from siftline.llm.cgk import op3_cgk_lsh
 from siftline.llm.debruijn import op2_debruijn
 from siftline.llm.license_scan import op4_license_rules
 from siftline.llm.lsh_forest import op6_lsh_forest
+from siftline.llm.neighbour_quality import op7_neighbour_quality
 from siftline.llm.repetition import op10_suffix_repetition
 from siftline.llm.suffix_dedup import op8_suffix_sort
 
 QUERIES = {
+    "op7_neighbour_quality": op7_neighbour_quality,
     "op4_license_rules": op4_license_rules,
     "op3_cgk_lsh": op3_cgk_lsh,
     "op2_debruijn": op2_debruijn,
