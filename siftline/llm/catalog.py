@@ -8,11 +8,13 @@ from siftline.llm.debruijn import op2_debruijn
 from siftline.llm.license_scan import op4_license_rules
 from siftline.llm.lsh_forest import op6_lsh_forest
 from siftline.llm.neighbour_quality import op7_neighbour_quality
+from siftline.llm.packing import op5_best_fit_packing
 from siftline.llm.pieces import op9_piece_viterbi
 from siftline.llm.repetition import op10_suffix_repetition
 from siftline.llm.suffix_dedup import op8_suffix_sort
 
 QUERIES = {
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op9_piece_viterbi": op9_piece_viterbi,
     "op7_neighbour_quality": op7_neighbour_quality,
     "op4_license_rules": op4_license_rules,
