@@ -4,18 +4,49 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siftline.llm.cgk import decontaminated
 from siftline.llm.frames import stored, table
+from siftline.llm.lsh_forest import near_duplicates
+from siftline.llm.pieces import encode_pieces
 from siftline.llm.repetition import drop_repetitive
+from siftline.llm.suffix_dedup import drop_repeats
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the repetition rules reject."""
+    """Documents that the repetition rules reject go."""
     return drop_repetitive(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the smallest id stays."""
+    dropped = near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
+    return docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
-#: Suffix arrays and near-duplicate components are not expressible in plain SQL; tests use a brute-force version.
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 50 bytes that an earlier document holds are cut out of the texts."""
+    return drop_repeats(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, or one with up to a fifth of its words edited, go."""
+    return decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every text, and whether decoding gives the text back."""
+    return encode_pieces(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("suffix_dedup", suffix_dedup),
+    ("decontamination", decontamination),
+    ("sentencepiece", sentencepiece),
+]
+
+#: Suffix sorting, components and Viterbi are beyond plain SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
