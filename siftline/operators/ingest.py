@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions.sql import quote, string_array
 from siftline.operators.ordered import running
+from siftline.operators.rows import join_null_safe
 from siftline.operators.skew import lookup
 
 
@@ -94,7 +95,7 @@ def dedupe_exact(items: DataFrame, key: str, order: str, group: list[str] | None
     """
     group = group or []
     firsts = items.groupBy(*group, key).agg(F.min(order).alias(order)).select(*group, order).withColumn("_first", F.lit(True))
-    return items.join(firsts, [*group, order], "left").withColumn("is_first", F.coalesce("_first", F.lit(False))).drop("_first")
+    return join_null_safe(items, firsts, [*group, order], "left").withColumn("is_first", F.coalesce("_first", F.lit(False))).drop("_first")
 
 
 def admit_files(files: DataFrame, limits: Limits = Limits(), history: DataFrame | None = None) -> DataFrame:
@@ -130,7 +131,7 @@ def admit_files(files: DataFrame, limits: Limits = Limits(), history: DataFrame
     checked = counted.withColumn("early", F.expr(early))
     candidates = checked.filter("early IS NULL AND sha256 <> ''").select("batch_id", "seq", "sha256")
     firsts = candidates.groupBy("batch_id", "sha256").agg(F.min("seq").alias("seq")).select("batch_id", "seq", F.lit(True).alias("_first"))
-    marked = checked.join(firsts, ["batch_id", "seq"], "left")
+    marked = join_null_safe(checked, firsts, ["batch_id", "seq"], "left")
     marked = cross_batch_duplicates(marked, history) if history is not None else marked.withColumn("history", F.lit(None).cast("string"))
     reason = (
         "CASE WHEN early IS NOT NULL THEN early WHEN history IS NOT NULL THEN history"
@@ -171,7 +172,7 @@ def attach_child_text(docs: DataFrame, children: DataFrame, separator: str = "\n
     lengths = parts.select("doc_id", "child_no", F.length("text").cast("long").alias("n"))
     offsets = running(lengths, ["child_no"], ["doc_id"], sums={"_end": f"n + {gap}L"})
     offsets = offsets.select("doc_id", "child_no", F.expr(f"_end - n - {gap}").alias("start"))
-    return parts.join(offsets, ["doc_id", "child_no"]).select("doc_id", "child_no", "start", "text")
+    return join_null_safe(parts, offsets, ["doc_id", "child_no"]).select("doc_id", "child_no", "start", "text")
 
 
 def combined_text(body: str, attachments: str, max_cells: int = 300) -> str:

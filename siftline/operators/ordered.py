@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftline.operators.rows import join_null_safe
 from siftline.session import cut_lineage
 
 
@@ -41,7 +42,7 @@ def running(
         F.row_number().over(Window.partitionBy(*keys).orderBy("_part")).alias("_nth"),
     ).filter("_nth > 1").drop("_nth")
 
-    joined = ranged.join(F.broadcast(carried), [*keys, "_part"], "left")
+    joined = join_null_safe(ranged, F.broadcast(carried), [*keys, "_part"], "left")
     local = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return joined.select(
         *df.columns,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as D
 
 from siftline.functions import privacy as P
-from siftline.functions.sql import quote
+from siftline.functions.sql import quote, string_array
 from siftline.operators.ordered import running
 from siftline.operators.rows import explode_structs
 
@@ -57,36 +57,67 @@ def _names(schema: D.DataType) -> Iterable[str]:
         yield from _names(schema.valueType)
 
 
+def _is_forbidden(name: str) -> bool:
+    plain = "".join(ch for ch in name.lower() if ch.isascii() and ch.isalnum())
+    return any(token in plain for token in P.FORBIDDEN_NAMES if token != "cc") or plain == "cc"
+
+
 def forbidden_columns(df: DataFrame) -> list[str]:
     """Column and field names that must not leave, nested ones included."""
-    found = []
-    for name in dict.fromkeys(_names(df.schema)):
-        plain = "".join(ch for ch in name.lower() if ch.isascii() and ch.isalnum())
-        if any(token in plain for token in P.FORBIDDEN_NAMES if token != "cc") or plain == "cc":
-            found.append(name)
-    return found
+    return [name for name in dict.fromkeys(_names(df.schema)) if _is_forbidden(name)]
+
+
+def _leaves(value: str, kind: D.DataType, name: str, depth: int = 0) -> tuple[str, str]:
+    """SQL arrays of all texts in a value, each alone and after its name, and of all map keys in it."""
+    none = "cast(array() AS array<string>)"
+    var = f"_v{depth}"
+    if isinstance(kind, D.StructType):
+        # a forbidden name is a reason of its own and says nothing about its value
+        inner = [_leaves(f"{value}.`{f.name}`", f.dataType, "''" if _is_forbidden(f.name) else quote(f.name), depth) for f in kind.fields]
+    elif isinstance(kind, D.ArrayType):
+        texts, keys = _leaves(var, kind.elementType, name, depth + 1)
+        inner = [tuple(f"coalesce(flatten(transform({value}, {var} -> {part})), {none})" for part in (texts, keys))]
+    elif isinstance(kind, D.MapType):
+        key_texts, _ = _leaves(f"{var}.key", kind.keyType, "''", depth + 1)
+        key = f"cast({var}.key AS string)"
+        texts, keys = _leaves(f"{var}.value", kind.valueType, f"CASE WHEN {_forbidden_key(key)} THEN '' ELSE {key} END", depth + 1)
+        both = (f"concat({key_texts}, {texts})", f"concat(array(cast({var}.key AS string)), {keys})")
+        inner = [tuple(f"coalesce(flatten(transform(map_entries({value}), {var} -> {part})), {none})" for part in both)]
+    else:
+        text = f"cast({value} AS string)"
+        return f"filter(array({text}, concat({name}, ': ', {text})), _t -> _t IS NOT NULL)", none
+    if not inner:
+        return none, none
+    return tuple("concat(" + ", ".join(part) + ")" for part in zip(*inner, strict=True))
+
+
+def _forbidden_key(key: str) -> str:
+    plain = f"regexp_replace(lower({key}), '[^a-z0-9]', '')"
+    tokens = string_array(t for t in P.FORBIDDEN_NAMES if t != "cc")
+    return f"({plain} = 'cc' OR exists({tokens}, _n -> contains({plain}, _n)))"
 
 
 def outbound_check(payloads: DataFrame, patterns: Iterable[P.Sensitive] = P.SENSITIVE, max_bytes: int = MAX_PAYLOAD_BYTES) -> DataFrame:
     """doc_id, allowed, reasons, payload_size for every row; anything unclear is blocked.
 
-    Checks the names of all columns, the content of the row as it would be
-    sent, and its size.
+    Checks the names of all columns and the keys of all maps at any depth, the
+    size of the row as it would be sent, and its content: every value as it
+    is, and once more after its name, since some findings need both.  Values
+    are never read from their serialised form, whose escapes could hide or
+    make up findings.
     """
     fields = [c for c in payloads.columns if c != "doc_id"]
     named = [f"FORBIDDEN_NAME:{n}" for n in forbidden_columns(payloads.drop("doc_id"))]
-    body = payloads.select("doc_id", F.to_json(F.struct(*fields)).alias("_body"))
-    # JSON hides line breaks, tabs and quotes behind backslashes; scan the text as it was
-    plain = "_body"
-    for escaped, char in (("\\\\n", "\\n"), ("\\\\t", "\\t"), ('\\\\"', '"')):
-        plain = f"replace({plain}, '{escaped}', '{char}')"
-    scanned = body.withColumn("_plain", F.expr(plain)).withColumn("_kinds", F.expr(f"array_distinct(transform({P.scan('_plain', tuple(patterns))}, _f -> _f.kind))"))
-    by_name = "array(" + ", ".join(quote(n) for n in named) + ")" if named else "cast(array() AS array<string>)"
+    texts, keys = _leaves("_row", D.StructType([payloads.schema[c] for c in fields]), "''")
+    body = payloads.select("doc_id", F.struct(*fields).alias("_row"))
+    body = body.select("doc_id", F.expr("octet_length(to_json(_row))").alias("payload_size"), F.expr(texts).alias("_texts"), F.expr(keys).alias("_keys"))
+    kinds = f"array_distinct(flatten(transform(_texts, _leaf -> transform({P.scan('_leaf', tuple(patterns))}, _f -> _f.kind))))"
     reasons = (
-        f"concat({by_name}, transform(array_sort(_kinds), _k -> concat('SENSITIVE_CONTENT:', _k)),"
-        f" CASE WHEN octet_length(_body) > {max_bytes} THEN array('PAYLOAD_TOO_LARGE') ELSE cast(array() AS array<string>) END)"
+        f"concat({string_array(named)}, transform(array_sort(array_distinct(filter(_keys, _k -> {_forbidden_key('_k')}))), _k -> concat('FORBIDDEN_NAME:', _k)),"
+        f" transform(array_sort({kinds}), _k -> concat('SENSITIVE_CONTENT:', _k)),"
+        f" CASE WHEN payload_size > {max_bytes} THEN array('PAYLOAD_TOO_LARGE') ELSE cast(array() AS array<string>) END)"
     )
-    out = scanned.select("doc_id", F.expr(f"coalesce({reasons}, array('CHECK_ERROR'))").alias("reasons"), F.expr("octet_length(_body)").alias("payload_size"))
+    out = body.select("doc_id", F.expr(f"coalesce({reasons}, array('CHECK_ERROR'))").alias("reasons"), "payload_size")
     return out.select("doc_id", F.expr("size(reasons) = 0").alias("allowed"), "reasons", "payload_size")
 
 

@@ -29,6 +29,8 @@ def explode_structs(df: DataFrame, array_sql: str, keep: list[str]) -> DataFrame
     return long.filter("_item IS NOT NULL").select(*keep, "_item.*")
 
 
-def explode_values(df: DataFrame, array_sql: str, name: str, keep: list[str]) -> DataFrame:
-    long = df.select(*keep, F.posexplode_outer(F.expr(array_sql)).alias("pos", name))
-    return long.filter("pos IS NOT NULL")
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where NULL equals NULL; the keys are those of ``left``."""
+    renamed = right.select(*(F.col(k).alias(f"_right_{k}") for k in keys), *(F.col(c) for c in right.columns if c not in keys))
+    same = [left[k].eqNullSafe(renamed[f"_right_{k}"]) for k in keys]
+    return left.join(renamed, same, how).drop(*(f"_right_{k}" for k in keys))

@@ -456,13 +456,21 @@ def _(spark, sf_dir):
 
 @query(
     "outbound_check",
-    f"""WITH {_FOUND}, k AS (SELECT doc_id, string_agg(DISTINCT 'SENSITIVE_CONTENT:' || kind, '|' ORDER BY 'SENSITIVE_CONTENT:' || kind) AS r
-      FROM (SELECT * FROM cand c WHERE NOT EXISTS (SELECT 1 FROM cand o WHERE o.doc_id = c.doc_id AND o.prio < c.prio AND o.s < c.e AND c.s < o.e)) GROUP BY doc_id)
-    SELECT d.doc_id, r IS NULL AS allowed, coalesce(r, '') AS reasons FROM documents d LEFT JOIN k USING (doc_id)""",
-)
-def _(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents", "doc_id").select("doc_id", F.translate("text", '"{}[]\\', "      ").alias("summary"))
-    found = PV.outbound_check(docs, PLAIN, max_bytes=10_000_000)
+    f"""WITH {_FOUND}, k AS (SELECT doc_id, kind FROM cand c WHERE NOT EXISTS (SELECT 1 FROM cand o WHERE o.doc_id = c.doc_id AND o.prio < c.prio AND o.s < c.e AND c.s < o.e)
+      UNION SELECT doc_id, 'WINDOWS_PATH' FROM documents WHERE doc_id % 5 = 0),
+    r AS (SELECT doc_id, string_agg(DISTINCT 'SENSITIVE_CONTENT:' || kind, '|' ORDER BY 'SENSITIVE_CONTENT:' || kind) AS r FROM k GROUP BY doc_id)
+    SELECT d.doc_id, r IS NULL AND d.doc_id % 7 <> 0 AS allowed, concat_ws('|', CASE WHEN d.doc_id % 7 = 0 THEN 'FORBIDDEN_NAME:body_text' END, r) AS reasons
+    FROM documents d LEFT JOIN r USING (doc_id)""",
+)
+def _(spark, sf_dir):
+    """Whole texts as they are, with paths, quotes, tabs and map keys beside them."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id").select(
+        "doc_id", F.col("text").alias("summary"),
+        F.expr(r"""array(named_struct('place', CASE WHEN doc_id % 5 = 0 THEN concat('C:\\temp\\notes', doc_id) END, 'quoted', concat('"', lang, '"\t', source)))""").alias("notes"),
+        F.expr("map(CASE WHEN doc_id % 7 = 0 THEN 'body_text' ELSE 'lang' END, lang)").alias("extra"),
+    )
+    patterns = tuple(p for p in PV.P.SENSITIVE if p.kind in (*KINDS, "WINDOWS_PATH"))
+    found = PV.outbound_check(docs, patterns, max_bytes=1 << 40)
     return found.select("doc_id", "allowed", F.array_join("reasons", "|").alias("reasons"))
 
 

@@ -32,15 +32,14 @@ MAX_CELL_CHARS = 500
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, key: str | None = None) -> DataFrame:
-    """A parquet table; with ``key``, spread over the cores when it has fewer partitions than that.
+    """A parquet table; with ``key``, one that cannot be split is spread by it.
 
-    Only small inputs (one file, one row group) are ever moved; a table of
-    many files is read as it lies.
+    A table of a single partition (one file with one row group) would keep one
+    core busy.  Any larger table is read as it lies.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if key and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, key)
+    if key and df.rdd.getNumPartitions() == 1:
+        return df.repartition(spark.sparkContext.defaultParallelism, key)
     return df
 
 

@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from siftline.functions import privacy as P
@@ -87,6 +88,24 @@ def test_outbound_check(spark):
     assert {tuple(r.reasons) for r in PV.outbound_check(nested).collect()} == {("FORBIDDEN_NAME:apiKey",)}
 
 
+@pytest.mark.parametrize("leak", ["see C:\\temp\\notes for it", "\\\\srv\\new\\x", "tab\there a@b.org", 'quoted "10.0.0.1"', "line\nC:\\new\\table"])
+def test_outbound_check_reads_values_at_any_depth(spark, leak):
+    one = spark.createDataFrame([(1, leak)], "doc_id long, v string")
+    shapes = ["v", "array(v)", "named_struct('a', named_struct('b', array(v)))", "map('k', v)", "map(v, 'x')", "array(map('k', array(v)))"]
+    for shape in shapes:
+        got = PV.outbound_check(one.selectExpr("doc_id", f"{shape} AS summary")).first()
+        assert not got.allowed and any(r.startswith("SENSITIVE_CONTENT") for r in got.reasons), shape
+        assert PV.outbound_check(one.selectExpr("doc_id", shape.replace("v", "'plain words'") + " AS summary") if shape == "v" else one.selectExpr("doc_id", "array('plain') AS summary")).first().allowed
+
+
+def test_outbound_check_reads_map_keys(spark):
+    df = spark.createDataFrame([(1, {"api_key": "1"}), (2, {"ok": "1"}), (3, None)], "doc_id long, m map<string,string>")
+    got = {r.doc_id: r.reasons for r in PV.outbound_check(df).collect()}
+    assert "FORBIDDEN_NAME:api_key" in got[1] and got[2] == [] and got[3] == []
+    deep = df.filter("doc_id = 1").selectExpr("doc_id", "array(named_struct('x', map('body_text', 'y'))) AS z")
+    assert PV.outbound_check(deep).first().reasons == ["FORBIDDEN_NAME:body_text"]
+
+
 def test_projection_and_guarded_cells(spark):
     df = spark.createDataFrame([(1, "=SUM(1)", "  +x", "ok", 90.0)], "doc_id int, a string, sender string, c string, score double")
     assert WR.public_projection(df, ["doc_id", "a", "sender", "missing"]).columns == ["doc_id", "a"]

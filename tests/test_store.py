@@ -34,6 +34,22 @@ def test_running_totals_with_a_hot_group(spark):
     assert whole == {i: i + 1 for i in range(3000)}
 
 
+def test_null_groups_keep_running_and_keep_their_first(spark):
+    rows = [(None if i % 2 else "a", i, i % 10) for i in range(400)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(rows, "k string, i long, v long").repartition(4)
+        got = {(r.k, r.i): r.n for r in running(df, ["i"], ["k"], number="n").collect()}
+        assert got == {(None if i % 2 else "a", i): i // 2 + 1 for i in range(400)}
+        firsts = G.dedupe_exact(df, "v", "i", ["k"]).filter("is_first").collect()
+        assert sorted((r.k or "", r.i) for r in firsts) == [("", i) for i in range(1, 10, 2)] + [("a", i) for i in range(0, 10, 2)]
+        files = df.selectExpr("cast(NULL AS string) AS batch_id", "i AS seq", "concat('f', i, '.eml') AS path", "10L AS size", "10L AS compressed_size", "cast(v AS string) AS sha256", "'From x' AS head")
+        found = {r.seq: (r.nth, r.status) for r in G.admit_files(files).collect()}
+        assert len(found) == 400 and all(n == i + 1 and s == ("accepted" if i < 10 else "duplicate") for i, (n, s) in found.items())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_hot_lookup_equals_join(spark):
     left = spark.range(5000).select("id", F.expr("CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 7 = 0 THEN NULL ELSE concat('k', id % 3000) END").alias("k"))
     right = spark.range(2000).select(F.expr("CASE WHEN id = 0 THEN 'hot' ELSE concat('k', id) END").alias("k"), F.col("id").alias("v"), F.lit("x").alias("w"))
