@@ -8,10 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions.sql import any_contains, let, quote, string_array, which_contain
-from siftline.operators.rows import PackTooLarge, explode_structs, small_rows
+from siftline.operators.rows import explode_structs, rule_rows
 
-MAX_PLAN_RULES = 1000
-MAX_PLAN_DOMAINS = 5000
 # Markers of bulk mail and of old news.
 BULK_TERMS = [
     "退订", "退訂", "unsubscribe", "订阅", "訂閱", "subscribe", "分享给朋友", "轉寄給朋友", "转发给朋友",
@@ -60,7 +58,7 @@ def negative_hits_sql(text: str, types: str, flags: str, rules: str) -> str:
     )
     return (
         f"transform(filter({rules}, _r -> {holds}), _r -> named_struct('rule_id', _r.rule_id,"
-        f" 'delta', _r.delta, 'cap', _r.cap, 'matched_terms', slice({found}, 1, 5)))"
+        f" 'delta', _r.delta, 'cap', _r.cap, 'matched_terms', {found}))"
     )
 
 
@@ -69,7 +67,7 @@ def match_negative_rules(
     types: str = "cast(array() AS array<string>)", flags: str = "cast(array() AS array<string>)",
 ) -> DataFrame:
     """doc_id, rule_id, delta, cap, matched_terms."""
-    literal = negative_literal(small_rows(rule_negatives, MAX_PLAN_RULES))
+    literal = negative_literal(rule_rows(rule_negatives))
     return explode_structs(docs, negative_hits_sql(text, types, flags, literal), ["doc_id"])
 
 
@@ -87,7 +85,7 @@ def promo_flag(text: str, terms: Iterable[str] = BULK_TERMS, has_signal: str = "
 def promo_filter(docs: DataFrame, text: str = "text", terms: Iterable[str] = BULK_TERMS, has_signal: str = "false") -> DataFrame:
     return docs.select(
         "doc_id",
-        F.expr(f"slice({which_contain(text, terms)}, 1, 6)").alias("markers"),
+        F.expr(which_contain(text, terms)).alias("markers"),
         F.expr(promo_flag(text, terms, has_signal)).alias("is_promo"),
     )
 
@@ -104,19 +102,14 @@ def bulk_mail_filter(
     host = f"lower(regexp_extract({sender}, {quote('@([A-Za-z0-9.-]+)')}, 1))"
     # every parent of the sender's domain, so that a suffix test becomes a test for equality
     parents = let("_l", f"split({host}, '[.]')", "transform(sequence(1, size(_l)), _i -> array_join(slice(_l, _i, size(_l)), '.'))")
-    try:
-        listed = string_array(sorted({r.domain.lower() for r in small_rows(domains, MAX_PLAN_DOMAINS)}))
-        flagged = docs.withColumn("_listed", F.expr(f"arrays_overlap({parents}, {listed})"))
-    except PackTooLarge:
-        names = domains.select(F.lower("domain").alias("domain")).distinct()
-        hits_by_id = docs.select("doc_id", F.explode(F.expr(parents)).alias("domain")).join(names, "domain", "left_semi")
-        flagged = docs.join(hits_by_id.select("doc_id").distinct().withColumn("_listed", F.lit(True)), "doc_id", "left")
+    listed = string_array(sorted({r.domain.lower() for r in rule_rows(domains)}))
+    flagged = docs.withColumn("_listed", F.expr(f"arrays_overlap({parents}, {listed})"))
     hits = which_contain(text, signals)
     bulk = f"((coalesce(_listed, false) AND size({hits}) > 0) OR (size({hits}) >= 2 AND {any_contains(text, wide)}))"
     return flagged.select(
         "doc_id",
         F.expr(bulk).alias("is_bulk"),
-        F.expr(f"slice({hits}, 1, 4)").alias("signals"),
+        F.expr(hits).alias("signals"),
         F.expr(f"CASE WHEN {bulk} THEN least({score}, {RECEIPT_CAP}D) ELSE {score} END").alias("score"),
     )
 

@@ -15,11 +15,9 @@ from pyspark.sql import functions as F
 
 from siftline.functions import text as T
 from siftline.functions.sql import let, quote, string_array
-from siftline.operators.rows import explode_structs, small_rows
+from siftline.operators.rows import explode_structs, rule_rows
 
-MAX_PLAN_PATTERN_ROWS = 5000
 LEVELS = ("sentence", "paragraph", "context3", "full")
-FULL_WINDOW_CHARS = 8000
 FULL_WINDOW_GROUPS = 3
 # Fixed value: what counts as a number inside a window.
 NUMBER_REGEX = r"\d[\d,，.]*\s*(?:万亿|萬億|万|萬|亿|億)?"
@@ -47,6 +45,7 @@ class Pattern:
     cap: float | None = None
     windows: tuple[str, ...] | None = None
     allow_full: bool = False
+    full_limit: int | None = None
     groups: list[tuple[str, list[str]]] = field(default_factory=list)
 
     def levels(self) -> list[str]:
@@ -56,21 +55,25 @@ class Pattern:
             return ["sentence", "paragraph", "context3"] + extra
         return [w for w in dict.fromkeys(self.windows) if w in LEVELS and (w != "full" or self.allow_full)]
 
-    def full_limit(self) -> int:
-        return FULL_WINDOW_CHARS if self.windows is None else 2**31 - 1
-
     def score(self) -> float:
         return self.base_score if self.cap is None else min(self.base_score, self.cap)
 
 
 def patterns_from_rows(rows: Iterable) -> list[Pattern]:
-    """Assemble patterns from a rule_patterns table (one row per pattern, group and term)."""
+    """Assemble patterns from a rule_patterns table (one row per pattern, group and term).
+
+    An optional column ``full_limit`` is the longest text, in characters, that
+    counts as one window; without it there is no limit.
+    """
     out: dict[str, Pattern] = {}
     groups: dict[tuple[str, int], tuple[str, list[str]]] = {}
     for r in sorted(rows, key=lambda r: (r.pattern_id, r.group_no, r.term_no)):
         out.setdefault(
             r.pattern_id,
-            Pattern(r.pattern_id, r.category, r.base_score, r.cap, tuple(r.windows) if r.windows else None, bool(r.allow_full)),
+            Pattern(
+                r.pattern_id, r.category, r.base_score, r.cap, tuple(r.windows) if r.windows else None, bool(r.allow_full),
+                r.full_limit if "full_limit" in r else None,
+            ),
         )
         kind, terms = groups.setdefault((r.pattern_id, r.group_no), (r.group_kind or "term", []))
         if r.term:
@@ -89,7 +92,7 @@ def pattern_literal(patterns: Iterable[Pattern]) -> str:
         items.append(
             f"named_struct('pattern_id', {quote(p.pattern_id)}, 'category', {quote(p.category)},"
             f" 'score', {quote(float(p.score()))}, 'levels', {string_array(p.levels())},"
-            f" 'full_limit', {p.full_limit()}, 'groups', array({groups}))"
+            f" 'full_limit', {2**31 - 1 if p.full_limit is None else int(p.full_limit)}, 'groups', array({groups}))"
         )
     return "array(" + ", ".join(items) + ")"
 
@@ -182,7 +185,7 @@ def match_patterns(
     Patterns are independent, so a pack of any size is handled in passes over
     bounded slices of it.
     """
-    patterns = patterns_from_rows(small_rows(rule_patterns, MAX_PLAN_PATTERN_ROWS * 20))
+    patterns = patterns_from_rows(rule_rows(rule_patterns))
     out = None
     for start in range(0, max(len(patterns), 1), per_pass):
         literal = pattern_literal(patterns[start : start + per_pass])
@@ -253,5 +256,5 @@ def keep_unexcluded_sql(hits: str, text: str, exclusions: str) -> str:
 
 def apply_context_exclusions(docs: DataFrame, rule_exclusions: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, term, total, kept for every excluding rule whose term occurs."""
-    literal = exclusion_literal(small_rows(rule_exclusions, MAX_PLAN_PATTERN_ROWS))
+    literal = exclusion_literal(rule_rows(rule_exclusions))
     return explode_structs(docs, exclusion_counts_sql(text, literal), ["doc_id"])

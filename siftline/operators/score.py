@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions import scoring as S
 from siftline.functions.sql import let, quote, string_array
-from siftline.operators.rows import small_rows
+from siftline.operators.rows import rule_rows
 
 # Fixed values of the rule score.
 TYPE_WEIGHT = {"H": 14.0, "M": 6.0, "C": 2.0, "E": 8.0, "S": 5.0}
@@ -269,18 +269,19 @@ def final_score(total: str, stage_delta: str, delta: str, cap: str) -> str:
     return f"greatest(0D, least(100D, rint(least({total} + {stage_delta} + coalesce({delta}, 0D), {cap}))))"
 
 
-def verification_checklist(docs: DataFrame, tasks: DataFrame, fallback: list[str], limit: int = 12) -> DataFrame:
+def verification_checklist(docs: DataFrame, tasks: DataFrame, fallback: list[str], limit: int | None = None) -> DataFrame:
     """doc_id, tasks: what to check for a document's categories, in category and task order.
 
-    docs: doc_id, categories.  tasks: category, task_no, task (a small table).
+    docs: doc_id, categories.  tasks: category, task_no, task (a rule table).
+    ``limit`` shortens a list for display.
     """
     by_category: dict[str, list[str]] = {}
-    for r in sorted(small_rows(tasks, 5000), key=lambda r: (r.category, r.task_no)):
+    for r in sorted(rule_rows(tasks), key=lambda r: (r.category, r.task_no)):
         by_category.setdefault(r.category, []).append(r.task)
     pairs = ", ".join(f"{quote(c)}, {string_array(ts)}" for c, ts in sorted(by_category.items()))
     found = f"array_distinct(flatten(transform(categories, _c -> coalesce(map({pairs})[_c], cast(array() AS array<string>)))))"
     chosen = let("_f", found, f"CASE WHEN size(_f) > 0 THEN _f ELSE {string_array(fallback)} END")
-    return docs.select("doc_id", F.expr(f"slice({chosen}, 1, {limit})").alias("tasks"))
+    return docs.select("doc_id", F.expr(chosen if limit is None else f"slice({chosen}, 1, {limit})").alias("tasks"))
 
 
 def escalation(rule_score_sql: str, patterns: str, has_evidence: str, has_entity: str, has_amount: str, threshold: float = 60.0) -> str:

@@ -1,15 +1,12 @@
 """Matching dictionary terms and known items in texts.
 
-Small packs ride inside the plan as a constant and are matched in one narrow
-pass over the documents: no shuffle, no Python.  Packs that are too large for
-that go through a distributed containment join.
+Terms are found in one narrow pass over the documents, whatever the size of
+the pack (see ``matcher``); known items by a containment join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import reduce
-from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -18,41 +15,20 @@ from pyspark.sql import functions as F
 
 from siftline.functions import text as T
 from siftline.functions.sql import quote, string_array
-from siftline.operators.rows import PackTooLarge, explode_structs, small_rows
-
-try:
-    import ahocorasick
-except ImportError:  # then packs up to MAX_TASK_TERMS are matched in slices
-    ahocorasick = None
-
-MAX_PLAN_TERMS = 1000
-MAX_TASK_TERMS = 200_000
-MAX_TASK_CASES = 20_000
-MAX_TASK_CASE_CHARS = 64_000_000
-# Words too ambiguous to count on their own.
-IGNORED_TERMS = ("亲", "摸", "抱")
+from siftline.operators.matcher import Surface, term_hits
+
 HIT_TYPE = (
     "array<struct<surface:string,term:string,ktype:string,category:string,stage:string,count:int,snippet:string>>"
 )
 
 
-class Surface(NamedTuple):
-    """One spelling to look for, and what it stands for."""
-
-    surface: str
-    term: str
-    ktype: str
-    category: str
-    stage: str
-
-
 def map_variants(terms: DataFrame, variants: DataFrame | None = None) -> DataFrame:
     """Add a row per surface variant of a dictionary term.
 
     terms: term, ktype, category, stage.  variants: variant, canonical.
     A variant that is itself a dictionary term keeps its own meaning.
     """
-    usable = terms.filter((F.length("term") >= 2) & ~F.col("term").isin(*IGNORED_TERMS))
+    usable = terms.filter(F.length("term") >= 2).withColumn("stage", F.coalesce("stage", F.lit("")))
     base = usable.select(F.lower("term").alias("surface"), "term", "ktype", "category", "stage")
     out = base
     if variants is not None:
@@ -71,7 +47,7 @@ def map_variants(terms: DataFrame, variants: DataFrame | None = None) -> DataFra
 
 def resolve_small(terms: Iterable, variants: Iterable = ()) -> list:
     """``map_variants`` for the rows of a small pack that is on the driver already."""
-    usable = [t for t in terms if len(t.term) >= 2 and t.term not in IGNORED_TERMS]
+    usable = [t for t in terms if len(t.term) >= 2]
     own = {t.term.lower() for t in usable}
     pairs = [(t.term.lower(), t) for t in usable]
     pairs += [(v.variant.lower(), t) for v in variants if v.variant.lower() not in own for t in usable if t.term == v.canonical]
@@ -109,83 +85,10 @@ def hits_sql(text: str, pack: str, radius: int = 25) -> str:
 def match_terms(docs: DataFrame, terms: DataFrame, text: str = "text", variants: DataFrame | None = None) -> DataFrame:
     """Every dictionary term in every document: doc_id, surface, term, ktype, category, stage, count, snippet.
 
-    A small pack rides in the plan, a medium one goes to the tasks as one
-    automaton, and anything larger is joined.
+    Occurrences of one term are counted without overlaps.  Packs of any size
+    take the same path.
     """
-    resolved = map_variants(terms, variants)
-    try:
-        rows = small_rows(resolved, MAX_TASK_TERMS)
-    except PackTooLarge:
-        return match_terms_joined(docs, resolved, text)
-    if len(rows) <= MAX_PLAN_TERMS or ahocorasick is None:
-        step = MAX_PLAN_TERMS
-        parts = [
-            explode_structs(docs, hits_sql(text, pack_literal(rows[i : i + step])), ["doc_id"])
-            for i in range(0, max(len(rows), 1), step)
-        ]
-        return reduce(DataFrame.unionByName, parts)
-    return match_terms_automaton(docs, resolved, [r.surface for r in rows], text)
-
-
-def match_terms_automaton(docs: DataFrame, surfaces: DataFrame, words: list[str], text: str = "text") -> DataFrame:
-    """``match_terms`` in one pass over the text, whatever the number of terms."""
-    shared = docs.sparkSession.sparkContext.broadcast(sorted(set(words)))
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        machine = ahocorasick.Automaton()
-        for word in shared.value:
-            machine.add_word(word, word)
-        machine.make_automaton()
-        for batch in batches:
-            out = []
-            for doc_id, body in zip(batch["doc_id"], batch["body"]):
-                free: dict[str, int] = {}
-                seen: dict[str, list[int]] = {}
-                for last, word in machine.iter(body or ""):
-                    start = last - len(word) + 1
-                    if start >= free.get(word, 0):  # occurrences of one term do not overlap
-                        free[word] = last + 1
-                        seen.setdefault(word, [start, 0])[1] += 1
-                for word, (start, count) in seen.items():
-                    cut = body[max(0, start - 25) : start + len(word) + 25].strip("…")
-                    out.append((doc_id, word, count, f"…{cut}…"))
-            yield pd.DataFrame(out, columns=["doc_id", "surface", "count", "snippet"])
-
-    found = docs.select("doc_id", F.expr(text).alias("body")).mapInPandas(
-        run, schema=f"doc_id {id_type}, surface string, count int, snippet string"
-    )
-    # the pack is bounded by MAX_TASK_TERMS, so it may be broadcast
-    return found.join(F.broadcast(surfaces), "surface").select(
-        "doc_id", "surface", "term", "ktype", "category", "stage", "count", "snippet"
-    )
-
-
-def match_terms_joined(docs: DataFrame, surfaces: DataFrame, text: str = "text") -> DataFrame:
-    """``match_terms`` for packs of any size: containment join, then counts and snippets."""
-    hay = docs.select("doc_id", F.expr(text).alias("hay"))
-    needles = surfaces.select("surface").distinct()
-    classes = [  # (gram, window, shortest, longest): longer grams prune more
-        (2, 1, 2, 5),
-        (6, 1, 6, 23),
-        (8, 17, 24, None),
-    ]
-    found = None
-    for gram, window, low, high in classes:
-        part = needles.filter(F.length("surface") >= low)
-        if high:
-            part = part.filter(F.length("surface") <= high)
-        hits = contains_join(hay, "doc_id", "hay", part, "surface", "surface", gram, window)
-        found = hits if found is None else found.unionByName(hits)
-    return (
-        found.join(surfaces, "surface")
-        .join(hay, "doc_id")
-        .select(
-            "doc_id", "surface", "term", "ktype", "category", "stage",
-            F.expr(T.count_occurrences("hay", "surface")).alias("count"),
-            F.expr(T.snippet("hay", "surface")).alias("snippet"),
-        )
-    )
+    return term_hits(docs, map_variants(terms, variants), text)
 
 
 def _gram_hashes(text: str, gram: int) -> np.ndarray:
@@ -267,25 +170,20 @@ def contains_join(
     )
 
 
-def known_case_match(docs: DataFrame, cases: DataFrame, text: str = "text", case_text: str = "text") -> DataFrame:
+def known_case_match(docs: DataFrame, cases: DataFrame, text: str = "text", case_text: str = "text", min_chars: int = 24) -> DataFrame:
     """Documents that contain a known case or are contained in one.
 
     docs: doc_id, text.  cases: item_id, text.  Returns doc_id, item_id,
-    relation (EQUAL, QUOTES or PART_OF).  Texts under 24 characters say too
-    little and are left out.
+    relation (EQUAL, QUOTES or PART_OF).  Texts of fewer than ``min_chars``
+    characters say too little and are left out.  Two containment joins, one
+    for each direction.
     """
     d = docs.select("doc_id", F.expr(text).alias("doc_text"))
     c = cases.select("item_id", F.expr(case_text).alias("case_text"))
-    size = c.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("case_text")), F.lit(0)).alias("chars")).first()
-    if size.n <= MAX_TASK_CASES and size.chars <= MAX_TASK_CASE_CHARS:
-        return _known_case_pass(d, c)
-    return known_case_join(d, c)
-
-
-def known_case_join(d: DataFrame, c: DataFrame) -> DataFrame:
-    """Known cases of any number: two containment joins, one per direction."""
-    quotes = contains_join(d, "doc_id", "doc_text", c, "item_id", "case_text")
-    parts = contains_join(c, "item_id", "case_text", d, "doc_id", "doc_text")
+    gram = min(8, min_chars)
+    window = min_chars - gram + 1
+    quotes = contains_join(d, "doc_id", "doc_text", c, "item_id", "case_text", gram, window)
+    parts = contains_join(c, "item_id", "case_text", d, "doc_id", "doc_text", gram, window)
     both = quotes.selectExpr("doc_id", "item_id", "1 AS q", "0 AS p").unionByName(
         parts.selectExpr("doc_id", "item_id", "0 AS q", "1 AS p")
     )
@@ -294,38 +192,6 @@ def known_case_join(d: DataFrame, c: DataFrame) -> DataFrame:
     return both.groupBy("doc_id", "item_id").agg(F.expr(relation).alias("relation"))
 
 
-def _known_case_pass(d: DataFrame, c: DataFrame, gram: int = 8, window: int = 17) -> DataFrame:
-    """One narrow pass over the documents; the cases are known to fit in a task."""
-    floor = gram + window - 1
-    rows = [(r.item_id, r.case_text) for r in c.filter(F.length("case_text") >= floor).collect()]
-    shared = d.sparkSession.sparkContext.broadcast(rows)
-    doc_type, item_type = d.schema["doc_id"].dataType.simpleString(), c.schema["item_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        inside: dict[int, list[int]] = {}  # mark of a case -> cases a document may contain
-        around: dict[int, list[int]] = {}  # any mark of a case -> cases that may contain a document
-        for i, (_, body) in enumerate(shared.value):
-            for mark in _one_mark(body, gram, window).tolist():
-                inside.setdefault(mark, []).append(i)
-            for mark in _all_marks(body, gram, window).tolist():
-                around.setdefault(mark, []).append(i)
-        wanted = np.array(sorted(inside), dtype=np.int64)
-        for batch in batches:
-            out = []
-            for doc_id, body in zip(batch["doc_id"], batch["doc_text"]):
-                if not body or len(body) < floor:
-                    continue
-                marks = _all_marks(body, gram, window)
-                quoted = {i for m in np.intersect1d(marks, wanted).tolist() for i in inside[m] if shared.value[i][1] in body}
-                part_of = {i for i in around.get(int(marks[0]), []) if body in shared.value[i][1]}
-                for i in sorted(quoted | part_of):
-                    relation = "EQUAL" if i in quoted and i in part_of else "QUOTES" if i in quoted else "PART_OF"
-                    out.append((doc_id, shared.value[i][0], relation))
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "relation"])
-
-    return d.mapInPandas(run, schema=f"doc_id {doc_type}, item_id {item_type}, relation string")
-
-
 def known_flags(docs: DataFrame, matches: DataFrame) -> DataFrame:
     """doc_id, known (bool), n_cases for every document."""
     per_doc = matches.groupBy("doc_id").agg(F.count("*").alias("n_cases"))
@@ -336,32 +202,35 @@ def known_flags(docs: DataFrame, matches: DataFrame) -> DataFrame:
     )
 
 
-def slotted_hits_sql(text: str, slots: str, evidence: str, reversal: str, boosts: str, radius: int = 20) -> str:
+def slotted_sql(text: str, slots: str, evidence: str, reversal: str, boosts: str) -> str:
     """Hits of typed slots, plus global terms only where a slot has not already hit them.
 
-    ``slots``, ``evidence``, ``reversal`` and ``boosts`` are pack literals.
-    Boost terms count once and are described by the head of the text.
+    All four are arrays of hits.  Boost terms count once and are described by
+    the head of the text.
     """
-    first = hits_sql(text, slots, radius)
-    fresh = "filter({hits}, _e -> NOT exists(_h, _x -> _x.term = _e.term AND _x.ktype = _e.ktype))"
+    fresh = "filter({hits}, _e -> NOT exists({slots}, _x -> _x.term = _e.term AND _x.ktype = _e.ktype))"
     boosted = (
-        f"transform(filter({boosts}, _k -> contains({text}, _k.surface)), _k -> named_struct("
-        "'surface', _k.surface, 'term', _k.term, 'ktype', _k.ktype, 'category', _k.category,"
+        f"transform({boosts}, _k -> named_struct('surface', _k.surface, 'term', _k.term, 'ktype', _k.ktype, 'category', _k.category,"
         f" 'stage', _k.stage, 'count', 1, 'snippet', concat('…', substring({text}, 1, 60), '…')))"
     )
-    combined = (
-        f"concat(_h, {fresh.format(hits=hits_sql(text, evidence, radius))},"
-        f" {fresh.format(hits=hits_sql(text, reversal, radius))}, {boosted})"
-    )
-    return f"element_at(transform(array({first}), _h -> {combined}), 1)"
+    return f"concat({slots}, {fresh.format(hits=evidence, slots=slots)}, {fresh.format(hits=reversal, slots=slots)}, {boosted})"
+
+
+SLOT_RADIUS = 20
 
 
 def match_terms_slotted(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
     """Slotted matching; ``terms`` has a ``role`` of slot, evidence, reversal or boost."""
-    rows = small_rows(terms, MAX_PLAN_TERMS)
-    packs = {role: pack_literal(resolve_small(r for r in rows if r.role == role)) for role in ("slot", "evidence", "reversal", "boost")}
-    sql = slotted_hits_sql(text, packs["slot"], packs["evidence"], packs["reversal"], packs["boost"])
-    return explode_structs(docs, sql, ["doc_id"])
+
+    def of(role: str) -> DataFrame:
+        return term_hits(docs, map_variants(terms.filter(F.col("role") == role)), text, SLOT_RADIUS)
+
+    slots = of("slot")
+    taken = slots.select("doc_id", "term", "ktype").distinct()
+    heads = docs.select("doc_id", F.expr(f"concat('…', substring({text}, 1, 60), '…')").alias("snippet"))
+    boosts = of("boost").withColumn("count", F.lit(1)).drop("snippet").join(heads, "doc_id").select(slots.columns)
+    fresh = [of(role).join(taken, ["doc_id", "term", "ktype"], "left_anti").select(slots.columns) for role in ("evidence", "reversal")]
+    return slots.unionByName(fresh[0]).unionByName(fresh[1]).unionByName(boosts)
 
 
 def match_reversal_terms(docs: DataFrame, reversal_terms: list[str], text: str = "text") -> DataFrame:

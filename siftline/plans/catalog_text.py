@@ -11,6 +11,7 @@ from siftline.operators import negatives as NG
 from siftline.operators import patterns as PT
 from siftline.operators import score as A
 from siftline.operators import terms as R
+from siftline.operators.matcher import attach_hits
 from siftline.operators.rows import explode_structs
 from siftline.plans import packs as K
 from siftline.plans import records as RC
@@ -185,6 +186,20 @@ def _(spark, sf_dir):
     return R.match_terms(prepared(spark, sf_dir), pack.terms.filter("role = 'slot'"), "norm", pack.variants)
 
 
+@query(
+    "match_terms_large",
+    f"""WITH {O_DOCS}, s AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[^ \n.,]+')) AS surface FROM benchmark)
+    SELECT doc_id, surface, surface AS term, 'H' AS ktype, 'bench' AS category, '' AS stage, {o_count('t', 'surface')} AS count,
+      {o_snippet('t', 'surface')} AS snippet FROM d JOIN s ON length(surface) >= 2 AND contains(t, surface)""",
+)
+def _(spark, sf_dir):
+    """A pack read from a table: every word of ``benchmark`` in every document."""
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[^ \\n.,]+"), F.lit(0)))
+    terms = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(words.alias("term")).distinct()
+    terms = terms.select("term", F.lit("H").alias("ktype"), F.lit("bench").alias("category"), F.lit(None).cast("string").alias("stage"))
+    return R.match_terms(prepared(spark, sf_dir), terms, "norm")
+
+
 def _role(role: str) -> str:
     return sql_values([r[:4] for r in K.DEMO_TERMS if r[4] == role], ["term", "ktype", "category", "stage"])
 
@@ -221,7 +236,7 @@ def _pattern_sql() -> str:
     heads = {}
     for p, cat, _, _, _, _, windows, allow, base, cap in K.DEMO_PATTERNS:
         pattern = PT.Pattern(p, cat, base, cap, tuple(windows) if windows else None, allow, [("term", [])] * len(sizes[p]))
-        heads[p] = (p, cat, pattern.score(), len(sizes[p]), pattern.full_limit(), pattern.levels())
+        heads[p] = (p, cat, pattern.score(), len(sizes[p]), 2**31 - 1, pattern.levels())
     levels = sql_values([(h[0], lvl, i) for h in heads.values() for i, lvl in enumerate(h[5])], ["pattern_id", "level", "ord"])
     head = sql_values([h[:5] for h in heads.values()], ["pattern_id", "category", "score", "n_groups", "full_limit"])
     number = PT.NUMBER_REGEX
@@ -302,7 +317,7 @@ def _negative_sql() -> str:
         found = ", ".join(f"CASE WHEN contains(t, '{x}') THEN '{x}' END" for x in require)
         parts.append(
             f"SELECT doc_id, '{rid}' AS rule_id, CAST({delta} AS DOUBLE) AS delta, CAST({cap if cap is not None else 'NULL'} AS DOUBLE) AS cap,"
-            f" array_to_string([x FOR x IN [{found}] IF x IS NOT NULL][1:5], '|') AS matched_terms FROM d WHERE {' AND '.join(cond)}"
+            f" array_to_string([x FOR x IN [{found}] IF x IS NOT NULL], '|') AS matched_terms FROM d WHERE {' AND '.join(cond)}"
         )
     return f"WITH {O_DOCS}, n AS ({' UNION ALL '.join(parts)})"
 
@@ -310,7 +325,7 @@ def _negative_sql() -> str:
 def _negatives(spark, sf_dir):
     pack = K.demo_pack(spark)
     compiled = pack.compile()
-    docs = prepared(spark, sf_dir).withColumn("hits", F.expr(R.hits_sql("norm", compiled.terms)))
+    docs = attach_hits(prepared(spark, sf_dir), {"hits": compiled.terms}, "norm")
     return NG.match_negative_rules(docs, pack.negatives, "norm", "array_distinct(transform(hits, _h -> _h.ktype))")
 
 
@@ -327,7 +342,7 @@ def _(spark, sf_dir):
 def _scored(spark, sf_dir):
     """Documents with hits and patterns of the demo pack, without exclusions."""
     pack = K.demo_pack(spark).compile()
-    docs = prepared(spark, sf_dir).withColumn("hits", F.expr(R.hits_sql("norm", pack.terms)))
+    docs = attach_hits(prepared(spark, sf_dir), {"hits": pack.terms}, "norm")
     signals = PT.Signals(reversals=string_array(K.DEMO_REVERSALS))
     return docs.withColumn("patterns", F.expr(PT.pattern_hits_sql("norm", pack.patterns, signals)))
 
@@ -414,7 +429,7 @@ BULK = ["license", "version", "released", "apache", "gnu"]
 @query(
     "promo_filter",
     f"""WITH {O_DOCS}, m AS (SELECT doc_id, [x FOR x IN {BULK} IF contains(t, x)] AS m, contains(t, 'token') AS sig FROM d)
-    SELECT doc_id, array_to_string(m[1:6], '|') AS markers, len(m) >= 3 OR (len(m) >= 2 AND NOT sig) AS is_promo FROM m""",
+    SELECT doc_id, array_to_string(m, '|') AS markers, len(m) >= 3 OR (len(m) >= 2 AND NOT sig) AS is_promo FROM m""",
 )
 def _(spark, sf_dir):
     found = NG.promo_filter(prepared(spark, sf_dir), "norm", BULK, "contains(norm, 'token')")
@@ -426,7 +441,7 @@ def _(spark, sf_dir):
     f"""WITH {O_DOCS}, m AS (SELECT doc_id, [x FOR x IN ['license', 'version'] IF contains(t, x)] AS m, contains(t, 'apache') AS wide,
       doc_id % 7 IN (0, 3) AS listed, CAST(doc_id % 101 AS DOUBLE) AS s FROM d),
     b AS (SELECT *, (listed AND len(m) > 0) OR (len(m) >= 2 AND wide) AS is_bulk FROM m)
-    SELECT doc_id, is_bulk, array_to_string(m[1:4], '|') AS signals, CASE WHEN is_bulk THEN least(s, 15.0) ELSE s END AS score FROM b""",
+    SELECT doc_id, is_bulk, array_to_string(m, '|') AS signals, CASE WHEN is_bulk THEN least(s, 15.0) ELSE s END AS score FROM b""",
 )
 def _(spark, sf_dir):
     docs = prepared(spark, sf_dir).select(

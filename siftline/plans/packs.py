@@ -11,10 +11,11 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.operators.negatives import MAX_PLAN_RULES, negative_literal
-from siftline.operators.patterns import MAX_PLAN_PATTERN_ROWS, exclusion_literal, pattern_literal, patterns_from_rows
-from siftline.operators.rows import small_rows
-from siftline.operators.terms import MAX_PLAN_TERMS, pack_literal, resolve_small
+from siftline.operators.matcher import Surface
+from siftline.operators.negatives import negative_literal
+from siftline.operators.patterns import exclusion_literal, pattern_literal, patterns_from_rows
+from siftline.operators.rows import rule_rows
+from siftline.operators.terms import resolve_small
 
 TERMS_SCHEMA = "term string, ktype string, category string, stage string, role string"
 VARIANTS_SCHEMA = "variant string, canonical string"
@@ -98,33 +99,33 @@ class RulePack:
     reversals: list[str] = field(default_factory=list)
 
     def compile(self) -> "CompiledPack":
-        terms = small_rows(self.terms, MAX_PLAN_TERMS)
-        variants = small_rows(self.variants, MAX_PLAN_TERMS) if self.variants is not None else []
+        terms = rule_rows(self.terms)
+        variants = rule_rows(self.variants) if self.variants is not None else []
 
-        def of_role(role: str, spellings=()) -> str:
-            return pack_literal(resolve_small((t for t in terms if t.role == role), spellings))
+        def of_role(role: str, spellings=()) -> list[Surface]:
+            return resolve_small((t for t in terms if t.role == role), spellings)
 
         return CompiledPack(
             terms=of_role("slot", variants),
             evidence=of_role("evidence"),
             reversal_terms=of_role("reversal"),
             boosts=of_role("boost"),
-            patterns=pattern_literal(patterns_from_rows(small_rows(self.patterns, MAX_PLAN_PATTERN_ROWS))),
-            negatives=negative_literal(small_rows(self.negatives, MAX_PLAN_RULES)),
-            exclusions=exclusion_literal(small_rows(self.exclusions, MAX_PLAN_PATTERN_ROWS)),
+            patterns=pattern_literal(patterns_from_rows(rule_rows(self.patterns))),
+            negatives=negative_literal(rule_rows(self.negatives)),
+            exclusions=exclusion_literal(rule_rows(self.exclusions)),
             reversals=list(self.reversals),
         )
 
 
 @dataclass(frozen=True)
 class CompiledPack:
-    terms: str
+    terms: list[Surface]
     patterns: str
     negatives: str
     exclusions: str
-    evidence: str
-    reversal_terms: str
-    boosts: str
+    evidence: list[Surface]
+    reversal_terms: list[Surface]
+    boosts: list[Surface]
     reversals: list[str]
 
 

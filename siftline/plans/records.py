@@ -14,10 +14,11 @@ from siftline.functions.privacy import hash_ref
 from siftline.functions.sql import quote, string_array
 from siftline.functions.text import fit
 from siftline.operators.complaints import complaint_measures
+from siftline.operators.matcher import attach_hits
 from siftline.operators.negatives import negative_hits_sql
 from siftline.operators.patterns import pattern_hits_sql
 from siftline.operators.score import complaint_score
-from siftline.operators.terms import slotted_hits_sql
+from siftline.operators.terms import SLOT_RADIUS, slotted_sql
 from siftline.plans.packs import CompiledPack
 from siftline.plans.triage import prepare, triage
 
@@ -34,7 +35,9 @@ def complaint_triage(
     """
     staged = docs if "norm" in docs.columns else prepare(docs, text)
     staged = staged.withColumn("has_attachment", F.expr(has_attachment))
-    staged = staged.withColumn("hits", F.expr(slotted_hits_sql("norm", pack.terms, pack.evidence, pack.reversal_terms, pack.boosts)))
+    found = {"_slots": pack.terms, "_evidence": pack.evidence, "_reversal": pack.reversal_terms, "_boosts": pack.boosts}
+    staged = attach_hits(staged, found, "norm", SLOT_RADIUS)
+    staged = staged.withColumn("hits", F.expr(slotted_sql("norm", *found))).drop(*found)
     staged = staged.withColumn("patterns", F.expr(pattern_hits_sql("norm", pack.patterns)))
     types = "array_distinct(transform(hits, _h -> _h.ktype))"
     staged = staged.withColumn("negatives", F.expr(negative_hits_sql("norm", types, NOTHING, pack.negatives)))

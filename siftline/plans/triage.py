@@ -1,7 +1,7 @@
 """The whole triage of a table of documents as one narrow job.
 
-Every step adds columns to the document's own row: no shuffle, no Python,
-one scan.  The cost grows with the amount of text and nothing else.
+Every step adds columns to the document's own row: no shuffle, one scan, and
+one Arrow pass that finds all terms.  The cost grows with the amount of text and nothing else.
 """
 
 from __future__ import annotations
@@ -15,9 +15,9 @@ from siftline.functions import text as T
 from siftline.functions.sql import any_contains, string_array
 from siftline.operators import score as A
 from siftline.operators.extract import summary_sql
+from siftline.operators.matcher import attach_hits
 from siftline.operators.negatives import negative_hits_sql, no_new_information
 from siftline.operators.patterns import Signals, keep_unexcluded_sql, pattern_hits_sql
-from siftline.operators.terms import hits_sql
 from siftline.plans.packs import CompiledPack
 
 # Words by which a text says that it repeats old news.
@@ -42,8 +42,8 @@ def prepare(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def signals(docs: DataFrame, pack: CompiledPack, text: str = "text") -> DataFrame:
     """Documents with hits, amounts, patterns, negatives, categories and the rule score."""
-    prepared = prepare(docs, text)
-    hits = keep_unexcluded_sql(hits_sql("norm", pack.terms), "norm", pack.exclusions)
+    prepared = attach_hits(prepare(docs, text), {"_hits": pack.terms}, "norm")
+    hits = keep_unexcluded_sql("_hits", "norm", pack.exclusions)
     staged = prepared.select(
         "*",
         F.expr(hits).alias("hits"),

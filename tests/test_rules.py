@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions import text as T
 from siftline.functions.sql import string_array
+from siftline.operators import matcher as MT
 from siftline.operators import negatives as NG
 from siftline.operators import patterns as PT
 from siftline.operators import score as A
@@ -46,10 +47,14 @@ def test_windows_in_order(spark):
     }
 
 
-def test_full_window_needs_three_groups_and_a_short_text(spark):
+def test_full_window_needs_three_groups_and_keeps_the_packs_limit(spark):
     far = "red\n\na\n\nb\n\nblue\n\nc\n\nd\n\ngreen"
     docs = docs_of(spark, far, far + "\n\n" + "x" * 8000)
-    assert found(spark, docs, pack_rows("P", [["red"], ["blue"], ["green"]])) == {(0, "P"): ("full", 0, ["red", "blue", "green"])}
+    whole = ("full", 0, ["red", "blue", "green"])
+    rows = pack_rows("P", [["red"], ["blue"], ["green"]])
+    assert found(spark, docs, rows) == {(0, "P"): whole, (1, "P"): whole}
+    limited = spark.createDataFrame([(*r, 8000) for r in rows], K.PATTERNS_SCHEMA + ", full_limit int")
+    assert {(r.doc_id, r.level) for r in PT.match_patterns(docs, limited).collect()} == {(0, "full")}
 
 
 def test_listed_windows(spark):
@@ -97,28 +102,39 @@ def test_all_pack_sizes_agree(spark, monkeypatch):
     docs = spark.read.parquet(DOCS).select("doc_id", F.expr(T.normalize_text("text", True)).alias("norm"))
     texts = [(r.doc_id, r.norm) for r in docs.collect()]
     rng = random.Random(3)
-    words = {"the", "ti", "that", "license"}
+    words = {"the", "ti", "that", "license", "e", "an an", "é"}
     for _, t in texts[:40]:
-        for n in (2, 5, 7, 30):
+        for n in (2, 3, 5, 7, 30, 400):
             if len(t) > n:
                 at = rng.randrange(len(t) - n)
                 words.add(t[at : at + n])
     words = {w for w in words if "…" not in w}
-    rows = [(w, "H", "C", "") for w in sorted(words)]
+    rows = [(w, "H", "C", None if len(w) % 2 else "") for w in sorted(words)]
     terms = spark.createDataFrame(rows, "term string, ktype string, category string, stage string")
-    want = brute(texts, words)
-    small = R.match_terms(docs, terms, "norm")
-    monkeypatch.setattr(R, "MAX_PLAN_TERMS", 10)
-    medium = R.match_terms(docs, terms, "norm")
-    monkeypatch.setattr(R, "MAX_TASK_TERMS", 10)
-    large = R.match_terms(docs, terms, "norm")
-    results = [sorted((r.doc_id, r.surface, r["count"]) for r in df.collect()) for df in (small, medium, large)]
-    assert results[0] == want and results[1] == want and results[2] == want
-    snippets = [sorted((r.doc_id, r.surface, r.snippet) for r in df.collect()) for df in (small, medium, large)]
-    assert snippets[0] == snippets[1] == snippets[2]
-
-
-def test_known_cases_small_and_joined(spark, monkeypatch):
+    want = brute(texts, {w for w in words if len(w) > 1})
+    whole = sorted(map(tuple, R.match_terms(docs, terms, "norm").collect()))
+    assert sorted((r[0], r[1], r[6]) for r in whole) == want
+    pack = R.pack_literal(R.resolve_small(terms.collect()))
+    in_plan = docs.select("doc_id", F.explode(F.expr(R.hits_sql("norm", pack))).alias("h")).select("doc_id", "h.*")
+    assert sorted(map(tuple, in_plan.collect())) == whole
+    monkeypatch.setattr(MT, "TERMS_AT_ONCE", 10)
+    monkeypatch.setattr(MT, "CHARS_AT_ONCE", 3000)
+    monkeypatch.setattr(MT.in_blocks, "__defaults__", (10,))
+    assert sorted(map(tuple, R.match_terms(docs, terms, "norm").collect())) == whole
+    attached = MT.attach_hits(docs, {"a": R.resolve_small(terms.collect()), "b": []}, "norm")
+    assert sorted(map(tuple, attached.select("doc_id", F.explode("a").alias("h")).select("doc_id", "h.*").collect())) == whole
+    assert {tuple(r.b) for r in attached.collect()} == {()}
+
+
+def test_overlapping_occurrences_and_null_texts(spark):
+    docs = spark.createDataFrame([(1, "aaaaa"), (2, None), (3, ""), (4, "\U0001f600aa\U0001f600")], "doc_id int, text string")
+    terms = spark.createDataFrame([("aa", "H", "C", ""), ("aaa", "M", "C", ""), ("aa", "E", "D", "x")], "term string, ktype string, category string, stage string")
+    got = sorted((r.doc_id, r.surface, r.ktype, r.stage, r["count"], r.snippet) for r in R.match_terms(docs, terms).collect())
+    face = "…\U0001f600aa\U0001f600…"
+    assert got == [(1, "aa", "E", "x", 2, "…aaaaa…"), (1, "aa", "H", "", 2, "…aaaaa…"), (1, "aaa", "M", "", 1, "…aaaaa…"), (4, "aa", "E", "x", 1, face), (4, "aa", "H", "", 1, face)]
+
+
+def test_known_cases(spark):
     docs = spark.read.parquet(DOCS).select("doc_id", "text")
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     extra = docs.filter("doc_id < 5").select((F.col("doc_id") + 900).alias("item_id"), F.concat(F.lit("before "), "text", F.lit(" after")).alias("text"))
@@ -130,8 +146,6 @@ def test_known_cases_small_and_joined(spark, monkeypatch):
         for x in d for y in c if len(x.text) >= 24 and len(y.text) >= 24 and (x.text in y.text or y.text in x.text)
     )
     assert sorted(map(tuple, R.known_case_match(docs, cases).collect())) == want
-    monkeypatch.setattr(R, "MAX_TASK_CASES", 1)
-    assert sorted(map(tuple, R.known_case_match(docs, cases).collect())) == want
     assert {"EQUAL", "QUOTES", "PART_OF"} == {w[2] for w in want}
 
 
@@ -146,15 +160,12 @@ def test_negative_rules(spark):
     assert {(r.doc_id, r.delta, r.cap) for r in both.collect()} == {(0, -80.0, 20.0), (2, 0.0, None), (3, -10.0, 45.0), (5, -10.0, 45.0)}
 
 
-def test_domain_list_small_and_joined(spark, monkeypatch):
+def test_domain_list(spark):
     docs = spark.createDataFrame([(1, "A <x@mail.shop.com>", "bill", 50.0), (2, "y@notshop.com", "bill", 50.0), (3, "z@shop.com", "hello", 50.0)],
                                  "doc_id int, sender string, text string, score double")
     domains = spark.createDataFrame([("shop.com",), ("other.org",)], "domain string")
-    small = NG.bulk_mail_filter(docs, domains, ["bill"], ["receipt"])
-    monkeypatch.setattr(NG, "MAX_PLAN_DOMAINS", 1)
-    joined = NG.bulk_mail_filter(docs, domains, ["bill"], ["receipt"])
-    for out in (small, joined):
-        assert {(r.doc_id, r.is_bulk, r.score) for r in out.collect()} == {(1, True, 15.0), (2, False, 50.0), (3, False, 50.0)}
+    out = NG.bulk_mail_filter(docs, domains, ["bill"], ["receipt"])
+    assert {(r.doc_id, r.is_bulk, r.score) for r in out.collect()} == {(1, True, 15.0), (2, False, 50.0), (3, False, 50.0)}
 
 
 def test_rule_score_invariants(spark):
