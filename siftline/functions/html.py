@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5
 
 from siftline.functions.sql import let, quote
 
@@ -10,23 +10,26 @@ from siftline.functions.sql import let, quote
 LINE_TAGS = "p|div|br|tr|li|h1|h2|h3|h4|blockquote|table"
 LINE_END_TAGS = "p|div|tr|li|h1|h2|h3|h4|blockquote|table"
 CELL_TAGS = "td|th"
-REST_OF_TAG = r"(?=[\s/>])[^>]*>"
+# a quoted attribute may hold the closing mark
+ATTRIBUTES = r"""(?:[^>"']|"[^"]*"|'[^']*')*+"""
+REST_OF_TAG = r"(?=[\s/>])" + ATTRIBUTES + ">"
 
 
 def decode_entities(text: str) -> str:
     """Character references, decoded once (``&amp;lt;`` becomes ``&lt;``)."""
-    names = {**name2codepoint, "apos": 39}
-    pairs = ", ".join(f"{quote(k)}, {quote(chr(v))}" for k, v in sorted(names.items()))
-    ref = quote(r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);")
+    pairs = ", ".join(f"{quote(k)}, {quote(v)}" for k, v in sorted(html5.items()))
+    # some names also stand without the semicolon; the longest counts
+    bare = "|".join(sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k)))
+    ref = quote(rf"^(#[0-9]{{1,7}};?|#[xX][0-9a-fA-F]{{1,6}};?|[A-Za-z][A-Za-z0-9]*;|{bare})")
     code = (
-        "CASE WHEN _n RLIKE '^#[xX]' THEN conv(substring(_n, 3), 16, 10)"
-        " WHEN _n LIKE '#%' THEN substring(_n, 2) END"
+        "CASE WHEN _n RLIKE '^#[xX]' THEN conv(replace(substring(_n, 3), ';', ''), 16, 10)"
+        " WHEN _n LIKE '#%' THEN replace(substring(_n, 2), ';', '') END"
     )
     number = let("_u", f"cast({code} AS int)", "CASE WHEN _u BETWEEN 1 AND 1114111 THEN decode(unhex(lpad(hex(_u), 8, '0')), 'UTF-32') END")
     char = f"CASE WHEN _n LIKE '#%' THEN {number} ELSE map({pairs})[_n] END"
     piece = let(
         "_n", f"regexp_extract(_x, {ref}, 1)",
-        let("_c", char, "CASE WHEN _c IS NULL THEN concat('&', _x) ELSE concat(_c, substring(_x, length(_n) + 2)) END"),
+        let("_c", char, "CASE WHEN _c IS NULL THEN concat('&', _x) ELSE concat(_c, substring(_x, length(_n) + 1)) END"),
     )
     joined = f"array_join(transform(split({text}, '&', -1), (_x, _i) -> CASE WHEN _i = 0 THEN _x ELSE {piece} END), '')"
     return f"CASE WHEN contains({text}, '&') THEN {joined} ELSE {text} END"
@@ -34,11 +37,11 @@ def decode_entities(text: str) -> str:
 
 def html_to_text(html: str) -> str:
     """Text lines of a page: no scripts or styles, line breaks at blocks, `` | `` before cells."""
-    t = f"regexp_replace(coalesce({html}, ''), {quote(r'(?is)<(script|style)' + r'(?=[\s/>])[^>]*>.*?</\1\s*>')}, '')"
+    t = f"regexp_replace(coalesce({html}, ''), {quote(r'(?is)<(script|style)' + REST_OF_TAG + r'.*?</\1\s*>')}, '')"
     t = f"regexp_replace({t}, {quote(r'(?s)<!--.*?-->')}, '')"
     t = f"regexp_replace({t}, {quote(f'(?i)<(?:{LINE_TAGS}){REST_OF_TAG}|</(?:{LINE_END_TAGS}){REST_OF_TAG}')}, '\\n')"
     t = f"regexp_replace({t}, {quote(f'(?i)<(?:{CELL_TAGS}){REST_OF_TAG}')}, ' | ')"
-    t = f"regexp_replace({t}, {quote(r'</?[A-Za-z!?][^>]*>')}, '')"
+    t = f"regexp_replace({t}, {quote('</?[A-Za-z!?]' + ATTRIBUTES + '>')}, '')"
     decoded = let("_t", t, decode_entities("_t"))
     lines = f"transform(split({decoded}, '\\n'), _l -> trim(regexp_replace(_l, {quote(r'[ \t]+')}, ' ')))"
     return f"array_join(filter({lines}, _l -> _l <> ''), '\\n')"

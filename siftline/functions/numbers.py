@@ -10,29 +10,31 @@ DIGIT_WORDS = "零一二三四五六七八九"
 DIGIT_ALIASES = ("〇两兩", "零二二")
 FORMAL_DIGITS = ("壹贰叁肆伍陆柒捌玖", "一二三四五六七八九")
 TENS, HUNDREDS, THOUSANDS, MYRIADS, HUNDRED_MILLIONS = "十拾", "百佰", "千仟", "万萬", "亿億"
-UNIT_FACTORS = {"万": 10000, "萬": 10000, "亿": 100000000, "億": 100000000, "千": 1000, "百": 100}
+UNIT_FACTORS = {
+    "万亿": 10**12, "萬億": 10**12, "千万": 10**7, "千萬": 10**7, "百万": 10**6, "百萬": 10**6, "万": 10000, "萬": 10000, "亿": 100000000, "億": 100000000, "千": 1000, "百": 100,
+}
 SUFFIX_CURRENCY = {
     "人民币": "CNY", "人民幣": "CNY", "新台币": "TWD", "新臺幣": "TWD", "台币": "TWD", "臺幣": "TWD",
     "美元": "USD", "美金": "USD", "港币": "HKD", "港幣": "HKD",
 }
-MARK_CURRENCY = {"nt$": "TWD", "rmb": "CNY"}
+MARK_CURRENCY = {"nt$": "TWD", "rmb": "CNY", "us$": "USD", "hk$": "HKD", "cn¥": "CNY", "£": "GBP", "€": "EUR"}
 DEFAULT_CURRENCY = "TWD"
 AMOUNT_CORE = (
-    r"(?=\d)(?<![A-Za-z0-9年])(\d{1,3}(?:,\d{3})+|\d+\.?\d*)\s*(亿|億|万|萬|千|百)?\s*"
+    r"(?=\d)(?<![A-Za-z0-9年])(\d{1,3}(?:,\d{3})+|\d+\.?\d*)\s*(万亿|萬億|千万|千萬|百万|百萬|亿|億|万|萬|千|百)?\s*"
     r"(新台币|新臺幣|台币|臺幣|人民币|人民幣|美金|美元|港币|港幣|元|塊|圆|圓)?(?![A-Za-z0-9%])"
 )
 AMOUNT_WORD_CHARS = "零〇一二三四五六七八九十百千万亿點点两兩壹贰叁肆伍陆柒捌玖拾佰仟兆"
 AMOUNT_PARTS = (
-    r"^(\d{1,3}(?:,\d{3})+|\d+\.?\d*)\s*(亿|億|万|萬|千|百)?\s*"
+    r"^(\d{1,3}(?:,\d{3})+|\d+\.?\d*)\s*(万亿|萬億|千万|千萬|百万|百萬|亿|億|万|萬|千|百)?\s*"
     r"(新台币|新臺幣|台币|臺幣|人民币|人民幣|美金|美元|港币|港幣|元|塊|圆|圓)?$"
 )
 AMOUNT_WORDS = (
-    f"(?=[\u4e00-\u9fff〇])([{AMOUNT_WORD_CHARS}]+)\\s*"
+    f"(?=[\u4e00-\u9fff〇])(?<![0-9{AMOUNT_WORD_CHARS}])([{AMOUNT_WORD_CHARS}]+)\\s*"
     "(?:(万亿|億|万|萬|亿|千|百|仟|佰)?\\s*(元|块|塊|圓|圆|美金|美元)|(万亿|億|万|萬|亿))"
 )
 NEAR_CHARS = 12
 CURRENCY_MARK = (
-    r"(?i)(新台币|新臺幣|台币|臺幣|人民币|人民幣|美金|美元|港币|港幣|nt\$|us\$|rmb|cn¥)"
+    r"(?i)(新台币|新臺幣|台币|臺幣|人民币|人民幣|美金|美元|港币|港幣|nt\$|us\$|hk\$|rmb|cn¥|£|€)"
 )
 DATE_REGEX = (
     r"((?:19|20)\d{2}\s*[年./\-]\s*\d{1,2}\s*[月./\-]\s*\d{1,2}\s*日?"
@@ -73,9 +75,6 @@ DEADLINE_TERMS = [
     "截止", "期限", "到期", "即将到期", "即將到期", "最后期限", "最後期限", "申请截止", "申請截止",
     "逾期", "补件期限", "補件期限",
 ]
-PROOF_TERMS = [
-    "截图", "截圖", "公文", "通知", "错误码", "錯誤碼", "时间线", "時間線", "三联单", "三聯單", "附件",
-]
 # A span in years above this is a calendar year such as 2024年, not a duration.
 MAX_YEARS = 150
 # -----------------------------------------------------------------------------
@@ -97,8 +96,8 @@ def whole_number_words(words: str) -> str:
         grown = f"a.section + (CASE WHEN a.number = 0D THEN 1D ELSE a.number END) * {factor}"
         return state.format(t="a.total", s=grown, n="0D", ok="a.ok")
 
-    def close(factor: str) -> str:
-        return state.format(t=f"a.total + (a.section + a.number) * {factor}", s="0D", n="0D", ok="a.ok")
+    def close(total: str) -> str:
+        return state.format(t=total, s="0D", n="0D", ok="a.ok")
 
     plain = f"translate({words}, {quote(DIGIT_ALIASES[0])}, {quote(DIGIT_ALIASES[1])})"
     step = (
@@ -108,8 +107,8 @@ def whole_number_words(words: str) -> str:
         + f" WHEN locate(c, {quote(TENS)}) > 0 THEN {times('10D')}"
         f" WHEN locate(c, {quote(HUNDREDS)}) > 0 THEN {times('100D')}"
         f" WHEN locate(c, {quote(THOUSANDS)}) > 0 THEN {times('1000D')}"
-        f" WHEN locate(c, {quote(MYRIADS)}) > 0 THEN {close('10000D')}"
-        f" WHEN locate(c, {quote(HUNDRED_MILLIONS)}) > 0 THEN {close('100000000D')}"
+        f" WHEN locate(c, {quote(MYRIADS)}) > 0 THEN {close('a.total + (a.section + a.number) * 10000D')}"
+        f" WHEN locate(c, {quote(HUNDRED_MILLIONS)}) > 0 THEN {close('(a.total + a.section + a.number) * 100000000D')}"
         " ELSE " + state.format(t="a.total", s="a.section", n="a.number", ok="false") + " END"
     )
     zero = state.format(t="0D", s="0D", n="0D", ok="true")
@@ -145,7 +144,7 @@ def _near_currency(window: str) -> str:
     return let("_n", window, let("_c", f"lower(regexp_extract(_n, {quote(CURRENCY_MARK)}, 1))", found))
 
 
-def _amounts(text: str, core: str, parts: str, groups: tuple[tuple[int, ...], ...], value: str, keep: str) -> str:
+def _amounts(text: str, core: str, parts: str, groups: tuple[tuple[int, ...], ...], value: str, keep: str, currency: str) -> str:
     """Amounts of one notation.
 
     ``core`` finds a mention, ``parts`` takes it apart into ``groups`` (of the
@@ -167,19 +166,22 @@ def _amounts(text: str, core: str, parts: str, groups: tuple[tuple[int, ...], ..
     )
     shown = (
         f"transform(filter({rows}, m -> m.value BETWEEN 1D AND 1e13D AND ({keep})), m -> named_struct('amount', round(m.value, 2),"
-        f" 'currency', coalesce(m.near, {suffix}[m.cur], {quote(DEFAULT_CURRENCY)}), 'raw', m.raw))"
+        f" 'currency', coalesce(m.near, {suffix}[m.cur], {quote(currency)}), 'raw', m.raw))"
     )
     return regex_spans(text, core, shown)
 
 
-def extract_amounts(text: str) -> str:
-    """array<struct<amount,currency,raw>>: distinct money amounts, smallest first."""
+def extract_amounts(text: str, currency: str = DEFAULT_CURRENCY) -> str:
+    """array<struct<amount,currency,raw>>: distinct money amounts, smallest first.
+
+    ``currency`` is that of amounts that name none.
+    """
     none = "cast(array() AS array<struct<amount:double,currency:string,raw:string>>)"
     by_digits = _amounts(
         text, AMOUNT_CORE, AMOUNT_PARTS, ((1,), (2,), (3,)), "cast(replace(m.num, ',', '') AS double)",
-        "m.unit <> '' OR m.cur <> '' OR m.near IS NOT NULL OR contains(m.num, ',')",
+        "m.unit <> '' OR m.cur <> '' OR m.near IS NOT NULL OR contains(m.num, ',')", currency,
     )
-    by_words = _amounts(text, AMOUNT_WORDS, f"^{AMOUNT_WORDS}$", ((1,), (2, 4), (3,)), number_words("m.num"), "m.value >= 10D OR m.unit <> ''")
+    by_words = _amounts(text, AMOUNT_WORDS, f"^{AMOUNT_WORDS}$", ((1,), (2, 4), (3,)), number_words("m.num"), "m.value >= 10D OR m.unit <> ''", currency)
     wide = f"{text} RLIKE {quote(r'[\u4e00-\u9fff]')}"
     # an amount in digits has a thousands comma, a unit or currency in wide characters, or a mark that decides
     marked = let("_low", f"lower({text})", " OR ".join(f"contains(_low, {quote(m)})" for m in (*MARK_CURRENCY, "ntd")))

@@ -11,8 +11,6 @@ from siftline.functions.sql import let, quote, string_array
 from siftline.functions.text import fit
 from siftline.operators.rows import explode_structs
 
-MAX_ACCOUNTS = 5
-MAX_ENTITY_CHARS = 60
 TRIMMED = "，。；：！？、（）()「」『』\"'"
 
 
@@ -39,8 +37,8 @@ def entities_sql(text: str, patterns: Iterable[tuple[str, str]], names: Iterable
         parts.append(typed(hits, etype))
     parts.append(typed(N.extract_dates(text), "DATE"))
     parts.append(typed(f"transform({N.extract_amounts(text)}, _m -> _m.raw)", "MONEY"))
-    parts.append(typed(f"slice({N.extract_accounts(text)}, 1, {MAX_ACCOUNTS})", "BANK_ACCOUNT"))
-    found = f"filter(concat({', '.join(parts)}), _e -> _e.text <> '' AND length(_e.text) <= {MAX_ENTITY_CHARS})"
+    parts.append(typed(N.extract_accounts(text), "BANK_ACCOUNT"))
+    found = f"filter(concat({', '.join(parts)}), _e -> _e.text <> '')"
     count = "size(filter(_a, _y -> _y = _e))"
     return let("_a", found, f"transform(array_distinct(_a), _e -> named_struct('type', _e.type, 'text', _e.text, 'count', {count}))")
 

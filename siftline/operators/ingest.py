@@ -175,11 +175,15 @@ def attach_child_text(docs: DataFrame, children: DataFrame, separator: str = "\n
     return join_null_safe(parts, offsets, ["doc_id", "child_no"]).select("doc_id", "child_no", "start", "text")
 
 
-def combined_text(body: str, attachments: str, max_cells: int = 300) -> str:
-    """SQL text of a mail whose attachments are an array<struct<filename,text,cells>> in the same row."""
+def combined_text(body: str, attachments: str, max_cells: int | None = None) -> str:
+    """SQL text of a mail whose attachments are an array<struct<filename,text,cells>> in the same row.
+
+    ``max_cells`` shortens a sheet for display.
+    """
     text_part = "concat('\\n===== ', _x.filename, ' =====\\n', _x.text)"
     cell = "concat('[', _y.sheet, ' r', _y.row, 'c', _y.col, '] ', _y.value)"
-    cells = f"array_join(transform(slice(_x.cells, 1, {max_cells}), _y -> {cell}), '\\n')"
+    shown = "_x.cells" if max_cells is None else f"slice(_x.cells, 1, {max_cells})"
+    cells = f"array_join(transform({shown}, _y -> {cell}), '\\n')"
     cell_part = f"concat('\\n===== ', _x.filename, ' cells =====\\n', {cells})"
     parts = (
         f"flatten(transform({attachments}, _x -> filter(array(CASE WHEN trim(_x.text) <> '' THEN {text_part} END,"

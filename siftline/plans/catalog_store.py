@@ -657,3 +657,17 @@ def _(spark, sf_dir):
     days = J.daily_counts(events, "ts", ["event_type"])
     spread = days.groupBy(F.window("window_start", "7 days", "1 day", "0 days"), "event_type").agg(F.sum("n").alias("n"))
     return spread.select(F.date_format("window.start", "yyyy-MM-dd").alias("from_day"), "event_type", "n")
+
+
+@query(
+    "session_activity",
+    """WITH e AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events),
+    s AS (SELECT user_id, ts, sum(CASE WHEN p IS NULL OR ts - p > INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e)
+    SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS session_end,
+      CAST(count(*) AS BIGINT) AS n FROM s GROUP BY user_id, k""",
+)
+def _(spark, sf_dir):
+    """Sessions of each user: events at most half an hour apart."""
+    found = J.session_activity(spark.read.parquet(f"{sf_dir}/events.parquet"), "ts", "user_id")
+    shown = [F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("session_start", "session_end")]
+    return found.select("user_id", *shown, "n")

@@ -28,7 +28,6 @@ MAIL_SCHEMA = (
     " recipients array<string>, cc array<string>, date string, plain string, html_parts array<string>,"
     f" attachments {ATTACHMENT}"
 )
-MAX_CELL_CHARS = 500
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, key: str | None = None) -> DataFrame:
@@ -177,7 +176,7 @@ def read_delimited_cells(files: DataFrame, key: str = "path", max_rows: int | No
                 for row_no, row in enumerate(csv.reader(io.StringIO(body)), start=1):
                     if max_rows is not None and row_no > max_rows:
                         break
-                    cells = [{"col": i, "value": v.strip()[:MAX_CELL_CHARS]} for i, v in enumerate(row, start=1) if v.strip()]
+                    cells = [{"col": i, "value": v.strip()} for i, v in enumerate(row, start=1) if v.strip()]
                     if cells:
                         out.append((name, row_no, " | ".join(v.strip() for v in row if v.strip()), cells))
                     if len(out) >= 5000:

@@ -28,30 +28,49 @@ def run_to_end(query: StreamingQuery) -> None:
 
 
 def incremental_triage(
-    incoming: DataFrame, analyse: Callable[[DataFrame], DataFrame], register: str, checkpoint: str, done: str = "true"
+    incoming: DataFrame, analyse: Callable[[DataFrame], DataFrame], register: str, checkpoint: str, done: str = "true", version: str | None = None
 ) -> StreamingQuery:
     """Analyse what has not been analysed yet; each micro-batch adds one folder to the register.
 
-    A batch writes only its own rows, so its cost does not grow with the
-    register, and a batch that is run again after a failure overwrites its own
-    folder.  ``done`` says which register rows are finished; documents whose
-    row is not (a failed analysis) are taken again when they come in again.
+    A batch writes only its own rows, and one that is run again after a failure
+    overwrites its own folder.  Folders are numbered on from what the register
+    held when the checkpoint was new, so a new checkpoint never touches earlier
+    results.  Finding which ids of a batch are done reads the register's ids.
+    ``done`` says which register rows are finished; documents whose row is not
+    (a failed analysis) are taken again when they come in again.  Of several
+    versions of a document in one batch the one with the largest ``version``
+    is taken (by default, the largest row).
     """
+    base = _first_folder(incoming.sparkSession, register, checkpoint)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        latest = batch.dropDuplicates(["doc_id"])
+        spark, folder = batch.sparkSession, base + batch_id
+        plain = [c for c, t in batch.dtypes if "map<" not in t]
+        newest = F.max_by(F.struct(*batch.columns), F.struct(*([version] if version else plain)))
+        latest = batch.groupBy("doc_id").agg(newest.alias("_row")).select("_row.*")
         todo = latest
-        if batch_id > 0 and register_exists(spark, register):
+        if register_exists(spark, register):
             # the batch is the small side: find which of its ids are done, then leave those out
-            finished = spark.read.parquet(register).filter((F.col("batch") < batch_id) & F.expr(done))
+            finished = spark.read.parquet(register).filter((F.col("batch") < folder) & F.expr(done))
             finished = finished.join(latest.select("doc_id"), "doc_id", "left_semi").select("doc_id").distinct()
             todo = latest.join(finished, "doc_id", "left_anti")
-        analyse(todo).write.mode("overwrite").parquet(f"{register}/batch={batch_id}")
+        analyse(todo).write.mode("overwrite").parquet(f"{register}/batch={folder}")
 
     return incoming.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _first_folder(spark: SparkSession, register: str, checkpoint: str) -> int:
+    """The register folder of this checkpoint's batch 0, decided once and kept with the checkpoint."""
+    note = f"{checkpoint}/first_register_folder"
+    if register_exists(spark, note):
+        return spark.read.parquet(note).first()[0]
+    first = 0
+    if register_exists(spark, register):
+        first = spark.read.parquet(register).agg(F.coalesce(F.max("batch") + 1, F.lit(0))).first()[0]
+    spark.range(1).select(F.lit(int(first)).cast("long").alias("first")).coalesce(1).write.parquet(note)
+    return int(first)
+
+
 def register_exists(spark: SparkSession, register: str) -> bool:
     try:
         spark.read.parquet(register)
@@ -69,7 +88,7 @@ def current_register(spark: SparkSession, register: str) -> DataFrame:
 
 def stream_dedupe(stream: DataFrame, key: str, ts: str, delay: str = "1 hour", history: DataFrame | None = None) -> DataFrame:
     """First event of each key within the watermark, without keys of the history table."""
-    fresh = stream.join(history.select(key).distinct(), key, "left_anti") if history is not None else stream
+    fresh = stream.join(history.select(key), key, "left_anti") if history is not None else stream
     return fresh.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
@@ -85,6 +104,15 @@ def daily_counts(stream: DataFrame, ts: str, group: list[str], delay: str = "1 d
     )
 
 
+def session_activity(events: DataFrame, ts: str, key: str, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
+    """Sessions of each key: runs of events at most ``gap`` apart, with their bounds and number of events."""
+    stamped = events.withColumn(ts, F.col(ts).cast("timestamp"))
+    watermarked = stamped.withWatermark(ts, delay) if events.isStreaming else stamped
+    return watermarked.groupBy(F.session_window(ts, gap), key).agg(F.count("*").alias("n")).select(
+        key, F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "n"
+    )
+
+
 def write_table(result: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     return result.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
 

@@ -19,6 +19,8 @@ def values(spark, sql, texts):
         ("新台币80万元", [(800000.0, "TWD")]), ("人民币20万元", [(200000.0, "TWD")]), ("5000美元", [(5000.0, "USD")]),
         ("NT$800000", [(800000.0, "TWD")]), ("rmb 5000", [(5000.0, "CNY")]), ("八十萬元", [(800000.0, "TWD")]),
         ("一点五亿", [(150000000.0, "TWD")]), ("一亿三千万元", [(130000000.0, "TWD")]), ("一元", []),
+        ("US$ 5,000", [(5000.0, "USD")]), ("HK$5,000", [(5000.0, "HKD")]), ("£5,000", [(5000.0, "GBP")]), ("3千万美元", [(30000000.0, "USD")]),
+        ("三万亿元", [(3e12, "TWD")]), ("2百万元", [(2000000.0, "TWD")]), ("一万五千亿元", [(1.5e12, "TWD")]), ("三千万美元", [(30000000.0, "USD")]),
         ("1、2、3 与 2026年 30", []), ("$100", []), ("12%", []), ("共 5000元 又 八十元 又 5,000", [(80.0, "TWD"), (5000.0, "TWD")]),
     ],
 )

@@ -5,6 +5,7 @@ from email.mime.text import MIMEText
 
 from pyspark.sql import functions as F
 
+from siftline.sources.readers import html_to_text
 from siftline.functions.registry import register_sql_functions
 from siftline.sources import readers as RD
 from siftline.sources import writers as WR
@@ -90,3 +91,10 @@ def test_tasks_need_no_copy_of_the_package():
 
     data = cloudpickle.dumps(lambda t: terms._all_marks(t, 8, 17))
     assert b"siftline.operators" not in data or cloudpickle.loads(data)("x" * 40) is not None
+
+
+def test_html_attributes_and_references(spark):
+    pages = ["<a title='x>y'>z</a>", '<p title="a>b">c</p>', "a &check; b", "a&nbsp&lt b", "&#65;&#x42 &amp;lt; &nosuch; &copy2", "x <3 y"]
+    df = spark.createDataFrame(list(enumerate(pages)), "i int, html string")
+    got = [r.text for r in html_to_text(df).orderBy("i").collect()]
+    assert got == ["z", "c", "a \u2713 b", "a\u00a0< b", "AB &lt; &nosuch; \u00a92", "x <3 y"]

@@ -36,6 +36,32 @@ def test_incremental_triage(spark):
     assert spark.read.parquet(register).count() == 5
 
 
+def test_a_new_checkpoint_keeps_what_is_registered(spark):
+    inbox, register = scratch_path(spark, "inbox"), scratch_path(spark, "register")
+    schema = spark.createDataFrame([], SCHEMA).schema
+
+    def run(checkpoint):
+        stream = J.stream_table(spark, inbox, schema)
+        J.run_to_end(J.incremental_triage(stream, lambda b: b.select("doc_id", "text"), register, checkpoint, version="text"))
+
+    put(spark, inbox, [(1, "a"), (2, "b"), (2, "c")])
+    run(scratch_path(spark, "checkpoint"))
+    put(spark, inbox, [(3, "d")])
+    second = scratch_path(spark, "checkpoint")
+    run(second)
+    assert rows_of(J.current_register(spark, register), "doc_id", "text") == [(1, "a"), (2, "c"), (3, "d")]
+    put(spark, inbox, [(4, "e")])
+    run(second)
+    assert rows_of(J.current_register(spark, register), "doc_id", "text") == [(1, "a"), (2, "c"), (3, "d"), (4, "e")]
+    assert spark.read.parquet(register).count() == 4
+
+
+def test_sessions(spark):
+    rows = [("a", "2024-01-01 10:00:00"), ("a", "2024-01-01 10:29:59"), ("a", "2024-01-01 11:00:00"), ("b", "2024-01-01 10:10:00")]
+    got = J.session_activity(spark.createDataFrame(rows, "user string, ts string"), "ts", "user")
+    assert sorted((r.user, r.n) for r in got.collect()) == [("a", 1), ("a", 2), ("b", 1)]
+
+
 def test_stream_equals_batch(spark):
     path = "/root/testdata/sf0.001"
     events = spark.read.parquet(f"{path}/events.parquet")
