@@ -468,16 +468,85 @@ def _triaged(spark, sf_dir):
     return TR.triage(read_table(spark, sf_dir, "documents", "doc_id"), K.demo_pack(spark).compile())
 
 
-@query("triage_documents")
+def _triage_ctes() -> str:
+    """Common table expressions of the whole triage of ``documents`` with the demo pack; the last is ``t``.
+
+    No amounts and no markers of old news occur in the documents.
+    """
+    terms = sql_values([(p, g, n, x) for p, _, g, n, x, k, *_ in K.DEMO_PATTERNS if k == "term"], ["pattern_id", "group_no", "term_no", "term"])
+    exclusions = _exclusion_sql().removeprefix(f"{O_DOCS}, ")
+    negatives = []
+    for rid, require, n, also, forbid, types, flags, delta, cap in K.DEMO_NEGATIVES:
+        cond = ["(" + " + ".join(f"CAST(contains(t, '{x}') AS INT)" for x in require) + f") >= {n}"]
+        if also:
+            cond.append("(" + " OR ".join(f"contains(t, '{x}')" for x in also) + ")")
+        cond += [f"NOT contains(t, '{x}')" for x in forbid]
+        cond += [f"doc_id NOT IN (SELECT doc_id FROM hx WHERE ktype = '{k}')" for k in types]
+        cond += ["FALSE" for f in flags if f == "amounts"]
+        negatives.append(f"SELECT doc_id, '{rid}' AS rule_id, CAST({delta} AS DOUBLE) AS delta, CAST({'NULL' if cap is None else cap} AS DOUBLE) AS cap FROM d WHERE {' AND '.join(cond)}")
+    return f"""{_P_CTE}, pm AS (SELECT r.doc_id, r.pattern_id, p.category, CAST(p.score AS DOUBLE) AS score, r.level, r.window_no FROM r JOIN p USING (pattern_id) WHERE rn = 1),
+    gt AS {terms}, pt AS (SELECT pm.doc_id, gt.term, row_number() OVER (PARTITION BY pm.doc_id, pm.pattern_id, gt.group_no ORDER BY gt.term_no) AS n FROM pm
+      JOIN w ON w.doc_id = pm.doc_id AND w.level = pm.level AND w.window_no = pm.window_no JOIN gt ON gt.pattern_id = pm.pattern_id AND contains(w.x, gt.term)),
+    {O_SURF}, {O_HITS}, {exclusions},
+    hx AS (SELECT h.doc_id, h.surface, h.ktype, h.category, coalesce(ex.kept, h.count) AS count FROM h LEFT JOIN ex ON ex.doc_id = h.doc_id AND ex.term = h.surface
+      WHERE coalesce(ex.kept, h.count) > 0),
+    n AS ({' UNION ALL '.join(negatives)}),
+    ng AS (SELECT doc_id, sum(delta) AS delta, min(cap) AS cap, string_agg(rule_id, '|' ORDER BY rule_id) AS ids FROM n GROUP BY doc_id),
+    pc AS (SELECT doc_id, unnest(string_split(category, '|')) AS c FROM pm UNION SELECT hx.doc_id, hx.category FROM hx JOIN pt ON pt.doc_id = hx.doc_id AND pt.term = hx.surface
+      WHERE pt.n = 1 AND ktype = 'C'),
+    hs AS (SELECT doc_id, category AS c, sum(count) AS n FROM hx WHERE ktype = 'H' GROUP BY ALL),
+    me AS (SELECT doc_id, category AS c, sum(count) AS n FROM hx WHERE ktype IN ('M', 'E') GROUP BY ALL),
+    cs AS (SELECT doc_id, category AS c, sum(count) AS n FROM hx WHERE ktype = 'C' GROUP BY ALL),
+    nh AS (SELECT doc_id, count(*) AS k FROM hs GROUP BY doc_id),
+    rr AS (SELECT doc_id, c, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, c) AS rn FROM me ANTI JOIN hs USING (doc_id, c)),
+    np AS (SELECT doc_id, c, 0 AS part, -n AS o FROM hs UNION ALL SELECT rr.doc_id, c, 1, -n FROM rr LEFT JOIN nh USING (doc_id) WHERE rn <= 3 - coalesce(k, 0)),
+    cf AS (SELECT doc_id, c, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, c) AS rn, -n AS o FROM cs),
+    ac AS (SELECT doc_id, c, 0 AS part, 0 AS o FROM pc UNION ALL SELECT doc_id, c, part, o FROM np ANTI JOIN pc USING (doc_id)
+      UNION ALL SELECT doc_id, c, 2, o FROM cf ANTI JOIN pc USING (doc_id) ANTI JOIN np USING (doc_id) WHERE rn <= 2),
+    ca AS (SELECT doc_id, string_agg(c, '|' ORDER BY part, o, c) AS categories, count(*) AS n_cat FROM ac GROUP BY doc_id),
+    ht AS (SELECT doc_id, ktype, least(sum((CASE ktype {_W} END) * (1 + 0.2 * (least(count, 3) - 1))), max(CASE ktype {_C} END)) AS v, count(*) AS k FROM hx GROUP BY ALL),
+    tv AS (SELECT doc_id, sum(v) AS v, coalesce(sum(k) FILTER (ktype = 'H'), 0) AS n_h, coalesce(sum(k) FILTER (ktype = 'E'), 0) AS e,
+      coalesce(sum(k) FILTER (ktype = 'M'), 0) AS m, coalesce(sum(k) FILTER (ktype = 'C'), 0) AS c FROM ht GROUP BY doc_id),
+    pb AS (SELECT doc_id, c, max(score) AS s FROM (SELECT doc_id, unnest(string_split(category, '|')) AS c, score FROM pm) GROUP BY ALL),
+    pv AS (SELECT doc_id, sum(s * 0.6) AS v FROM pb GROUP BY doc_id),
+    pl AS (SELECT doc_id, string_agg(pattern_id, '|' ORDER BY pattern_id) AS patterns, max(score) AS best FROM pm GROUP BY doc_id),
+    b AS (SELECT d.doc_id, categories, coalesce(n_cat, 0) AS n_cat, patterns, best, ids, coalesce(delta, 0) AS delta, cap, coalesce(n_h, 0) AS n_h, coalesce(e, 0) AS e, coalesce(c, 0) AS c,
+      round(greatest(0, least(coalesce(tv.v, 0) + coalesce(pv.v, 0) + CASE WHEN e >= 3 THEN 4 ELSE 0 END
+        + CASE WHEN m >= 2 AND c >= 1 AND e >= 1 AND pv.v IS NULL THEN least(30, 12 + 4 * (m - 2) + 3 * least(e, 3)) ELSE 0 END
+        + CASE WHEN m >= 3 AND c >= 2 THEN 8 ELSE 0 END + coalesce(delta, 0), coalesce(cap, 1e9))), 2) AS rule_score
+      FROM d LEFT JOIN tv USING (doc_id) LEFT JOIN pv USING (doc_id) LEFT JOIN ng USING (doc_id) LEFT JOIN ca USING (doc_id) LEFT JOIN pl USING (doc_id)),
+    dm AS (SELECT *, least(20, CASE WHEN n_h >= 3 THEN 17 WHEN n_h = 2 THEN 15 WHEN n_h = 1 THEN 12 ELSE 0 END + CASE WHEN patterns IS NOT NULL THEN 3 ELSE 0 END)
+      + 2 + CASE WHEN e >= 3 THEN 12 WHEN e >= 1 THEN 8 ELSE 0 END + CASE WHEN c >= 2 THEN 12 WHEN c = 1 THEN 8 ELSE 0 END + CASE WHEN n_cat >= 2 THEN 3 ELSE 0 END + 10
+      + CASE WHEN rule_score >= 90 THEN 35 WHEN rule_score >= 70 THEN 20 WHEN rule_score >= 45 THEN 10 ELSE 0 END AS total,
+      least(CASE WHEN rule_score < 45 THEN 38 WHEN rule_score < 70 THEN 65 WHEN rule_score < 90 THEN 80 ELSE 100 END, coalesce(cap, 100)) AS gate FROM b),
+    sc AS (SELECT *, greatest(0, least(100, round_even(least(total + delta, gate), 0))) AS score FROM dm),
+    t AS (SELECT *, CASE WHEN score >= 90 THEN 'S' WHEN score >= 75 THEN 'A' WHEN score >= 60 THEN 'B' WHEN score >= 40 THEN 'C' ELSE 'D' END AS band FROM sc)"""
+
+
+@query(
+    "triage_documents",
+    f"""WITH {_triage_ctes()} SELECT doc_id, coalesce(categories, '') AS categories, coalesce(patterns, '') AS patterns, coalesce(ids, '') AS negatives,
+      CAST(rule_score AS DOUBLE) AS rule_score, CAST(total AS DOUBLE) AS total, CAST(score AS DOUBLE) AS score, band,
+      CASE WHEN rule_score >= 60 THEN 'SCORE' WHEN best >= 70 THEN 'PATTERN' END AS escalation FROM t""",
+)
 def _(spark, sf_dir):
     """Every signal of every document; lists are shown as text."""
     return _triaged(spark, sf_dir).select(
         "doc_id", F.array_join("categories", "|").alias("categories"), F.expr("array_join(transform(patterns, _p -> _p.pattern_id), '|')").alias("patterns"),
-        F.expr("array_join(transform(negatives, _n -> _n.rule_id), '|')").alias("negatives"), "rule_score", "total", "score", "band", "summary", "escalation",
+        F.expr("array_join(transform(negatives, _n -> _n.rule_id), '|')").alias("negatives"), "rule_score", "total", "score", "band", "escalation",
     )
 
 
-@query("triage_bands")
+@query("triage_summaries")
+def _(spark, sf_dir):
+    """The summary line of every document."""
+    return _triaged(spark, sf_dir).select("doc_id", "summary")
+
+
+@query(
+    "triage_bands",
+    f"WITH {_triage_ctes()} SELECT band, CAST(count(*) AS BIGINT) AS n_docs, round(CAST(avg(rule_score) AS DOUBLE), 4) AS avg_rule_score FROM t GROUP BY band",
+)
 def _(spark, sf_dir):
     return TR.band_summary(_triaged(spark, sf_dir))
 
