@@ -468,7 +468,7 @@ def _triaged(spark, sf_dir):
     return TR.triage(read_table(spark, sf_dir, "documents", "doc_id"), K.demo_pack(spark).compile())
 
 
-def _triage_ctes() -> str:
+def _triage_ctes(novelty: str = "10", stage: str = "0", bulk: str = "FALSE") -> str:
     """Common table expressions of the whole triage of ``documents`` with the demo pack; the last is ``t``.
 
     No amounts and no markers of old news occur in the documents.
@@ -516,10 +516,10 @@ def _triage_ctes() -> str:
         + CASE WHEN m >= 3 AND c >= 2 THEN 8 ELSE 0 END + coalesce(delta, 0), coalesce(cap, 1e9))), 2) AS rule_score
       FROM d LEFT JOIN tv USING (doc_id) LEFT JOIN pv USING (doc_id) LEFT JOIN ng USING (doc_id) LEFT JOIN ca USING (doc_id) LEFT JOIN pl USING (doc_id)),
     dm AS (SELECT *, least(20, CASE WHEN n_h >= 3 THEN 17 WHEN n_h = 2 THEN 15 WHEN n_h = 1 THEN 12 ELSE 0 END + CASE WHEN patterns IS NOT NULL THEN 3 ELSE 0 END)
-      + 2 + CASE WHEN e >= 3 THEN 12 WHEN e >= 1 THEN 8 ELSE 0 END + CASE WHEN c >= 2 THEN 12 WHEN c = 1 THEN 8 ELSE 0 END + CASE WHEN n_cat >= 2 THEN 3 ELSE 0 END + 10
+      + 2 + CASE WHEN e >= 3 THEN 12 WHEN e >= 1 THEN 8 ELSE 0 END + CASE WHEN c >= 2 THEN 12 WHEN c = 1 THEN 8 ELSE 0 END + CASE WHEN n_cat >= 2 THEN 3 ELSE 0 END + {novelty}
       + CASE WHEN rule_score >= 90 THEN 35 WHEN rule_score >= 70 THEN 20 WHEN rule_score >= 45 THEN 10 ELSE 0 END AS total,
-      least(CASE WHEN rule_score < 45 THEN 38 WHEN rule_score < 70 THEN 65 WHEN rule_score < 90 THEN 80 ELSE 100 END, coalesce(cap, 100)) AS gate FROM b),
-    sc AS (SELECT *, greatest(0, least(100, round_even(least(total + delta, gate), 0))) AS score FROM dm),
+      least(CASE WHEN rule_score < 45 THEN 38 WHEN rule_score < 70 THEN 65 WHEN rule_score < 90 THEN 80 ELSE 100 END, coalesce(cap, 100), CASE WHEN {bulk} THEN 15 ELSE 100 END) AS gate FROM b JOIN d USING (doc_id)),
+    sc AS (SELECT *, greatest(0, least(100, round_even(least(total + {stage} + delta, gate), 0))) AS score FROM dm),
     t AS (SELECT *, CASE WHEN score >= 90 THEN 'S' WHEN score >= 75 THEN 'A' WHEN score >= 60 THEN 'B' WHEN score >= 40 THEN 'C' ELSE 'D' END AS band FROM sc)"""
 
 
@@ -537,6 +537,28 @@ def _(spark, sf_dir):
     )
 
 
+KNOWN = "doc_id IN (SELECT x.doc_id FROM documents x JOIN benchmark y ON contains(x.text, y.text) WHERE length(y.text) >= 24)"
+
+
+@query(
+    "triage_in_context",
+    "WITH " + _triage_ctes(
+        f"CASE WHEN NOT {KNOWN} THEN 10 WHEN e > 0 THEN 5 ELSE 0 END",
+        "CASE WHEN lang = 'de' THEN 8 WHEN lang = 'fr' AND e > 0 THEN -8 WHEN lang = 'fr' THEN -25 ELSE 0 END",
+        "contains(t, 'license') AND contains(t, 'released')",
+    ) + " SELECT doc_id, CAST(total AS DOUBLE) AS total, CAST(score AS DOUBLE) AS score, band FROM t",
+)
+def _(spark, sf_dir):
+    """Triage with known cases from ``benchmark``, an evidence stage and a cap on notices."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id")
+    matches = R.known_case_match(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("relation <> 'PART_OF'")
+    known = R.known_flags(docs, matches).select("doc_id", "known")
+    markers = "contains(norm, 'license') AND contains(norm, 'released')"
+    context = TR.Context(known="known", stage="CASE lang WHEN 'de' THEN 'E3' WHEN 'fr' THEN 'EX' ELSE '' END", bulk=markers)
+    out = TR.triage(docs.join(known, "doc_id"), K.demo_pack(spark).compile(), context=context)
+    return out.select("doc_id", "total", "score", "band")
+
+
 @query("triage_summaries")
 def _(spark, sf_dir):
     """The summary line of every document."""

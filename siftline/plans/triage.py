@@ -6,6 +6,8 @@ one Arrow pass that finds all terms.  The cost grows with the amount of text and
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from siftline.functions.sql import any_contains, string_array
 from siftline.operators import score as A
 from siftline.operators.extract import summary_sql
 from siftline.operators.matcher import attach_hits
-from siftline.operators.negatives import negative_hits_sql, no_new_information
+from siftline.operators.negatives import RECEIPT_CAP, negative_hits_sql, no_new_information
 from siftline.operators.patterns import Signals, keep_unexcluded_sql, pattern_hits_sql
 from siftline.plans.packs import CompiledPack
 
@@ -40,7 +42,24 @@ def prepare(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("norm", F.expr(T.normalize_text(text, keep_newlines=True)))
 
 
-def signals(docs: DataFrame, pack: CompiledPack, text: str = "text") -> DataFrame:
+@dataclass(frozen=True)
+class Context:
+    """What is known of a document from elsewhere, as SQL expressions over its columns.
+
+    ``known``: it repeats a known case (see ``known_case_match``).  ``stage``:
+    the stage of its evidence.  ``target``: it names a listed party.
+    ``entities``: an array of the names that fill ``entity`` groups.  ``bulk``:
+    it is a receipt, a notice or an advertisement, whose score is capped.
+    """
+
+    known: str = "false"
+    stage: str = "''"
+    target: str = "false"
+    entities: str = "cast(array() AS array<string>)"
+    bulk: str = "false"
+
+
+def signals(docs: DataFrame, pack: CompiledPack, text: str = "text", context: Context = Context()) -> DataFrame:
     """Documents with hits, amounts, patterns, negatives, categories and the rule score."""
     prepared = attach_hits(prepare(docs, text), {"_hits": pack.terms}, "norm")
     hits = keep_unexcluded_sql("_hits", "norm", pack.exclusions)
@@ -53,7 +72,7 @@ def signals(docs: DataFrame, pack: CompiledPack, text: str = "text") -> DataFram
     staged = staged.withColumn(
         "no_new", F.expr(no_new_information("norm", "size(amounts) > 0", "exists(hits, _h -> _h.ktype = 'E')"))
     )
-    sources = Signals(amounts="transform(amounts, _m -> lower(_m.raw))", reversals="x_terms", flag="no_new")
+    sources = Signals(amounts="transform(amounts, _m -> lower(_m.raw))", reversals="x_terms", entities=context.entities, flag="no_new")
     staged = staged.withColumn("patterns", F.expr(pattern_hits_sql("norm", pack.patterns, sources)))
     types = "array_distinct(transform(hits, _h -> _h.ktype))"
     flags = (
@@ -68,23 +87,25 @@ def signals(docs: DataFrame, pack: CompiledPack, text: str = "text") -> DataFram
         F.expr(A.assign_categories("hits", "patterns")).alias("categories"),
         *(F.expr(A.count_type("hits", t)).alias(f"n_{t.lower()}") for t in "HMCE"),
     )
-    return staged.withColumn("rule_score", F.expr(A.rule_score("hits", "patterns", "size(amounts)", "false", "delta", "cap")))
+    return staged.withColumn("rule_score", F.expr(A.rule_score("hits", "patterns", "size(amounts)", context.target, "delta", "cap")))
 
 
-def triage(docs: DataFrame, pack: CompiledPack, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def triage(docs: DataFrame, pack: CompiledPack, text: str = "text", keep: tuple[str, ...] = (), context: Context = Context()) -> DataFrame:
     """One row per document: signals, score dimensions, final score and band.
 
     ``keep`` names further columns to pass on (``norm`` is the matching form
     of the text).
     """
-    base = signals(docs, pack, text)
+    base = signals(docs, pack, text, context)
     oldish = any_contains("norm", REPOST_MARKERS)
     base = base.withColumn(
-        "novelty", F.expr(S.novelty_score("false", "size(amounts) > 0", "n_e > 0", "no_new", oldish))
+        "novelty", F.expr(S.novelty_score(context.known, "size(amounts) > 0", "n_e > 0", "no_new", oldish))
     )
     scored = A.score_dimensions(base, DIMENSIONS, keep=base.columns)
     gate = S.signal_gate_cap("rule_score", "coalesce(cap, 100D)")
-    scored = scored.withColumn("score", F.expr(A.final_score("total", "0D", "delta", gate)))
+    stage = S.stage_adjust(context.stage, "n_e > 0")
+    gate = f"least({gate}, CASE WHEN {context.bulk} THEN {RECEIPT_CAP}D ELSE 100D END)"
+    scored = scored.withColumn("score", F.expr(A.final_score("total", stage, "delta", gate)))
     scored = scored.withColumn("band", F.expr(S.band("score")))
     summary = summary_sql(
         "categories", "patterns", "amounts", "transform(filter(hits, _h -> _h.ktype = 'E'), _h -> _h.term)",
