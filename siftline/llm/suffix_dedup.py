@@ -17,7 +17,9 @@ many times over; only those sharing an anchor can share a window, so:
 4. Each document applies what was found.
 
 A segment's hash is 128 bits wide with its anchor's.  Rows of a hot passage
-are one for each task and distinct surrounding, never one for each copy.
+are one for each task and distinct surrounding, never one for each copy.  An
+anchor with many distinct surroundings has its windows dealt out by their own
+hash; of equal windows in a batch of texts again only the first travels on.
 Tasks hold one partition of 40-byte rows, or one batch of texts.
 
 Null and empty texts have no bytes and stay.  Rows with a null id are neither
@@ -48,10 +50,12 @@ ANCHOR = 24
 FLUSH = 1_000_000
 #: Suffixes sorted at once.
 SORTED_AT_ONCE = 200_000
+#: Distinct spans around one anchor from which its windows are dealt out one by one.
+WIDE = 32
 
 SEGMENT_ROWS = "anchor long, span long, doc_id long, version int, number int, settled boolean"
-ROUTES = "doc_id long, version int, number int, open boolean"
-CONTEXTS = "anchor long, doc_id long, version int, number int, lead int, context binary"
+ROUTES = "doc_id long, version int, number int, open boolean, wide boolean"
+CONTEXTS = "anchor long, doc_id long, version int, number int, nth int, lead int, context binary"
 REMOVALS = "doc_id long, version int, number int, windows long"
 
 
@@ -108,7 +112,7 @@ def segment_rows(rows: DataFrame, window: int, k: int) -> DataFrame:
     return rows.select("doc_id", "version", "text").mapInArrow(run, SEGMENT_ROWS)
 
 
-def routed(rows: DataFrame) -> DataFrame:
+def routed(rows: DataFrame, wide: int) -> DataFrame:
     """Settles equal spans of different documents; what shares only its anchor stays open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +121,7 @@ def routed(rows: DataFrame) -> DataFrame:
             return
         anchor, span, doc, version, number, settled = (found.column(i).to_numpy() for i in range(6))
         done = np.flatnonzero(settled)
-        yield from in_slices(_record(ROUTES, doc_id=doc[done], version=version[done], number=number[done], open=np.zeros(len(done), bool)))
+        yield from in_slices(_record(ROUTES, doc_id=doc[done], version=version[done], number=number[done], open=np.zeros(len(done), bool), wide=np.zeros(len(done), bool)))
         live = np.flatnonzero(~settled)
         by = live[np.lexsort((doc[live], span[live], anchor[live]))]
         if not len(by):
@@ -133,8 +137,9 @@ def routed(rows: DataFrame) -> DataFrame:
         first = np.where(removed, np.iinfo(np.int64).min, doc)
         mixed = np.maximum.reduceat(first, starts) > np.minimum.reduceat(doc, starts)
         is_open = ~removed & mixed[group]
+        many = (np.add.reduceat(new_span.astype(np.int64), starts) >= wide)[group]
         use = removed | is_open
-        yield from in_slices(_record(ROUTES, doc_id=doc[use], version=version[use], number=number[use], open=is_open[use]))
+        yield from in_slices(_record(ROUTES, doc_id=doc[use], version=version[use], number=number[use], open=is_open[use], wide=many[use]))
 
     return rows.repartition("anchor").mapInArrow(run, ROUTES)
 
@@ -146,25 +151,56 @@ def _flat(column: pa.Array, block: Block) -> tuple[np.ndarray, pa.Array]:
     return np.repeat(np.arange(len(block)), counts), lists.flatten()
 
 
+def _settled_windows(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """Windows of wide anchors, each a row of its own; of equal ones in a batch only the first document's needs its bytes."""
+    key, doc, version, number, nth, data = (np.concatenate(x) for x in zip(*parts, strict=True))
+    by = np.lexsort((doc, key))
+    key, doc, version, number, nth, data = key[by], doc[by], version[by], number[by], nth[by], data[by]
+    fresh = np.ones(len(by), bool)
+    fresh[1:] = key[1:] != key[:-1]
+    head = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+    settled = (doc > doc[head]) & (data == data[head]).all(axis=1)
+    dealt = np.where(settled, mix(doc.view(np.uint64) + number.astype(np.uint64) * np.uint64(64) + nth.astype(np.uint64)), key)
+    length = np.where(settled, 0, data.shape[1])
+    offsets = np.zeros(len(by) + 1, np.int32)
+    np.cumsum(length, out=offsets[1:])
+    bytes_ = pa.Array.from_buffers(pa.binary(), len(by), [None, pa.py_buffer(offsets), pa.py_buffer(data[~settled].tobytes())])
+    return _record(CONTEXTS, anchor=dealt, doc_id=doc, version=version, number=number, nth=nth, lead=np.zeros(len(by), np.int32), context=bytes_)
+
+
 def contexts(texts: DataFrame, window: int, k: int) -> DataFrame:
-    """The bytes of every open segment."""
+    """The bytes of every open segment, or of each of its windows where the anchor is wide.
+
+    A window that its task has settled already has no bytes.
+    """
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids, versions = batch.column("doc_id").to_numpy(), batch.column("version").to_numpy()
+        dealt: list[tuple[np.ndarray, ...]] = []
         for block in blocks(batch.column("text")):
             found = cut(block, window, k)
-            owner, numbers = _flat(batch.column("numbers"), block)
+            owner, marks = _flat(batch.column("numbers"), block)
             first = np.searchsorted(found.owner, np.arange(len(block)))
-            at = first[owner] + numbers.to_numpy()
+            all_at, wide = first[owner] + marks.field("number").to_numpy(), marks.field("wide").to_numpy(zero_copy_only=False)
+            at, rows = all_at[~wide], block.rows.start + owner[~wide]
             length = found.count[at] + window - 1
             offsets = np.zeros(len(at) + 1, np.int32)
             np.cumsum(length, out=offsets[1:])
             data = block.data[ragged(found.start[at], length)]
             bytes_ = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-            rows = block.rows.start + owner
             yield from in_slices(
-                _record(CONTEXTS, anchor=found.anchor[at], doc_id=ids[rows], version=versions[rows], number=found.number[at], lead=found.lead[at], context=bytes_), 1 << 14
+                _record(CONTEXTS, anchor=found.anchor[at], doc_id=ids[rows], version=versions[rows], number=found.number[at],
+                        nth=np.zeros(len(at), np.int32), lead=found.lead[at], context=bytes_), 1 << 14
             )
+            count = found.count[all_at[wide]]
+            at, rows = np.repeat(all_at[wide], count), np.repeat(block.rows.start + owner[wide], count)
+            nth = ragged(np.zeros(len(count), np.int64), count)
+            if len(at):
+                start = found.start[at] + nth
+                key = mix(Prefix(byte_values(block.data)).run(start, start + window))
+                dealt.append((key, ids[rows], versions[rows], found.number[at].astype(np.int32), nth.astype(np.int32), block.data[start[:, None] + np.arange(window)]))
+        if dealt:
+            yield from in_slices(_settled_windows(dealt), 1 << 14)
 
     return texts.mapInArrow(per_batch(run), CONTEXTS)
 
@@ -195,9 +231,16 @@ def sorted_out(rows: DataFrame, window: int) -> DataFrame:
         if found is None:
             return
         anchor = found.column("anchor").to_numpy()
-        by = np.argsort(anchor, kind="stable")
-        anchor = anchor[by]
-        doc, version, number, lead = (found.column(c).to_numpy()[by] for c in ("doc_id", "version", "number", "lead"))
+        empty = pa.compute.binary_length(found.column("context")).to_numpy() == 0
+        names = ("doc_id", "version", "number", "nth", "lead")
+        doc, version, number, shift, lead = (found.column(c).to_numpy() for c in names)
+        bit = np.uint64(1) << shift.astype(np.uint64)
+        yield from in_slices(_record(REMOVALS, doc_id=doc[empty], version=version[empty], number=number[empty], windows=bit[empty]))
+        by = np.flatnonzero(~empty)
+        by = by[np.argsort(anchor[by], kind="stable")]
+        if not len(by):
+            return
+        anchor, doc, version, number, shift, lead = (x[by] for x in (anchor, doc, version, number, shift, lead))
         column = found.column("context").combine_chunks() if isinstance(found.column("context"), pa.ChunkedArray) else found.column("context")
         _, at, raw = column.buffers()
         offsets = np.frombuffer(at, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
@@ -221,7 +264,7 @@ def sorted_out(rows: DataFrame, window: int) -> DataFrame:
             bits = np.zeros(len(n), np.uint64)
             np.bitwise_or.at(bits, row[hit], np.uint64(1) << nth[hit].astype(np.uint64))
             some = np.flatnonzero(bits)
-            yield from in_slices(_record(REMOVALS, doc_id=doc[rows_][some], version=version[rows_][some], number=number[rows_][some], windows=bits[some]))
+            yield from in_slices(_record(REMOVALS, doc_id=doc[rows_][some], version=version[rows_][some], number=number[rows_][some], windows=bits[some] << shift[rows_][some].astype(np.uint64)))
             lo = hi
 
     return rows.repartition("anchor").mapInArrow(run, REMOVALS)
@@ -248,23 +291,23 @@ def removed_bytes(block: Block, owner: np.ndarray, numbers: np.ndarray, windows:
     return covered(start, start + window, len(block.data))
 
 
-def repeats(rows: DataFrame, window: int, k: int) -> DataFrame:
+def repeats(rows: DataFrame, window: int, k: int, wide: int) -> DataFrame:
     """(doc_id, version, found): what to remove from each text that has any repeat."""
     if window - k + 1 > 63:
         raise ValueError("a segment may have 63 windows at most")
-    routes = stored(routed(segment_rows(rows, window, k)), "routes")
-    opened = routes.filter("open").groupBy("doc_id", "version").agg(F.collect_list("number").alias("numbers"))
+    routes = stored(routed(segment_rows(rows, window, k), wide), "routes")
+    opened = routes.filter("open").groupBy("doc_id", "version").agg(F.collect_list(F.struct("number", "wide")).alias("numbers"))
     wanted = stored(contexts(rows.join(opened.hint("merge"), ["doc_id", "version"]), window, k), "contexts")
     removals = stored(sorted_out(wanted, window), "removals")
     whole = routes.filter("NOT open").select("doc_id", "version", "number", F.lit(-1).cast("long").alias("windows"))
     return whole.union(removals).groupBy("doc_id", "version").agg(F.collect_list(F.struct("number", "windows")).alias("found"))
 
 
-def applied(docs: DataFrame, text: str, key: str, window: int, k: int, finish: Callable, schema: str | T.StructType, keep: list[str]) -> DataFrame:
+def applied(docs: DataFrame, text: str, key: str, window: int, k: int, wide: int, finish: Callable, schema: str | T.StructType, keep: list[str]) -> DataFrame:
     """``docs`` with their removals; ``finish`` turns a batch, a block and its removed bytes into result rows."""
     rows = docs.select(*(F.col(c).alias(f"own_{i}") for i, c in enumerate(keep)), F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = rows.withColumn("version", F.shiftright(F.xxhash64("text"), 49).cast("int"))
-    found = repeats(rows.filter("doc_id IS NOT NULL").select("doc_id", "version", "text"), window, k)
+    found = repeats(rows.filter("doc_id IS NOT NULL").select("doc_id", "version", "text"), window, k, wide)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for block in blocks(batch.column("text")):
@@ -275,7 +318,7 @@ def applied(docs: DataFrame, text: str, key: str, window: int, k: int, finish: C
     return rows.join(found.hint("merge"), ["doc_id", "version"], "left").mapInArrow(per_batch(run), schema)
 
 
-def repeat_report(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
+def repeat_report(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, k: int = ANCHOR, wide: int = WIDE) -> DataFrame:
     """One row per row of ``docs``: bytes, removed bytes and runs, and the hash of what is kept."""
 
     def finish(batch: pa.RecordBatch, block: Block, gone: np.ndarray) -> pa.RecordBatch:
@@ -292,10 +335,10 @@ def repeat_report(docs: DataFrame, text: str = "text", key: str = "doc_id", wind
              "n_spans": longs(runs[hi] - runs[lo]), "kept_sha256": pa.array(digests, pa.string())}
         )
 
-    return applied(docs, text, key, window, k, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", [])
+    return applied(docs, text, key, window, k, wide, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", [])
 
 
-def drop_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
+def drop_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, k: int = ANCHOR, wide: int = WIDE) -> DataFrame:
     """``docs`` with repeats cut out of the texts; a character is cut only when all its bytes go."""
     columns = docs.columns
     others = [c for c in columns if c != text]
@@ -313,7 +356,7 @@ def drop_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", windo
         by_name = {c: batch.column(f"own_{i}")[block.rows] for i, c in enumerate(others)} | {text: kept}
         return pa.RecordBatch.from_arrays([by_name[c] for c in columns], names=columns)
 
-    return applied(docs, text, key, window, k, finish, T.StructType(fields), others)
+    return applied(docs, text, key, window, k, wide, finish, T.StructType(fields), others)
 
 
 def op8_suffix_sort(spark, sf_dir: str) -> DataFrame:

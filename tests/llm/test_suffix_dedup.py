@@ -29,8 +29,8 @@ def brute(rows, window=50):
     return sorted(out)
 
 
-def found(docs):
-    return sorted(tuple(r) for r in repeat_report(docs).collect())
+def found(docs, **options):
+    return sorted(tuple(r) for r in repeat_report(docs, **options).collect())
 
 
 def corpus(rng, n, alphabet):
@@ -53,6 +53,15 @@ def test_equals_brute_force(spark, documents, alphabet):
     rows = corpus(random.Random(len(alphabet)), 120, alphabet)
     rows += [(500, None), (501, ""), (502, "a" * 49), (503, "a" * 300), (504, "a" * 70), (505, rows[0][1]), (506, rows[0][1])]
     assert found(documents(rows)) == brute(rows)
+    assert found(documents(rows), wide=1) == brute(rows)
+
+
+def test_an_anchor_with_many_surroundings(spark, documents):
+    rng = random.Random(5)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    own = lambda: "".join(rng.choice("ijklmnop ") for _ in range(60))
+    rows = [(i, own() + passage + own()) for i in range(150)]
+    assert found(documents(rows)) == brute(rows)
 
 
 def test_whole_table_equals_brute_force(spark):
