@@ -31,7 +31,7 @@ MAIL = (
     "concat('Message-ID: <', doc_id, '@Mail.Example>\\r\\nFrom: Desk ', doc_id % 5, ' <desk', doc_id % 5, '@example.org>\\r\\n',"
     " 'To: a@example.org, B C <b@example.org>\\r\\nSubject: item ', doc_id, '\\r\\nDate: Mon, 01 Jan 2024 00:00:00 +0000\\r\\n',"
     " 'MIME-Version: 1.0\\r\\nContent-Type: multipart/mixed; boundary=\"=_b\"\\r\\n\\r\\n--=_b\\r\\n',"
-    " CASE WHEN doc_id % 3 = 0 THEN concat('Content-Type: text/html; charset=utf-8\\r\\nContent-Transfer-Encoding: 8bit\\r\\n\\r\\n<p>', lang, '</p><p>', n_chars, '</p>')"
+    " CASE WHEN doc_id % 3 = 0 THEN concat('Content-Type: text/html; charset=utf-8\\r\\nContent-Transfer-Encoding: 8bit\\r\\n\\r\\n<p>', lang, '</p><div>', replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '</div>')"
     " ELSE concat('Content-Type: text/plain; charset=utf-8\\r\\nContent-Transfer-Encoding: base64\\r\\n\\r\\n', base64(encode(text, 'UTF-8'))) END,"
     " '\\r\\n--=_b\\r\\nContent-Type: text/csv; name=\"n.csv\"\\r\\nContent-Disposition: attachment; filename=\"n.csv\"\\r\\n\\r\\n', lang, ',', n_chars, '\\r\\n--=_b--\\r\\n')"
 )
@@ -47,7 +47,7 @@ def _mails(spark, sf_dir):
     r"""SELECT 'MID:' || sha256(doc_id || '@mail.example') AS doc_id, 'm' || doc_id || '.eml' AS path, doc_id || '@Mail.Example' AS message_id,
     'item ' || doc_id AS subject, 'Desk ' || (doc_id % 5) || ' <desk' || (doc_id % 5) || '@example.org>' AS sender,
     'a@example.org|B C <b@example.org>' AS recipients,
-    CASE WHEN doc_id % 3 = 0 THEN lang || chr(10) || n_chars ELSE regexp_replace(regexp_replace(text, '[ \t]{2,}', ' ', 'g'), '^\s+|\s+$', '', 'g') END AS body,
+    CASE WHEN doc_id % 3 = 0 THEN array_to_string([x FOR x IN [regexp_replace(regexp_replace(y, '[ \t]+', ' ', 'g'), '^ | $', '', 'g') FOR y IN string_split(lang || chr(10) || text, chr(10))] IF x <> ''], chr(10)) ELSE regexp_replace(regexp_replace(text, '[ \t]{2,}', ' ', 'g'), '^\s+|\s+$', '', 'g') END AS body,
     'n.csv' AS attached, CAST(length(lang) + 1 + length(CAST(n_chars AS VARCHAR)) AS BIGINT) AS attached_bytes FROM documents""",
 )
 def _(spark, sf_dir):
@@ -109,17 +109,17 @@ def _files(spark, sf_dir):
 
 
 def _history(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.sha2("text", 256).alias("sha256"))
-    past = docs.filter("doc_id % 50 < 3").select(
-        "sha256", F.expr("CASE WHEN doc_id % 50 = 0 THEN 'completed' ELSE 'accepted' END").alias("status"),
-        F.expr("CASE WHEN doc_id % 50 = 1 THEN 'L1' ELSE 'L2' END").alias("batch_id"),
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "source", F.sha2("text", 256).alias("sha256"))
+    past = docs.select(
+        "sha256", F.expr("CASE lang WHEN 'fr' THEN 'completed' WHEN 'en' THEN 'rejected' ELSE 'accepted' END").alias("status"),
+        F.expr("CASE lang WHEN 'de' THEN 'L1' ELSE 'L2' END").alias("batch_id"),
     )
     batches = spark.createDataFrame([("L1", "READY"), ("L2", "FAILED")], "batch_id string, status string")
-    return G.history_reasons(past, docs.filter("doc_id % 50 = 3").select("sha256"), batches)
+    return G.history_reasons(past, docs.filter("source = 'src7'").select("sha256"), batches)
 
 
 O_HISTORY = """hist AS (SELECT sha256, CASE min(r) WHEN 1 THEN 'DUPLICATE_COMPLETED' WHEN 2 THEN 'DUPLICATE_STORED' ELSE 'DUPLICATE_ACTIVE_IMPORT' END AS history
-    FROM (SELECT sha256(text) AS sha256, CASE doc_id % 50 WHEN 0 THEN 1 WHEN 3 THEN 2 ELSE 3 END AS r FROM documents WHERE doc_id % 50 IN (0, 1, 3)) GROUP BY sha256)"""
+    FROM (SELECT sha256(text) AS sha256, CASE WHEN lang = 'fr' THEN 1 WHEN source = 'src7' THEN 2 WHEN lang = 'de' THEN 3 END AS r FROM documents) WHERE r IS NOT NULL GROUP BY sha256)"""
 O_ADMIT = f"""WITH {O_HISTORY}, f AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'B0' ELSE source END AS batch_id, doc_id AS seq, {PATHS} AS path, n_chars AS size,
       CASE WHEN doc_id % 29 = 0 THEN n_chars // 200 ELSE n_chars END AS csize, sha256(text) AS sha256, doc_id % 31 <> 0 AS ok, doc_id % 23 AS m FROM documents),
     k AS (SELECT *, CASE m WHEN 0 THEN 'ABSOLUTE_PATH' WHEN 1 THEN 'PARENT_TRAVERSAL' WHEN 2 THEN 'DRIVE_PATH' END AS unsafe, m NOT IN (0, 1, 2, 3, 4) AS mail,
@@ -196,12 +196,12 @@ def _(spark, sf_dir):
 @query(
     "reuse_parse_cache",
     """SELECT doc_id AS att_id, CASE WHEN c.text IS NULL THEN lower(d.text) ELSE 'cached' END AS text, c.text IS NOT NULL AS cache_hit
-    FROM documents d LEFT JOIN (SELECT DISTINCT text FROM documents WHERE doc_id % 4 = 0) c ON d.text = c.text""",
+    FROM documents d LEFT JOIN (SELECT DISTINCT text FROM documents WHERE lang <> 'en') c ON d.text = c.text""",
 )
 def _(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents", "doc_id")
     key = (F.sha2("text", 256).alias("sha256"), F.lit("p1").alias("parser_version"), F.lit("o1").alias("option_version"))
-    cache = docs.filter("doc_id % 4 = 0").select(*key, F.lit("cached").alias("text")).distinct()
+    cache = docs.filter("lang <> 'en'").select(*key, F.lit("cached").alias("text")).distinct()
     out, _ = G.reuse_parse_cache(docs.select(F.col("doc_id").alias("att_id"), *key, F.col("text").alias("content")), cache, "lower(content)")
     return out
 
@@ -300,15 +300,15 @@ def _(spark, sf_dir):
 
 @query(
     "upsert_register",
-    """WITH o AS (SELECT 'K' || c_custkey AS key, c_custkey AS seq, TIMESTAMP '2024-01-01 00:00:00' AS first_seen, c_mktsegment AS band, c_acctbal AS score, 'kept' AS note
-      FROM customer WHERE c_custkey % 2 = 0),
+    """WITH o AS (SELECT 'K' || (c_custkey * 2) AS key, c_custkey AS seq, TIMESTAMP '2024-01-01 00:00:00' AS first_seen, c_mktsegment AS band, c_acctbal AS score, 'kept' AS note
+      FROM customer),
     n AS (SELECT 'K' || o_custkey AS key, min(o_orderkey) AS f, arg_max(o_orderstatus, o_orderkey) AS band, arg_max(o_totalprice, o_orderkey) AS score FROM orders GROUP BY o_custkey)
     SELECT o.key, o.seq, CAST(o.first_seen AS VARCHAR) AS first_seen, coalesce(n.band, o.band) AS band, coalesce(n.score, o.score) AS score, note FROM o LEFT JOIN n USING (key)
     UNION ALL SELECT key, row_number() OVER (ORDER BY f) + (SELECT max(seq) FROM o), '2024-02-01 00:00:00', band, score, '' FROM n ANTI JOIN o USING (key)""",
 )
 def _(spark, sf_dir):
-    old = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey % 2 = 0").selectExpr(
-        "concat('K', c_custkey) AS key", "c_custkey AS seq", "timestamp '2024-01-01 00:00:00' AS first_seen", "c_mktsegment AS band", "c_acctbal AS score", "'kept' AS note"
+    old = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr(
+        "concat('K', c_custkey * 2) AS key", "c_custkey AS seq", "timestamp '2024-01-01 00:00:00' AS first_seen", "c_mktsegment AS band", "c_acctbal AS score", "'kept' AS note"
     )
     new = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("concat('K', o_custkey) AS key", "o_orderkey AS ord", "o_orderstatus AS band", "o_totalprice AS score")
     out = ST.upsert_register(old, new, ["band", "score"], {"note": ""}, "2024-02-01 00:00:00")
@@ -318,14 +318,14 @@ def _(spark, sf_dir):
 @query(
     "upsert_review",
     """WITH n AS (SELECT o_custkey AS doc_id, arg_max(o_orderstatus, o_orderkey) AS status FROM orders GROUP BY o_custkey),
-    o AS (SELECT c_custkey AS doc_id, c_mktsegment AS status FROM customer WHERE c_custkey % 2 = 0)
+    o AS (SELECT c_custkey * 2 AS doc_id, c_mktsegment AS status FROM customer)
     SELECT doc_id, coalesce(n.status, o.status) AS status, CASE WHEN n.status IS NULL THEN '2024-01-01' ELSE '2024-02-01' END AS updated,
     CASE WHEN o.status IS NULL THEN '2024-02-01' ELSE '2024-01-01' END AS created FROM o FULL JOIN n USING (doc_id)""",
 )
 def _(spark, sf_dir):
     stamp = "timestamp '2024-01-01 00:00:00'"
-    old = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey % 2 = 0").selectExpr(
-        "c_custkey AS doc_id", "c_mktsegment AS status", "'' AS note", f"{stamp} AS reviewed_at", f"{stamp} AS updated_at", f"{stamp} AS created_at"
+    old = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr(
+        "c_custkey * 2 AS doc_id", "c_mktsegment AS status", "'' AS note", f"{stamp} AS reviewed_at", f"{stamp} AS updated_at", f"{stamp} AS created_at"
     )
     new = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_custkey AS doc_id", "o_orderkey AS ord", "o_orderstatus AS status", "o_orderpriority AS note")
     day = "yyyy-MM-dd"
@@ -335,13 +335,13 @@ def _(spark, sf_dir):
 
 @query(
     "insert_or_replace",
-    """WITH n AS (SELECT o_custkey AS id, arg_max(o_orderstatus, o_orderkey) AS v, max(o_orderkey) AS ord FROM orders WHERE o_orderkey % 3 = 0 GROUP BY o_custkey),
-    t AS (SELECT c_custkey AS id, c_mktsegment AS v, CAST(0 AS BIGINT) AS ord FROM customer)
+    """WITH n AS (SELECT o_custkey AS id, arg_max(o_orderstatus, o_orderkey) AS v, max(o_orderkey) AS ord FROM orders GROUP BY o_custkey),
+    t AS (SELECT c_custkey * 2 AS id, c_mktsegment AS v, CAST(0 AS BIGINT) AS ord FROM customer)
     SELECT * FROM t ANTI JOIN n USING (id) UNION ALL SELECT id, v, ord FROM n""",
 )
 def _(spark, sf_dir):
-    table = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey AS id", "c_mktsegment AS v", "0L AS ord")
-    new = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderkey % 3 = 0").selectExpr("o_custkey AS id", "o_orderstatus AS v", "o_orderkey AS ord")
+    table = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey * 2 AS id", "c_mktsegment AS v", "0L AS ord")
+    new = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_custkey AS id", "o_orderstatus AS v", "o_orderkey AS ord")
     return ST.insert_or_replace(table, new, ["id"], "ord")
 
 
@@ -350,8 +350,8 @@ _XBAND = "CASE {0} % 3 WHEN 0 THEN 'S' WHEN 1 THEN 'A' ELSE 'B' END"
 
 @query(
     "snapshot_diff",
-    f"""WITH w AS (SELECT 'K' || c_custkey AS key, {_XBAND.format('c_custkey')} AS band, c_name AS name FROM customer WHERE c_custkey % 4 <> 0),
-    x AS (SELECT 'K' || o_custkey AS key, {_XBAND.format('o_orderkey')} AS band, 'p' || o_orderkey AS path FROM orders WHERE o_custkey % 5 <> 0),
+    f"""WITH w AS (SELECT 'K' || c_custkey AS key, {_XBAND.format('c_custkey')} AS band, c_name AS name FROM customer),
+    x AS (SELECT 'K' || (o_custkey + 10) AS key, {_XBAND.format('o_orderkey')} AS band, 'p' || o_orderkey AS path FROM orders),
     j AS (SELECT x.key, x.path, x.band, w.band AS to_band, w.name AS to_name,
       row_number() OVER (PARTITION BY x.key ORDER BY x.band <> w.band, x.path) AS rn FROM x LEFT JOIN w USING (key))
     SELECT key, path, CASE WHEN to_band IS NULL THEN 'REMOVE' WHEN rn > 1 THEN 'REMOVE_COPY' WHEN band <> to_band THEN 'MOVE' ELSE 'REFRESH' END AS action,
@@ -359,19 +359,19 @@ _XBAND = "CASE {0} % 3 WHEN 0 THEN 'S' WHEN 1 THEN 'A' ELSE 'B' END"
     UNION ALL SELECT key, NULL, 'ADD', band, name FROM w ANTI JOIN x USING (key)""",
 )
 def _(spark, sf_dir):
-    wanted = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey % 4 <> 0").selectExpr(
+    wanted = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr(
         "concat('K', c_custkey) AS key", f"{_XBAND.format('c_custkey')} AS band", "c_name AS name"
     )
-    existing = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_custkey % 5 <> 0").selectExpr(
-        "concat('K', o_custkey) AS key", f"{_XBAND.format('o_orderkey')} AS band", "'old' AS name", "concat('p', o_orderkey) AS path"
+    existing = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr(
+        "concat('K', o_custkey + 10) AS key", f"{_XBAND.format('o_orderkey')} AS band", "'old' AS name", "concat('p', o_orderkey) AS path"
     )
     return ST.snapshot_diff(wanted, existing)
 
 
-@query("union_hits", "SELECT DISTINCT user_id, event_type FROM events WHERE value > 5")
+@query("union_hits", "SELECT DISTINCT user_id, event_type FROM events")
 def _(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type", "value")
-    return ST.union_hits(events.filter("value > 20").drop("value"), events.filter("value > 5").drop("value"))
+    return ST.union_hits(events.filter("value > 20").drop("value"), events.drop("value"))
 
 
 _ITEM = "CASE l_partkey % 7 WHEN 0 THEN 'COMPLETED' WHEN 1 THEN 'DUPLICATE' WHEN 2 THEN 'FAILED' WHEN 3 THEN 'RUNNING' ELSE 'PENDING' END"
@@ -414,8 +414,8 @@ _TRACK = "CASE {0} % 5 WHEN 0 THEN 'FIRST' WHEN 1 THEN 'SECOND' WHEN 2 THEN 'MIX
 _STATUS = "CASE {0} % 5 WHEN 0 THEN 'UNREVIEWED' WHEN 1 THEN 'VERIFY' WHEN 2 THEN 'PRIORITY' WHEN 3 THEN 'DONE' ELSE 'REJECTED' END"
 O_LIST = f"""l AS (SELECT event_id AS doc_id, ts AS processed_at, event_type || ' ' || user_id AS subject, CAST((event_id * 37) % 101 AS DOUBLE) AS score,
       CAST((event_id * 53 + 11) % 101 AS DOUBLE) AS score_b, {O_BAND.format('((event_id * 37) % 101)')} AS band, {_TRACK.format('event_id')} AS track, event_type AS category,
-      CASE WHEN event_id % 3 = 0 THEN {_STATUS.format('event_id')} END AS review_status, CASE WHEN event_id % 4 = 0 THEN props END AS summary,
-      event_id % 4 = 0 AS in_queue FROM events)"""
+      CASE WHEN value > 60 THEN {_STATUS.format('event_id')} END AS review_status, CASE WHEN value < 40 THEN props END AS summary,
+      value < 40 AS in_queue FROM events)"""
 
 
 def _events(spark, sf_dir):
@@ -431,7 +431,7 @@ def _scores(spark, sf_dir):
 
 
 def _reviews(spark, sf_dir):
-    return _events(spark, sf_dir).filter("event_id % 3 = 0").selectExpr("event_id AS doc_id", f"{_STATUS.format('event_id')} AS status", "concat('n', event_id) AS note")
+    return _events(spark, sf_dir).filter("value > 60").selectExpr("event_id AS doc_id", f"{_STATUS.format('event_id')} AS status", "concat('n', event_id) AS note")
 
 
 def _docs(spark, sf_dir):
@@ -439,7 +439,7 @@ def _docs(spark, sf_dir):
 
 
 def _listing(spark, sf_dir):
-    queue = _events(spark, sf_dir).filter("event_id % 4 = 0").selectExpr("event_id AS doc_id", "props AS summary")
+    queue = _events(spark, sf_dir).filter("value < 40").selectExpr("event_id AS doc_id", "props AS summary")
     return RP.document_list(_docs(spark, sf_dir), _scores(spark, sf_dir), queue, _reviews(spark, sf_dir))
 
 
@@ -450,13 +450,12 @@ def _(spark, sf_dir):
 
 @query(
     "document_detail",
-    f"""WITH {O_LIST} SELECT doc_id, 'review' AS section, '{{"note":"n' || doc_id || '","status":"' || review_status || '"}}' AS payload FROM l WHERE doc_id % 100 = 0 AND review_status IS NOT NULL
-    UNION ALL SELECT doc_id, 'score', '{{"band":"' || band || '","track":' || coalesce('"' || track || '"', 'null') || '}}' FROM l WHERE doc_id % 100 = 0""",
+    f"""WITH {O_LIST} SELECT doc_id, 'review' AS section, '{{"note":"n' || doc_id || '","status":"' || review_status || '"}}' AS payload FROM l WHERE review_status IS NOT NULL
+    UNION ALL SELECT doc_id, 'score', '{{"band":"' || band || '","track":' || coalesce('"' || track || '"', 'null') || '}}' FROM l""",
 )
 def _(spark, sf_dir):
-    """All that is known of every hundredth event."""
-    chosen = _docs(spark, sf_dir).filter("doc_id % 100 = 0")
-    return RP.document_detail(chosen, {"review": _reviews(spark, sf_dir), "score": _scores(spark, sf_dir).select("doc_id", "band", "track")})
+    """All that is known of every event."""
+    return RP.document_detail(_docs(spark, sf_dir), {"review": _reviews(spark, sf_dir), "score": _scores(spark, sf_dir).select("doc_id", "band", "track")})
 
 
 @query(
@@ -622,11 +621,11 @@ def _(spark, sf_dir):
     return J.current_register(spark, register).select("doc_id", "n_chars", "licensed")
 
 
-@query("stream_dedupe", "SELECT DISTINCT user_id, event_type FROM events WHERE user_id % 10 <> 0")
+@query("stream_dedupe", "SELECT DISTINCT user_id, event_type FROM events WHERE event_type <> 'error'")
 def _(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     stream = J.stream_table(spark, sf_dir, events.schema, "events.parquet").withColumn("key", F.expr("concat(user_id, '|', event_type)"))
-    seen = events.filter("user_id % 10 = 0").select(F.expr("concat(user_id, '|', event_type)").alias("key"))
+    seen = events.filter("event_type = 'error'").select(F.expr("concat(user_id, '|', event_type)").alias("key"))
     path = scratch_path(spark, "deduped")
     J.run_to_end(J.write_table(J.stream_dedupe(stream, "key", "ts", "40 days", seen), path, scratch_path(spark, "checkpoint")))
     return spark.read.parquet(path).select("user_id", "event_type")
