@@ -41,7 +41,7 @@ SAMPLES = 4
 #: Share of an item's words that may be edited.
 EDITS = 0.2
 MIN_WORDS = 5
-ITEMS_AT_ONCE = 4096
+ITEMS_AT_ONCE = 1 << 15
 
 MATCHES = "doc_id long, item_id long, item_words long, first_word long, distance long"
 
