@@ -20,7 +20,7 @@ A segment's hash is 128 bits wide with its anchor's.  Rows of a hot passage
 are one for each task and distinct surrounding, never one for each copy.  An
 anchor with many distinct surroundings has its windows dealt out by their own
 hash; of equal windows in a batch of texts again only the first travels on.
-Tasks hold one partition of 40-byte rows, or one batch of texts.
+Tasks hold one partition of 32-byte rows, or one batch of texts.
 
 Null and empty texts have no bytes and stay.  Rows with a null id are neither
 removed from nor a reason to remove.  Rows that share an id are never a reason
@@ -53,7 +53,8 @@ SORTED_AT_ONCE = 200_000
 #: Distinct spans around one anchor from which its windows are dealt out one by one.
 WIDE = 32
 
-SEGMENT_ROWS = "anchor long, span long, doc_id long, version int, number int, settled boolean"
+# place: the version, the number and whether the segment is settled, in one value (see ``_place``)
+SEGMENT_ROWS = "anchor long, span long, doc_id long, place long"
 ROUTES = "doc_id long, version int, number int, open boolean, wide boolean"
 CONTEXTS = "anchor long, doc_id long, version int, number int, nth int, lead int, context binary"
 REMOVALS = "doc_id long, version int, number int, windows long"
@@ -72,27 +73,32 @@ def _record(schema: str, **columns: np.ndarray) -> pa.RecordBatch:
     )
 
 
+def _place(version: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """A text's version and a segment's number within it, as one value; the lowest bit is left for "settled"."""
+    return (version.astype(np.int64) << 32) | (number.astype(np.int64) << 1)
+
+
 def segment_rows(rows: DataFrame, window: int, k: int) -> DataFrame:
     """One row for each distinct segment of a text; repeats within a task are settled."""
 
     def settle(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         if not parts:
             return
-        anchor, span, doc, version, number = (np.concatenate(x) for x in zip(*parts, strict=True))
+        anchor, span, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
         parts.clear()
-        by = np.lexsort((number, version, doc, span, anchor))
-        anchor, span, doc, version, number = anchor[by], span[by], doc[by], version[by], number[by]
+        by = np.lexsort((place, doc, span, anchor))
+        anchor, span, doc, place = anchor[by], span[by], doc[by], place[by]
         fresh = np.ones(len(by), bool)
         fresh[1:] = (anchor[1:] != anchor[:-1]) | (span[1:] != span[:-1])
         again = ~fresh
-        again[1:] &= (doc[1:] == doc[:-1]) & (version[1:] == version[:-1])
+        again[1:] &= (doc[1:] == doc[:-1]) & (place[1:] >> 32 == place[:-1] >> 32)
         least = doc[fresh][np.cumsum(fresh) - 1]
         settled = doc > least
         # settled rows need no company: they are dealt out evenly
-        dealt = np.where(settled, mix(doc.view(np.uint64) + number.astype(np.uint64)), anchor)
+        dealt = np.where(settled, mix(doc.view(np.uint64) + place.view(np.uint64)), anchor)
         keep = ~again
         yield from in_slices(
-            _record(SEGMENT_ROWS, anchor=dealt[keep], span=np.where(settled, np.uint64(0), span)[keep], doc_id=doc[keep], version=version[keep], number=number[keep], settled=settled[keep])
+            _record(SEGMENT_ROWS, anchor=dealt[keep], span=np.where(settled, np.uint64(0), span)[keep], doc_id=doc[keep], place=(place | settled)[keep])
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +108,7 @@ def segment_rows(rows: DataFrame, window: int, k: int) -> DataFrame:
             for block in blocks(batch.column("text")):
                 found = cut(block, window, k)
                 at = block.rows.start + found.owner
-                parts.append((found.anchor, found.span, ids[at], versions[at], found.number.astype(np.int32)))
+                parts.append((found.anchor, found.span, ids[at], _place(versions[at], found.number)))
                 waiting += len(at)
                 if waiting >= FLUSH:
                     yield from settle(parts)
@@ -119,7 +125,8 @@ def routed(rows: DataFrame, wide: int) -> DataFrame:
         found = gathered(batches)
         if found is None:
             return
-        anchor, span, doc, version, number, settled = (found.column(i).to_numpy() for i in range(6))
+        anchor, span, doc, place = (found.column(i).to_numpy() for i in range(4))
+        version, number, settled = (place >> 32).astype(np.int32), ((place & 0xFFFFFFFF) >> 1).astype(np.int32), place & 1 == 1
         done = np.flatnonzero(settled)
         yield from in_slices(_record(ROUTES, doc_id=doc[done], version=version[done], number=number[done], open=np.zeros(len(done), bool), wide=np.zeros(len(done), bool)))
         live = np.flatnonzero(~settled)
