@@ -11,6 +11,7 @@ from siftline.functions.sql import quote, string_array
 from siftline.operators.ordered import running
 from siftline.operators.rows import join_null_safe
 from siftline.operators.skew import lookup
+from siftline.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -81,9 +82,9 @@ def history_reasons(files: DataFrame, stored: DataFrame, batches: DataFrame) ->
     )
 
 
-def cross_batch_duplicates(incoming: DataFrame, history: DataFrame) -> DataFrame:
+def cross_batch_duplicates(incoming: DataFrame, history: DataFrame, keys_of: DataFrame | None = None) -> DataFrame:
     """incoming plus ``history``: why its content is already known, or NULL."""
-    return lookup(incoming, history, "sha256")
+    return lookup(incoming, history, "sha256", keys_of)
 
 
 def dedupe_exact(items: DataFrame, key: str, order: str, group: list[str] | None = None) -> DataFrame:
@@ -132,7 +133,7 @@ def admit_files(files: DataFrame, limits: Limits = Limits(), history: DataFrame
     candidates = checked.filter("early IS NULL AND sha256 <> ''").select("batch_id", "seq", "sha256")
     firsts = candidates.groupBy("batch_id", "sha256").agg(F.min("seq").alias("seq")).select("batch_id", "seq", F.lit(True).alias("_first"))
     marked = join_null_safe(checked, firsts, ["batch_id", "seq"], "left")
-    marked = cross_batch_duplicates(marked, history) if history is not None else marked.withColumn("history", F.lit(None).cast("string"))
+    marked = cross_batch_duplicates(marked, history, files) if history is not None else marked.withColumn("history", F.lit(None).cast("string"))
     reason = (
         "CASE WHEN early IS NOT NULL THEN early WHEN history IS NOT NULL THEN history"
         " WHEN sha256 <> '' AND _first IS NULL THEN 'DUPLICATE_CONTENT'"
@@ -206,7 +207,8 @@ def reuse_parse_cache(attachments: DataFrame, cache: DataFrame, parse: str) -> t
     # one content per key survives the map side, however many copies there are
     distinct = keyed.dropDuplicates(["cache_key"])
     fresh = distinct.join(known, "cache_key", "left_anti").withColumn("text", F.expr(parse))
-    fresh = fresh.select("cache_key", "sha256", "parser_version", "option_version", "text")
+    # both results use the parsed texts: parse once, then read them back
+    fresh = cut_lineage(fresh.select("cache_key", "sha256", "parser_version", "option_version", "text"))
     texts = known.select("cache_key", F.col("cached").alias("text"), F.lit(True).alias("cache_hit")).unionByName(
         fresh.select("cache_key", "text", F.lit(False).alias("cache_hit"))
     )

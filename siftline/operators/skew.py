@@ -19,16 +19,18 @@ def hot_keys(df: DataFrame, key: str) -> DataFrame:
     return sketch.select(F.explode("top.item").alias(key))
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, key: str, keys_of: DataFrame | None = None) -> DataFrame:
     """Left join on ``key`` where ``right`` has at most one row per key.
 
     The most frequent keys of ``left`` take their match from a broadcast of at
     most HOT_KEYS rows, without moving any row of ``left``.  The others are
     shuffled; rows already served are spread by a key that matches nothing.
-    The result is that of a plain left join, whichever keys count as frequent.
+    The result is that of a plain left join, whichever keys count as frequent;
+    ``keys_of`` is a cheaper table to look for them in, if ``left`` is the
+    result of joins.
     """
     fields = [c for c in right.columns if c != key]
-    hot = hot_keys(left, key)
+    hot = hot_keys(left if keys_of is None else keys_of, key)
     hot_right = hot.join(right, key, "left").select(
         F.col(key), F.struct(*(F.col(c) for c in fields)).alias("_hot")
     )
