@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from siftline.functions import scoring as S
 from siftline.functions.privacy import hash_ref
-from siftline.functions.sql import quote, string_array
 from siftline.functions.text import fit
 from siftline.operators.complaints import complaint_measures
 from siftline.operators.matcher import attach_hits
