@@ -30,14 +30,19 @@ MAIL_SCHEMA = (
 )
 
 
+#: Bytes of files that make one split by default.
+ONE_SPLIT = 128 << 20
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, key: str | None = None) -> DataFrame:
-    """A parquet table; with ``key``, one that cannot be split is spread by it.
+    """A parquet table; with ``key``, one smaller than a single split is spread by it.
 
-    A table of a single partition (one file with one row group) would keep one
-    core busy.  Any larger table is read as it lies.
+    Such a table is often one row group, which keeps one core busy however
+    many splits are planned.  Any larger table is read as it lies.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if key and df.rdd.getNumPartitions() == 1:
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if key and size <= ONE_SPLIT:
         return df.repartition(spark.sparkContext.defaultParallelism, key)
     return df
 
