@@ -7,14 +7,19 @@ signature; neighbours share the longest prefixes.  The depth adapts to the
 region: a prefix of one or two minima makes candidates only where few classes
 share it, denser regions are entered more deeply, and in each region a class
 is paired with the one before it and with the region's smallest class.  That
-is at most a few pairs for each class and tree, never all pairs of a region;
-the other trees bring other neighbours.  Two sets of similarity 0.8 share a
-prefix of three minima in some tree but for one case in 90,000.
+is at most a few pairs for each class and tree, which link most of a group.
 
 Candidates that a short sketch shows to be far apart go (five standard
 deviations), the others are confirmed on the full sets: first the best
 partner of each class, then all pairs that would still join two components.
 
+What the neighbours leave apart is looked through pair by pair: in every
+region of one shared minimum that still holds several components, all pairs of
+different components are compared by sketch, in blocks of BLOCK classes, and
+those that pass are confirmed on the full sets, the likeliest first, until
+none is left that would join two components.  Two sets of similarity 0.8 share
+no first minimum in any tree in one case of 10^11.
+
 Nothing is collected on the driver, and sorting by range splits the largest
 regions over tasks.
 
@@ -41,6 +46,10 @@ TREES = 16
 DEPTH = 6
 #: Regions of one and of two shared minima make candidates up to these sizes.
 SPARSE = {1: 16, 2: 64}
+#: Classes of one region compared at once with as many others.
+BLOCK = 1 << 10
+#: Rounds of likeliest pairs before all open pairs are confirmed.
+ROUNDS = 4
 #: Of the sketch's bytes so many standard deviations below the threshold may agree.
 SLACK = 5.5
 
@@ -164,10 +173,15 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
     return found.groupBy("a", "b").agg(F.count("*").alias("votes"))
 
 
+def least_equal(threshold: float) -> int:
+    """Bytes of two sketches that agree at least, unless the sets are less alike than ``threshold``."""
+    bytes_ = TREES * DEPTH
+    return int(bytes_ * threshold - SLACK * (bytes_ * threshold * (1 - threshold)) ** 0.5)
+
+
 def close_pairs(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose sketches do not rule out ``threshold``."""
-    bytes_ = TREES * DEPTH
-    least = int(bytes_ * threshold - SLACK * (bytes_ * threshold * (1 - threshold)) ** 0.5)
+    least = least_equal(threshold)
     both = pairs.join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a").join(
         sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b"
     )
@@ -202,6 +216,79 @@ def confirmed(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     return both.select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
 
 
+def apart_pairs(heads: np.ndarray, sketch: np.ndarray, size: np.ndarray, component: np.ndarray, left: np.ndarray, right: np.ndarray,
+                tree: int, per_cent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All pairs of a row of ``left`` and one of ``right`` in different components that sizes and sketches do not rule out.
+
+    A pair that shares several regions comes out in the first of their trees only.
+    """
+    least, same = least_equal(per_cent / 100), left is right
+    step = max(1, (1 << 18) // max(1, len(right)))
+    for lo in range(0, len(left), step):
+        x = left[lo : lo + step]
+        may = component[x][:, None] != component[right][None, :]
+        small, large = np.minimum(size[x][:, None], size[right][None, :]), np.maximum(size[x][:, None], size[right][None, :])
+        may &= 100 * small >= per_cent * large
+        if same:
+            may &= np.arange(lo, lo + len(x))[:, None] < np.arange(len(right))[None, :]
+        i, j = np.nonzero(may)
+        i, j = x[i], right[j]
+        first = (heads[i] == heads[j]).argmax(axis=1) == tree
+        i, j = i[first], j[first]
+        equal = (sketch[i] == sketch[j]).sum(axis=1)
+        yield i[equal >= least], j[equal >= least], equal[equal >= least]
+
+
+def unlinked_pairs(classes: DataFrame, per_cent: int) -> DataFrame:
+    """(a, b, close): all pairs of classes of different components that share a first minimum and may be near-duplicates."""
+    width = DEPTH * 4
+    first = F.concat(*(F.substring("paths", i * width + 1, 4) for i in range(TREES)))
+    members = classes.select("rep", "component", "n_shingles", "sketch", first.alias("heads"))
+    regions = members.select(
+        "rep", "component", F.posexplode(F.expr(f"transform(sequence(0, {TREES - 1}), i -> substring(heads, i * 4 + 1, 4))")).alias("tree", "head")
+    )
+    # the forest has met every region of two classes
+    mixed = regions.groupBy("tree", "head").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter(
+        "size > 2 AND lo != hi"
+    ).select("tree", "head", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))
+    dealt = regions.drop("component").join(mixed, ["tree", "head"]).select(
+        "rep", "tree", "head", F.expr("cast(pmod(xxhash64(rep), parts) as int)").alias("part"), F.explode(F.expr("sequence(0, parts - 1)")).alias("other")
+    ).select("rep", "tree", "head", "part", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = gathered(batches)
+        if rows is None:
+            return
+        rep, size, component, tree, part, x, y = (rows.column(c).to_numpy() for c in ("rep", "n_shingles", "component", "tree", "part", "x", "y"))
+        heads, sketch = _matrix(rows.column("heads").combine_chunks(), ">u4"), _matrix(rows.column("sketch").combine_chunks(), "u1")
+        head = heads[np.arange(len(rep)), tree]
+        new = np.ones(len(rep), bool)
+        new[1:] = (tree[1:] != tree[:-1]) | (head[1:] != head[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        bounds = np.append(np.flatnonzero(new), len(rep))
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            at = np.arange(lo, hi)
+            left = at[part[lo:hi] == x[lo]]
+            right = left if x[lo] == y[lo] else at[part[lo:hi] == y[lo]]
+            for i, j, close in apart_pairs(heads, sketch, size, component, left, right, int(tree[lo]), per_cent):
+                if len(i):
+                    yield pa.RecordBatch.from_pydict(
+                        {"a": longs(np.minimum(rep[i], rep[j])), "b": longs(np.maximum(rep[i], rep[j])), "close": longs(close)}
+                    )
+
+    met = dealt.join(members, "rep").repartition("tree", "head", "x", "y").sortWithinPartitions("tree", "head", "x", "y")
+    return met.select("rep", "n_shingles", "component", "tree", "part", "x", "y", "heads", "sketch").mapInArrow(run, "a long, b long, close long")
+
+
+def likeliest(pairs: DataFrame) -> DataFrame:
+    """(a, b): for each class the partner of closest sketch, and the one that is close to most others."""
+    sides = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "close").union(pairs.select("b", "a", "close"))
+    weight = sides.groupBy("x").agg(F.sum("close").alias("weight")).withColumnRenamed("x", "y")
+    best = sides.join(weight, "y").groupBy("x").agg(
+        F.max_by("y", F.struct("close", -F.col("y"))).alias("near"), F.max_by("y", F.struct("weight", -F.col("y"))).alias("hub")
+    )
+    return best.select("x", F.explode(F.array("near", "hub")).alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def set_table(docs: DataFrame, size: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for block in blocks(batch.column("text")):
@@ -223,24 +310,42 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     reps = named.join(usable.withColumnRenamed("doc_id", "rep"), ["rep", "low", "high"]).dropDuplicates(["rep", "low", "high"])
     pairs = stored(close_pairs(candidate_pairs(reps), reps.select("rep", "sketch"), per_cent / 100), "pairs")
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = rows.join(wanted.hint("merge"), "doc_id", "left_semi").withColumn("same", F.xxhash64("text")).dropDuplicates(["doc_id", "same"])
-    sets = stored(set_table(texts.select(F.col("doc_id").alias("rep"), "text"), shingle), "sets")
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        texts = rows.join(wanted.hint("merge"), "doc_id", "left_semi").withColumn("same", F.xxhash64("text")).dropDuplicates(["doc_id", "same"])
+        return stored(set_table(texts.select(F.col("doc_id").alias("rep"), "text"), shingle), "sets")
+
+    sets = sets_of(pairs)
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("close", -F.col("a"))).alias("a"))
     first = stored(confirmed(best, sets, per_cent), "confirmed")
-    named_first = components(first)
 
-    def label(side: str):
-        return named_first.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+    def apart(pairs: DataFrame, named: DataFrame) -> DataFrame:
+        for side in "ab":
+            pairs = pairs.join(named.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left")
+        return pairs.filter("coalesce(ca, a) != coalesce(cb, b)").drop("ca", "cb")
 
-    open_pairs = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left").filter(
-        "coalesce(ca, a) != coalesce(cb, b)"
-    ).select("a", "b").join(best, ["a", "b"], "left_anti")
+    open_pairs = apart(pairs, components(first)).select("a", "b").join(best, ["a", "b"], "left_anti")
     # several texts under one id are linked through it
     shared = usable.groupBy("doc_id").agg(F.count_distinct("low", "high").alias("texts")).filter("texts > 1").select("doc_id")
     through = usable.join(shared, "doc_id").join(named, ["low", "high"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     links = stored(first.union(confirmed(open_pairs, sets, per_cent)).union(through), "confirmed")
-    linked = components(links).select(F.col("node").alias("rep"), "component")
+    named_nodes = components(links)
+
+    of_class = named_nodes.withColumnRenamed("node", "rep")
+    placed = reps.join(of_class, "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"), "n_shingles", "paths", "sketch")
+    left_open = stored(unlinked_pairs(placed, per_cent), "open-pairs")
+    if not left_open.isEmpty():
+        sets = sets_of(left_open)
+        for turn in range(ROUNDS + 1):
+            tried = stored(likeliest(left_open), "likeliest") if turn < ROUNDS else left_open.select("a", "b")
+            found = stored(confirmed(tried, sets, per_cent), "confirmed")
+            if not found.isEmpty():
+                links = links.union(found)
+                named_nodes = components(links)
+            left_open = stored(apart(left_open.join(tried, ["a", "b"], "left_anti"), named_nodes).select("a", "b", "close"), "open-pairs")
+            if left_open.isEmpty():
+                break
+    linked = named_nodes.select(F.col("node").alias("rep"), "component")
     classes = named.join(linked, "rep", "left").select("low", "high", F.coalesce("component", "rep").alias("component"), F.lit(True).alias("some"))
     out = signed.select("doc_id", "n_shingles", "low", "high").join(classes, ["low", "high"], "left")
     component = F.when(F.col("some") & (F.col("n_shingles") > 0), F.col("component")).otherwise(F.col("doc_id"))

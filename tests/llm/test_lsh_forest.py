@@ -80,3 +80,19 @@ def test_texts_under_one_id_are_linked(spark, documents):
 def test_very_long_text(spark, documents):
     long = " ".join(f"w{k}" for k in range(200_000))
     assert result(documents([(1, long), (2, long + " end"), (3, long[:500])])) == {1: (199_996, 1, True), 2: (199_997, 1, False), 3: (len(long[:500].split()) - 4, 3, True)}
+
+
+def test_star_whose_centre_has_a_middle_id(spark, documents):
+    rng = random.Random(6)
+    rows = []
+    for star in range(2):
+        hub = [f"s{star}w{k}" for k in range(400)]
+        rows.append((1000 * star + 50, " ".join(hub)))
+        for i in range(100):
+            mine = list(hub)
+            for at in rng.sample(range(0, 400, 4), 10):
+                mine[at + 1] = f"x{rng.randrange(10**9)}"
+            rows.append((1000 * star + (i if i < 50 else i + 1), " ".join(mine)))
+    want = brute(rows, 4)
+    assert {c for _, c, _ in want.values()} == {0, 1000}
+    assert result(documents(rows), shingle=4) == want
