@@ -5,13 +5,16 @@ writes x[i] and moves on by a random bit that depends on t and on x[i].  Two
 sequences of small edit distance meet again soon after each edit, so what they
 write differs in few places (Hamming distance).  Bit-sampling LSH picks SAMPLES
 steps of a walk; equal words there make a window a candidate for an item.
-TABLES independent walks and samples are tried for each class of item sizes,
-which finds about 99 % of items with a tenth of their words edited, and every
-verbatim copy.
+TABLES independent walks and samples are tried for each class of item sizes.
+
+Walks alone lose matches when a fifth of the words is edited.  An item that
+may have k edits is therefore also cut into k + 1 pieces: k edits leave one of
+them whole, so a lookup of all pieces at every word misses no match.
 
 Windows start at every word of every text, so an item is met at its own
 alignment.  A window leaves a table as soon as a sample fits no item; most
-leave at the first.  What remains is verified by the exact edit distance of
+leave at the first.  Candidates around which too few words are the item's go
+(k edits leave all words but k).  What remains is verified by the exact edit distance of
 the item to the best stretch of the text around the window.
 
 Items are read in blocks of ITEMS_AT_ONCE, which bounds the broadcast; each
@@ -111,6 +114,11 @@ class Table:
 
 def edit_distances(item: np.ndarray, texts: np.ndarray) -> np.ndarray:
     """Edit distance of ``item`` to the best stretch of each row of ``texts`` (0 is no word)."""
+    return edit_rows(item, texts).min(axis=1)
+
+
+def edit_rows(item: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Edit distance of ``item`` to the best stretch of each row of ``texts`` that ends before each place."""
     width = texts.shape[1]
     along = np.arange(width + 1, dtype=np.int32)
     row = np.zeros((len(texts), width + 1), np.int32)
@@ -119,7 +127,37 @@ def edit_distances(item: np.ndarray, texts: np.ndarray) -> np.ndarray:
         step[:, 0] = row[:, 0] + 1
         step[:, 1:] = np.minimum(row[:, 1:] + 1, row[:, :-1] + (texts != symbol))
         row = np.minimum.accumulate(step - along, axis=1) + along
-    return row.min(axis=1)
+    return row
+
+
+class Pieces:
+    """Pieces of one length, cut from items so that the allowed edits cannot touch all pieces of an item."""
+
+    def __init__(self, length: int, symbols: list[np.ndarray], item: list[int], offset: list[int]):
+        self.length = length
+        key = self.run(np.concatenate(symbols))[::length]
+        by = np.argsort(key, kind="stable")
+        self.keys, self.item, self.offset = key[by], np.array(item, np.int64)[by], np.array(offset, np.int64)[by]
+        self.door = np.zeros(1 << 20, bool)
+        self.door[(self.keys & np.uint64(0xFFFFF)).astype(np.int64)] = True
+
+    def run(self, symbols: np.ndarray) -> np.ndarray:
+        """A key of the ``length`` symbols from each place on."""
+        n = len(symbols) - self.length + 1
+        key = np.zeros(max(n, 0), np.uint64)
+        for i in range(self.length if n > 0 else 0):
+            key = mix(key * np.uint64(0x9FB21C651E98DF25) + symbols[i : i + n])
+        return key
+
+    def candidates(self, symbols: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words at which items would start whose pieces the texts hold (the text's first word at the earliest), and these items."""
+        key = self.run(symbols)
+        at = np.flatnonzero(self.door[(key & np.uint64(0xFFFFF)).astype(np.int64)])
+        at = at[at + self.length <= end[at]]
+        lo, hi = np.searchsorted(self.keys, key[at], "left"), np.searchsorted(self.keys, key[at], "right")
+        piece = ragged(lo, hi - lo)
+        at = np.repeat(at, hi - lo)
+        return np.maximum(at - self.offset[piece], begin[at]), self.item[piece]
 
 
 class Items:
@@ -142,6 +180,41 @@ class Items:
             for _ in range(TABLES):
                 self.tables.append(Table([self.symbols[i] for i in members], members, int(sizes[members].min()), rng))
 
+        cut: dict[int, tuple[list, list, list]] = {}
+        for i, x in enumerate(self.symbols):
+            parts = max(1, min(int(self.limit[i]) + 1, len(x)))
+            bounds = np.arange(parts + 1) * len(x) // parts
+            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                if lo == hi:
+                    continue
+                symbols, item, offset = cut.setdefault(hi - lo, ([], [], []))
+                symbols.append(x[lo:hi])
+                item.append(i)
+                offset.append(lo)
+        self.pieces = [Pieces(length, *cut[length]) for length in sorted(cut)]
+        self.sizes = sizes
+        owner = np.repeat(np.arange(len(sizes)), sizes).astype(np.uint64)
+        self.held = np.unique(mix(np.concatenate(self.symbols) + owner * np.uint64(0xD6E8FEB86659FD93))) if self.symbols else np.zeros(0, np.uint64)
+
+    def likely(self, pairs: np.ndarray, symbols: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The (item, window) pairs around whose window enough words are words of the item."""
+        keep = np.zeros(len(pairs), bool)
+        size = self.sizes[pairs[:, 0]]
+        for m in np.unique(size):
+            rows = np.flatnonzero(size == m)
+            k = int(self.limit[pairs[rows[0], 0]])
+            reach = np.arange(-k, m + k)
+            step = max(1, (1 << 20) // len(reach))
+            for lo in range(0, len(rows), step):
+                part = rows[lo : lo + step]
+                item, start = pairs[part, 0], pairs[part, 1]
+                places = start[:, None] + reach
+                inside = (places >= begin[start][:, None]) & (places < end[start][:, None])
+                key = mix(symbols[np.clip(places, 0, len(symbols) - 1)] + item.astype(np.uint64)[:, None] * np.uint64(0xD6E8FEB86659FD93))
+                known = self.held[np.minimum(np.searchsorted(self.held, key), len(self.held) - 1)] == key
+                keep[part] = (known & inside).sum(axis=1) >= m - k
+        return pairs[keep]
+
     def matches(self, block: Block) -> dict[str, np.ndarray]:
         """The best match of every item in every text of the block."""
         words = Words(block, lower=True, inside=IS_ALNUM)
@@ -150,9 +223,12 @@ class Items:
         if len(symbols) and self.tables:
             bits, end, doc = mix(symbols), np.repeat(words.first[1:], words.count), words.doc()
             doors = (bits & np.uint64(0xFFFF)).astype(np.int64)
+            begin = np.repeat(words.first[:-1], words.count)
             found = [t.candidates(symbols, bits, doors, end) for t in self.tables]
+            found += [p.candidates(symbols, begin, end) for p in self.pieces]
             window, item = (np.concatenate(x) for x in zip(*found, strict=True))
-            pairs = np.unique(np.stack((item, window), axis=1), axis=0)
+            both = np.unique(item * len(symbols) + window)
+            pairs = self.likely(np.stack((both // len(symbols), both % len(symbols)), axis=1), symbols, begin, end)
             bounds = np.append(np.flatnonzero(np.append(True, pairs[1:, 0] != pairs[:-1, 0])), len(pairs)) if len(pairs) else [0]
             for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
                 i = int(pairs[lo, 0])
@@ -166,7 +242,11 @@ class Items:
                     distance = edit_distances(self.symbols[i], texts)
                     for w, d in zip(starts[distance <= k].tolist(), distance[distance <= k].tolist(), strict=True):
                         best[int(doc[w])] = min(best.get(int(doc[w]), (d, w)), (d, w))
-                out += [(j, i, w - int(words.first[j]), d) for j, (d, w) in best.items()]
+                for j, (d, w) in best.items():
+                    # the stretch may start up to k words off the window: the reversed item tells where
+                    left, right = max(w - k, int(words.first[j])), min(w + len(self.symbols[i]) + k, int(end[w]))
+                    back = edit_rows(self.symbols[i][::-1], symbols[left:right][::-1][None, :])[0]
+                    out.append((j, i, right - int(back.argmin()) - int(words.first[j]), d))
         found = np.array(sorted(out), np.int64).reshape(-1, 4)
         return {"text": found[:, 0], "item": found[:, 1], "first_word": found[:, 2], "distance": found[:, 3]}
 

@@ -88,3 +88,22 @@ def test_edit_distance():
     item = np.array([1, 2, 3, 4], np.uint64)
     texts = np.array([[9, 1, 2, 3, 4, 9], [9, 1, 3, 4, 9, 9], [0, 0, 0, 0, 0, 0]], np.uint64)
     assert edit_distances(item, texts).tolist() == [0, 1, 4]
+
+
+def test_all_matches_up_to_a_fifth_of_edits_are_found(spark, documents):
+    rng = random.Random(12)
+    items = {i: [f"w{rng.randrange(3000)}" for _ in range(m)] for i, m in enumerate([5, 9, 15, 20, 38, 58, 90, 150] * 6)}
+    rows, at = [], {}
+    for n, share in enumerate([0, 0.15, 0.2] * len(items)):
+        item = n // 3
+        body = [f"w{rng.randrange(3000)}" for _ in range(60)]
+        body[30:30] = edited(rng, items[item], int(len(items[item]) * share))
+        rows.append((n, " ".join(body)))
+        at[n] = (item, 30 if share == 0 else None)
+    bench = benchmark(spark, ((i, " ".join(w)) for i, w in items.items()))
+    got = {(r["doc_id"], r["item_id"]): r for r in benchmark_matches(documents(rows), bench).collect()}
+    want = {(n, item): best(items[item], words(text)) for n, text in rows for item in (at[n][0], (at[n][0] + 1) % len(items))}
+    want = {x: d for x, d in want.items() if d <= len(items[x[1]]) // 5}
+    assert {n for n, _ in want} == set(at) and want.keys() <= got.keys()
+    assert all(got[x]["distance"] == d for x, d in want.items())
+    assert all(got[n, item]["first_word"] == place for n, (item, place) in at.items() if place is not None)
