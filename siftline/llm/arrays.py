@@ -111,6 +111,54 @@ def byte_values(data: np.ndarray, lower: bool = False) -> np.ndarray:
     return (_BYTES[LOWER] if lower else _BYTES)[data]
 
 
+def _pieces(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The strings data[start:end] as 8-byte pieces: place in the string, byte position, mask of the bytes that belong, and the string's number."""
+    count = (end - start + 7) >> 3
+    owner = np.repeat(np.arange(len(start)), count)
+    nth = ragged(np.zeros(len(start), np.int64), count)
+    left = np.minimum(end[owner] - start[owner] - 8 * nth, 8)
+    mask = np.uint64(0xFFFFFFFFFFFFFFFF) >> ((8 - left) * 8).astype(np.uint64)
+    return nth, start[owner] + 8 * nth, mask, owner
+
+
+def _loads(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position on, as one number; zeros stand behind the end."""
+    return np.ndarray((len(data) + 1,), "<u8", np.concatenate((data, np.zeros(8, np.uint8))).tobytes(), 0, (1,))
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the strings data[start:end]: a sum of mixed 8-byte pieces, each with its place.
+
+    Unlike a polynomial, a sum of mixed pieces has no family of strings that
+    collide by their form.
+    """
+    out = mix((end - start).astype(np.uint64))
+    if len(start):
+        nth, at, mask, owner = _pieces(data, start, end)
+        if len(at):
+            values = mix((_loads(data)[at] & mask) ^ mix(nth.astype(np.uint64) + _ROOT))
+            heads = np.flatnonzero(nth == 0)
+            out[owner[heads]] += np.add.reduceat(values, heads)
+    return mix(out)
+
+
+def span_ids(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number for each string data[start:end]; equal numbers mean equal bytes, which are compared."""
+    unique, first, which = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
+    which = which.reshape(-1)
+    like = first[which]
+    equal = bool((end - start == end[like] - start[like]).all())
+    if equal and len(start):
+        _, at, mask, owner = _pieces(data, start, end)
+        loads = _loads(data)
+        equal = bool(((loads[at] & mask) == (loads[at - start[owner] + start[like[owner]]] & mask)).all())
+    if equal:
+        return which
+    known: dict[bytes, int] = {}
+    text = data.tobytes()
+    return np.array([known.setdefault(text[a:b], len(known)) for a, b in zip(start.tolist(), end.tolist(), strict=True)], np.int64)
+
+
 class Words:
     """The words of a block: byte positions, 64-bit hashes, and the first word of each text in ``first``."""
 
@@ -129,8 +177,11 @@ class Words:
         self.first = np.searchsorted(self.start, block.offsets)
         self.count = np.diff(self.first)
         if hashes:
-            prefix = Prefix(byte_values(data))
-            self.hash = mix(prefix.run(self.start, self.end) + (self.end - self.start).astype(np.uint64))
+            self.hash = span_hashes(data, self.start, self.end)
+
+    def ids(self) -> np.ndarray:
+        """A number for each word, equal exactly for equal words of this block."""
+        return span_ids(self.data, self.start, self.end)
 
     def doc(self) -> np.ndarray:
         """The number of the text of each word."""

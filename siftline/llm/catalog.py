@@ -9,6 +9,7 @@ from siftline.llm.license_scan import op4_license_rules
 from siftline.llm.lsh_forest import op6_lsh_forest
 from siftline.llm.neighbour_quality import op7_neighbour_quality
 from siftline.llm.packing import op5_best_fit_packing
+from siftline.llm.periodic import op13_periodic_runs
 from siftline.llm.pieces import op9_piece_viterbi
 from siftline.llm.repetition import op10_suffix_repetition
 from siftline.llm.suffix_dedup import op8_suffix_sort
@@ -24,5 +25,6 @@ QUERIES = {
     "op6_lsh_forest": op6_lsh_forest,
     "op1_bloom_lm": op1_bloom_lm,
     "op10_suffix_repetition": op10_suffix_repetition,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLE: dict[str, str] = {}
