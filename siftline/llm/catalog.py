@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from siftline.llm.block_max import OP11_SQL, op11_block_max
 from siftline.llm.bloom_lm import op1_bloom_lm
 from siftline.llm.cgk import op3_cgk_lsh
 from siftline.llm.debruijn import op2_debruijn
@@ -25,6 +26,7 @@ QUERIES = {
     "op6_lsh_forest": op6_lsh_forest,
     "op1_bloom_lm": op1_bloom_lm,
     "op10_suffix_repetition": op10_suffix_repetition,
+    "op11_block_max": op11_block_max,
     "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op11_block_max": OP11_SQL}
