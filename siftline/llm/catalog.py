@@ -5,6 +5,7 @@ from __future__ import annotations
 from siftline.llm.block_max import OP11_SQL, op11_block_max
 from siftline.llm.bloom_lm import op1_bloom_lm
 from siftline.llm.cgk import op3_cgk_lsh
+from siftline.llm.curve_packing import op12_curve_packing
 from siftline.llm.debruijn import op2_debruijn
 from siftline.llm.license_scan import op4_license_rules
 from siftline.llm.lsh_forest import op6_lsh_forest
@@ -27,6 +28,7 @@ QUERIES = {
     "op1_bloom_lm": op1_bloom_lm,
     "op10_suffix_repetition": op10_suffix_repetition,
     "op11_block_max": op11_block_max,
+    "op12_curve_packing": op12_curve_packing,
     "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLE: dict[str, str] = {"op11_block_max": OP11_SQL}

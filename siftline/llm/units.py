@@ -6,46 +6,51 @@ from collections.abc import Callable
 
 import numpy as np
 
-from siftline.llm.arrays import Block, Prefix, byte_values, mix, ragged
+from siftline.llm.arrays import Block, ragged, span_ids
 
 #: Units and ids that a task remembers before it starts anew.
 REMEMBERED = 1 << 19
 
 
 class Memo:
-    """Ids of units by their 64-bit hash; ``encode`` turns a list of new units into ids and their counts."""
+    """Ids of units by their bytes; ``encode`` turns a list of new units into ids and their counts."""
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], remembered: int = REMEMBERED):
+        self.encode, self.remembered = encode, remembered
         self._forget()
 
     def _forget(self) -> None:
-        self.hashes, self.start, self.count, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.slots: dict[bytes, int] = {}
+        self.start, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def distinct(self, block: Block, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The units data[start:end] by their bytes: number of each, one place of each number, and each number's slot in the memory."""
+        if len(self.slots) > self.remembered or len(self.ids) > 8 * self.remembered:
+            self._forget()
+        which = span_ids(block.data, start, end)
+        place = np.empty(int(which.max(initial=-1)) + 1, np.int64)
+        place[which] = np.arange(len(which))
+        text, slots = block.data.tobytes(), self.slots
+        units = [text[a:b] for a, b in zip(start[place].tolist(), end[place].tolist(), strict=True)]
+        new = [u for u in units if u not in slots]
+        if new:
+            ids, count = self.encode(new)
+            self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(count) - count))
+            self.count, self.ids = np.concatenate((self.count, count)), np.concatenate((self.ids, ids))
+            slots.update(zip(new, range(len(slots), len(slots) + len(new)), strict=True))
+        return which, place, np.fromiter((slots[u] for u in units), np.int64, len(units))
 
     def ids_of(self, block: Block, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the units data[start:end] one after the other, and the number of ids of each."""
         if not len(start):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        if len(self.hashes) > REMEMBERED or len(self.ids) > 8 * REMEMBERED:
-            self._forget()
-        prefix = Prefix(byte_values(block.data))
-        own = mix(prefix.run(start, end) + (end - start).astype(np.uint64))
-        unique, first, which = np.unique(own, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.hashes, unique)
-        known = at < len(self.hashes)
-        known[known] = self.hashes[at[known]] == unique[known]
-        new = np.flatnonzero(~known)
-        if len(new):
-            data = block.data.tobytes()
-            ids, count = self.encode([data[a:b] for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
-            begin = len(self.ids) + np.cumsum(count) - count
-            self.ids = np.concatenate((self.ids, ids))
-            hashes = np.concatenate((self.hashes, unique[new]))
-            by = np.argsort(hashes, kind="stable")
-            self.hashes, self.start, self.count = hashes[by], np.concatenate((self.start, begin))[by], np.concatenate((self.count, count))[by]
-            at = np.searchsorted(self.hashes, unique)
-        each = at[which.reshape(-1)]
-        return self.ids[ragged(self.start[each], self.count[each])], self.count[each]
+        which, _, slots = self.distinct(block, start, end)
+        return self.ids_at(slots[which])
+
+    def ids_at(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the units in these slots one after the other, and the number of ids of each."""
+        count = self.count[slots]
+        return self.ids[ragged(self.start[slots], count)], count
 
 
 def per_text(count: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
