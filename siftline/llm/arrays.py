@@ -142,18 +142,33 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix(out)
 
 
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each key, equal for keys that agree in their high bits, and the first place of each number."""
+    n = len(keys)
+    bits = np.uint64(max(1, n.bit_length()))
+    both = np.sort((keys >> bits << bits) | np.arange(n, dtype=np.uint64))
+    order = (both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    fresh = np.ones(n, bool)
+    fresh[1:] = (both[1:] >> bits) != (both[:-1] >> bits)
+    which = np.empty(n, np.int64)
+    which[order] = np.cumsum(fresh) - 1
+    return which, order[fresh]
+
+
 def span_ids(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A number for each string data[start:end]; equal numbers mean equal bytes, which are compared."""
-    unique, first, which = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
-    which = which.reshape(-1)
-    like = first[which]
-    equal = bool((end - start == end[like] - start[like]).all())
-    if equal and len(start):
+    if not len(start):
+        return np.zeros(0, np.int64)
+    which, first = _groups(span_hashes(data, start, end))
+    like = start[first][which]
+    equal = bool((end - start == (end - start)[first][which]).all())
+    if equal:
         _, at, mask, owner = _pieces(data, start, end)
         loads = _loads(data)
-        equal = bool(((loads[at] & mask) == (loads[at - start[owner] + start[like[owner]]] & mask)).all())
+        equal = bool(((loads[at] & mask) == (loads[at - start[owner] + like[owner]] & mask)).all())
     if equal:
         return which
+    # two strings with one hash: number them by their bytes
     known: dict[bytes, int] = {}
     text = data.tobytes()
     return np.array([known.setdefault(text[a:b], len(known)) for a, b in zip(start.tolist(), end.tolist(), strict=True)], np.int64)
