@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.llm.arrays import IS_ALNUM, Block, Words, blocks, ragged
-from siftline.llm.frames import in_slices, keyed_texts, longs, stored, table
+from siftline.llm.frames import by_group, in_slices, keyed_texts, longs, stored, table
 
 #: Text in a shard, postings in a block, and text of the items searched at once.
 SHARD_BYTES = 8 << 20
@@ -308,22 +308,6 @@ def search_shard(rows: pa.Table, items: list[list[tuple[str, int]]], statistics:
     return sum(int(p.opened.sum()) for p in lists.values())
 
 
-def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of a partition sorted by shard, one shard at a time."""
-    waiting: list[pa.RecordBatch] = []
-    for batch in batches:
-        shard = batch.column("shard").to_numpy()
-        bounds = np.concatenate(([0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]))
-        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            if hi > lo:
-                if waiting and waiting[0].column("shard")[0] != batch.column("shard")[lo]:
-                    yield pa.Table.from_batches(waiting)
-                    waiting = []
-                waiting.append(batch.slice(lo, hi - lo))
-    if waiting:
-        yield pa.Table.from_batches(waiting)
-
-
 def item_terms(text: str | None) -> list[str]:
     """The distinct terms of an item."""
     found: dict[str, None] = {}
@@ -364,7 +348,7 @@ def search(index: DataFrame, items: DataFrame, k: int = TOP, text: str = "text",
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             weighed, statistics = shared.value
             heaps = Heaps(len(weighed), k)
-            for rows in by_shard(batches):
+            for rows in by_group(batches, ["shard"]):
                 search_shard(rows, weighed, statistics, heaps)
             sizes = np.array([len(x) for x, _ in heaps.best], np.int64)
             yield pa.RecordBatch.from_pydict(

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,5 +67,32 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
     return pa.Table.from_batches(found).combine_chunks() if found else None
 
 
+def by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of a partition that is sorted by ``keys``, one group at a time."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        new = np.zeros(n, bool)
+        for key in keys:
+            column = batch.column(key)
+            new[1:] |= pa.compute.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+        new[0] = not waiting or any(waiting[0].column(k)[0] != batch.column(k)[0] for k in keys)
+        bounds = np.append(np.flatnonzero(new), n)
+        if waiting and bounds[0] == 0:
+            yield pa.Table.from_batches(waiting)
+            waiting = []
+        elif bounds[0]:
+            waiting.append(batch.slice(0, int(bounds[0])))
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if waiting and new[lo]:
+                yield pa.Table.from_batches(waiting)
+                waiting = []
+            waiting.append(batch.slice(lo, hi - lo))
+    if waiting:
+        yield pa.Table.from_batches(waiting)
+
+
 def held_out(remainder: int, key: str = "doc_id"):
     return (F.crc32(F.col(key).cast("string").cast("binary")) % 5) == remainder

@@ -96,3 +96,65 @@ def test_star_whose_centre_has_a_middle_id(spark, documents):
     want = brute(rows, 4)
     assert {c for _, c, _ in want.values()} == {0, 1000}
     assert result(documents(rows), shingle=4) == want
+
+
+def near_copies(n, words=300, edits=12, seed=4):
+    rng = random.Random(seed)
+    base = [f"w{k}" for k in range(words)]
+    rows = []
+    for _ in range(n):
+        mine = list(base)
+        for at in rng.sample(range(words), edits):
+            mine[at] = f"x{rng.randrange(10**9)}"
+        rows.append(" ".join(mine))
+    return list(enumerate(rows))
+
+
+def placed_alone(spark, documents, rows, shingle=4):
+    """Classes as the regions get them, each a component of its own."""
+    from pyspark.sql import functions as F
+
+    from siftline.llm.frames import keyed_texts
+    from siftline.llm.lsh_forest import set_table, signature_table
+
+    docs = keyed_texts(documents(rows), "text", "doc_id")
+    placed = signature_table(docs, shingle).withColumnRenamed("doc_id", "rep").withColumn("component", F.col("rep")).cache()
+    return placed, lambda wanted: set_table(docs.withColumnRenamed("doc_id", "rep").join(wanted.distinct(), "rep", "left_semi"), shingle)
+
+
+def test_regions_alone_find_every_link(spark, documents, monkeypatch):
+    from siftline.llm import lsh_forest
+    from siftline.llm.components import components
+
+    rng = random.Random(8)
+    rows = list(enumerate(corpus(rng, 25, 8, 120) + [t for _, t in near_copies(150, edits=9)]))
+    want = {i: c for i, (_, c, _) in brute(rows, 4).items()}
+    # regions in one cell, and dealt into many cells
+    for block in (1 << 12, 16):
+        monkeypatch.setattr(lsh_forest, "BLOCK", block)
+        placed, sets_of = placed_alone(spark, documents, rows)
+        got = {r["node"]: r["component"] for r in components(lsh_forest.still_apart(placed, sets_of, 80)).collect()}
+        assert {i: got.get(i, i) for i in want} == want
+
+
+def test_rows_grow_with_members_not_with_pairs(spark, documents):
+    from siftline.llm.lsh_forest import cells, joined_components, near_members
+
+    # 2 000 near copies of which many pairs are just under the threshold
+    rows = near_copies(2000, words=200, edits=3)
+    placed, sets_of = placed_alone(spark, documents, rows)
+    from pyspark.sql import functions as F
+
+    members = placed.withColumn("heads", F.concat(*(F.substring("paths", i * 24 + 1, 4) for i in range(16))))
+    dealt = cells(members).cache()
+    assert dealt.count() <= 2 * 16 * 2000
+    near = near_members(dealt.join(members, ["rep", "low", "high"]), 80).cache()
+    assert near.count() <= dealt.count()
+    links = joined_components(near.join(members, ["rep", "low", "high"]).join(sets_of(near.select("rep")), ["rep", "low", "high"]), 80)
+    assert 0 < links.count() <= near.count()
+
+
+def test_words_that_polynomial_hashes_confuse(spark, documents):
+    one = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    assert result(documents([(1, one), (2, two)])) == {1: (1, 1, True), 2: (1, 2, True)}
