@@ -107,6 +107,43 @@ class Prefix:
         return (self.sums[size:] - self.sums[:n]) * self.down[:n] if n > 0 else np.zeros(0, np.uint64)
 
 
+_PRIME = np.uint64((1 << 31) - 1)
+_BASES = (1_640_531_527, 1_013_904_223)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Remainders modulo the prime 2^31 - 1."""
+    x = (x & _PRIME) + (x >> np.uint64(31))
+    x = (x & _PRIME) + (x >> np.uint64(31))
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+class RunHash:
+    """Like ``Prefix``, for runs of any length: two polynomials modulo a prime, whose collisions do not follow the form of a sequence."""
+
+    def __init__(self, values: np.ndarray):
+        n, mixed = len(values), mix(values)
+        self.parts = []
+        for base, own in zip(_BASES, (mixed & _PRIME, mixed >> np.uint64(33)), strict=True):
+            up, down = (self._powers(b, n + 1) for b in (base, pow(base, -1, int(_PRIME))))
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(_reduced(own * up[:n]), out=sums[1:])
+            self.parts.append((sums, down))
+
+    @staticmethod
+    def _powers(base: int, n: int) -> np.ndarray:
+        out = np.ones(1, np.uint64)
+        step = base
+        while len(out) < n:
+            out = np.concatenate((out, _reduced(out * np.uint64(step))))
+            step = step * step % int(_PRIME)
+        return out[:n]
+
+    def run(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        low, high = (_reduced(_reduced(sums[end] - sums[start]) * down[start]) for sums, down in self.parts)
+        return low | (high << np.uint64(31))
+
+
 def byte_values(data: np.ndarray, lower: bool = False) -> np.ndarray:
     return (_BYTES[LOWER] if lower else _BYTES)[data]
 

@@ -43,6 +43,8 @@ SPACE = 0xFF
 BYTE_PENALTY = 10.0
 #: Units that go through the Viterbi side by side.
 UNITS_AT_ONCE = 1 << 13
+#: Units of more bytes are walked one by one.
+LONG_UNIT = 1 << 10
 
 ENCODED = "doc_id long, n_bytes long, n_tokens long, ids array<int>"
 
@@ -122,7 +124,9 @@ class Automaton:
         sizes = np.array([len(u) for u in units], np.int64)
         by_size = np.argsort(sizes, kind="stable")
         out: list[np.ndarray | None] = [None] * len(units)
-        lo = 0
+        for k in np.flatnonzero(sizes > LONG_UNIT).tolist():
+            out[k] = self._walk(units[k])
+        by_size, lo = by_size[sizes[by_size] <= LONG_UNIT], 0
         while lo < len(by_size):
             hi = min(lo + UNITS_AT_ONCE, len(by_size))
             # long units go in smaller company, so that the tables stay small
@@ -178,6 +182,35 @@ class Automaton:
         counts = np.bincount(owner, minlength=n)
         return [x[::-1] for x in np.split(reversed_ids[order], np.cumsum(counts)[:-1])]
 
+    def _walk(self, unit: bytes) -> np.ndarray:
+        """The same for one long unit, byte by byte: its cost is in proportion to its length, whatever its company."""
+        to, width = memoryview(np.ascontiguousarray(self.next).reshape(-1)), self.next.shape[1]
+        if not hasattr(self, "lists"):
+            self.lists = [np.asarray(x).tolist() for x in (self.piece, self.link, self.length, self.score)]
+        piece, link, length, score = self.lists
+        byte_ids, byte_score, none = self.byte_ids.tolist(), float(self.byte_score), float("-inf")
+        best, back, token, state = [0.0], [0], [0], 0
+        for t, byte in enumerate(unit):
+            state = to[state * width + byte]
+            found, step, chosen = none, 1, -1
+            end = state if piece[state] >= 0 else link[state]
+            while end > 0:
+                value = best[t + 1 - length[end]] + score[end]
+                if value > found:
+                    found, step, chosen = value, length[end], piece[end]
+                end = link[end]
+            single = best[t] + byte_score
+            if single > found:
+                found, step, chosen = single, 1, byte_ids[byte]
+            best.append(found)
+            back.append(step)
+            token.append(chosen)
+        out, at = [], len(unit)
+        while at:
+            out.append(token[at])
+            at -= back[at]
+        return np.array(out[::-1], np.int32)
+
     def units(self, block: Block) -> tuple[Block, np.ndarray, np.ndarray, np.ndarray]:
         """The block with marks for spaces and before each text, and the units' starts, ends and texts."""
         texts = len(block)

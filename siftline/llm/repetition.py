@@ -9,7 +9,8 @@ not cover more than ``max_covered`` of the words, and none may be longer than
 
 One narrow pass over the table: no shuffle, and memory for one block of texts.
 
-Null and empty texts have no words and fail.  Repeated rows are judged one by
+Words and lines are numbered by their bytes.  Null and empty texts have no
+words and fail.  Equally long repeats all count.  Repeated rows are judged one by
 one and get equal results.  Columns other than the two named ones are not
 read.  An empty table gives an empty result.  Memory follows the longest
 single text (about 60 bytes a byte of it).
@@ -23,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from siftline.llm.arrays import IS_WORD, Block, Prefix, Words, blocks, byte_values, covered, mix
+from siftline.llm.arrays import IS_WORD, Block, Words, blocks, covered, span_ids
 from siftline.llm.frames import keyed_texts, longs, per_batch, table
 from siftline.llm.suffixes import repeat_lengths
 
@@ -61,8 +62,7 @@ def duplicate_lines(block: Block, is_word: np.ndarray) -> np.ndarray:
     np.cumsum(is_word, out=words[1:])
     with_word = words[end] > words[start]
     start, end, owner = start[with_word], end[with_word], owner[with_word]
-    prefix = Prefix(byte_values(data))
-    key = mix(prefix.run(start, end) + (end - start).astype(np.uint64))
+    key = span_ids(data, start, end)
     order = np.lexsort((key, owner))
     key, owner = key[order], owner[order]
     again = np.zeros(len(key), bool)
@@ -72,12 +72,12 @@ def duplicate_lines(block: Block, is_word: np.ndarray) -> np.ndarray:
 
 def judge(block: Block, min_repeat: int, max_covered: float, max_repeat: int) -> dict[str, np.ndarray]:
     """All counts and the verdict for the texts of one block."""
-    words = Words(block)
-    doc, n_words, total = words.doc(), words.count.astype(np.int64), len(words.hash)
+    words = Words(block, hashes=False)
+    doc, n_words, total = words.doc(), words.count.astype(np.int64), len(words.start)
     is_word = IS_WORD[block.data]
     symbols = np.zeros(256, bool)
     symbols[list(SYMBOLS)] = True
-    longest = repeat_lengths(words.hash, doc)
+    longest = repeat_lengths(words.ids().astype(np.uint64), doc)
 
     def per_text(mask: np.ndarray) -> np.ndarray:
         return np.bincount(doc[mask], minlength=len(block)).astype(np.int64)

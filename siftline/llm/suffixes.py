@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 
-from siftline.llm.arrays import Prefix, mix
+from siftline.llm.arrays import Prefix, RunHash, mix
 
 
-def common_prefix(prefix: Prefix, a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.ndarray:
+def common_prefix(prefix: Prefix | RunHash, a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.ndarray:
     """Length of the longest common extension of the runs at ``a`` and ``b``, at most ``limit``.
 
     Doubling finds a range, binary search the length; each step compares two
@@ -93,7 +93,7 @@ def repeat_lengths(symbols: np.ndarray, owner: np.ndarray) -> np.ndarray:
     end = np.append(np.flatnonzero(owner[1:] != owner[:-1]) + 1, n)
     end_of = np.repeat(end, np.diff(np.append(0, end)))
     a, b = order[pairs - 1], order[pairs]
-    common = common_prefix(Prefix(symbols), a, b, np.minimum(end_of[a] - a, end_of[b] - b))
+    common = common_prefix(RunHash(symbols), a, b, np.minimum(end_of[a] - a, end_of[b] - b))
     np.maximum.at(longest, a, common)
     np.maximum.at(longest, b, common)
     return longest

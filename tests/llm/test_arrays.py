@@ -40,3 +40,14 @@ def test_words():
     words = Words(block)
     found = [block.data[a:b].tobytes().decode() for a, b in zip(words.start, words.end, strict=True)]
     assert found == ["a", "bc", "é x", "y"] and words.count.tolist() == [0, 2, 0, 2]
+
+
+def test_run_hashes_part_sequences_that_polynomials_confuse():
+    order = np.array([bin(i).count("1") & 1 for i in range(4096)], np.uint64)
+    both = np.concatenate((order, np.uint64(1) - order, order))
+    runs = arrays.RunHash(both)
+    at = np.array([0, 4096, 8192])
+    one, two, three = runs.run(at, at + 4096).tolist()
+    assert one == three != two
+    # the plain polynomial takes both for one
+    assert len(set(arrays.Prefix(both).run(at, at + 4096).tolist())) == 1

@@ -70,3 +70,11 @@ def test_ties_nulls_and_empty_table(spark, documents):
     docs = documents([(1, text), (1, text), (None, text), (2, text)]).withColumnRenamed("lang", "start").withColumnRenamed("source", "first")
     assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in word_repeat_report(docs).collect()) == [(0, 0), (1, 0), (1, 0), (2, 60)]
     assert word_repeat_report(documents([])).count() == 0
+
+
+def test_words_that_polynomial_hashes_confuse(spark, documents):
+    one = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    words = [f"w{k}" for k in range(61)]
+    rows = [(i, " ".join(words[:31] + [odd] + words[31:60])) for i, odd in ((1, one), (2, two))]
+    assert [r["n_removed"] for r in word_repeat_report(documents(rows)).orderBy("doc_id").collect()] == [0, 0]

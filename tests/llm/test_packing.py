@@ -108,3 +108,11 @@ def test_edge_cases(spark, documents):
     row = pack_tokens(docs).collect()
     assert len(row) == 1 and sorted(map(str, row[0]["doc_ids"])) == ["2", "3", "3", "None"] and row[0]["n_tokens"] == 7
     assert pack_tokens(documents([])).count() == 0
+
+
+def test_words_that_polynomial_hashes_confuse(encoding):
+    one = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    (block,) = blocks(pa.array([one, two]))
+    ids, counts = Tokenizer(open(RANKS, "rb").read()).ids(block)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [encoding.encode_ordinary(one), encoding.encode_ordinary(two)]

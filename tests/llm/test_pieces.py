@@ -86,3 +86,25 @@ def test_edge_cases(spark, documents):
     assert got[0][1:] == got[3][1:] == got[4][1:] and got[1] == (1, 0, None) and got[2] == (2, 0, [])
     assert sorted(str(r["text"]) for r in decode_pieces(encoded).collect()) == ["", "None", "a b", "a b", "a b"]
     assert encode_pieces(documents([])).count() == 0
+
+
+def test_long_unbroken_texts(spark, documents, vocabulary):
+    import time
+
+    rng = random.Random(5)
+    rows = [(1, "a" * 30_000), (2, "".join(rng.choice(["ing", "the", "e", "zq"]) for _ in range(3000))), (3, "日本" * 2000)]
+    got = {r["doc_id"]: r for r in encode_pieces(documents(rows)).collect()}
+    for i, text in rows:
+        assert got[i]["ids"] == brute(vocabulary, text) and got[i]["round_trip"]
+    begin = time.time()
+    (row,) = encode_pieces(documents([(1, "a" * 1_000_000)])).collect()
+    assert row["round_trip"] and time.time() - begin < 60
+
+
+def test_words_that_polynomial_hashes_confuse(spark, documents):
+    one = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{one} {two}"), (2, two), (3, one)]
+    assert all(r["round_trip"] for r in encode_pieces(documents(rows, 1)).collect())
+    back = {r["doc_id"]: r["text"] for r in decode_pieces(encode_pieces(documents(rows, 1))).collect()}
+    assert back == dict(rows)

@@ -58,3 +58,14 @@ def test_very_long_text_keeps_its_counts(spark, documents):
     row = repetition_rules(documents([(1, text), (2, text + " " + text)])).orderBy("doc_id").collect()
     assert (row[0]["longest_repeat"], row[0]["kept"]) == (0, True)
     assert (row[1]["longest_repeat"], row[1]["n_repeat_words"], row[1]["kept"]) == (300_000, 600_000, False)
+
+
+def test_lines_and_words_that_polynomial_hashes_confuse(spark, documents):
+    one = "".join("ab"[bin(i).count("1") & 1] for i in range(2048))
+    two = one.translate(str.maketrans("ab", "ba"))
+    texts = [f"{one}\n{two}\n{one}", f"x {one} y x {two} y", " ".join(one) + " z " + " ".join(two)]
+    got = {r["doc_id"]: r for r in repetition_rules(documents(list(enumerate(texts)))).collect()}
+    assert (got[0]["n_dup_lines"], got[1]["n_repeat_words"]) == (1, 0)
+    assert got[2]["longest_repeat"] < 2048
+    long = next(k for k in range(2047, 0, -1) if any(" ".join(one[i : i + k]) in " ".join(two) or one.find(one[i : i + k], i + 1) >= 0 for i in range(2048 - k + 1)))
+    assert got[2]["longest_repeat"] == long
