@@ -41,6 +41,15 @@ class Surface(NamedTuple):
     stage: str
 
 
+class Exclusion(NamedTuple):
+    """Words that take off the occurrences of a term that stand near them."""
+
+    term: str
+    exclude_if: tuple[str, ...]
+    before: int
+    after: int
+
+
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
@@ -113,33 +122,81 @@ class TermIndex:
                 same[part] = (found == self.codes[n][self.row[term[part]]]).all(axis=1)
         return place[same], term[same]
 
-    def counted(self, texts: list[str]) -> Iterator[tuple[int, int, int, int]]:
-        """(text, term, first position, occurrences that do not overlap) in order of text and term."""
+    def grouped(self, texts: list[str]) -> Grouped:
+        """All occurrences in several texts, by text, term and position."""
         lengths = np.array([len(t) for t in texts], np.int64)
         stops = np.cumsum(lengths)
         codes = _codes("".join(texts))
         place, term = self.occurrences(codes, np.repeat(stops, lengths))
         text = np.searchsorted(stops, place, "right")
-        if not len(place):
-            return
         by = np.lexsort((place, term, text))
         place, term, text = place[by], term[by], text[by]
         new = np.ones(len(by), bool)
         new[1:] = (text[1:] != text[:-1]) | (term[1:] != term[:-1])
         begin = np.flatnonzero(new)
-        stop = np.append(begin[1:], len(by))
         close = np.zeros(len(by), bool)
         close[1:] = ~new[1:] & (place[1:] - place[:-1] < self.size[term[1:]])
-        overlaps = np.add.reduceat(close, begin) > 0
-        for a, b, overlapping in zip(begin.tolist(), stop.tolist(), overlaps.tolist(), strict=True):
-            n, free = b - a, -1
-            if overlapping:
-                n = 0
-                for p in place[a:b].tolist():
-                    if p >= free:
-                        n, free = n + 1, p + int(self.size[term[a]])
-            i = int(text[a])
-            yield i, int(term[a]), int(place[a] - (stops[i] - lengths[i])), n
+        overlaps = np.add.reduceat(close, begin) > 0 if len(begin) else np.zeros(0, bool)
+        end = np.append(begin[1:], len(by)) if len(begin) else begin
+        return Grouped(text[begin], term[begin], begin, end, place - (stops - lengths)[text] if len(by) else place, overlaps)
+
+    def apart(self, places: list[int], term: int) -> list[int]:
+        """The occurrences that a front-to-back search finds, each beginning behind the one before."""
+        out, free = [], -1
+        for p in places:
+            if p >= free:
+                out.append(p)
+                free = p + int(self.size[term])
+        return out
+
+    def counted(self, texts: list[str], exclusions: dict[int, tuple[Exclusion, list[int]]] | None = None) -> Iterator[tuple[int, int, int, int]]:
+        """(text, term, first position, occurrences that do not overlap) in order of text and term.
+
+        ``exclusions``: for a term, the rule that takes off some of its
+        occurrences, and the terms of the rule's excluding words.
+        """
+        found = self.grouped(texts)
+        spans = found.spans() if exclusions else {}
+        for k, (i, term, a, b, overlapping) in enumerate(zip(*(x.tolist() for x in (found.text, found.term, found.begin, found.end, found.overlaps)), strict=True)):
+            if exclusions and term in exclusions:
+                rule, words = exclusions[term]
+                n = len(self.kept(texts[i], i, term, rule, words, found, spans))
+            elif overlapping:
+                n = len(self.apart(found.place[a:b].tolist(), term))
+            else:
+                n = b - a
+            yield i, term, int(found.place[a]), n
+
+    def kept(self, text: str, i: int, term: int, rule: Exclusion, words: list[int], found: Grouped, spans: dict[tuple[int, int], int]) -> list[int]:
+        """Occurrences of a term in text ``i`` without an excluding word between ``before`` characters ahead and ``after`` behind it."""
+        size = int(self.size[term])
+        places = self.apart(found.places(spans[i, term]).tolist(), term)
+        near = [(int(self.size[w]), found.places(spans[i, w])) for w in words if (i, w) in spans]
+        out = []
+        for p in places:
+            lo, hi = max(0, p - rule.before), min(len(text), p + size + rule.after)
+            if not any((at := int(np.searchsorted(q, lo))) < len(q) and q[at] + n <= hi for n, q in near):
+                out.append(p)
+        return out
+
+
+@dataclass
+class Grouped:
+    """Occurrences by text and term: one entry for each pair, and the pairs' places within their texts."""
+
+    text: np.ndarray
+    term: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    place: np.ndarray
+    overlaps: np.ndarray
+
+    def places(self, k: int) -> np.ndarray:
+        return self.place[self.begin[k] : self.end[k]]
+
+    def spans(self) -> dict[tuple[int, int], int]:
+        """The entry of each (text, term)."""
+        return {pair: k for k, pair in enumerate(zip(self.text.tolist(), self.term.tolist(), strict=True))}
 
 
 def _slices(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
@@ -170,26 +227,32 @@ def in_blocks(rows: Iterable, size: int = TERMS_AT_ONCE) -> Iterator[list]:
         yield block
 
 
-def _with_block(docs: DataFrame, columns: list[tuple[str, list[Surface]]], text: str, radius: int) -> DataFrame:
+def _with_block(docs: DataFrame, columns: list[tuple[str, list[Surface]]], text: str, radius: int, exclusions: dict[str, Exclusion]) -> DataFrame:
     by_surface: dict[str, list[tuple[int, Surface]]] = {}
     for c, (_, rows) in enumerate(columns):
         for r in rows:
             by_surface.setdefault(r.surface, []).append((c, r))
-    index = TermIndex(by_surface)
-    meanings = [by_surface[s] for s in index.surfaces]
-    shared = docs.sparkSession.sparkContext.broadcast((index, meanings))
+    rules = {s: exclusions[s] for s in by_surface if s in exclusions}
+    index = TermIndex([*by_surface, *(w for r in rules.values() for w in r.exclude_if)])
+    number = {s: i for i, s in enumerate(index.surfaces)}
+    meanings = [by_surface.get(s, []) for s in index.surfaces]
+    # an empty word is near everything
+    nearby = {number[s]: (r._replace(before=0, after=0), [number[s]]) if "" in r.exclude_if else (r, [number[w] for w in r.exclude_if]) for s, r in rules.items() if s}
+    shared = docs.sparkSession.sparkContext.broadcast((index, meanings, nearby))
     names, all_names = [n for n, _ in columns], [*docs.columns, *(n for n, _ in columns)]
     schema = D.StructType([*docs.schema.fields, *(D.StructField(n, D.ArrayType(HIT)) for n in names)])
     read = docs.withColumn("_matched_text", F.expr(text))
     item = pa.struct([(f.name, pa.int32() if f.name == "count" else pa.string()) for f in HIT.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, meanings = shared.value
+        index, meanings, nearby = shared.value
         for batch in batches:
             texts = batch.column("_matched_text").to_pylist()
             for lo, part in _slices(texts):
                 found: list[list[list[dict]]] = [[[] for _ in part] for _ in names]
-                for i, term, start, n in index.counted(part):
+                for i, term, start, n in index.counted(part, nearby):
+                    if not n or not meanings[term]:
+                        continue
                     surface = index.surfaces[term]
                     near = snippet(part[i], start, len(surface), radius)
                     for c, m in meanings[term]:
@@ -203,17 +266,24 @@ def _with_block(docs: DataFrame, columns: list[tuple[str, list[Surface]]], text:
     return read.mapInArrow(run, schema)
 
 
-def attach_hits(docs: DataFrame, packs: dict[str, list[Surface]], text: str = "text", radius: int = 25) -> DataFrame:
+def attach_hits(
+    docs: DataFrame, packs: dict[str, list[Surface]], text: str = "text", radius: int = 25, exclusions: Iterable[Exclusion] = (),
+) -> DataFrame:
     """``docs`` plus, for each named pack, an array of its hits in the text, sorted by surface.
 
     One narrow pass for all packs (for each block of terms, if there are more
-    than fit in one).  NULL texts have no hits.
+    than fit in one).  NULL texts have no hits.  Occurrences that an exclusion
+    takes off are not counted, and a hit with none left is dropped; the first
+    rule of a term holds.
     """
+    rules: dict[str, Exclusion] = {}
+    for rule in exclusions:
+        rules.setdefault(rule.term, rule)
     rows = sorted((r.surface, r.ktype, r.category, name, r) for name, pack in packs.items() for r in pack)
     parts: list[dict[str, str]] = []
     for block in in_blocks(rows):
         columns = [(f"_{name}_{len(parts)}", [r for _, _, _, owner, r in block if owner == name]) for name in packs]
-        docs = _with_block(docs, columns, text, radius)
+        docs = _with_block(docs, columns, text, radius, rules)
         parts.append({name: column for name, (column, _) in zip(packs, columns, strict=True)})
     none = F.lit(None).cast(D.ArrayType(HIT))
     joined = {name: F.concat(*(F.col(p[name]) for p in parts)) if parts else F.coalesce(none, F.array().cast(D.ArrayType(HIT))) for name in packs}
@@ -226,7 +296,7 @@ def term_hits(docs: DataFrame, surfaces: DataFrame, text: str = "text", radius:
     texts = docs.select("doc_id", F.expr(text).alias("_body"))
     out = None
     for block in in_blocks(ordered.toLocalIterator()):
-        hits = _with_block(texts, [("_hits", [Surface(*r) for r in block])], "_body", radius)
+        hits = _with_block(texts, [("_hits", [Surface(*r) for r in block])], "_body", radius, {})
         rows = hits.select("doc_id", F.explode("_hits").alias("_hit")).select("doc_id", "_hit.*")
         out = rows if out is None else out.unionByName(rows)
     if out is None:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions.sql import any_contains, let, quote, string_array, which_contain
-from siftline.operators.rows import explode_structs, rule_rows
+from siftline.operators.rows import rule_rows
+from siftline.operators.rulepass import attach_rules, negative_rules, rule_blocks
 
 # Markers of bulk mail and of old news.
 BULK_TERMS = [
@@ -28,47 +29,18 @@ NEWS_MARKERS = ["报道", "報導", "新闻", "新聞", "记者", "記者", "媒
 RECEIPT_CAP = 15.0
 
 
-def negative_literal(rows: Iterable) -> str:
-    """rule_negatives rows: rule_id, require, min_count, also, forbid, forbid_types, flags, delta, cap."""
-    items = [
-        f"named_struct('rule_id', {quote(r.rule_id)}, 'require', {string_array(r.require)},"
-        f" 'min_count', {int(r.min_count)}, 'also', {string_array(r.also)}, 'forbid', {string_array(r.forbid)},"
-        f" 'forbid_types', {string_array(r.forbid_types)}, 'flags', {string_array(r.flags)},"
-        f" 'delta', {quote(float(r.delta))}, 'cap', cast({quote(r.cap)} AS double))"
-        for r in sorted(rows, key=lambda r: r.rule_id)
-    ]
-    if not items:
-        raise ValueError("no negative rules")
-    return "array(" + ", ".join(items) + ")"
-
-
-def negative_hits_sql(text: str, types: str, flags: str, rules: str) -> str:
-    """array<struct<rule_id,delta,cap,matched_terms>> of the rules that hold.
-
-    ``types`` is an array of the hit types present, ``flags`` an array of
-    document flags.  A rule with delta 0 and no cap is only put on record.
-    """
-    found = f"filter(_r.require, _t -> contains({text}, _t))"
-    holds = (
-        f"size({found}) >= _r.min_count"
-        f" AND (size(_r.also) = 0 OR exists(_r.also, _t -> contains({text}, _t)))"
-        f" AND NOT exists(_r.forbid, _t -> contains({text}, _t))"
-        f" AND NOT arrays_overlap(_r.forbid_types, {types})"
-        f" AND size(array_except(_r.flags, {flags})) = 0"
-    )
-    return (
-        f"transform(filter({rules}, _r -> {holds}), _r -> named_struct('rule_id', _r.rule_id,"
-        f" 'delta', _r.delta, 'cap', _r.cap, 'matched_terms', {found}))"
-    )
-
-
 def match_negative_rules(
     docs: DataFrame, rule_negatives: DataFrame, text: str = "text",
     types: str = "cast(array() AS array<string>)", flags: str = "cast(array() AS array<string>)",
 ) -> DataFrame:
-    """doc_id, rule_id, delta, cap, matched_terms."""
-    literal = negative_literal(rule_rows(rule_negatives))
-    return explode_structs(docs, negative_hits_sql(text, types, flags, literal), ["doc_id"])
+    """doc_id, rule_id, delta, cap, matched_terms of the rules that hold.
+
+    ``types`` is an array of the hit types present, ``flags`` an array of
+    document flags.  A rule with delta 0 and no cap is only put on record.
+    """
+    rules = rule_blocks("negatives", negative_rules(rule_negatives.orderBy("rule_id").toLocalIterator()))
+    found = attach_rules(docs, rules, text, negatives="_found", types=types, flags=flags, keep=["doc_id"])
+    return found.select("doc_id", F.explode("_found").alias("_item")).select("doc_id", "_item.*")
 
 
 def sum_negatives(hits: DataFrame) -> DataFrame:

@@ -1,30 +1,25 @@
 """Windowed co-occurrence patterns and context exclusions.
 
 A pattern needs one term from each of its groups inside one window of the
-text.  A document's windows live in its own row, so matching is a narrow
-transformation: no window rows are exploded and nothing is shuffled.
+text.  Matching is a narrow pass over positions (see ``rulepass``): no window
+rows are exploded and nothing is shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions import text as T
-from siftline.functions.sql import let, quote, string_array
-from siftline.operators.rows import explode_structs, rule_rows
+from siftline.operators.rulepass import attach_rules, exclusion_rules, in_groups, rule_blocks
 
 LEVELS = ("sentence", "paragraph", "context3", "full")
 FULL_WINDOW_GROUPS = 3
 # Fixed value: what counts as a number inside a window.
 NUMBER_REGEX = r"\d[\d,，.]*\s*(?:万亿|萬億|万|萬|亿|億)?"
-HIT_TYPE = (
-    "array<struct<pattern_id:string,category:string,score:double,level:string,window_no:int,"
-    "matched_terms:array<string>,snippet:string>>"
-)
 
 
 @dataclass
@@ -83,115 +78,26 @@ def patterns_from_rows(rows: Iterable) -> list[Pattern]:
     return list(out.values())
 
 
-def pattern_literal(patterns: Iterable[Pattern]) -> str:
-    items = []
-    for p in patterns:
-        groups = ", ".join(
-            f"named_struct('kind', {quote(kind)}, 'terms', {string_array(terms)})" for kind, terms in p.groups
-        )
-        items.append(
-            f"named_struct('pattern_id', {quote(p.pattern_id)}, 'category', {quote(p.category)},"
-            f" 'score', {quote(float(p.score()))}, 'levels', {string_array(p.levels())},"
-            f" 'full_limit', {2**31 - 1 if p.full_limit is None else int(p.full_limit)}, 'groups', array({groups}))"
-        )
-    return "array(" + ", ".join(items) + ")"
-
-
-def _terms_in(window: str, group: str, s: Signals) -> str:
-    """Terms of a group that occur in a window, in rule order."""
-    return (
-        f"CASE {group}.kind WHEN 'term' THEN filter({group}.terms, _t -> contains({window}, _t))"
-        f" WHEN 'amount' THEN concat(filter({s.amounts}, _t -> contains({window}, _t)),"
-        f" transform(regexp_extract_all({window}, {quote(NUMBER_REGEX)}, 0), _t -> replace(_t, ' ', '')))"
-        f" WHEN 'reversal' THEN filter({s.reversals}, _t -> contains({window}, _t))"
-        f" WHEN 'entity' THEN filter({s.entities}, _t -> contains({window}, _t))"
-        f" WHEN 'flag' THEN CASE WHEN {s.flag} THEN array('') ELSE cast(array() AS array<string>) END"
-        " ELSE cast(array() AS array<string>) END"
-    )
-
-
-def _all_groups(window: str, pattern: str, s: Signals) -> str:
-    return f"forall({pattern}.groups, _g -> size({_terms_in(window, '_g', s)}) > 0)"
-
-
-def windows_sql(text: str, ends: str = T.SENTENCE_ENDS) -> str:
-    """All windows of a text in the order in which they are tried."""
-
-    def level(name: str, rank: int, texts: str) -> str:
-        return (
-            f"transform({texts}, (_x, _i) -> named_struct('level', {quote(name)}, 'rank', {rank},"
-            " 'window_no', _i, 'text', _x))"
-        )
-
-    return let(
-        "_s",
-        T.sentence_texts(text, ends),
-        "concat("
-        + ", ".join(
-            [
-                level("sentence", 0, "_s"),
-                level("paragraph", 1, T.paragraph_texts(text)),
-                level("context3", 2, T.triples("_s")),
-                level("full", 3, f"array({text})"),
-            ]
-        )
-        + ")",
-    )
-
-
-def pattern_hits_sql(text: str, patterns: str, signals: Signals = Signals(), ends: str = T.SENTENCE_ENDS) -> str:
-    """array of pattern hits; at most one per pattern, best level first, then first window.
-
-    Patterns with a group missing from the whole text drop out before any
-    window is built.
-    """
-    candidates = f"filter({patterns}, _p -> {_all_groups(text, '_p', signals)})"
-    allowed = (
-        "filter(_w, _x -> array_contains(_p.levels, _x.level)"
-        " AND (_x.level <> 'full' OR length(_x.text) <= _p.full_limit))"
-    )
-    # rule packs may list the windows in any order, and that order decides
-    hit = (
-        f"array_min(transform(filter({allowed}, _x -> {_all_groups('_x.text', '_p', signals)}),"
-        " _x -> named_struct('ord', array_position(_p.levels, _x.level), 'window_no', _x.window_no,"
-        " 'level', _x.level, 'text', _x.text)))"
-    )
-    terms = (
-        "filter(transform(_p.groups, _g -> try_element_at("
-        + _terms_in("_v.text", "_g", signals)
-        + ", 1)), _t -> _t <> '')"
-    )
-    described = (
-        "named_struct('pattern_id', _p.pattern_id, 'category', _p.category, 'score', _p.score,"
-        " 'level', _v.level, 'window_no', _v.window_no, 'matched_terms', _m,"
-        f" 'snippet', CASE WHEN size(_m) > 0 THEN concat('…', translate(substring({text},"
-        f" greatest(locate(_m[0], {text}) - 30, 1), 140 + length(_m[0])), '\\n', ' '), '…') ELSE substring({text}, 1, 120) END)"
-    )
-    per_pattern = let("_v", hit, f"CASE WHEN _v IS NOT NULL THEN {let('_m', terms, described)} END")
-    searched = let(
-        "_w",
-        windows_sql(text, ends),
-        f"filter(transform(_c, _p -> {per_pattern}), _h -> _h IS NOT NULL)",
-    )
-    return let("_c", candidates, f"CASE WHEN size(_c) > 0 THEN {searched} ELSE cast(array() AS {HIT_TYPE}) END")
+def patterns_in(rule_patterns: DataFrame) -> Iterator[Pattern]:
+    """The patterns of a table, by id, read as a stream."""
+    for rows in in_groups(rule_patterns.orderBy("pattern_id", "group_no", "term_no").toLocalIterator(), "pattern_id"):
+        yield from patterns_from_rows(rows)
 
 
 def match_patterns(
     docs: DataFrame, rule_patterns: DataFrame, text: str = "text",
-    signals: Signals = Signals(), ends: str = T.SENTENCE_ENDS, per_pass: int = 500,
+    signals: Signals = Signals(), ends: str = T.SENTENCE_ENDS, per_pass: int | None = None,
 ) -> DataFrame:
-    """doc_id, pattern_id, category, score, level, window_no, matched_terms, snippet.
+    """doc_id, pattern_id, category, score, level, window_no, matched_terms, snippet; at most one hit per pattern, best level first, then first window.
 
     Patterns are independent, so a pack of any size is handled in passes over
-    bounded slices of it.
+    blocks of about ``per_pass`` words of it.
     """
-    patterns = patterns_from_rows(rule_rows(rule_patterns))
-    out = None
-    for start in range(0, max(len(patterns), 1), per_pass):
-        literal = pattern_literal(patterns[start : start + per_pass])
-        part = explode_structs(docs, pattern_hits_sql(text, literal, signals, ends), ["doc_id"])
-        out = part if out is None else out.unionByName(part)
-    return out
+    found = attach_rules(
+        docs, rule_blocks("patterns", patterns_in(rule_patterns), per_pass), text, patterns="_found", keep=["doc_id"], ends=ends,
+        amounts=signals.amounts, reversals=signals.reversals, entities=signals.entities, flag=signals.flag,
+    )
+    return found.select("doc_id", F.explode("_found").alias("_item")).select("doc_id", "_item.*")
 
 
 def text_windows(docs: DataFrame, text: str = "text", level: str = "sentence", ends: str = T.SENTENCE_ENDS) -> DataFrame:
@@ -206,55 +112,8 @@ def text_windows(docs: DataFrame, text: str = "text", level: str = "sentence", e
     return long.filter("window_no IS NOT NULL")
 
 
-def exclusion_counts_sql(text: str, exclusions: str) -> str:
-    """array<struct<term,total,kept>>: occurrences of a term, and those without an excluding term nearby."""
-    near = (
-        f"zip_with(regexp_extract_all({text}, _e.regex, 1), regexp_extract_all({text}, _e.regex, 2),"
-        " (_b, _a) -> concat(_b, _e.term, _a))"
-    )
-    return (
-        f"transform(filter({exclusions}, _e -> contains({text}, _e.term)), _e -> "
-        + let(
-            "_n",
-            near,
-            "named_struct('term', _e.term, 'total', size(_n), 'kept',"
-            " size(filter(_n, _x -> NOT exists(_e.exclude_if, _t -> contains(_x, _t)))))",
-        )
-        + ")"
-    )
-
-
-def exclusion_literal(rows: Iterable) -> str:
-    """rule_exclusions rows: term, exclude_if, before, after."""
-    items = []
-    for r in rows:
-        term = r.term.lower()
-        if len(term) < 2:
-            continue
-        safe = "\\Q" + term + "\\E"
-        # the term is looked for first, so that the look behind runs at its occurrences only
-        regex = rf"(?s)(?={safe})(?<=(^.{{0,{r.before - 1}}}|.{{{r.before}}})){safe}(?=(.{{0,{r.after}}}))"
-        items.append(
-            f"named_struct('term', {quote(term)}, 'regex', {quote(regex)},"
-            f" 'exclude_if', {string_array(x.lower() for x in r.exclude_if)})"
-        )
-    if not items:
-        return "cast(array() AS array<struct<term:string,regex:string,exclude_if:array<string>>>)"
-    return "array(" + ", ".join(items) + ")"
-
-
-def keep_unexcluded_sql(hits: str, text: str, exclusions: str) -> str:
-    """Hits with excluded occurrences taken off; a hit with none left is dropped."""
-    counted = exclusion_counts_sql(text, exclusions)
-    adjusted = (
-        f"transform({hits}, _h -> named_struct('surface', _h.surface, 'term', _h.term, 'ktype', _h.ktype,"
-        " 'category', _h.category, 'stage', _h.stage, 'count', coalesce(try_element_at(filter(_x,"
-        " _y -> _y.term = _h.surface), 1).kept, _h.count), 'snippet', _h.snippet))"
-    )
-    return let("_x", counted, f"filter({adjusted}, _h -> _h.count > 0)")
-
-
 def apply_context_exclusions(docs: DataFrame, rule_exclusions: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, term, total, kept for every excluding rule whose term occurs."""
-    literal = exclusion_literal(rule_rows(rule_exclusions))
-    return explode_structs(docs, exclusion_counts_sql(text, literal), ["doc_id"])
+    """doc_id, term, total, kept for every excluding rule whose term occurs: its occurrences, and those without an excluding word nearby."""
+    rules = rule_blocks("exclusions", exclusion_rules(rule_exclusions.toLocalIterator()))
+    found = attach_rules(docs, rules, text, exclusions="_found", keep=["doc_id"])
+    return found.select("doc_id", F.explode("_found").alias("_item")).select("doc_id", "_item.*")

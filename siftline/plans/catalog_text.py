@@ -13,6 +13,7 @@ from siftline.operators import score as A
 from siftline.operators import terms as R
 from siftline.operators.matcher import attach_hits
 from siftline.operators.rows import explode_structs
+from siftline.operators.rulepass import attach_rules, rule_blocks
 from siftline.plans import packs as K
 from siftline.plans import records as RC
 from siftline.plans import triage as TR
@@ -343,8 +344,7 @@ def _scored(spark, sf_dir):
     """Documents with hits and patterns of the demo pack, without exclusions."""
     pack = K.demo_pack(spark).compile()
     docs = attach_hits(prepared(spark, sf_dir), {"hits": pack.terms}, "norm")
-    signals = PT.Signals(reversals=string_array(K.DEMO_REVERSALS))
-    return docs.withColumn("patterns", F.expr(PT.pattern_hits_sql("norm", pack.patterns, signals)))
+    return attach_rules(docs, rule_blocks("patterns", pack.patterns), "norm", patterns="patterns", reversals=string_array(K.DEMO_REVERSALS))
 
 
 _P = _pattern_sql().split("WITH ", 1)[1]

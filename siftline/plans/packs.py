@@ -1,20 +1,21 @@
 """Rule packs: schemas, and a small neutral example pack.
 
-A pack is a set of tables.  ``CompiledPack`` holds them as SQL constants, made
-once per job and bounded in size, so that every later step is a plain
-expression.
+A pack is a set of tables.  ``CompiledPack`` holds their rows, made once per
+job; they go to the tasks as broadcast tables in blocks of bounded size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import zip_longest
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.operators.matcher import Surface
-from siftline.operators.negatives import negative_literal
-from siftline.operators.patterns import exclusion_literal, pattern_literal, patterns_from_rows
+from siftline.operators.matcher import Exclusion, Surface
+from siftline.operators.patterns import Pattern, patterns_from_rows
 from siftline.operators.rows import rule_rows
+from siftline.operators.rulepass import Negative, Rules, exclusion_rules, negative_rules, rule_blocks
 from siftline.operators.terms import resolve_small
 
 TERMS_SCHEMA = "term string, ktype string, category string, stage string, role string"
@@ -110,9 +111,9 @@ class RulePack:
             evidence=of_role("evidence"),
             reversal_terms=of_role("reversal"),
             boosts=of_role("boost"),
-            patterns=pattern_literal(patterns_from_rows(rule_rows(self.patterns))),
-            negatives=negative_literal(rule_rows(self.negatives)),
-            exclusions=exclusion_literal(rule_rows(self.exclusions)),
+            patterns=patterns_from_rows(rule_rows(self.patterns)),
+            negatives=list(negative_rules(sorted(rule_rows(self.negatives), key=lambda r: r.rule_id))),
+            exclusions=list(exclusion_rules(rule_rows(self.exclusions))),
             reversals=list(self.reversals),
         )
 
@@ -120,14 +121,20 @@ class RulePack:
 @dataclass(frozen=True)
 class CompiledPack:
     terms: list[Surface]
-    patterns: str
-    negatives: str
-    exclusions: str
+    patterns: list[Pattern]
+    negatives: list[Negative]
+    exclusions: list[Exclusion]
     evidence: list[Surface]
     reversal_terms: list[Surface]
     boosts: list[Surface]
     reversals: list[str]
 
+    def blocks(self) -> Iterator[Rules]:
+        """Patterns and negative rules together, in blocks of bounded size."""
+        nothing = Rules()
+        for a, b in zip_longest(rule_blocks("patterns", self.patterns), rule_blocks("negatives", self.negatives), fillvalue=nothing):
+            yield Rules(patterns=a.patterns, negatives=b.negatives)
+
 
 def demo_pack(spark: SparkSession) -> RulePack:
     def table(rows, schema: str) -> DataFrame:

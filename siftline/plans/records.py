@@ -14,8 +14,7 @@ from siftline.functions.privacy import hash_ref
 from siftline.functions.text import fit
 from siftline.operators.complaints import complaint_measures
 from siftline.operators.matcher import attach_hits
-from siftline.operators.negatives import negative_hits_sql
-from siftline.operators.patterns import pattern_hits_sql
+from siftline.operators.rulepass import attach_rules
 from siftline.operators.score import complaint_score
 from siftline.operators.terms import SLOT_RADIUS, slotted_sql
 from siftline.plans.packs import CompiledPack
@@ -37,9 +36,8 @@ def complaint_triage(
     found = {"_slots": pack.terms, "_evidence": pack.evidence, "_reversal": pack.reversal_terms, "_boosts": pack.boosts}
     staged = attach_hits(staged, found, "norm", SLOT_RADIUS)
     staged = staged.withColumn("hits", F.expr(slotted_sql("norm", *found))).drop(*found)
-    staged = staged.withColumn("patterns", F.expr(pattern_hits_sql("norm", pack.patterns)))
     types = "array_distinct(transform(hits, _h -> _h.ktype))"
-    staged = staged.withColumn("negatives", F.expr(negative_hits_sql("norm", types, NOTHING, pack.negatives)))
+    staged = attach_rules(staged, pack.blocks(), "norm", patterns="patterns", negatives="negatives", types=types)
     staged = staged.select(
         "*",
         F.expr("aggregate(negatives, 0D, (_a, _n) -> _a + _n.delta)").alias("delta"),

@@ -1,7 +1,8 @@
 """The whole triage of a table of documents as one narrow job.
 
-Every step adds columns to the document's own row: no shuffle, one scan, and
-one Arrow pass that finds all terms.  The cost grows with the amount of text and nothing else.
+Every step adds columns to the document's own row: no shuffle, one scan, one
+Arrow pass that finds all terms and one for the rules that need what was
+found.  The cost grows with the amount of text and nothing else.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from siftline.functions.sql import any_contains, string_array
 from siftline.operators import score as A
 from siftline.operators.extract import summary_sql
 from siftline.operators.matcher import attach_hits
-from siftline.operators.negatives import RECEIPT_CAP, negative_hits_sql, no_new_information
-from siftline.operators.patterns import Signals, keep_unexcluded_sql, pattern_hits_sql
+from siftline.operators.negatives import RECEIPT_CAP, no_new_information
+from siftline.operators.rulepass import attach_rules
 from siftline.plans.packs import CompiledPack
 
 # Words by which a text says that it repeats old news.
@@ -61,25 +62,23 @@ class Context:
 
 def signals(docs: DataFrame, pack: CompiledPack, text: str = "text", context: Context = Context()) -> DataFrame:
     """Documents with hits, amounts, patterns, negatives, categories and the rule score."""
-    prepared = attach_hits(prepare(docs, text), {"_hits": pack.terms}, "norm")
-    hits = keep_unexcluded_sql("_hits", "norm", pack.exclusions)
+    prepared = attach_hits(prepare(docs, text), {"hits": pack.terms}, "norm", exclusions=pack.exclusions)
     staged = prepared.select(
         "*",
-        F.expr(hits).alias("hits"),
         F.expr(N.extract_amounts(text)).alias("amounts"),
         F.expr(f"filter({string_array(pack.reversals)}, _t -> contains(norm, _t))").alias("x_terms"),
     )
     staged = staged.withColumn(
         "no_new", F.expr(no_new_information("norm", "size(amounts) > 0", "exists(hits, _h -> _h.ktype = 'E')"))
     )
-    sources = Signals(amounts="transform(amounts, _m -> lower(_m.raw))", reversals="x_terms", entities=context.entities, flag="no_new")
-    staged = staged.withColumn("patterns", F.expr(pattern_hits_sql("norm", pack.patterns, sources)))
-    types = "array_distinct(transform(hits, _h -> _h.ktype))"
     flags = (
         "filter(array(CASE WHEN size(x_terms) > 0 THEN 'reversed' END, CASE WHEN no_new THEN 'no_new' END,"
         " CASE WHEN size(amounts) > 0 THEN 'amounts' END), _f -> _f IS NOT NULL)"
     )
-    staged = staged.withColumn("negatives", F.expr(negative_hits_sql("norm", types, flags, pack.negatives)))
+    staged = attach_rules(
+        staged, pack.blocks(), "norm", patterns="patterns", negatives="negatives", amounts="transform(amounts, _m -> lower(_m.raw))",
+        reversals="x_terms", entities=context.entities, flag="no_new", types="array_distinct(transform(hits, _h -> _h.ktype))", flags=flags,
+    )
     staged = staged.select(
         "*",
         F.expr("aggregate(negatives, 0D, (_a, _n) -> _a + _n.delta)").alias("delta"),

@@ -1,5 +1,5 @@
 import random
-from types import SimpleNamespace
+import re
 
 from pyspark.sql import functions as F
 
@@ -8,6 +8,7 @@ from siftline.functions.sql import string_array
 from siftline.operators import matcher as MT
 from siftline.operators import negatives as NG
 from siftline.operators import patterns as PT
+from siftline.operators import rulepass as RP
 from siftline.operators import score as A
 from siftline.operators import terms as R
 from siftline.plans import packs as K
@@ -89,9 +90,9 @@ def test_exclusions_count_every_occurrence(spark):
     rules = spark.createDataFrame([("copy", ["manual"], 25, 45)], K.EXCLUSIONS_SCHEMA)
     got = PT.apply_context_exclusions(docs, rules).collect()
     assert {(r.doc_id, r.term, r.total, r.kept) for r in got} == {(0, "copy", 2, 1), (1, "copy", 1, 0), (3, "copy", 1, 1)}
-    pack = R.pack_literal([SimpleNamespace(surface="copy", term="copy", ktype="H", category="C", stage="")])
-    kept = docs.select("doc_id", F.expr(PT.keep_unexcluded_sql(R.hits_sql("text", pack), "text", PT.exclusion_literal(rules.collect()))).alias("h"))
-    assert {r.doc_id: [h["count"] for h in r.h] for r in kept.collect()} == {0: [1], 1: [], 2: [], 3: [1]}
+    pack = {"h": [MT.Surface("copy", "copy", "H", "C", ""), MT.Surface("letter", "letter", "M", "C", "")]}
+    kept = MT.attach_hits(docs, pack, exclusions=RP.exclusion_rules(rules.collect()))
+    assert {r.doc_id: [(h["term"], h["count"]) for h in r.h] for r in kept.collect()} == {0: [("copy", 1), ("letter", 1)], 1: [], 2: [], 3: [("copy", 1)]}
 
 
 def brute(texts, words):
@@ -201,3 +202,111 @@ def test_small_packs_resolve_like_large_ones(spark):
     slots = pack.terms.filter("role = 'slot'")
     want = {(r.surface, r.term, r.ktype, r.category, r.stage) for r in R.map_variants(slots, pack.variants).collect()}
     assert {tuple(r) for r in R.resolve_small(slots.collect(), pack.variants.collect())} == want
+
+
+def brute_windows(text, level):
+    out, piece = [], ""
+    for c in text:
+        if c == "\n":
+            out, piece = [*out, piece], ""
+        elif c in T.SENTENCE_ENDS:
+            out, piece = [*out, piece + c], ""
+        else:
+            piece += c
+    kept = [s.strip(T.BLANKS) for s in [*out, piece] if s not in list(T.SENTENCE_ENDS)]
+    kept = [s for s in kept if s]
+    if level == "paragraph":
+        return [p.strip(T.BLANKS) for p in re.split(r"\n[ \t\n\x0b\f\r]*\n", text) if p.strip(T.BLANKS)]
+    return {"sentence": kept, "context3": ["\n".join(kept[i : i + 3]) for i in range(len(kept))], "full": [text]}[level]
+
+
+def brute_patterns(text, patterns, dynamic):
+    """Every window of every level, with plain substring tests."""
+    out = set()
+    for p in patterns:
+        for level in p.levels():
+            if level == "full" and p.full_limit is not None and len(text) > p.full_limit:
+                continue
+            hit = None
+            for k, window in enumerate(brute_windows(text, level)):
+                found = []
+                for kind, terms in p.groups:
+                    if kind == "flag":
+                        found.append([""] if dynamic["flag"] else [])
+                    elif kind == "amount":
+                        numbers = re.findall(r"[0-9][0-9,，.]*[ \t\n\x0b\f\r]*(?:万亿|萬億|万|萬|亿|億)?", window)
+                        found.append([t for t in dynamic["amount"] if t in window] + [n.replace(" ", "") for n in numbers])
+                    else:
+                        found.append([t for t in (terms if kind == "term" else dynamic[kind]) if t in window])
+                if all(found):
+                    hit = (p.pattern_id, level, k, tuple(f[0] for f in found if f[0]))
+                    break
+            if hit:
+                out.add(hit)
+                break
+    return out
+
+
+def test_patterns_against_brute_force(spark):
+    rng = random.Random(17)
+    words = ["red", "blue", "a b", "aa", "a", "é", "x\ny", "12", "3,4 万", "zz"]
+    texts = ["".join(rng.choice([*words, " ", "\n", "\n\n", "。", "!", "!!", " \n \n", "　"]) for _ in range(rng.randint(0, 60))) for _ in range(250)] + [None, ""]
+    rows = []
+    for p in range(60):
+        windows = rng.choice([None, ["sentence"], ["full", "paragraph"], ["context3", "sentence"], ["context3"]])
+        for g in range(rng.randint(1, 4)):
+            kind = rng.choice(["term"] * 5 + ["amount", "reversal", "entity", "flag"])
+            for t in range(rng.randint(1, 3) if kind == "term" else 1):
+                rows.append((f"P{p:02}", "C", g, t, rng.choice(words) if kind == "term" else None, kind, windows, rng.random() < 0.5, 50.0, None))
+    table = spark.createDataFrame(rows, K.PATTERNS_SCHEMA)
+    docs = docs_of(spark, *texts)
+    given = {"amount": ["4 万"], "reversal": ["blue", "zz"], "entity": ["a b"]}
+    signals = PT.Signals(amounts="array('4 万')", reversals="array('blue', 'zz')", entities="array('a b')", flag="doc_id % 3 = 0")
+    want = {i: brute_patterns(t, PT.patterns_from_rows(table.collect()), {**given, "flag": i % 3 == 0}) for i, t in enumerate(texts) if t is not None}
+    for words_at_once in (None, 80):
+        got = {}
+        for r in PT.match_patterns(docs, table, signals=signals, per_pass=words_at_once).collect():
+            got.setdefault(r.doc_id, set()).add((r.pattern_id, r.level, r.window_no, tuple(r.matched_terms)))
+        assert {i: got.get(i, set()) for i in want} == want and set(got) <= set(want)
+
+
+def test_exclusions_and_negatives_against_brute_force(spark):
+    rng = random.Random(18)
+    words = ["aa", "ab", "a", "b a", "ccc", "é"]
+    texts = ["".join(rng.choice([*words, " ", "\n"]) for _ in range(rng.randint(0, 60))) for _ in range(200)]
+    docs = docs_of(spark, *texts)
+    rules = [(rng.choice(["aa", "ab", "b a", "ccc"]), rng.sample(words, rng.randint(1, 3)), rng.randint(0, 6), rng.randint(0, 6)) for _ in range(40)]
+    want = set()
+    for i, t in enumerate(texts):
+        for term, near, before, after in rules:
+            at, total, kept = t.find(term), 0, 0
+            while at >= 0:
+                around = t[max(0, at - before) : at + len(term) + after]
+                total, kept = total + 1, kept + (not any(w in around for w in near))
+                at = t.find(term, at + len(term))
+            if total:
+                want.add((i, term, total, kept))
+    got = PT.apply_context_exclusions(docs, spark.createDataFrame(rules, K.EXCLUSIONS_SCHEMA)).collect()
+    assert {(r.doc_id, r.term, r.total, r.kept) for r in got} == want and len(got) >= len(want)
+
+    negatives = [(f"N{k:02}", rng.sample(words, rng.randint(0, 3)), rng.randint(0, 2), rng.sample(words, rng.randint(0, 2)), rng.sample(words, rng.randint(0, 1)),
+                  rng.sample(["H", "E"], rng.randint(0, 1)), rng.sample(["f", "g"], rng.randint(0, 1)), -1.0, None) for k in range(60)]
+    want = set()
+    for i, t in enumerate(texts):
+        for rid, require, n, also, forbid, types, flags, _, _ in negatives:
+            there = [w for w in require if w in t]
+            if len(there) >= n and (not also or any(w in t for w in also)) and not any(w in t for w in forbid) and not ("H" in types and i % 2) and set(flags) <= {"f"}:
+                want.add((i, rid, tuple(there)))
+    hits = NG.match_negative_rules(docs, spark.createDataFrame(negatives, K.NEGATIVES_SCHEMA), types="CASE WHEN doc_id % 2 = 1 THEN array('H') ELSE array() END", flags="array('f')")
+    assert {(r.doc_id, r.rule_id, tuple(r.matched_terms)) for r in hits.collect()} == want
+
+
+def test_large_packs_cost_about_the_same(spark):
+    """20 000 exclusions and 5 000 patterns plan and run."""
+    docs = spark.read.parquet(DOCS).select("doc_id", F.expr(T.normalize_text("text", True)).alias("norm"))
+    rows = [r for k in range(5000) for r in pack_rows(f"P{k:05}", [[f"word{k}", "the"], ["and", f"other{k}"]])]
+    got = PT.match_patterns(docs, spark.createDataFrame(rows, K.PATTERNS_SCHEMA), "norm").groupBy("doc_id").count().collect()
+    assert got and {r["count"] for r in got} == {5000}
+    rules = [(f"word{k}", ["the"], 25, 45) for k in range(20_000)] + [("the", ["and"], 25, 45)]
+    found = PT.apply_context_exclusions(docs, spark.createDataFrame(rules, K.EXCLUSIONS_SCHEMA), "norm").collect()
+    assert {r.term for r in found} == {"the"}
