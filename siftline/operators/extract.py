@@ -20,7 +20,7 @@ def _tidy(text: str) -> str:
 
 
 def entities_sql(text: str, patterns: Iterable[tuple[str, str]], names: Iterable[tuple[str, str]] = ()) -> str:
-    """array<struct<type,text,count>>: regex and dictionary entities, dates, amounts and accounts."""
+    """array<struct<type,text,count>>, by type and text: regex and dictionary entities, dates, amounts and accounts."""
     by_type: dict[str, list[str]] = {}
     for etype, name in names:
         by_type.setdefault(etype, []).append(name)
@@ -39,8 +39,14 @@ def entities_sql(text: str, patterns: Iterable[tuple[str, str]], names: Iterable
     parts.append(typed(f"transform({N.extract_amounts(text)}, _m -> _m.raw)", "MONEY"))
     parts.append(typed(N.extract_accounts(text), "BANK_ACCOUNT"))
     found = f"filter(concat({', '.join(parts)}), _e -> _e.text <> '')"
-    count = "size(filter(_a, _y -> _y = _e))"
-    return let("_a", found, f"transform(array_distinct(_a), _e -> named_struct('type', _e.type, 'text', _e.text, 'count', {count}))")
+    # equal ones stand together in sorted order, so a count is the distance to the next different one
+    starts = "filter(sequence(1, size(_a)), _i -> _i = 1 OR element_at(_a, _i) <> element_at(_a, _i - 1))"
+    counted = (
+        "transform(_b, (_i, _k) -> named_struct('type', element_at(_a, _i).type, 'text', element_at(_a, _i).text,"
+        " 'count', coalesce(try_element_at(_b, _k + 2), size(_a) + 1) - _i))"
+    )
+    none = "cast(array() AS array<struct<type:string,text:string,count:int>>)"
+    return let("_a", f"array_sort({found})", f"CASE WHEN size(_a) = 0 THEN {none} ELSE {let('_b', starts, counted)} END")
 
 
 def extract_entities(docs: DataFrame, patterns: Iterable[tuple[str, str]], names: Iterable[tuple[str, str]] = (), text: str = "text") -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from siftline.functions import text as T
 from siftline.functions.sql import quote, string_array
 from siftline.operators.matcher import Surface, term_hits
+from siftline.session import cut_lineage
 
 HIT_TYPE = (
     "array<struct<surface:string,term:string,ktype:string,category:string,stage:string,count:int,snippet:string>>"
@@ -114,19 +115,12 @@ def _all_marks(text: str, gram: int, window: int) -> np.ndarray:
     return np.unique(hashes).view(np.int64)
 
 
-def _one_mark(text: str, gram: int, window: int) -> np.ndarray:
-    """A mark that every text containing this one must also have."""
-    marks = _all_marks(text, gram, window)
-    return marks[:1]
-
-
-def _marks(df: DataFrame, key: str, text: str, gram: int, window: int, every: bool) -> DataFrame:
-    pick = _all_marks if every else _one_mark
+def _marks(df: DataFrame, key: str, text: str, gram: int, window: int) -> DataFrame:
     key_type = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            marks = [pick(t or "", gram, window) for t in batch[text]]
+            marks = [_all_marks(t or "", gram, window) for t in batch[text]]
             yield pd.DataFrame(
                 {
                     key: np.repeat(batch[key].to_numpy(), [len(m) for m in marks]),
@@ -138,6 +132,23 @@ def _marks(df: DataFrame, key: str, text: str, gram: int, window: int, every: bo
     return source.mapInPandas(run, schema=f"{key} {key_type}, mark long")
 
 
+def containment_candidates(
+    hay: DataFrame, hay_key: str, hay_text: str, needles: DataFrame, needle_key: str, needle_text: str, gram: int, window: int,
+) -> DataFrame:
+    """(hay_key, needle_key) that may be contained: each needle with the texts that hold its rarest mark."""
+    floor = gram + window - 1
+    longest = hay.agg(F.max(F.length(hay_text))).first()[0] or 0
+    needles = needles.filter(F.length(needle_text).between(floor, longest))
+    needle_marks = cut_lineage(_marks(needles, needle_key, needle_text, gram, window))
+    held = _marks(hay, hay_key, hay_text, gram, window).join(needle_marks.select("mark").distinct(), "mark", "left_semi")
+    held = cut_lineage(held)
+    often = held.groupBy("mark").agg(F.count("*").alias("often"))
+    rarest = needle_marks.join(often, "mark", "left").groupBy(needle_key).agg(
+        F.min(F.struct("often", "mark")).alias("best"), F.count("often").alias("found"), F.count("*").alias("all")
+    ).filter("found = all").select(needle_key, F.col("best.mark").alias("mark"))
+    return held.join(rarest, "mark").select(hay_key, needle_key)
+
+
 def contains_join(
     hay: DataFrame, hay_key: str, hay_text: str,
     needles: DataFrame, needle_key: str, needle_text: str,
@@ -148,16 +159,14 @@ def contains_join(
     Exact for needles of at least ``gram + window - 1`` characters; shorter
     ones are not matched.  Instead of comparing all pairs, both sides are
     reduced to marks (the smallest gram hash of each run of grams): a text
-    that contains a needle has all of the needle's marks, so an equi-join on
-    one mark per needle finds every candidate, and a substring test on the
-    candidates decides.  Spark picks broadcast or shuffle for the mark join
-    from the real sizes, and splits a mark that very many texts share.
+    that contains a needle has all of the needle's marks.  A needle is looked
+    up by its rarest mark, by an exact count over the hay, so a footer that
+    all texts share makes no candidates unless a needle is nothing else; a
+    needle with a mark that occurs nowhere is out.  A substring test on the
+    candidates decides.  Spark picks broadcast or shuffle for the joins from
+    the real sizes, and splits a mark that very many texts share.
     """
-    floor = gram + window - 1
-    needles = needles.filter(F.length(needle_text) >= floor)
-    hay_marks = _marks(hay, hay_key, hay_text, gram, window, every=True)
-    needle_marks = _marks(needles, needle_key, needle_text, gram, window, every=False)
-    candidates = hay_marks.join(needle_marks, "mark").select(hay_key, needle_key)
+    candidates = containment_candidates(hay, hay_key, hay_text, needles, needle_key, needle_text, gram, window)
     hay_side = hay.select(hay_key, F.col(hay_text).alias("_hay"))
     if needle_key == needle_text:
         checked = candidates.withColumn("_needle", F.col(needle_key))
@@ -175,8 +184,8 @@ def known_case_match(docs: DataFrame, cases: DataFrame, text: str = "text", case
 
     docs: doc_id, text.  cases: item_id, text.  Returns doc_id, item_id,
     relation (EQUAL, QUOTES or PART_OF).  Texts of fewer than ``min_chars``
-    characters say too little and are left out.  Two containment joins, one
-    for each direction.
+    characters say too little and are left out; for short keys see
+    ``cases.match_case_keys``.  Two containment joins, one for each direction.
     """
     d = docs.select("doc_id", F.expr(text).alias("doc_text"))
     c = cases.select("item_id", F.expr(case_text).alias("case_text"))

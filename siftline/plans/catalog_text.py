@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from siftline.functions import scoring as S
 from siftline.functions import text as T
 from siftline.functions.sql import string_array
+from siftline.operators import cases as CS
+from siftline.operators import extract as X
 from siftline.operators import negatives as NG
 from siftline.operators import patterns as PT
 from siftline.operators import score as A
@@ -229,28 +231,29 @@ def _(spark, sf_dir):
     return found.withColumn("x_terms", F.array_join("x_terms", "|"))
 
 
-def _pattern_sql() -> str:
-    groups = sql_values([(p, g, k, t) for p, _, g, _, t, k, *_ in K.DEMO_PATTERNS], ["pattern_id", "group_no", "kind", "term"])
+def _pattern_sql(rows=K.DEMO_PATTERNS) -> str:
+    groups = sql_values([(p, g, k, t) for p, _, g, _, t, k, *_ in rows], ["pattern_id", "group_no", "kind", "term"])
     sizes: dict[str, set] = {}
-    for p, _, g, *_ in K.DEMO_PATTERNS:
+    for p, _, g, *_ in rows:
         sizes.setdefault(p, set()).add(g)
     heads = {}
-    for p, cat, _, _, _, _, windows, allow, base, cap in K.DEMO_PATTERNS:
+    for p, cat, _, _, _, _, windows, allow, base, cap in rows:
         pattern = PT.Pattern(p, cat, base, cap, tuple(windows) if windows else None, allow, [("term", [])] * len(sizes[p]))
         heads[p] = (p, cat, pattern.score(), len(sizes[p]), 2**31 - 1, pattern.levels())
     levels = sql_values([(h[0], lvl, i) for h in heads.values() for i, lvl in enumerate(h[5])], ["pattern_id", "level", "ord"])
     head = sql_values([h[:5] for h in heads.values()], ["pattern_id", "category", "score", "n_groups", "full_limit"])
     number = PT.NUMBER_REGEX
-    return f"""WITH {O_DOCS}, w0 AS (SELECT doc_id, t, {O_SENT} AS ss, {O_PARA} AS ps FROM d),
-    w AS (SELECT doc_id, 'sentence' AS level, unnest(generate_series(0, len(ss) - 1)) AS window_no, unnest(ss) AS x FROM w0
-      UNION ALL SELECT doc_id, 'paragraph', unnest(generate_series(0, len(ps) - 1)), unnest(ps) FROM w0
-      UNION ALL SELECT doc_id, 'context3', unnest(generate_series(0, len(ss) - 1)),
+    return f"""WITH {O_DOCS}, w0 AS (SELECT doc_id, t, split_part(t, ' ', 2) AS src, {O_SENT} AS ss, {O_PARA} AS ps FROM d),
+    w AS (SELECT doc_id, src, 'sentence' AS level, unnest(generate_series(0, len(ss) - 1)) AS window_no, unnest(ss) AS x FROM w0
+      UNION ALL SELECT doc_id, src, 'paragraph', unnest(generate_series(0, len(ps) - 1)), unnest(ps) FROM w0
+      UNION ALL SELECT doc_id, src, 'context3', unnest(generate_series(0, len(ss) - 1)),
         unnest([array_to_string(ss[i:i + 2], chr(10)) FOR i IN generate_series(1, len(ss))]) FROM w0
-      UNION ALL SELECT doc_id, 'full', 0, t FROM w0),
+      UNION ALL SELECT doc_id, src, 'full', 0, t FROM w0),
     g AS {groups}, l AS {levels}, p AS {head},
     m AS (SELECT w.doc_id, l.pattern_id, w.level, l.ord, w.window_no FROM w JOIN l ON l.level = w.level JOIN p ON p.pattern_id = l.pattern_id
       JOIN g ON g.pattern_id = l.pattern_id AND CASE g.kind WHEN 'term' THEN contains(w.x, g.term)
-        WHEN 'amount' THEN regexp_matches(w.x, '{number}') WHEN 'reversal' THEN contains(w.x, 'other') OR contains(w.x, 'than') ELSE FALSE END
+        WHEN 'amount' THEN regexp_matches(w.x, '{number}') WHEN 'reversal' THEN contains(w.x, 'other') OR contains(w.x, 'than')
+        WHEN 'entity' THEN contains(w.x, w.src) OR contains(w.x, 'gnu') WHEN 'flag' THEN w.doc_id % 3 = 0 ELSE FALSE END
       WHERE w.level <> 'full' OR length(w.x) <= p.full_limit
       GROUP BY ALL HAVING count(DISTINCT g.group_no) = max(p.n_groups)),
     r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, pattern_id ORDER BY ord, window_no) AS rn FROM m)
@@ -274,18 +277,52 @@ def _(spark, sf_dir):
     return found.select("doc_id", "pattern_id", "category", "score", "level", "window_no")
 
 
-@query("match_patterns_dynamic", _pattern_sql().replace("WHERE rn = 1", "WHERE rn = 1 AND r.pattern_id IN ('P02', 'P04')"))
+#: Two patterns with a group that the entities of a document fill, and two that need a flag of it.
+DYNAMIC_PATTERNS = [
+    *(r for r in K.DEMO_PATTERNS if r[0] in ("P02", "P04")),
+    ("P05", "C04", 0, 0, "that", "term", ["sentence"], False, 30.0, None), ("P05", "C04", 1, 0, None, "entity", ["sentence"], False, 30.0, None),
+    ("P06", "C02", 0, 0, None, "entity", None, False, 35.0, 20.0), ("P06", "C02", 1, 0, "license", "term", None, False, 35.0, 20.0),
+    ("P06", "C02", 1, 1, "with", "term", None, False, 35.0, 20.0), ("P06", "C02", 2, 0, None, "reversal", None, False, 35.0, 20.0),
+    ("P07", "C04", 0, 0, "nicht", "term", ["paragraph", "context3"], False, 25.0, None), ("P07", "C04", 1, 0, None, "flag", ["paragraph", "context3"], False, 25.0, None),
+    ("P08", "C01", 0, 0, None, "flag", None, False, 15.0, None), ("P08", "C01", 1, 0, "worthless", "term", None, False, 15.0, None),
+    ("P08", "C01", 1, 1, "the", "term", None, False, 15.0, None), ("P08", "C01", 2, 0, None, "entity", None, False, 15.0, None),
+]
+
+
+@query("match_patterns_dynamic", _pattern_sql(DYNAMIC_PATTERNS))
 def _(spark, sf_dir):
-    """Patterns with a group that is filled by numbers or by reversal terms."""
-    table = K.demo_pack(spark).patterns
-    dynamic = table.join(table.filter("group_kind <> 'term'").select("pattern_id").distinct(), "pattern_id", "left_semi")
-    signals = PT.Signals(reversals=string_array(K.DEMO_REVERSALS))
-    found = PT.match_patterns(prepared(spark, sf_dir), dynamic, "norm", signals)
+    """Patterns with a group that is filled by numbers, by reversal terms, by the document's entities or by a flag of it."""
+    table = spark.createDataFrame(DYNAMIC_PATTERNS, K.PATTERNS_SCHEMA).coalesce(1)
+    signals = PT.Signals(reversals=string_array(K.DEMO_REVERSALS), entities="array(split_part(norm, ' ', 2), 'gnu')", flag="doc_id % 3 = 0")
+    found = PT.match_patterns(prepared(spark, sf_dir), table, "norm", signals)
     return found.select("doc_id", "pattern_id", "category", "score", "level", "window_no")
 
 
-def _exclusion_sql() -> str:
-    rules = sql_values([(t, x) for t, xs, _, _ in K.DEMO_EXCLUSIONS for x in xs], ["term", "x"])
+def _neighbours(spark, sf_dir):
+    """Words of ``benchmark`` that stand side by side there."""
+    words = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)).alias("w"))
+    return words.select(F.explode(F.expr("transform(sequence(1, size(w) - 1), i -> struct(w[i - 1] AS one, w[i] AS two))")).alias("p")).select("p.*").distinct()
+
+
+O_NEIGHBOURS = "nb AS (SELECT DISTINCT w[i] AS one, w[i + 1] AS two FROM (SELECT w, unnest(generate_series(1, len(w) - 1)) AS i FROM (SELECT regexp_extract_all(lower(text), '[a-z]{3,}') AS w FROM benchmark)))"
+
+
+@query(
+    "match_patterns_large",
+    f"""WITH {O_DOCS}, {O_NEIGHBOURS}, s AS (SELECT doc_id, unnest(generate_series(0, len(ss) - 1)) AS window_no, unnest(ss) AS x FROM (SELECT doc_id, {O_SENT} AS ss FROM d))
+    SELECT doc_id, one || '+' || two AS pattern_id, CAST(min(window_no) AS BIGINT) AS window_no FROM s JOIN nb ON contains(x, one) AND contains(x, two) GROUP BY ALL""",
+)
+def _(spark, sf_dir):
+    """A pack read from a table: every two neighbouring words of ``benchmark`` in one sentence."""
+    groups = "array(struct(0 AS group_no, one AS term), struct(1 AS group_no, two AS term))"
+    rows = _neighbours(spark, sf_dir).select(F.expr("one || '+' || two").alias("pattern_id"), F.explode(F.expr(groups)).alias("g")).selectExpr(
+        "pattern_id", "'bench' AS category", "g.group_no", "0 AS term_no", "g.term", "'term' AS group_kind", "array('sentence') AS windows",
+        "false AS allow_full", "10D AS base_score", "cast(null AS double) AS cap",
+    )
+    return PT.match_patterns(prepared(spark, sf_dir), rows, "norm").select("doc_id", "pattern_id", "window_no")
+
+
+def _exclusion_sql(rules: str = sql_values([(t, x) for t, xs, _, _ in K.DEMO_EXCLUSIONS for x in xs], ["term", "x"])) -> str:
     return f"""{O_DOCS}, e AS {rules}, et AS (SELECT DISTINCT term FROM e),
     sp AS (SELECT doc_id, t, term, string_split(t, term) AS p FROM d JOIN et ON contains(t, term)),
     su AS (SELECT doc_id, t, term, unnest(generate_series(1, len(p))) AS i, unnest(p) AS x, len(p) AS n FROM sp),
@@ -301,6 +338,17 @@ def _(spark, sf_dir):
     return PT.apply_context_exclusions(prepared(spark, sf_dir), K.demo_pack(spark).exclusions, "norm")
 
 
+@query(
+    "apply_context_exclusions_large",
+    f"WITH {O_NEIGHBOURS}, {_exclusion_sql('(SELECT one AS term, two AS x FROM nb WHERE length(one) >= 5)')} SELECT * FROM ex",
+)
+def _(spark, sf_dir):
+    """Rules read from a table: every word of ``benchmark`` is taken off near a word that follows it there."""
+    rules = _neighbours(spark, sf_dir).filter("length(one) >= 5").groupBy(F.col("one").alias("term")).agg(F.sort_array(F.collect_set("two")).alias("exclude_if"))
+    rules = rules.withColumns({"before": F.lit(25), "after": F.lit(45)})
+    return PT.apply_context_exclusions(prepared(spark, sf_dir), rules, "norm")
+
+
 def _negative_sql() -> str:
     """One SELECT per rule over documents with their hit types."""
     parts = []
@@ -410,6 +458,30 @@ def _(spark, sf_dir):
     return R.known_case_match(read_table(spark, sf_dir, "documents", "doc_id"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+CASE_ENTITY = "[A-Z][a-z]{3,}"
+
+
+@query(
+    "known_case_keys",
+    f"""WITH e AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '{CASE_ENTITY}')) AS text FROM documents),
+    k AS (SELECT DISTINCT item_id AS case_id, unnest(regexp_extract_all(text, '[A-Za-z]{{2,40}}')) AS key FROM benchmark),
+    kk AS (SELECT * FROM k WHERE regexp_full_match(key, '[A-Z][a-z]{{1,39}}')),
+    p AS (SELECT t.text, q.key FROM (SELECT DISTINCT text FROM e) t, (SELECT DISTINCT key FROM kk) q WHERE contains(t.text, q.key) OR contains(q.key, t.text)),
+    m AS (SELECT e.doc_id, kk.case_id, e.text, min(CASE WHEN e.text = kk.key THEN 0 WHEN contains(e.text, kk.key) THEN 1 ELSE 2 END) AS near
+      FROM e JOIN p USING (text) JOIN kk USING (key) GROUP BY ALL)
+    SELECT doc_id, case_id, array_to_string(list_sort(list(text)), '|') AS matched_keys, CAST(count(*) AS BIGINT) AS n_keys,
+      ['EQUAL', 'CONTAINS', 'PART_OF'][min(near) + 1] AS relation FROM m GROUP BY doc_id, case_id""",
+)
+def _(spark, sf_dir):
+    """Capitalised names of every document against those of every case, 2 to 40 characters long, in both directions."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id")
+    entities = X.extract_entities(docs, [("NAME", CASE_ENTITY)]).filter("type = 'NAME'")
+    words = F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{2,40}"), F.lit(0)))
+    keys = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("case_id"), F.lit("NAME").alias("type"), words.alias("key"))
+    found = CS.match_case_keys(entities, keys.filter("key RLIKE '^[A-Z][a-z]+$'"))
+    return found.withColumn("matched_keys", F.array_join("matched_keys", "|"))
+
+
 @query(
     "novelty_score",
     f"""WITH {O_DOCS}, k AS (SELECT DISTINCT d.doc_id FROM d JOIN benchmark b ON contains(d.text, b.text) WHERE length(b.text) >= 24),

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions import text as T
 from siftline.functions.sql import string_array
+from siftline.operators import cases as CS
 from siftline.operators import matcher as MT
 from siftline.operators import negatives as NG
 from siftline.operators import patterns as PT
@@ -310,3 +311,38 @@ def test_large_packs_cost_about_the_same(spark):
     rules = [(f"word{k}", ["the"], 25, 45) for k in range(20_000)] + [("the", ["and"], 25, 45)]
     found = PT.apply_context_exclusions(docs, spark.createDataFrame(rules, K.EXCLUSIONS_SCHEMA), "norm").collect()
     assert {r.term for r in found} == {"the"}
+
+
+def test_case_keys_both_ways(spark):
+    rng = random.Random(9)
+    parts = ["Acme", "Ac", "me", "North", "Bridge", "é", "Works", "x"]
+    names = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    entities = [(i % 60, rng.choice("CP"), n) for i, n in enumerate(names)] + [(3, "C", None), (4, "C", ""), (5, "C", "Acme"), (5, "C", "Acme")]
+    keys = [(i % 17, rng.choice("CP"), "".join(rng.choice(parts) for _ in range(rng.randint(1, 3)))) for i in range(60)] + [(1, "C", None), (2, "C", "")]
+    want = {}
+    for d, kind, e in entities:
+        for c, other, k in keys:
+            if kind == other and e and k and (e in k or k in e):
+                near = 0 if e == k else 1 if k in e else 2
+                found, least = want.get((d, c), (set(), 2))
+                want[d, c] = found | {e}, min(least, near)
+    e = spark.createDataFrame(entities, "doc_id int, type string, text string")
+    k = spark.createDataFrame(keys, "case_id int, type string, key string")
+    got = {(r.doc_id, r.case_id): (set(r.matched_keys), CS.RELATIONS.index(r.relation)) for r in CS.match_case_keys(e, k).collect()}
+    assert got == want
+    assert CS.match_case_keys(e.filter("false"), k).count() == CS.match_case_keys(e, k.filter("false")).count() == 0
+
+
+def test_shared_footers_make_no_candidates(spark):
+    """Texts with one footer, needles that end in it: each needle is looked up by what it has of its own."""
+    footer = "sent by the common desk of the house, do not answer"
+    hay = spark.createDataFrame([(i, f"letter number {i * 7919:09d} {footer}") for i in range(400)], "doc_id int, text string")
+    needles = spark.createDataFrame([(i, f"number {i * 7919:09d} {footer}") for i in range(0, 800, 2)], "item_id int, needle string")
+    sides = (hay, "doc_id", "text", needles, "item_id", "needle", 8, 17)
+    assert sorted(map(tuple, R.contains_join(*sides).collect())) == [(i, i) for i in range(0, 400, 2)]
+    # a few candidates for each needle, not 400 x 400
+    assert R.containment_candidates(*sides).count() < 400 * 10
+    strings = [f"Desk {chr(0x4E00 + i)}{chr(0x5E00 + i)} of the common house" for i in range(400)]
+    names = spark.createDataFrame([("N", s) for s in strings], "type string, hay string")
+    keys = spark.createDataFrame([("N", s[:14]) for s in strings], "type string, needle string")
+    assert CS.short_candidates(names, keys, ["type"]).count() == CS.short_contains_join(names, keys, ["type"]).count() == 400
