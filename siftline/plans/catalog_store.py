@@ -10,9 +10,11 @@ from siftline.functions.registry import register_sql_functions
 from siftline.operators import ingest as G
 from siftline.operators import report as RP
 from siftline.operators import store as ST
+from siftline.plans import packs as K
+from siftline.plans import triage as TR
 from siftline.plans.catalog import query
 from siftline.plans.catalog_extract import O_BAND
-from siftline.plans.catalog_text import o_norm
+from siftline.plans.catalog_text import o_norm, triage_ctes
 from siftline.session import scratch_path
 from siftline.sources import readers as RD
 from siftline.sources import writers as WR
@@ -607,27 +609,48 @@ def _(spark, sf_dir):
     )
 
 
-@query("incremental_triage", "SELECT doc_id, CAST(n_chars AS BIGINT) AS n_chars, contains(lower(text), 'license') AS licensed FROM documents")
+def _inbox(spark, df, parts: list[str]) -> str:
+    """``df`` as files that arrive one after the other."""
+    folder = scratch_path(spark, "inbox")
+    for where in parts:
+        df.filter(where).write.mode("append").parquet(folder)
+    return folder
+
+
+@query(
+    "incremental_triage",
+    f"WITH {triage_ctes()} SELECT doc_id, score, band, CAST(CASE WHEN doc_id % 50 = 7 THEN 2 ELSE 1 END AS BIGINT) AS attempts FROM t",
+)
 def _(spark, sf_dir):
-    """Documents analysed as they arrive, from a register that is added to batch by batch."""
-    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
-    stream = J.stream_table(spark, sf_dir, schema, "documents.parquet")
-    register = scratch_path(spark, "register")
+    """The whole triage of documents as they arrive in three micro-batches; some fail at first, and the checkpoint is lost once."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    inbox = _inbox(spark, docs, [f"doc_id % 3 = {k}" for k in range(3)])
+    register, pack = scratch_path(spark, "register"), K.demo_pack(spark).compile()
 
     def analyse(batch):
-        return batch.select("doc_id", "n_chars", F.expr("contains(lower(text), 'license')").alias("licensed"))
+        found = TR.triage(batch, pack, keep=("attempt",)).select("doc_id", "score", "band", "attempt")
+        return found.withColumn("status", F.expr("CASE WHEN doc_id % 50 = 7 AND attempt = 0 THEN 'failed' ELSE 'completed' END"))
 
-    J.run_to_end(J.incremental_triage(stream, analyse, register, scratch_path(spark, "checkpoint")))
-    return J.current_register(spark, register).select("doc_id", "n_chars", "licensed")
+    for _ in range(2):
+        files = max(1, len(J.folder_files(spark, inbox)) // 3)
+        stream = J.stream_table(spark, inbox, docs.schema, files_per_batch=files)
+        J.run_to_end(J.incremental_triage(stream, analyse, register, scratch_path(spark, "checkpoint"), "status = 'completed'", retries=2))
+    rows = spark.read.parquet(register)
+    current = J.current_register(spark, register).filter("status = 'completed'").select("doc_id", "score", "band")
+    return current.join(rows.groupBy("doc_id").agg(F.count("*").alias("attempts")), "doc_id")
 
 
 @query("stream_dedupe", "SELECT DISTINCT user_id, event_type FROM events WHERE event_type <> 'error'")
 def _(spark, sf_dir):
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    stream = J.stream_table(spark, sf_dir, events.schema, "events.parquet").withColumn("key", F.expr("concat(user_id, '|', event_type)"))
-    seen = events.filter("event_type = 'error'").select(F.expr("concat(user_id, '|', event_type)").alias("key"))
+    """First events of each key over three micro-batches, without the keys of a history table, which is read once."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("key", F.expr("concat(user_id, '|', event_type)"))
+    inbox = _inbox(spark, events.repartition(4), ["day(ts) <= 10", "day(ts) BETWEEN 11 AND 20", "day(ts) > 20"])
+    seen = _inbox(spark, events.filter("event_type = 'error'").select("key", "ts").distinct(), ["true"])
+    files = max(1, len(J.folder_files(spark, inbox)) // 3)
+    stream = J.stream_table(spark, inbox, events.schema, files_per_batch=files)
+    history = J.stream_table(spark, seen, spark.read.parquet(seen).schema)
     path = scratch_path(spark, "deduped")
-    J.run_to_end(J.write_table(J.stream_dedupe(stream, "key", "ts", "40 days", seen), path, scratch_path(spark, "checkpoint")))
+    J.run_to_end(J.write_table(J.stream_dedupe(stream, "key", "ts", "40 days", history), path, scratch_path(spark, "checkpoint")))
     return spark.read.parquet(path).select("user_id", "event_type")
 
 
@@ -636,11 +659,27 @@ def _(spark, sf_dir):
     "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2",
 )
 def _(spark, sf_dir):
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    counts = J.daily_counts(J.stream_table(spark, sf_dir, schema, "events.parquet"), "ts", ["event_type"])
+    """Counts per day from micro-batches that arrive in order of time."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    inbox = _inbox(spark, events.coalesce(1), [f"day(ts) BETWEEN {d} AND {d + 7}" for d in (1, 9, 17, 25)])
     path = scratch_path(spark, "daily")
-    J.run_to_end(J.write_snapshots(counts, path, scratch_path(spark, "checkpoint")))
-    return J.latest_snapshot(spark, path).select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+    stream = J.stream_table(spark, inbox, events.schema, files_per_batch=1)
+    J.run_to_end(J.count_windows(stream, "ts", ["event_type"], path, scratch_path(spark, "checkpoint")))
+    return J.counted_windows(spark, path).select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+@query(
+    "late_rows",
+    """SELECT event_id, event_type FROM events, (SELECT max(ts) AS newest FROM events WHERE day(ts) <> 3) WHERE day(ts) = 3 AND ts < newest - INTERVAL 1 DAY""",
+)
+def _(spark, sf_dir):
+    """Events of one day that arrive after all others are late by more than a day, and are kept aside whole."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    inbox = _inbox(spark, events.coalesce(1), ["day(ts) <> 3", "day(ts) = 3"])
+    path = scratch_path(spark, "late")
+    stream = J.stream_table(spark, inbox, events.schema, files_per_batch=1)
+    J.run_to_end(J.count_windows(stream, "ts", ["event_type"], path, scratch_path(spark, "checkpoint")))
+    return J.late_rows(spark, path).select("event_id", "event_type")
 
 
 @query(

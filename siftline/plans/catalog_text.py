@@ -540,7 +540,7 @@ def _triaged(spark, sf_dir):
     return TR.triage(read_table(spark, sf_dir, "documents", "doc_id"), K.demo_pack(spark).compile())
 
 
-def _triage_ctes(novelty: str = "10", stage: str = "0", bulk: str = "FALSE") -> str:
+def triage_ctes(novelty: str = "10", stage: str = "0", bulk: str = "FALSE") -> str:
     """Common table expressions of the whole triage of ``documents`` with the demo pack; the last is ``t``.
 
     No amounts and no markers of old news occur in the documents.
@@ -597,7 +597,7 @@ def _triage_ctes(novelty: str = "10", stage: str = "0", bulk: str = "FALSE") ->
 
 @query(
     "triage_documents",
-    f"""WITH {_triage_ctes()} SELECT doc_id, coalesce(categories, '') AS categories, coalesce(patterns, '') AS patterns, coalesce(ids, '') AS negatives,
+    f"""WITH {triage_ctes()} SELECT doc_id, coalesce(categories, '') AS categories, coalesce(patterns, '') AS patterns, coalesce(ids, '') AS negatives,
       CAST(rule_score AS DOUBLE) AS rule_score, CAST(total AS DOUBLE) AS total, CAST(score AS DOUBLE) AS score, band,
       CASE WHEN rule_score >= 60 THEN 'SCORE' WHEN best >= 70 THEN 'PATTERN' END AS escalation FROM t""",
 )
@@ -614,7 +614,7 @@ KNOWN = "doc_id IN (SELECT x.doc_id FROM documents x JOIN benchmark y ON contain
 
 @query(
     "triage_in_context",
-    "WITH " + _triage_ctes(
+    "WITH " + triage_ctes(
         f"CASE WHEN NOT {KNOWN} THEN 10 WHEN e > 0 THEN 5 ELSE 0 END",
         "CASE WHEN lang = 'de' THEN 8 WHEN lang = 'fr' AND e > 0 THEN -8 WHEN lang = 'fr' THEN -25 ELSE 0 END",
         "contains(t, 'license') AND contains(t, 'released')",
@@ -639,7 +639,7 @@ def _(spark, sf_dir):
 
 @query(
     "triage_bands",
-    f"WITH {_triage_ctes()} SELECT band, CAST(count(*) AS BIGINT) AS n_docs, round(CAST(avg(rule_score) AS DOUBLE), 4) AS avg_rule_score FROM t GROUP BY band",
+    f"WITH {triage_ctes()} SELECT band, CAST(count(*) AS BIGINT) AS n_docs, round(CAST(avg(rule_score) AS DOUBLE), 4) AS avg_rule_score FROM t GROUP BY band",
 )
 def _(spark, sf_dir):
     return TR.band_summary(_triaged(spark, sf_dir))

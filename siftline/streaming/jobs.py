@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as D
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 from pyspark.sql.types import StructType
 
 from siftline.operators.store import latest_per_key
+from siftline.session import cut_lineage
 
 
 def stream_table(spark: SparkSession, folder: str, schema: StructType, pattern: str = "*.parquet", files_per_batch: int = 1000) -> DataFrame:
@@ -27,34 +31,85 @@ def run_to_end(query: StreamingQuery) -> None:
         raise query.exception()
 
 
+#: Folders over which a register is spread by key.
+BUCKETS = 64
+
+
+def _bucket(key: str, buckets: int):
+    return F.expr(f"cast(pmod(xxhash64({key}), {buckets}) as int)").alias("bucket")
+
+
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in ``path``; none if it does not exist."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in fs.listStatus(at) if f.isDirectory()] if fs.exists(at) else []
+
+
+def folder_files(spark: SparkSession, path: str) -> list[str]:
+    """Names of the data files in ``path``."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(at) if f.isFile()]
+    return sorted(n for n in names if n[0] not in "._")
+
+
 def incremental_triage(
-    incoming: DataFrame, analyse: Callable[[DataFrame], DataFrame], register: str, checkpoint: str, done: str = "true", version: str | None = None
+    incoming: DataFrame, analyse: Callable[[DataFrame], DataFrame], register: str, checkpoint: str, done: str = "true", version: str | None = None,
+    retries: int = 0, buckets: int = BUCKETS,
 ) -> StreamingQuery:
-    """Analyse what has not been analysed yet; each micro-batch adds one folder to the register.
-
-    A batch writes only its own rows, and one that is run again after a failure
-    overwrites its own folder.  Folders are numbered on from what the register
-    held when the checkpoint was new, so a new checkpoint never touches earlier
-    results.  Finding which ids of a batch are done reads the register's ids.
-    ``done`` says which register rows are finished; documents whose row is not
-    (a failed analysis) are taken again when they come in again.  Of several
-    versions of a document in one batch the one with the largest ``version``
-    is taken (by default, the largest row).
+    """Analyse what has not been analysed yet; each micro-batch adds its rows to the register.
+
+    The register is spread over ``buckets`` folders by id, and a micro-batch
+    looks for finished ids only in the buckets that its own ids fall into; it
+    neither lists nor reads the others.  A batch writes only its own folders
+    ``bucket=…/batch=…``, so one that is run again after a failure overwrites
+    what it wrote.  Batches are numbered on from what the register held when
+    the checkpoint was new, so a lost or new checkpoint never touches earlier
+    results, and what they finished is not done again.
+
+    ``done`` says which register rows are finished.  Documents whose row is
+    not (a failed analysis) wait with their input beside the register and are
+    taken again by the next micro-batches, up to ``retries`` times, and
+    whenever they come in again.  ``analyse`` sees the number of earlier
+    attempts in a column ``attempt``.  Of several versions of a document in one
+    batch the one with the largest ``version`` is taken (by default, the
+    largest row).
     """
     base = _first_folder(incoming.sparkSession, register, checkpoint)
+    waiting = f"{register.rstrip('/')}_waiting"
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark, folder = batch.sparkSession, base + batch_id
         plain = [c for c, t in batch.dtypes if "map<" not in t]
         newest = F.max_by(F.struct(*batch.columns), F.struct(*([version] if version else plain)))
-        latest = batch.groupBy("doc_id").agg(newest.alias("_row")).select("_row.*")
-        todo = latest
-        if register_exists(spark, register):
-            # the batch is the small side: find which of its ids are done, then leave those out
-            finished = spark.read.parquet(register).filter((F.col("batch") < folder) & F.expr(done))
-            finished = finished.join(latest.select("doc_id"), "doc_id", "left_semi").select("doc_id").distinct()
-            todo = latest.join(finished, "doc_id", "left_anti")
-        analyse(todo).write.mode("overwrite").parquet(f"{register}/batch={folder}")
+        rows = batch.groupBy("doc_id").agg(newest.alias("_row")).select("_row.*").withColumn("attempt", F.lit(0))
+        if f"batch={folder - 1}" in _folders(spark, waiting):
+            held = spark.read.parquet(f"{waiting}/batch={folder - 1}")
+            again = held.select("doc_id", F.col("attempt").alias("_earlier"))
+            rows = rows.join(again, "doc_id", "left").withColumn("attempt", F.coalesce("_earlier", "attempt")).drop("_earlier")
+            rows = rows.unionByName(held.join(batch.select("doc_id"), "doc_id", "left_anti"))
+        rows = cut_lineage(rows.withColumn("bucket", _bucket("doc_id", buckets)))
+        # at most as many as there are buckets
+        touched = {f"bucket={r[0]}" for r in rows.select("bucket").distinct().collect()}
+        parts = [f"{register}/{name}" for name in _folders(spark, register) if name in touched]
+        todo = rows
+        if parts:
+            finished = spark.read.option("basePath", register).parquet(*parts).filter((F.col("batch") < folder) & F.expr(done))
+            finished = finished.join(rows.select("doc_id"), "doc_id", "left_semi").select("doc_id").distinct()
+            todo = rows.join(finished, "doc_id", "left_anti")
+        result = analyse(todo.drop("bucket"))
+        kept = [c for c in result.columns if c not in ("bucket", "batch")]
+        placed = result.select(*kept, _bucket("doc_id", buckets), F.lit(folder).alias("batch"))
+        placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(register)
+        if retries:
+            parts = [f"{register}/{name}" for name in _folders(spark, register) if name in touched]
+            failed = rows.limit(0)
+            if parts:
+                own = spark.read.option("basePath", register).parquet(*parts).filter((F.col("batch") == folder) & ~F.coalesce(F.expr(done), F.lit(False)))
+                failed = todo.join(own.select("doc_id").distinct(), "doc_id", "left_semi")
+            failed = failed.drop("bucket").withColumn("attempt", F.col("attempt") + 1).filter(F.col("attempt") <= retries)
+            failed.write.mode("overwrite").parquet(f"{waiting}/batch={folder}")
 
     return incoming.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -64,9 +119,8 @@ def _first_folder(spark: SparkSession, register: str, checkpoint: str) -> int:
     note = f"{checkpoint}/first_register_folder"
     if register_exists(spark, note):
         return spark.read.parquet(note).first()[0]
-    first = 0
-    if register_exists(spark, register):
-        first = spark.read.parquet(register).agg(F.coalesce(F.max("batch") + 1, F.lit(0))).first()[0]
+    used = [int(n.split("=")[1]) for b in _folders(spark, register) for n in _folders(spark, f"{register}/{b}") if n.startswith("batch=")]
+    first = max(used, default=-1) + 1
     spark.range(1).select(F.lit(int(first)).cast("long").alias("first")).coalesce(1).write.parquet(note)
     return int(first)
 
@@ -83,13 +137,42 @@ def register_exists(spark: SparkSession, register: str) -> bool:
 
 def current_register(spark: SparkSession, register: str) -> DataFrame:
     """The newest row of every document."""
-    return latest_per_key(spark.read.parquet(register), "doc_id", "batch")
+    return latest_per_key(spark.read.parquet(register).drop("bucket"), "doc_id", "batch")
 
 
 def stream_dedupe(stream: DataFrame, key: str, ts: str, delay: str = "1 hour", history: DataFrame | None = None) -> DataFrame:
-    """First event of each key within the watermark, without keys of the history table."""
-    fresh = stream.join(history.select(key), key, "left_anti") if history is not None else stream
-    return fresh.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+    """First event of each key within the watermark; with a stream ``history``, without the keys of that table.
+
+    The history is itself a stream (key, ts): it is read once, by the
+    micro-batch that meets its files, and goes into the state of its keys;
+    later micro-batches look at the state of their own keys only.  A key's state
+    leaves ``delay`` after its latest event, so the state does not grow
+    with time.  History must be there before the events that it should hold
+    back: of one micro-batch it is taken first.
+    """
+    stamped = stream.withColumn(ts, F.col(ts).cast("timestamp"))
+    if history is None:
+        return stamped.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+    kept = D.StructType([f for f in stamped.schema.fields])
+    known = history.select(F.lit(True).alias("_known"), *(F.col(c).cast(kept[c].dataType).alias(c) if c in (key, ts) else F.lit(None).cast(kept[c].dataType).alias(c) for c in kept.names))
+    both = known.unionByName(stamped.withColumn("_known", F.lit(False))).withWatermark(ts, delay)
+    wait = int(pd.Timedelta(delay).total_seconds() * 1000)
+
+    def first_of(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(parts))
+        latest = int(rows[ts].max().timestamp() * 1000)
+        fresh = not state.exists and not rows["_known"].any()
+        if state.exists:
+            latest = max(latest, state.get[0])
+        state.update((latest,))
+        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + wait + 1)
+        if fresh:
+            yield rows.sort_values(ts, kind="stable").head(1)[kept.names]
+
+    return both.groupBy(key).applyInPandasWithState(first_of, kept, "latest long", "append", "EventTimeTimeout")
 
 
 def daily_counts(stream: DataFrame, ts: str, group: list[str], delay: str = "1 day", slide: str | None = None, width: str = "1 day") -> DataFrame:
@@ -117,19 +200,40 @@ def write_table(result: DataFrame, path: str, checkpoint: str, mode: str = "appe
     return result.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
 
 
-def write_snapshots(result: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Whole result of an aggregation after each micro-batch, in a folder per batch."""
-
-    def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    return (
-        result.writeStream.outputMode("complete").foreachBatch(save)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+def count_windows(
+    stream: DataFrame, ts: str, group: list[str], path: str, checkpoint: str, delay: str = "1 day", width: str = "1 day", slide: str | None = None,
+) -> StreamingQuery:
+    """Counts per window, kept without state: each micro-batch adds one small table of its own counts (see ``counted_windows``).
 
+    Rows more than ``delay`` behind the latest time of earlier micro-batches
+    are late: they go whole to a side table (see ``late_rows``) and are not
+    counted.  A micro-batch that is run again overwrites its own folders.
+    """
 
-def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    table = spark.read.parquet(path)
-    last = table.agg(F.max("batch")).first()[0]
-    return table.filter(F.col("batch") == last).drop("batch")
+    def save(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.withColumn(ts, F.col(ts).cast("timestamp")).persist()
+        try:
+            before = None
+            if batch_id:
+                before = spark.read.parquet(f"{path}/seen/batch={batch_id - 1}").first()[0]
+            late = F.coalesce(F.col(ts) < F.lit(before).cast("timestamp") - F.expr(f"INTERVAL {delay}"), F.lit(False))
+            daily_counts(batch.filter(~late), ts, group, width=width, slide=slide).write.mode("overwrite").parquet(f"{path}/counts/batch={batch_id}")
+            batch.filter(late).write.mode("overwrite").parquet(f"{path}/late/batch={batch_id}")
+            newest = batch.agg(F.max(ts)).first()[0]
+            seen = max((t for t in (before, newest) if t is not None), default=None)
+            spark.createDataFrame([(seen,)], "seen timestamp").coalesce(1).write.mode("overwrite").parquet(f"{path}/seen/batch={batch_id}")
+        finally:
+            batch.unpersist()
+
+    return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def counted_windows(spark: SparkSession, path: str) -> DataFrame:
+    """The counts of all micro-batches so far."""
+    parts = spark.read.parquet(f"{path}/counts").drop("batch")
+    return parts.groupBy(*(c for c in parts.columns if c != "n")).agg(F.sum("n").alias("n"))
+
+
+def late_rows(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/late").drop("batch")
