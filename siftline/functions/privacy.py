@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from siftline.functions.sql import let, quote, string_array
+from siftline.functions.sql import let, prefix_max, quote, string_array
 from siftline.functions.text import SEPARATOR, regex_spans
 
 
@@ -163,19 +163,29 @@ def candidates(text: str, patterns=SENSITIVE) -> str:
 
 
 def resolve_overlaps(findings: str) -> str:
-    """Keep non-overlapping findings: by priority, then position, then the longest; sorted by position."""
-    keyed = (
-        f"array_sort(transform({findings}, _f -> named_struct('p', _f.priority, 's', _f.start,"
-        " 'l', _f.start - _f.end, 'f', _f)))"
-    )
-    kept = (
+    """Keep non-overlapping findings: by priority, then position, then the longest; sorted by position.
+
+    Findings in order of position fall into clusters: one begins where a
+    finding starts behind the end of all before it.  What is kept in a cluster
+    does not depend on the others, so each is settled alone, and the work grows
+    with the number of findings and the size of the largest cluster.
+    """
+    keyed = "array_sort(transform(_c, _f -> named_struct('p', _f.priority, 's', _f.start, 'l', _f.start - _f.end, 'f', _f)))"
+    greedy = (
         f"aggregate(transform({keyed}, _k -> _k.f), cast(array() AS {FINDING}), (_a, _f) ->"
         " CASE WHEN exists(_a, _x -> _f.end > _x.start AND _f.start < _x.end) THEN _a ELSE concat(_a, array(_f)) END)"
     )
     ordered = "transform(array_sort(transform({}, _k -> named_struct('s', _k.start, 'f', _k))), _k -> _k.f)"
     # most texts have no overlaps at all; then position order is the answer
     overlap = "exists(transform(_s, (_x, _i) -> _i > 0 AND _x.start < get(_s, _i - 1).end), _b -> _b)"
-    return let("_s", ordered.format(findings), f"CASE WHEN {overlap} THEN {ordered.format(kept)} ELSE _s END")
+    begins = "filter(sequence(1, size(_s)), _i -> element_at(_s, _i).start >= element_at(_reach, _i))"
+    settled = (
+        "flatten(transform(_begin, (_i, _k) -> "
+        + let("_c", "slice(_s, _i, coalesce(try_element_at(_begin, _k + 2), size(_s) + 1) - _i)", f"CASE WHEN size(_c) = 1 THEN _c ELSE {ordered.format(greedy)} END")
+        + "))"
+    )
+    clustered = let("_reach", prefix_max("transform(_s, _x -> _x.end)"), let("_begin", begins, settled))
+    return let("_s", ordered.format(findings), f"CASE WHEN {overlap} THEN {clustered} ELSE _s END")
 
 
 def scan(text: str, patterns=SENSITIVE) -> str:

@@ -61,3 +61,16 @@ def prefix_sums(lengths: str) -> str:
     )
     body = let("_blk", blocks, f"transform(sequence(0, size(_len)), _i -> {inner})")
     return let("_len", lengths, body)
+
+
+def prefix_max(values: str) -> str:
+    """For each element of an int array the largest one before it (-1 for the first), in two levels of 64 like ``prefix_sums``."""
+    block = 64
+    inner = (
+        f"aggregate(slice(_val, cast(_i DIV {block} AS int) * {block} + 1, _i % {block}),"
+        f" element_at(_top, cast(_i DIV {block} AS int) + 1), (_a, _x) -> greatest(_a, _x))"
+    )
+    own = f"transform(sequence(0, cast((size(_val) - 1) DIV {block} AS int)), _b -> array_max(slice(_val, _b * {block} + 1, {block})))"
+    tops = "transform(_own, (_x, _b) -> coalesce(array_max(slice(_own, 1, _b)), -1))"
+    body = let("_own", own, let("_top", tops, f"transform(_val, (_v, _i) -> {inner})"))
+    return let("_val", values, f"CASE WHEN size(_val) = 0 THEN cast(array() AS array<int>) ELSE {body} END")

@@ -115,3 +115,30 @@ def test_projection_and_guarded_cells(spark):
 def test_secret_scan_allows_example_addresses(spark):
     lines = spark.createDataFrame([("f", 1, "x@example.org y@real.net"), ("f", 2, "sk-" + "a" * 24), ("f", 3, "clean")], "path string, line_no int, value string")
     assert {(r.line_no, r.kind) for r in PV.secret_scan(lines).collect()} == {(1, "PRIVATE_EMAIL"), (2, "API_KEY")}
+
+
+def test_overlaps_are_settled_by_cluster(spark):
+    import random
+    import time
+
+    rng = random.Random(21)
+    rows = []
+    for i in range(120):
+        rows.append((i, [("K", s, s + rng.randint(1, 6), "R", rng.randint(0, 4)) for s in (rng.randint(0, 60) for _ in range(rng.randint(0, 30)))]))
+    # one text with 100 000 findings, of which every other one overlaps the one before
+    rows.append((999, [("K", 10 * k + (3 if k % 2 else 0), 10 * k + 12, "R", k % 3) for k in range(100_000)]))
+    df = spark.createDataFrame(rows, f"doc_id int, found {P.FINDING}")
+    begin = time.time()
+    got = {r.doc_id: [(f.start, f.end, f.priority) for f in r.kept] for r in df.select("doc_id", F.expr(P.resolve_overlaps("found")).alias("kept")).collect()}
+    assert time.time() - begin < 120
+    for i, found in rows[:-1]:
+        kept = []
+        for _, s, e, _, p in sorted(found, key=lambda f: (f[4], f[1], f[1] - f[2])):
+            if all(e <= a or s >= b for a, b, _ in kept):
+                kept.append((s, e, p))
+        assert got[i] == sorted(kept)
+    ends = [0]
+    for s, e, _ in got[999]:
+        assert s >= ends[-1]
+        ends.append(e)
+    assert len(got[999]) > 30_000
