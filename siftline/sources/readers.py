@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import csv
 import email
 import email.policy
 import email.utils
 import hashlib
-import io
 from collections.abc import Iterator
 from email.header import decode_header
 
@@ -21,6 +19,7 @@ from siftline.functions import text as T
 from siftline.functions.sql import quote
 from siftline.operators.ingest import ignored_path
 from siftline.operators.rows import explode_structs
+from siftline.sources.delimited import content_lines, delimited_cells, text_lines
 
 ATTACHMENT = "array<struct<filename:string,file_type:string,sha256:string,size:bigint,content:binary>>"
 MAIL_SCHEMA = (
@@ -166,30 +165,10 @@ def attachments_of(mails: DataFrame) -> DataFrame:
 
 
 def read_delimited_cells(files: DataFrame, key: str = "path", max_rows: int | None = None) -> DataFrame:
-    """Rows of delimited files from (key, content): key, row_no, text and cells (col, value).
+    """Rows of delimited files from (key, content): key, row_no, text and cells (col, value); see ``delimited``."""
+    return delimited_cells(content_lines(files, key), max_rows).withColumnRenamed("key", key)
 
-    Files come one per row, bounded by the admission limit on file size.
-    ``max_rows`` reads only the head of each file; by default all is read.
-    """
-    kind = files.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, content in zip(batch[key], batch["content"]):
-                body = bytes(content).decode("utf-8-sig", errors="replace")
-                out = []
-                for row_no, row in enumerate(csv.reader(io.StringIO(body)), start=1):
-                    if max_rows is not None and row_no > max_rows:
-                        break
-                    cells = [{"col": i, "value": v.strip()} for i, v in enumerate(row, start=1) if v.strip()]
-                    if cells:
-                        out.append((name, row_no, " | ".join(v.strip() for v in row if v.strip()), cells))
-                    if len(out) >= 5000:
-                        yield pd.DataFrame(out, columns=[key, "row_no", "text", "cells"])
-                        out = []
-                if out:
-                    yield pd.DataFrame(out, columns=[key, "row_no", "text", "cells"])
-
-    return files.select(key, "content").mapInPandas(
-        run, schema=f"{key} {kind}, row_no int, text string, cells array<struct<col:int,value:string>>"
-    )
+def read_delimited_files(spark: SparkSession, path: str, max_rows: int | None = None) -> DataFrame:
+    """The same from files under ``path``, of any size: a file is read in splits by many tasks."""
+    return delimited_cells(text_lines(spark, path), max_rows).withColumnRenamed("key", "path")

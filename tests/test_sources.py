@@ -1,3 +1,6 @@
+import csv
+import io
+import random
 import os
 from email.mime.application import MIMEApplication
 from email.mime.multipart import MIMEMultipart
@@ -98,3 +101,49 @@ def test_html_attributes_and_references(spark):
     df = spark.createDataFrame(list(enumerate(pages)), "i int, html string")
     got = [r.text for r in html_to_text(df).orderBy("i").collect()]
     assert got == ["z", "c", "a \u2713 b", "a\u00a0< b", "AB &lt; &nosuch; \u00a92", "x <3 y"]
+
+
+def plain_cells(body):
+    out = []
+    for n, row in enumerate(csv.reader(io.StringIO(body.replace("\r\n", "\n").replace("\r", "\n"))), 1):
+        cells = [(i, v.strip()) for i, v in enumerate(row, 1) if v.strip()]
+        if cells:
+            out.append((n, cells))
+    return out
+
+
+def delimited_bodies():
+    rng = random.Random(4)
+    out = ["", "\n", "a,b\n", '"x\ny",z\r\n"q""r",s\n', 'a,"b\n\nc",d\n\ne', '5" pipe,x\n"a"b"c,d\n', "a,,b\n,,\n x , y ", '"open\nto,the end']
+    for _ in range(150):
+        out.append("".join(rng.choice(['"', '""', ",", "\n", "a", "b c", "\r\n", " ", '","', '"\n']) for _ in range(rng.randint(1, 60))))
+    return out
+
+
+def test_delimited_cells_equal_the_csv_reader(spark):
+    bodies = delimited_bodies()
+    files = spark.createDataFrame([(i, bytearray(b.encode())) for i, b in enumerate(bodies)], "file_id int, content binary")
+    got = {}
+    for r in RD.read_delimited_cells(files, "file_id").collect():
+        got.setdefault(r.file_id, []).append((r.row_no, [tuple(c) for c in r.cells]))
+    assert {k: sorted(v) for k, v in got.items()} == {i: p for i, b in enumerate(bodies) if (p := plain_cells(b))}
+    head = RD.read_delimited_cells(files, "file_id", max_rows=1).collect()
+    assert {r.row_no for r in head} == {1}
+
+
+def test_one_large_file_is_read_in_splits(spark, tmp_path):
+    rng = random.Random(6)
+    body = "﻿" + "\n".join(
+        ",".join('"' + rng.choice(["x\ny", 'q""r', "a,b", "\n\n"]) + '"' if rng.random() < 0.3 else rng.choice(["a", " b ", "", "c d"]) for _ in range(4)) for _ in range(3000)
+    )
+    (tmp_path / "one.csv").write_text(body)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 8
+        got = sorted((r.row_no, [tuple(c) for c in r.cells]) for r in RD.read_delimited_files(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == plain_cells(body.removeprefix("﻿"))
