@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions.sql import quote, string_array
+from siftline.operators.keyed import KeyedTable
 from siftline.operators.ordered import running
 from siftline.operators.rows import join_null_safe
 from siftline.operators.skew import lookup
@@ -227,6 +228,24 @@ def write_manifest(items: DataFrame) -> DataFrame:
     )
 
 
+def store_items(items: DataFrame, root: str, buckets: int = 64) -> None:
+    """Puts the items of one or more batches into the table under ``root``, all of them or none.
+
+    Items of a batch that is there already are replaced.  Readers see the new
+    items once all are written (see ``keyed``), so a manifest made of stored
+    items never counts half a batch.
+    """
+    table = KeyedTable.by_hash(items.sparkSession, root, "batch_id", buckets)
+    if table.commit_of()["version"]:
+        table.upsert(items, lambda old, new: old.join(new.select("batch_id").distinct(), "batch_id", "left_anti").unionByName(new))
+    else:
+        table.create(items)
+
+
+def stored_items(spark: SparkSession, root: str) -> DataFrame:
+    return KeyedTable.by_hash(spark, root, "batch_id").read()
+
+
 def batch_status(items: DataFrame) -> DataFrame:
     """READY with something accepted, COMPLETED when all is done, EMPTY otherwise, FAILED when unsafe."""
     status = (

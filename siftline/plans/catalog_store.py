@@ -10,11 +10,12 @@ from siftline.functions.registry import register_sql_functions
 from siftline.operators import ingest as G
 from siftline.operators import report as RP
 from siftline.operators import store as ST
+from siftline.operators.keyed import KeyedTable
 from siftline.plans import packs as K
 from siftline.plans import triage as TR
 from siftline.plans.catalog import query
 from siftline.plans.catalog_extract import O_BAND
-from siftline.plans.catalog_text import o_norm, triage_ctes
+from siftline.plans.catalog_text import o_clean, o_norm, triage_ctes
 from siftline.session import scratch_path
 from siftline.sources import readers as RD
 from siftline.sources import writers as WR
@@ -23,10 +24,25 @@ from siftline.streaming import jobs as J
 
 
 # --- S, F: files and admission -----------------------------------------------------
-@query("read_documents")
+def _as_files(spark, sf_dir) -> str:
+    """Every text of ``documents`` in a file of its own, in a folder of its id."""
+    folder = scratch_path(spark, "files")
+    read_table(spark, sf_dir, "documents", "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("value")).write.partitionBy("doc_id").text(folder)
+    return folder
+
+
+@query("read_documents", "SELECT doc_id, CAST(octet_length(encode(text)) + 1 AS BIGINT) AS size, md5(text || chr(10)) AS digest FROM documents")
+def _(spark, sf_dir):
+    """The texts of ``documents`` written as files, and listed and read back with their contents."""
+    files = RD.read_documents(spark, _as_files(spark, sf_dir), "txt")
+    return files.select(F.regexp_extract("rel_path", "doc_id=(\\d+)/", 1).cast("long").alias("doc_id"), "size", F.md5("content").alias("digest"))
+
+
+@query("read_text", f"SELECT doc_id, {o_clean('text')} AS text FROM documents")
 def _(spark, sf_dir):
-    """Files of the input folder; contents are not read, as no column of theirs is kept."""
-    return RD.read_documents(spark, sf_dir, "parquet").select("rel_path", "size")
+    """The same files as cleaned texts."""
+    files = RD.read_text(spark, f"{_as_files(spark, sf_dir)}/*/")
+    return files.select(F.regexp_extract("path", "doc_id=(\\d+)/", 1).cast("long").alias("doc_id"), "text")
 
 
 MAIL = (
@@ -168,7 +184,10 @@ def _(spark, sf_dir):
     FROM r WHERE status <> 'ignored' GROUP BY batch_id""",
 )
 def _(spark, sf_dir):
-    return G.write_manifest(G.admit_files(_files(spark, sf_dir), LIMITS, _history(spark, sf_dir)))
+    """Items of all batches written as one commit, and the totals read back from it."""
+    root = scratch_path(spark, "items")
+    G.store_items(G.admit_files(_files(spark, sf_dir), LIMITS, _history(spark, sf_dir)), root)
+    return G.write_manifest(G.stored_items(spark, root))
 
 
 @query(
@@ -334,6 +353,22 @@ def _(spark, sf_dir):
     return out.withColumn("first_seen", F.date_format("first_seen", "yyyy-MM-dd HH:mm:ss"))
 
 
+@query(
+    "keyed_upsert",
+    """SELECT o_orderkey AS key, o_custkey AS ord, CASE WHEN o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 20 DAY THEN 'changed' ELSE o_orderstatus END AS status,
+      CASE WHEN o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 20 DAY THEN 2 ELSE 1 END AS version FROM orders""",
+)
+def _(spark, sf_dir):
+    """Orders in a table with a bucket for each month of theirs; the newest are changed, and only their months are written again."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey AS key", "o_custkey AS ord", "o_orderstatus AS status", "1 AS version", "o_orderdate AS day")
+    table = KeyedTable(spark, scratch_path(spark, "orders"), "year(day) * 12 + month(day)")
+    table.create(orders)
+    last = orders.agg(F.max("day")).first()[0]
+    changed = orders.filter(F.col("day") >= F.lit(last) - F.expr("INTERVAL 20 DAYS")).withColumns({"status": F.lit("changed"), "version": F.lit(2)})
+    table.upsert(changed, lambda old, new: ST.insert_or_replace(old, new, ["key"], "version"))
+    return table.read().select("key", "ord", "status", "version")
+
+
 @query(
     "upsert_review",
     """WITH n AS (SELECT o_custkey AS doc_id, arg_max(o_orderstatus, o_orderkey) AS status FROM orders GROUP BY o_custkey),
