@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from siftline.functions import text as T
 from siftline.functions.sql import quote, string_array
-from siftline.operators.matcher import Surface, term_hits
+from siftline.operators.matcher import Surface, attach_hits, term_hits
+from siftline.operators.rows import explode_structs
 from siftline.session import cut_lineage
 
 HIT_TYPE = (
@@ -229,17 +230,17 @@ SLOT_RADIUS = 20
 
 
 def match_terms_slotted(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
-    """Slotted matching; ``terms`` has a ``role`` of slot, evidence, reversal or boost."""
+    """Slotted matching; ``terms`` has a ``role`` of slot, evidence, reversal or boost.
 
-    def of(role: str) -> DataFrame:
-        return term_hits(docs, map_variants(terms.filter(F.col("role") == role)), text, SLOT_RADIUS)
-
-    slots = of("slot")
-    taken = slots.select("doc_id", "term", "ktype").distinct()
-    heads = docs.select("doc_id", F.expr(f"concat('…', substring({text}, 1, 60), '…')").alias("snippet"))
-    boosts = of("boost").withColumn("count", F.lit(1)).drop("snippet").join(heads, "doc_id").select(slots.columns)
-    fresh = [of(role).join(taken, ["doc_id", "term", "ktype"], "left_anti").select(slots.columns) for role in ("evidence", "reversal")]
-    return slots.unionByName(fresh[0]).unionByName(fresh[1]).unionByName(boosts)
+    All roles are matched in one pass over the texts.
+    """
+    packs: dict[str, list[Surface]] = {}
+    for role in ("slot", "evidence", "reversal", "boost"):
+        of_role = map_variants(terms.filter(F.col("role") == role)).select(*Surface._fields)
+        packs[f"_{role}"] = [Surface(*r) for r in of_role.toLocalIterator()]
+    texts = docs.select("doc_id", F.expr(text).alias("_body"))
+    found = attach_hits(texts, packs, "_body", SLOT_RADIUS)
+    return explode_structs(found, slotted_sql("_body", *packs), ["doc_id"])
 
 
 def match_reversal_terms(docs: DataFrame, reversal_terms: list[str], text: str = "text") -> DataFrame:
