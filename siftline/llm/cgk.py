@@ -17,13 +17,14 @@ leave at the first.  Candidates around which too few words are the item's go
 (k edits leave all words but k).  What remains is verified by the exact edit distance of
 the item to the best stretch of the text around the window.
 
-Items are read in blocks of ITEMS_AT_ONCE, which bounds the broadcast; each
-block is one narrow pass over the texts.  Words are runs of letters and digits,
+Items are read in blocks of ITEMS_AT_ONCE items and ITEM_CHARS characters, which
+bounds the broadcast; each block is one narrow pass over the texts.  Words are runs of letters and digits,
 A-Z lower-cased.
 
-Null and empty texts match nothing.  Items of fewer than ``min_words`` words
-are too short to tell and are not looked for; null items likewise.  Repeated
-rows give repeated results.  Columns other than those named are not read,
+Null and empty texts match nothing, nor do items without words.  Items of one to
+four words allow no edit and are found verbatim.  Very long texts are read
+whole; of equally near places the first counts.  Empty tables give an empty
+result.  Repeated rows give repeated results.  Columns other than those named are not read,
 except that ``decontaminated`` passes them on.
 """
 
@@ -43,8 +44,11 @@ TABLES = 12
 SAMPLES = 4
 #: Share of an item's words that may be edited.
 EDITS = 0.2
-MIN_WORDS = 5
+#: Items of fewer words are not looked for.
+MIN_WORDS = 1
+#: Items, and characters of their texts, that are looked for at once.
 ITEMS_AT_ONCE = 1 << 15
+ITEM_CHARS = 1 << 23
 
 MATCHES = "doc_id long, item_id long, item_words long, first_word long, distance long"
 
@@ -177,7 +181,8 @@ class Items:
         classes = np.floor(np.log2(np.maximum(sizes, 1)) * 2).astype(int)
         for c in np.unique(classes):
             members = np.flatnonzero(classes == c)
-            for _ in range(TABLES):
+            # items that allow no edit are found by their own words (see ``Pieces``)
+            for _ in range(TABLES if self.limit[members].any() else 0):
                 self.tables.append(Table([self.symbols[i] for i in members], members, int(sizes[members].min()), rng))
 
         cut: dict[int, tuple[list, list, list]] = {}
@@ -220,7 +225,7 @@ class Items:
         words = Words(block, lower=True, inside=IS_ALNUM)
         symbols = words.hash | np.uint64(1)
         out: list[tuple[int, int, int, int]] = []
-        if len(symbols) and self.tables:
+        if len(symbols) and self.pieces:
             bits, end, doc = mix(symbols), np.repeat(words.first[1:], words.count), words.doc()
             doors = (bits & np.uint64(0xFFFF)).astype(np.int64)
             begin = np.repeat(words.first[:-1], words.count)
@@ -253,13 +258,14 @@ class Items:
 
 def item_blocks(benchmark: DataFrame, text: str, key: str, size: int, min_words: int, edits: float) -> Iterator[Items]:
     """The items in blocks of bounded size, one at a time on the driver."""
-    ids, texts = [], []
+    ids, texts, chars = [], [], 0
     for row in benchmark.select(F.col(key).cast("long"), F.col(text).cast("string")).toLocalIterator():
         ids.append(row[0])
         texts.append(row[1])
-        if len(ids) == size:
+        chars += len(row[1] or "")
+        if len(ids) == size or chars >= ITEM_CHARS:
             yield Items(ids, texts, min_words, edits)
-            ids, texts = [], []
+            ids, texts, chars = [], [], 0
     if ids:
         yield Items(ids, texts, min_words, edits)
 

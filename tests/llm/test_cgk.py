@@ -75,7 +75,7 @@ def test_verbatim_items_of_the_given_table_are_found(spark):
 def test_edge_cases(spark, documents):
     docs = documents([(1, None), (2, ""), (3, "a b c d e f g"), (3, "a b c d e f g"), (None, "x a b c d e f"), (4, "A,b;C d-e F end " * 5000)])
     docs = docs.withColumnRenamed("lang", "item_id").withColumnRenamed("source", "distance")
-    bench = benchmark(spark, [(1, None), (2, ""), (3, "a b"), (4, "a b c d e f")])
+    bench = benchmark(spark, [(1, None), (2, ""), (3, "a z"), (4, "a b c d e f")])
     got = sorted((r["doc_id"] or 0, r["item_id"], r["distance"]) for r in benchmark_matches(docs, bench).collect())
     assert got == [(0, 4, 0), (3, 4, 0), (3, 4, 0), (4, 4, 0)]
     out = decontaminated(docs, bench)
@@ -107,3 +107,18 @@ def test_all_matches_up_to_a_fifth_of_edits_are_found(spark, documents):
     assert {n for n, _ in want} == set(at) and want.keys() <= got.keys()
     assert all(got[x]["distance"] == d for x, d in want.items())
     assert all(got[n, item]["first_word"] == place for n, (item, place) in at.items() if place is not None)
+
+
+def test_short_items_are_found_verbatim(spark, documents):
+    rng = random.Random(15)
+    rows = [(i, " ".join(rng.choice(["aa", "bb", "cc", "dd", "ee", "ff"]) for _ in range(rng.randint(0, 12)))) for i in range(80)]
+    items = {i: [rng.choice(["aa", "bb", "cc", "dd", "ee"]) for _ in range(i % 4 + 1)] for i in range(20)}
+    got = {(r["doc_id"], r["item_id"], r["first_word"], r["distance"]) for r in benchmark_matches(documents(rows), benchmark(spark, ((i, " ".join(w)) for i, w in items.items()))).collect()}
+    want = set()
+    for d, text in rows:
+        have = text.split()
+        for i, item in items.items():
+            places = [k for k in range(len(have)) if have[k : k + len(item)] == item]
+            if places:
+                want.add((d, i, places[0], 0))
+    assert got == want
