@@ -148,35 +148,43 @@ def byte_values(data: np.ndarray, lower: bool = False) -> np.ndarray:
     return (_BYTES[LOWER] if lower else _BYTES)[data]
 
 
-def _pieces(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The strings data[start:end] as 8-byte pieces: place in the string, byte position, mask of the bytes that belong, and the string's number."""
-    count = (end - start + 7) >> 3
-    owner = np.repeat(np.arange(len(start)), count)
-    nth = ragged(np.zeros(len(start), np.int64), count)
-    left = np.minimum(end[owner] - start[owner] - 8 * nth, 8)
-    mask = np.uint64(0xFFFFFFFFFFFFFFFF) >> ((8 - left) * 8).astype(np.uint64)
-    return nth, start[owner] + 8 * nth, mask, owner
+class Strings:
+    """The strings data[start:end] as masked 8-byte pieces, with their 64-bit hashes.
 
+    A hash is a sum of mixed pieces, each with its place.  Unlike a polynomial,
+    such a sum has no family of strings that collide by their form.
+    """
 
-def _loads(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from every position on, as one number; zeros stand behind the end."""
-    return np.ndarray((len(data) + 1,), "<u8", np.concatenate((data, np.zeros(8, np.uint8))).tobytes(), 0, (1,))
+    def __init__(self, data: np.ndarray, start: np.ndarray, end: np.ndarray):
+        self.size = end - start
+        count = (self.size + 7) >> 3
+        self.first = np.cumsum(count) - count
+        self.owner = np.repeat(np.arange(len(start)), count)
+        self.nth = np.arange(len(self.owner)) - self.first[self.owner]
+        at = start[self.owner] + 8 * self.nth
+        left = np.minimum(self.size[self.owner] - 8 * self.nth, 8)
+        # the eight bytes from every position on, as one number; zeros stand behind the end
+        loads = np.ndarray((len(data) + 1,), "<u8", np.concatenate((data, np.zeros(8, np.uint8))).tobytes(), 0, (1,))
+        self.pieces = loads[at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> ((8 - left) * 8).astype(np.uint64))
+        out = mix(self.size.astype(np.uint64))
+        heads = self.first[count > 0]
+        if len(heads):
+            out[count > 0] += np.add.reduceat(mix(self.pieces ^ mix(self.nth.astype(np.uint64) + _ROOT)), heads)
+        self.hash = mix(out)
+
+    def equal(self, other: Strings, mine: np.ndarray, theirs: np.ndarray) -> np.ndarray:
+        """Whether string mine[k] has the bytes of string theirs[k] of ``other``."""
+        same = self.size[mine] == other.size[theirs]
+        mine, theirs, at = mine[same], theirs[same], np.flatnonzero(same)
+        count = (self.size[mine] + 7) >> 3
+        pieces = self.pieces[ragged(self.first[mine], count)] == other.pieces[ragged(other.first[theirs], count)]
+        same[at[np.repeat(np.arange(len(mine)), count)[~pieces]]] = False
+        return same
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the strings data[start:end]: a sum of mixed 8-byte pieces, each with its place.
-
-    Unlike a polynomial, a sum of mixed pieces has no family of strings that
-    collide by their form.
-    """
-    out = mix((end - start).astype(np.uint64))
-    if len(start):
-        nth, at, mask, owner = _pieces(data, start, end)
-        if len(at):
-            values = mix((_loads(data)[at] & mask) ^ mix(nth.astype(np.uint64) + _ROOT))
-            heads = np.flatnonzero(nth == 0)
-            out[owner[heads]] += np.add.reduceat(values, heads)
-    return mix(out)
+    """64-bit hashes of the strings data[start:end] (see ``Strings``)."""
+    return Strings(data, start, end).hash
 
 
 def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -192,19 +200,23 @@ def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, order[fresh]
 
 
+def numbered(strings: Strings) -> tuple[np.ndarray, np.ndarray] | None:
+    """A number for each string, equal exactly for equal bytes, and a string of each number; None if two different ones share a hash."""
+    which, first = _groups(strings.hash)
+    like = first[which]
+    if not (strings.size == strings.size[like]).all():
+        return None
+    same = strings.pieces == strings.pieces[strings.first[like][strings.owner] + strings.nth]
+    return (which, first) if same.all() else None
+
+
 def span_ids(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A number for each string data[start:end]; equal numbers mean equal bytes, which are compared."""
     if not len(start):
         return np.zeros(0, np.int64)
-    which, first = _groups(span_hashes(data, start, end))
-    like = start[first][which]
-    equal = bool((end - start == (end - start)[first][which]).all())
-    if equal:
-        _, at, mask, owner = _pieces(data, start, end)
-        loads = _loads(data)
-        equal = bool(((loads[at] & mask) == (loads[at - start[owner] + like[owner]] & mask)).all())
-    if equal:
-        return which
+    found = numbered(Strings(data, start, end))
+    if found:
+        return found[0]
     # two strings with one hash: number them by their bytes
     known: dict[bytes, int] = {}
     text = data.tobytes()

@@ -2,9 +2,11 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from siftline.llm import arrays
 from siftline.llm.arrays import Words, blocks, span_hashes, span_ids
+from siftline.llm.units import Memo
 
 
 def strings():
@@ -20,13 +22,46 @@ def spans(items):
     return data, np.cumsum(size) - size, np.cumsum(size)
 
 
-def test_numbers_are_equal_exactly_for_equal_strings(monkeypatch):
+def with_few_hashes(monkeypatch, bits):
+    """Hashes of a few bits, so that many different strings share one."""
+    made = arrays.Strings.__init__
+
+    def short(self, *args):
+        made(self, *args)
+        self.hash = self.hash >> np.uint64(64 - bits) << np.uint64(64 - bits)
+
+    monkeypatch.setattr(arrays.Strings, "__init__", short)
+
+
+@pytest.mark.parametrize("bits", [64, 2])
+def test_numbers_are_equal_exactly_for_equal_strings(monkeypatch, bits):
+    with_few_hashes(monkeypatch, bits)
     items = strings()
-    for _ in range(2):
-        ids = span_ids(*spans(items)).tolist()
-        assert len(set(zip(ids, items, strict=True))) == len(set(ids)) == len(set(items))
-        # also when hashes collide
-        monkeypatch.setattr(arrays, "span_hashes", lambda data, start, end: (end - start).astype(np.uint64) << np.uint64(60))
+    ids = span_ids(*spans(items)).tolist()
+    assert len(set(zip(ids, items, strict=True))) == len(set(ids)) == len(set(items))
+
+
+@pytest.mark.parametrize("bits", [64, 8, 2])
+@pytest.mark.parametrize("remembered", [1 << 19, 60])
+def test_remembered_units_keep_their_ids(monkeypatch, bits, remembered):
+    with_few_hashes(monkeypatch, bits)
+    asked = []
+
+    def encode(units):
+        asked.extend(units)
+        found = [[len(u), *u] for u in units]
+        return np.array([i for x in found for i in x], np.int32), np.array([len(x) for x in found])
+
+    memo, rng = Memo(encode, remembered), random.Random(1)
+    for _ in range(40):
+        texts = ["".join(rng.choice("abcé") for _ in range(rng.choice([0, 1, 2, 3, 9, 20]))) for _ in range(rng.choice([1, 3, 40]))]
+        (block,) = blocks(pa.array(texts, pa.string()))
+        start, end = block.offsets[:-1], block.offsets[1:]
+        ids, count = memo.ids_of(block, start, end)
+        want = [[len(t.encode()), *t.encode()] for t in texts]
+        assert ids.tolist() == [i for x in want for i in x] and count.tolist() == [len(x) for x in want]
+    if remembered > 1000 and bits == 64:
+        assert len(asked) == len(set(asked))
 
 
 def test_hashes_part_all_strings():
