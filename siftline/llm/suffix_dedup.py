@@ -13,10 +13,11 @@ many times over; only those sharing an anchor can share a window, so:
    sorted by anchor and distance from it: a merge sort whose comparisons find
    the common extension by binary search over polynomial prefix hashes.
    Neighbours with a common prefix of ``window`` bytes are one string; their
-   bytes are compared, so a hash collision cannot remove anything.
+   bytes are compared, so here a hash collision cannot remove anything.
 4. Each document applies what was found.
 
-A segment's hash is 128 bits wide with its anchor's.  Rows of a hot passage
+Equal segments (1 and 2) are told by two 64-bit hashes, the segment's and its
+anchor's, not by their bytes.  Rows of a hot passage
 are one for each task and distinct surrounding, never one for each copy.  An
 anchor with many distinct surroundings has its windows dealt out by their own
 hash; of equal windows in a batch of texts again only the first travels on.
