@@ -67,3 +67,17 @@ def test_entities(spark):
     assert {(r.type, r.text, r["count"]) for r in got.collect()} == {
         ("COMPANY", "Acme Corp", 2), ("ORG", "GNU", 1), ("DATE", "2024-01-02", 1), ("MONEY", "80万元", 1), ("BANK_ACCOUNT", "1234567890", 1),
     }
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("gntdteg.83@mail4.example.com", []), ("halynt$$$ 83 x", []), ("nt$$$ 83", []), ("83 kermb", []), ("körmb 83", []), ("akrmbx 83", []),
+        # the letter that makes it no word of its own stands 13 characters before
+        ("xntd 12345678 83", []), ("xrmb abcdefg 83", []),
+        ("NTD 83", [(83.0, "TWD")]), ("83 NTD", [(83.0, "TWD")]), ("约NT$83", [(83.0, "TWD")]), ("83 rmb", [(83.0, "CNY")]), ("共rmb 83", [(83.0, "CNY")]),
+        ("rmb abcdefg 83", [(83.0, "CNY")]), ("rmb abcdefgh 83", []), ("83 abcdefg rmb", [(83.0, "CNY")]), ("83 abcdefgh rmb", []),
+    ],
+)
+def test_currency_marks_are_words_of_their_own(spark, text, want):
+    assert [(m.amount, m.currency) for m in values(spark, N.extract_amounts("text"), [text])[0]] == want
