@@ -147,3 +147,8 @@ def test_one_large_file_is_read_in_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert got == plain_cells(body.removeprefix("﻿"))
+
+
+def test_references_cut_off_before_their_end_stay(spark):
+    pages = spark.createDataFrame([("<title>a &amp;&amp;&amp</title><p>x &amp</b>y &lt b &#65<br>&#65; &co<i> &copy",)], "html string")
+    assert html_to_text(pages).first().text == "a &&&amp\nx &ampy < b &#65\nA &co &copy"
