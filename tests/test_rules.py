@@ -346,3 +346,28 @@ def test_shared_footers_make_no_candidates(spark):
     names = spark.createDataFrame([("N", s) for s in strings], "type string, hay string")
     keys = spark.createDataFrame([("N", s[:14]) for s in strings], "type string, needle string")
     assert CS.short_candidates(names, keys, ["type"]).count() == CS.short_contains_join(names, keys, ["type"]).count() == 400
+
+
+def test_python_tasks_take_few_rows_at_once(spark):
+    import pyarrow as pa
+
+    from siftline.operators import matcher, terms
+    from siftline.operators.rulepass import Rules, attach_rules
+    from siftline.sources.readers import parse_mail
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    word = matcher.Surface("a", "a", "H", "C", "")
+    rules = matcher.Exclusion("aa", ("b",), 5, 5)
+    for build in (
+        lambda: matcher.attach_hits(docs, {"hits": [word]}), lambda: attach_rules(docs, [Rules(exclusions=(rules,))], exclusions="x"),
+        lambda: parse_mail(docs.selectExpr("text AS path", "encode(text, 'UTF-8') AS content")), lambda: terms._marks(docs, "doc_id", "text", 8, 17),
+    ):
+        spark.conf.unset(key)
+        build()
+        rows = spark.range(1000).coalesce(1).mapInArrow(sizes, "n long").collect()
+        assert sum(r.n for r in rows) == 1000 and max(r.n for r in rows) <= 250
