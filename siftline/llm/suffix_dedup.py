@@ -21,7 +21,8 @@ anchor's, not by their bytes.  Rows of a hot passage
 are one for each task and distinct surrounding, never one for each copy.  An
 anchor with many distinct surroundings has its windows dealt out by their own
 hash; of equal windows in a batch of texts again only the first travels on.
-Tasks hold one partition of 32-byte rows, or one batch of texts.
+Tasks hold one partition of 32-byte rows, one batch of texts, or some anchors
+with their bytes.
 
 Null and empty texts have no bytes and stay.  Rows with a null id are neither
 removed from nor a reason to remove.  Rows that share an id are never a reason
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftline.llm.arrays import Block, Prefix, blocks, byte_values, covered, mix, ragged
-from siftline.llm.frames import gathered, in_slices, longs, per_batch, stored, table
+from siftline.llm.frames import gathered, in_slices, longs, per_batch, stored, table, whole_groups
 from siftline.llm.suffixes import sorted_suffixes
 from siftline.llm.winnow import Segments, segments
 
@@ -51,6 +52,8 @@ ANCHOR = 24
 FLUSH = 1_000_000
 #: Suffixes sorted at once.
 SORTED_AT_ONCE = 200_000
+#: Bytes of rows that a task of the suffix sort holds, or those of one anchor.
+HELD_AT_ONCE = 8 << 20
 #: Distinct spans around one anchor from which its windows are dealt out one by one.
 WIDE = 32
 
@@ -234,10 +237,7 @@ def _repeated_windows(data: np.ndarray, start: np.ndarray, bucket: np.ndarray, d
 def sorted_out(rows: DataFrame, window: int) -> DataFrame:
     """For every open segment the windows to remove, as bits, from a suffix sort by anchor."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = gathered(batches)
-        if found is None:
-            return
+    def sort(found: pa.Table) -> Iterator[pa.RecordBatch]:
         anchor = found.column("anchor").to_numpy()
         empty = pa.compute.binary_length(found.column("context")).to_numpy() == 0
         names = ("doc_id", "version", "number", "nth", "lead")
@@ -275,7 +275,11 @@ def sorted_out(rows: DataFrame, window: int) -> DataFrame:
             yield from in_slices(_record(REMOVALS, doc_id=doc[rows_][some], version=version[rows_][some], number=number[rows_][some], windows=bits[some] << shift[rows_][some].astype(np.uint64)))
             lo = hi
 
-    return rows.repartition("anchor").mapInArrow(run, REMOVALS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in whole_groups(batches, "anchor", HELD_AT_ONCE):
+            yield from sort(found)
+
+    return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, REMOVALS)
 
 
 def removed_bytes(block: Block, owner: np.ndarray, numbers: np.ndarray, windows: np.ndarray, window: int, k: int) -> np.ndarray:

@@ -2,9 +2,11 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from siftline.llm.arrays import Prefix, byte_values
+from siftline.llm.frames import whole_groups
 from siftline.llm.suffix_dedup import drop_repeats, op8_suffix_sort, repeat_report
 from siftline.llm.suffixes import sorted_suffixes
 
@@ -95,3 +97,17 @@ def test_merge_sort_orders_suffixes():
         a, b = keys[n - 1], keys[n]
         same = next((k for k in range(40) if a[1][k] != b[1][k]), 40) if a[0] == b[0] else 0
         assert same == common[n]
+
+
+def test_a_task_takes_some_anchors_at_a_time_and_each_whole():
+    anchor = np.sort(np.random.default_rng(5).integers(-40, 40, 3_000))
+    batch = pa.RecordBatch.from_pydict({"anchor": pa.array(anchor, pa.int64()), "nth": pa.array(np.arange(3_000))})
+    parts = list(whole_groups(iter([batch.slice(at, 70) for at in range(0, 3_000, 70)]), "anchor", 2_000))
+    assert len(parts) > 10 and max(p.nbytes for p in parts) < 6_000
+    assert [x for p in parts for x in p.column("nth").to_pylist()] == list(range(3_000))
+    held = [set(p.column("anchor").to_pylist()) for p in parts]
+    assert all(a.isdisjoint(b) for a, b in zip(held, held[1:]))
+    # one group larger than that stays in one piece
+    same = batch.set_column(0, "anchor", pa.array(np.zeros(3_000, np.int64)))
+    assert [p.num_rows for p in whole_groups(iter([same.slice(at, 70) for at in range(0, 3_000, 70)]), "anchor", 2_000)] == [3_000]
+    assert list(whole_groups(iter([batch.slice(0, 0)]), "anchor", 10)) == []
