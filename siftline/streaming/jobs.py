@@ -31,6 +31,9 @@ def run_to_end(query: StreamingQuery) -> None:
         raise query.exception()
 
 
+#: Entries of the state that the keys of a deduplication share.
+STATE_BUCKETS = 2048
+
 #: Folders over which a register is spread by key.
 BUCKETS = 64
 
@@ -140,39 +143,59 @@ def current_register(spark: SparkSession, register: str) -> DataFrame:
     return latest_per_key(spark.read.parquet(register).drop("bucket"), "doc_id", "batch")
 
 
-def stream_dedupe(stream: DataFrame, key: str, ts: str, delay: str = "1 hour", history: DataFrame | None = None) -> DataFrame:
+def stream_dedupe(stream: DataFrame, key: str, ts: str, delay: str = "1 hour", history: DataFrame | None = None, buckets: int = STATE_BUCKETS) -> DataFrame:
     """First event of each key within the watermark; with a stream ``history``, without the keys of that table.
 
     The history is itself a stream (key, ts): it is read once, by the
     micro-batch that meets its files, and goes into the state of its keys;
     later micro-batches look at the state of their own keys only.  A key's state
     leaves ``delay`` after its latest event, so the state does not grow
-    with time.  History must be there before the events that it should hold
-    back: of one micro-batch it is taken first.
+    with time.  Keys share ``buckets`` entries of the state, so that Python is
+    called for each bucket of a micro-batch and not for each key.  History must
+    be there before the events that it should hold back: of one micro-batch it
+    is taken first.
     """
     stamped = stream.withColumn(ts, F.col(ts).cast("timestamp"))
     if history is None:
         return stamped.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
     kept = D.StructType([f for f in stamped.schema.fields])
-    known = history.select(F.lit(True).alias("_known"), *(F.col(c).cast(kept[c].dataType).alias(c) if c in (key, ts) else F.lit(None).cast(kept[c].dataType).alias(c) for c in kept.names))
+
+    def filler(kind: D.DataType):
+        # never returned; a null would turn a whole number of the rows beside it into a fraction
+        return F.lit(0 if isinstance(kind, D.NumericType) else False if isinstance(kind, D.BooleanType) else None).cast(kind)
+
+    known = history.select(F.lit(True).alias("_known"), *((F.col(f.name) if f.name in (key, ts) else filler(f.dataType)).cast(f.dataType).alias(f.name) for f in kept.fields))
     both = known.unionByName(stamped.withColumn("_known", F.lit(False))).withWatermark(ts, delay)
+    name = F.col(key) if isinstance(kept[key].dataType, D.AtomicType) else F.to_json(F.struct(key))
+    # a null key is one key
+    both = both.withColumn("_name", F.coalesce(F.concat(F.lit("="), name.cast("string")), F.lit("")))
     wait = int(pd.Timedelta(delay).total_seconds() * 1000)
 
     def first_of(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        now = state.getCurrentWatermarkMs()
+        until = dict(zip(*state.get, strict=True)) if state.exists else {}
+        rows = None if state.hasTimedOut else pd.concat(list(parts)).sort_values(ts, kind="stable")
+        met: dict[str, int] = {}
+        if rows is not None:
+            names = rows["_name"]
+            fresh = rows[~names.duplicated() & ~names.isin(until) & ~names.isin(names[rows["_known"]])]
+            latest = rows.dropna(subset=[ts]).drop_duplicates("_name", keep="last")
+            met = dict.fromkeys(names, now)
+            met.update(zip(latest["_name"], (latest[ts].astype("datetime64[us]").astype("int64") // 1000).tolist(), strict=True))
+        for k, at in met.items():
+            until[k] = max(until.get(k, 0), max(at, now) + wait + 1)
+        # the keys of this micro-batch stay; of the others those that the watermark has passed leave
+        until = {k: t for k, t in until.items() if k in met or t >= now}
+        if until:
+            state.update((list(until), list(until.values())))
+            state.setTimeoutTimestamp(max(min(until.values()), now + 1))
+        elif state.exists:
             state.remove()
-            return
-        rows = pd.concat(list(parts))
-        latest = int(rows[ts].max().timestamp() * 1000)
-        fresh = not state.exists and not rows["_known"].any()
-        if state.exists:
-            latest = max(latest, state.get[0])
-        state.update((latest,))
-        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + wait + 1)
-        if fresh:
-            yield rows.sort_values(ts, kind="stable").head(1)[kept.names]
-
-    return both.groupBy(key).applyInPandasWithState(first_of, kept, "latest long", "append", "EventTimeTimeout")
+        if rows is not None and len(fresh):
+            yield fresh[kept.names]
+
+    dealt = both.withColumn("_bucket", F.pmod(F.xxhash64("_name"), F.lit(buckets)))
+    return dealt.groupBy("_bucket").applyInPandasWithState(first_of, kept, "names array<string>, until array<long>", "append", "EventTimeTimeout")
 
 
 def daily_counts(stream: DataFrame, ts: str, group: list[str], delay: str = "1 day", slide: str | None = None, width: str = "1 day") -> DataFrame:
