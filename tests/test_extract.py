@@ -1,9 +1,11 @@
 import datetime
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from siftline.functions import numbers as N
+from siftline.functions.sql import quote, wide_class
 from siftline.operators import extract as X
 
 
@@ -81,3 +83,19 @@ def test_entities(spark):
 )
 def test_currency_marks_are_words_of_their_own(spark, text, want):
     assert [(m.amount, m.currency) for m in values(spark, N.extract_amounts("text"), [text])[0]] == want
+
+
+def test_counts_without_a_unit_cost_no_more_than_their_length(spark):
+    texts = ["共" + "1" * 40_000 + "x 约 5户", "共" + "一" * 40_000 + "x 至少 6户", "数 百户", "3数百户", "约百人", "二百百户", ",34户", "1,2户", "约\x015户"]
+    start = time.perf_counter()
+    got = values(spark, N.extract_population("text"), texts)
+    assert time.perf_counter() - start < 10
+    assert [(r.value, r.confidence) for r in got] == [
+        (5, 0.75), (6, 0.8), (None, 0.0), (300, 0.8), (100, 0.75), (300, 0.95), (34, 0.95), (12, 0.95), (5, 0.75),
+    ]
+
+
+def test_a_wide_class_holds_its_characters_and_no_others(spark):
+    chars = [chr(c) for c in (*range(0x20, 0x7F), *range(0x3000, 0x3010), *range(0x4E00, 0xA000))]
+    got = values(spark, f"text RLIKE {quote('^[' + wide_class(N.COUNT_CHARS) + ']$')}", chars)
+    assert {c for c, found in zip(chars, got, strict=True) if found} == set(N.COUNT_CHARS)
