@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftline.functions import numbers as N
-from siftline.functions.sql import quote, wide_class
+from siftline.functions.sql import any_contains, quote, which_contain, wide_class
 from siftline.operators import extract as X
+from siftline.plans.triage import prepare
 
 
 def values(spark, sql, texts):
@@ -99,3 +100,13 @@ def test_a_wide_class_holds_its_characters_and_no_others(spark):
     chars = [chr(c) for c in (*range(0x20, 0x7F), *range(0x3000, 0x3010), *range(0x4E00, 0xA000))]
     got = values(spark, f"text RLIKE {quote('^[' + wide_class(N.COUNT_CHARS) + ']$')}", chars)
     assert {c for c, found in zip(chars, got, strict=True) if found} == set(N.COUNT_CHARS)
+
+
+def test_a_text_is_prepared_once_for_all_words(spark):
+    docs = prepare(spark.createDataFrame([(1, "A　stupid\ttext"), (2, None), (3, "none")], "doc_id int, text string"))
+    for made, want in ((any_contains, [True, False, False]), (which_contain, [["stupid"], [], []])):
+        found = docs.select("doc_id", F.expr(made("norm", ["stupid", "idiot"])).alias("found"))
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        inner = plan.split("exists(" if made is any_contains else "filter(")[1]
+        assert "regexp_replace" in plan and "regexp_replace" not in inner
+        assert [r.found for r in found.orderBy("doc_id").collect()] == want
