@@ -3,6 +3,7 @@
 import numpy as np
 
 from siftline.operators import rulepass
+from siftline.operators.cases import match_case_keys
 from siftline.operators.matcher import TermIndex
 from siftline.operators.patterns import Pattern
 from siftline.operators.rulepass import RuleIndex, Rules
@@ -29,3 +30,20 @@ def test_terms_of_one_beginning_are_told_apart_by_more_of_it():
     found = index.grouped(["abcd0007 abcd000 abcd0499", "", "xabcd0499abcd0499"])
     assert [(t, index.surfaces[k]) for t, k in zip(found.text.tolist(), found.term.tolist())] == [(0, "abcd0007"), (0, "abcd0499"), (2, "abcd0499")]
     assert found.place.tolist() == [0, 17, 1, 9]
+
+
+def test_entities_are_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(i, "NAME", w) for i in range(20) for w in ("Anna", "Berlin", "Q")], "doc_id int, type string, text string")
+    keys = spark.createDataFrame([(1, "NAME", "Ann"), (2, "NAME", "Berlin"), (2, "NAME", "Annabel"), (3, "CITY", "Berlin")], "case_id int, type string, key string")
+    found = match_case_keys(rows.mapInArrow(counted, rows.schema), keys).collect()
+    assert sorted((r.doc_id, r.case_id, r.matched_keys, r.n_keys, r.relation) for r in found) == sorted(
+        x for i in range(20) for x in ((i, 1, ["Anna"], 1, "CONTAINS"), (i, 2, ["Anna", "Berlin"], 2, "EQUAL"))
+    )
+    assert read.value == 60
