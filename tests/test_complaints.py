@@ -1,5 +1,10 @@
 """Complaint track on hand-made texts; the expected points are added up in the comments."""
 
+import re
+
+from pyspark.sql import functions as F
+
+from siftline.operators import complaints as C
 from siftline.plans import packs as K
 from siftline.plans import records as RC
 
@@ -56,3 +61,20 @@ def test_records_keep_both_tracks(spark):
     assert out[2].first_score > 40 and out[2].first_categories == ["C01", "C03"] and out[2].evidence_shapes == ["MULTI_SOURCE_PACKAGE"]
     assert (out[3].track, out[3].band, out[3].confidence) == ("NONE", "D", 0.0)
     assert all(r.ref.startswith("REF:") and r.score >= max(r.first_score, r.second_score) for r in out.values())
+
+
+def test_one_pass_finds_the_words_of_all_marks(spark):
+    words = sorted({w for listed in C.MARKS.values() for w in listed})
+    texts = [*words, *(a + b for a, b in zip(words, words[1:])), "诈骗" * 3 + "款", "申请截止前", "检伤 急诊 4小时", "检伤 4小时", "追回", "7人", "7 ,人", "14800057", "5,0.元", "plain", "", None]
+    sql = C.marks_sql("text", "array('C')")
+    assert sql.count("contains(text") <= 2  # the two words in digits; each word was looked for by itself before
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = [r[0] for r in df.orderBy("i").select(F.expr(sql)).collect()]
+    for text, marks in zip(texts, got, strict=True):
+        text = text or ""
+        want = [name for name, listed in C.MARKS.items() if any(w in text for w in listed)]
+        if re.search("[一-鿿]|1999|48000", text):
+            want += ["lasting"] * bool(re.search("[0-9]+[ ]*(天|周|月|年|小时|分鐘|分钟|次|户|人|号)|持续|长期|连续|多年|半年|几个月", text))
+            want += ["money"] * bool(re.search("[0-9][0-9,.]*(元|万元|萬)|48000|4[.]8万|4[.]8萬|追回|损失", text))
+            want += ["explained"] * all(any(w in text for w in listed) for listed in C.MILD_CASE)
+        assert marks == want, text
