@@ -4,11 +4,15 @@ Bytes covered by a string of ``window`` bytes that also starts in a document
 of smaller id are removed.  Sorting all suffixes of a corpus would move it
 many times over; only those sharing an anchor can share a window, so:
 
-1. Each text is cut into segments (see ``winnow``), one row for about every 14
+1. Each text is cut into segments (see ``winnow``), one for about every 14
    bytes.  A task already settles those it sees twice: equal segments of later
-   documents go wholly, only the first document's row stands for them.
-2. Rows meet by anchor.  Equal spans are settled in the same way.  What is left
-   are the distinct spans around an anchor that several documents share.
+   documents go wholly, only the first document's stands for them.  A task
+   sends its segments in lots, one for each bucket of anchors.
+2. Segments meet by bucket.  Equal spans are settled in the same way.  What is
+   left are the distinct spans around an anchor that several documents share,
+   and of these such as also share what stands on one side of it, as two spans
+   with an equal window do.  So common short strings, of which a larger corpus
+   has ever more, leave nothing open.
 3. Their bytes are fetched, and the suffixes that begin at each window are
    sorted by anchor and distance from it: a merge sort whose comparisons find
    the common extension by binary search over polynomial prefix hashes.
@@ -17,11 +21,11 @@ many times over; only those sharing an anchor can share a window, so:
 4. Each document applies what was found.
 
 Equal segments (1 and 2) are told by two 64-bit hashes, the segment's and its
-anchor's, not by their bytes.  Rows of a hot passage
+anchor's, not by their bytes.  Segments of a hot passage
 are one for each task and distinct surrounding, never one for each copy.  An
 anchor with many distinct surroundings has its windows dealt out by their own
 hash; of equal windows in a batch of texts again only the first travels on.
-Tasks hold one partition of 32-byte rows, one batch of texts, or some anchors
+Tasks hold one bucket of 40-byte segments, one batch of texts, or some anchors
 with their bytes.
 
 Null and empty texts have no bytes and stay.  Rows with a null id are neither
@@ -41,25 +45,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftline.llm.arrays import Block, Prefix, blocks, byte_values, covered, mix, ragged
-from siftline.llm.frames import gathered, in_slices, longs, per_batch, stored, table, whole_groups
+from siftline.llm.arrays import Block, Prefix, blocks, bounds_of, byte_values, covered, mix, packed, ragged, unpacked
+from siftline.llm.frames import by_group, in_slices, longs, per_batch, stored, table, whole_groups
 from siftline.llm.suffixes import sorted_suffixes
-from siftline.llm.winnow import Segments, segments
+from siftline.llm.winnow import SIDE_BITS, Segments, segments, side_length
 
 WINDOW = 50
 ANCHOR = 24
 #: Segments a task gathers before it settles repeats among them.
 FLUSH = 1_000_000
+#: Buckets of anchors for each partition of a shuffle; a task settles one at a time.
+BUCKETS_EACH = 4
+#: Bytes of texts or lots that a Python task takes at once.
+BYTES_AT_ONCE = 8 << 20
+#: Settled segments that travel together.
+LOT = 1 << 11
 #: Suffixes sorted at once.
 SORTED_AT_ONCE = 200_000
 #: Bytes of rows that a task of the suffix sort holds, or those of one anchor.
 HELD_AT_ONCE = 8 << 20
 #: Distinct spans around one anchor from which its windows are dealt out one by one.
-WIDE = 32
+WIDE = 2048
 
-# place: the version, the number and whether the segment is settled, in one value (see ``_place``)
-SEGMENT_ROWS = "anchor long, span long, doc_id long, place long"
-ROUTES = "doc_id long, version int, number int, open boolean, wide boolean"
+#: Bits of the sides of an anchor that several documents share.
+LEFT, RIGHT = 1, 2
+
+LOTS = "bucket int, settled boolean, data binary"
+ROUTES = "doc_id long, version int, number int, open boolean, wide boolean, sides int"
 CONTEXTS = "anchor long, doc_id long, version int, number int, nth int, lead int, context binary"
 REMOVALS = "doc_id long, version int, number int, windows long"
 
@@ -78,17 +90,18 @@ def _record(schema: str, **columns: np.ndarray) -> pa.RecordBatch:
 
 
 def _place(version: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """A text's version and a segment's number within it, as one value; the lowest bit is left for "settled"."""
-    return (version.astype(np.int64) << 32) | (number.astype(np.int64) << 1)
+    """A text's version and a segment's number within it, as one value."""
+    return (version.astype(np.int64) << 32) | number.astype(np.int64)
 
 
-def segment_rows(rows: DataFrame, window: int, k: int) -> DataFrame:
-    """One row for each distinct segment of a text; repeats within a task are settled."""
+def segment_lots(rows: DataFrame, window: int, k: int, buckets: int) -> DataFrame:
+    """The distinct segments of texts in lots, one for each task and bucket of anchors; repeats within a task are settled."""
+    bits = np.uint64(65 - buckets.bit_length())
 
     def settle(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         if not parts:
             return
-        anchor, span, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        anchor, span, sides, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
         parts.clear()
         by = np.lexsort((place, doc, span, anchor))
         anchor, span, doc, place = anchor[by], span[by], doc[by], place[by]
@@ -96,14 +109,18 @@ def segment_rows(rows: DataFrame, window: int, k: int) -> DataFrame:
         fresh[1:] = (anchor[1:] != anchor[:-1]) | (span[1:] != span[:-1])
         again = ~fresh
         again[1:] &= (doc[1:] == doc[:-1]) & (place[1:] >> 32 == place[:-1] >> 32)
-        least = doc[fresh][np.cumsum(fresh) - 1]
-        settled = doc > least
+        settled = doc > doc[fresh][np.cumsum(fresh) - 1]
         # settled rows need no company: they are dealt out evenly
-        dealt = np.where(settled, mix(doc.view(np.uint64) + place.view(np.uint64)), anchor)
-        keep = ~again
-        yield from in_slices(
-            _record(SEGMENT_ROWS, anchor=dealt[keep], span=np.where(settled, np.uint64(0), span)[keep], doc_id=doc[keep], place=(place | settled)[keep])
-        )
+        done = np.flatnonzero(settled & ~again)
+        if len(done):
+            cuts = np.append(np.arange(0, len(done), LOT), len(done))
+            dealt = mix(doc[done[cuts[:-1]]].view(np.uint64) + place[done[cuts[:-1]]].view(np.uint64)) >> bits
+            yield from _lots((doc[done], place[done]), cuts, dealt, True)
+        live = np.flatnonzero(~settled & ~again)
+        if len(live):
+            bucket = anchor[live] >> bits
+            cuts = bounds_of(bucket)
+            yield from _lots((anchor[live], span[live], sides[by[live]], doc[live], place[live]), cuts, bucket[cuts[:-1]], False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, waiting = [], 0
@@ -112,32 +129,41 @@ def segment_rows(rows: DataFrame, window: int, k: int) -> DataFrame:
             for block in blocks(batch.column("text")):
                 found = cut(block, window, k)
                 at = block.rows.start + found.owner
-                parts.append((found.anchor, found.span, ids[at], _place(versions[at], found.number)))
+                parts.append((found.anchor, found.span, found.sides, ids[at], _place(versions[at], found.number)))
                 waiting += len(at)
                 if waiting >= FLUSH:
                     yield from settle(parts)
                     waiting = 0
         yield from settle(parts)
 
-    return rows.select("doc_id", "version", "text").mapInArrow(run, SEGMENT_ROWS)
+    return rows.select("doc_id", "version", "text").mapInArrow(run, LOTS)
 
 
-def routed(rows: DataFrame, wide: int) -> DataFrame:
-    """Settles equal spans of different documents; what shares only its anchor stays open."""
+def _lots(columns: tuple[np.ndarray, ...], cuts: np.ndarray, bucket: np.ndarray, settled: bool) -> Iterator[pa.RecordBatch]:
+    """A row for the columns between each two cuts."""
+    for at in range(0, len(cuts) - 1, 32):
+        of = cuts[at : at + 33].tolist()
+        data = [packed(np.stack([x[lo:hi].view(np.int64) for x in columns])) for lo, hi in zip(of[:-1], of[1:], strict=True)]
+        yield _record(LOTS, bucket=bucket[at : at + 32].astype(np.int32), settled=np.full(len(data), settled), data=pa.array(data, pa.binary()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = gathered(batches)
-        if found is None:
-            return
-        anchor, span, doc, place = (found.column(i).to_numpy() for i in range(4))
-        version, number, settled = (place >> 32).astype(np.int32), ((place & 0xFFFFFFFF) >> 1).astype(np.int32), place & 1 == 1
-        done = np.flatnonzero(settled)
-        yield from in_slices(_record(ROUTES, doc_id=doc[done], version=version[done], number=number[done], open=np.zeros(len(done), bool), wide=np.zeros(len(done), bool)))
-        live = np.flatnonzero(~settled)
-        by = live[np.lexsort((doc[live], span[live], anchor[live]))]
-        if not len(by):
-            return
-        anchor, span, doc, version, number = anchor[by], span[by], doc[by], version[by], number[by]
+
+def _several(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which rows have a key that rows of another document have too; a key of 0 is none."""
+    by = np.argsort(keys, kind="stable")
+    starts = bounds_of(keys[by])[:-1]
+    mixed = np.maximum.reduceat(doc[by], starts) > np.minimum.reduceat(doc[by], starts)
+    out = np.empty(len(keys), bool)
+    out[by] = np.repeat(mixed, np.diff(np.append(starts, len(keys))))
+    return out & (keys != 0)
+
+
+def routed(lots: DataFrame, wide: int) -> DataFrame:
+    """Settles equal spans of different documents; what shares only its anchor and what stands on one side of it stays open."""
+
+    def route(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        anchor, span, sides, doc, place = np.concatenate(found, axis=1)
+        by = np.lexsort((doc, span, anchor))
+        anchor, span, sides, doc, place = anchor[by], span[by], sides[by].view(np.uint64), doc[by], place[by]
         new_anchor = np.ones(len(by), bool)
         new_anchor[1:] = anchor[1:] != anchor[:-1]
         new_span = new_anchor.copy()
@@ -148,11 +174,37 @@ def routed(rows: DataFrame, wide: int) -> DataFrame:
         first = np.where(removed, np.iinfo(np.int64).min, doc)
         mixed = np.maximum.reduceat(first, starts) > np.minimum.reduceat(doc, starts)
         is_open = ~removed & mixed[group]
-        many = (np.add.reduceat(new_span.astype(np.int64), starts) >= wide)[group]
+        at, shared = np.flatnonzero(is_open), np.zeros(len(by), np.int32)
+        if len(at):
+            own = mix(anchor[at].view(np.uint64))
+            for bit, side in ((LEFT, sides[at] & np.uint64((1 << SIDE_BITS) - 1)), (RIGHT, sides[at] >> np.uint64(SIDE_BITS))):
+                shared[at] |= np.where(_several(np.where(side > 0, mix(own + side), side), doc[at]), bit, 0)
+            is_open = shared > 0
+        spans = np.cumsum(new_span) - 1
+        several = np.zeros(len(starts), np.int64)
+        np.add.at(several, group[new_span][np.unique(spans[is_open])], 1)
         use = removed | is_open
-        yield from in_slices(_record(ROUTES, doc_id=doc[use], version=version[use], number=number[use], open=is_open[use], wide=many[use]))
+        yield from in_slices(_routes(doc[use], place[use], is_open[use], (several >= wide)[group[use]], shared[use]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lots_ in by_group(batches, ["bucket"]):
+            live = []
+            for settled, data in zip(lots_.column("settled").to_pylist(), lots_.column("data").to_pylist(), strict=True):
+                if settled:
+                    doc, place = unpacked(data, 2)
+                    none = np.zeros(len(doc), bool)
+                    yield from in_slices(_routes(doc, place, none, none, none))
+                else:
+                    live.append(unpacked(data, 5))
+            if live:
+                yield from route(live)
+
+    return lots.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, ROUTES)
+
 
-    return rows.repartition("anchor").mapInArrow(run, ROUTES)
+def _routes(doc: np.ndarray, place: np.ndarray, is_open: np.ndarray, wide: np.ndarray, sides: np.ndarray) -> pa.RecordBatch:
+    number = (place & 0xFFFFFFFF).astype(np.int32)
+    return _record(ROUTES, doc_id=doc, version=(place >> 32).astype(np.int32), number=number, open=is_open, wide=wide, sides=sides.astype(np.int32))
 
 
 def _flat(column: pa.Array, block: Block) -> tuple[np.ndarray, pa.Array]:
@@ -184,6 +236,7 @@ def contexts(texts: DataFrame, window: int, k: int) -> DataFrame:
 
     A window that its task has settled already has no bytes.
     """
+    half = side_length(window, k)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids, versions = batch.column("doc_id").to_numpy(), batch.column("version").to_numpy()
@@ -206,6 +259,10 @@ def contexts(texts: DataFrame, window: int, k: int) -> DataFrame:
             count = found.count[all_at[wide]]
             at, rows = np.repeat(all_at[wide], count), np.repeat(block.rows.start + owner[wide], count)
             nth = ragged(np.zeros(len(count), np.int64), count)
+            # a window that others have too holds the whole of a side that others have too
+            sides, before = np.repeat(marks.field("sides").to_numpy()[wide], count), found.lead[at] - nth
+            some = ((sides & LEFT > 0) & (before >= half)) | ((sides & RIGHT > 0) & (window - k - before >= half))
+            at, rows, nth = at[some], rows[some], nth[some]
             if len(at):
                 start = found.start[at] + nth
                 key = mix(Prefix(byte_values(block.data)).run(start, start + window))
@@ -307,8 +364,10 @@ def repeats(rows: DataFrame, window: int, k: int, wide: int) -> DataFrame:
     """(doc_id, version, found): what to remove from each text that has any repeat."""
     if window - k + 1 > 63:
         raise ValueError("a segment may have 63 windows at most")
-    routes = stored(routed(segment_rows(rows, window, k), wide), "routes")
-    opened = routes.filter("open").groupBy("doc_id", "version").agg(F.collect_list(F.struct("number", "wide")).alias("numbers"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 1 << max(8, (BUCKETS_EACH * parts - 1).bit_length())
+    routes = stored(routed(segment_lots(rows, window, k, buckets), wide), "routes", BYTES_AT_ONCE)
+    opened = routes.filter("open").groupBy("doc_id", "version").agg(F.collect_list(F.struct("number", "wide", "sides")).alias("numbers"))
     wanted = stored(contexts(rows.join(opened.hint("merge"), ["doc_id", "version"]), window, k), "contexts")
     removals = stored(sorted_out(wanted, window), "removals")
     whole = routes.filter("NOT open").select("doc_id", "version", "number", F.lit(-1).cast("long").alias("windows"))

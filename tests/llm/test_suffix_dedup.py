@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from siftline.llm import suffix_dedup
 from siftline.llm.arrays import Prefix, byte_values
 from siftline.llm.frames import whole_groups
 from siftline.llm.suffix_dedup import drop_repeats, op8_suffix_sort, repeat_report
@@ -111,3 +112,27 @@ def test_a_task_takes_some_anchors_at_a_time_and_each_whole():
     same = batch.set_column(0, "anchor", pa.array(np.zeros(3_000, np.int64)))
     assert [p.num_rows for p in whole_groups(iter([same.slice(at, 70) for at in range(0, 3_000, 70)]), "anchor", 2_000)] == [3_000]
     assert list(whole_groups(iter([batch.slice(0, 0)]), "anchor", 10)) == []
+
+
+def test_a_short_string_in_many_documents_leaves_nothing_open(spark, documents, monkeypatch):
+    rng = random.Random(6)
+    own = lambda: "".join(rng.choice("abcdefgh ") for _ in range(90))
+    rows = [(i, own() + "thirty bytes that all of these" + own()) for i in range(100)]
+    kept, seen = suffix_dedup.stored, {}
+    monkeypatch.setattr(suffix_dedup, "stored", lambda df, label, *size: seen.setdefault(label, kept(df, label, *size)))
+    assert found(documents(rows)) == brute(rows)
+    assert seen["contexts"].count() == 0
+
+
+def test_windows_of_wide_anchors_hold_a_shared_side(spark, documents, monkeypatch):
+    rng = random.Random(7)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(120))
+    own = lambda: "".join(rng.choice("ijklmnop ") for _ in range(60))
+    rows = [(i, own() + passage[: rng.randint(60, 120)] + own()) for i in range(60)] + [(100 + i, own() + passage[rng.randint(0, 60) :] + own()) for i in range(60)]
+    kept, seen = suffix_dedup.stored, {}
+    monkeypatch.setattr(suffix_dedup, "stored", lambda df, label, *size: seen.setdefault(label, kept(df, label, *size)))
+    assert found(documents(rows), wide=1) == brute(rows)
+    half = (suffix_dedup.WINDOW - suffix_dedup.ANCHOR) // 2
+    of_one_side = seen["routes"].filter("open AND sides < 3").select("doc_id", "version", "number")
+    each = seen["contexts"].join(of_one_side, ["doc_id", "version", "number"]).groupBy("doc_id", "version", "number").count().collect()
+    assert each and max(r["count"] for r in each) <= half + 1
