@@ -53,7 +53,7 @@ from siftline.llm.winnow import SIDE_BITS, Segments, segments, side_length
 WINDOW = 50
 ANCHOR = 24
 #: Segments a task gathers before it settles repeats among them.
-FLUSH = 1_000_000
+FLUSH = 400_000
 #: Buckets of anchors for each partition of a shuffle; a task settles one at a time.
 BUCKETS_EACH = 4
 #: Bytes of texts or lots that a Python task takes at once.
@@ -129,7 +129,8 @@ def segment_lots(rows: DataFrame, window: int, k: int, buckets: int) -> DataFram
             for block in blocks(batch.column("text")):
                 found = cut(block, window, k)
                 at = block.rows.start + found.owner
-                parts.append((found.anchor, found.span, found.sides, ids[at], _place(versions[at], found.number)))
+                # an anchor is the smallest of many hashes, so its own highest bits are mostly zeros
+                parts.append((mix(found.anchor), found.span, found.sides, ids[at], _place(versions[at], found.number)))
                 waiting += len(at)
                 if waiting >= FLUSH:
                     yield from settle(parts)
@@ -162,6 +163,7 @@ def routed(lots: DataFrame, wide: int) -> DataFrame:
 
     def route(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         anchor, span, sides, doc, place = np.concatenate(found, axis=1)
+        found.clear()
         by = np.lexsort((doc, span, anchor))
         anchor, span, sides, doc, place = anchor[by], span[by], sides[by].view(np.uint64), doc[by], place[by]
         new_anchor = np.ones(len(by), bool)
@@ -196,6 +198,7 @@ def routed(lots: DataFrame, wide: int) -> DataFrame:
                     yield from in_slices(_routes(doc, place, none, none, none))
                 else:
                     live.append(unpacked(data, 5))
+            del lots_
             if live:
                 yield from route(live)
 

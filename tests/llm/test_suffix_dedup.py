@@ -136,3 +136,11 @@ def test_windows_of_wide_anchors_hold_a_shared_side(spark, documents, monkeypatc
     of_one_side = seen["routes"].filter("open AND sides < 3").select("doc_id", "version", "number")
     each = seen["contexts"].join(of_one_side, ["doc_id", "version", "number"]).groupBy("doc_id", "version", "number").count().collect()
     assert each and max(r["count"] for r in each) <= half + 1
+
+
+def test_buckets_of_anchors_are_even(spark, documents):
+    rng = random.Random(8)
+    rows = [(i, "".join(rng.choice("abcdefgh ") for _ in range(4000)), 0) for i in range(40)]
+    lots = suffix_dedup.segment_lots(spark.createDataFrame(rows, "doc_id long, text string, version int"), 50, 24, 16)
+    sizes = [r["n"] for r in lots.selectExpr("bucket", "octet_length(data) n").groupBy("bucket").sum("n").withColumnRenamed("sum(n)", "n").collect()]
+    assert len(sizes) == 16 and max(sizes) < 1.5 * min(sizes)
