@@ -54,8 +54,6 @@ WINDOW = 50
 ANCHOR = 24
 #: Segments a task gathers before it settles repeats among them.
 FLUSH = 400_000
-#: Buckets of anchors for each partition of a shuffle; a task settles one at a time.
-BUCKETS_EACH = 4
 #: Bytes of texts or lots that a Python task takes at once.
 BYTES_AT_ONCE = 8 << 20
 #: Settled segments that travel together.
@@ -367,8 +365,9 @@ def repeats(rows: DataFrame, window: int, k: int, wide: int) -> DataFrame:
     """(doc_id, version, found): what to remove from each text that has any repeat."""
     if window - k + 1 > 63:
         raise ValueError("a segment may have 63 windows at most")
+    # a task settles one bucket at a time: enough of them that partitions are even, not so many that lots are tiny
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 1 << max(8, (BUCKETS_EACH * parts - 1).bit_length())
+    buckets = 1 << (max(256, min(16 * parts, 4096), 4 * parts) - 1).bit_length()
     routes = stored(routed(segment_lots(rows, window, k, buckets), wide), "routes", BYTES_AT_ONCE)
     opened = routes.filter("open").groupBy("doc_id", "version").agg(F.collect_list(F.struct("number", "wide", "sides")).alias("numbers"))
     wanted = stored(contexts(rows.join(opened.hint("merge"), ["doc_id", "version"]), window, k), "contexts")
